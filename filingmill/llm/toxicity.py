@@ -29,7 +29,7 @@ from .common import small_batches
 from .labelled import fold, sample
 
 LEXICON, SUPPORT, PURITY, FREQUENT = 4000, 3, 0.9, 0.04
-STEMS = (3, 4, 5, 6)
+STEMS = (3, 4, 5, 6, 7, 8)
 CACHE = 400_000
 TOKEN = re.compile(r"[^\W\d_]+|[.!?;:\n]")
 
