@@ -52,7 +52,7 @@ def information_coefficients(signals: DataFrame, returns: DataFrame, keys: tuple
     days = signals.select(*keys, "signal_date").distinct()
     w = W.partitionBy(*keys).orderBy("signal_date") if keys else W.orderBy("signal_date")  # one row per date
     spans = days.withColumn("next", F.lead("signal_date").over(w)).where("next is not null")
-    held = signals.join(F.broadcast(spans), [*keys, "signal_date"])
+    held = signals.join(spans, [*keys, "signal_date"])
     joined = held.join(returns.where("ret is not null"), "ticker").where((F.col("date") > F.col("signal_date")) & (F.col("date") <= F.col("next")))
     forward = joined.groupBy(*keys, "signal_date", "ticker", "composite_score").agg(compound(F.col("ret")).alias("forward"))
     group = [*keys, "signal_date"]
@@ -78,8 +78,8 @@ def align_factors(returns: DataFrame, factors: DataFrame, by_month: bool = False
     """Returns with the factors of their date (or month), rows with any null dropped."""
     if by_month:
         factors = factors.withColumn("month", F.trunc("date", "month")).drop("date")
-        return returns.withColumn("month", F.trunc("date", "month")).join(F.broadcast(factors), "month").drop("month").dropna()
-    return returns.join(F.broadcast(factors), "date").dropna()
+        return returns.withColumn("month", F.trunc("date", "month")).join(factors, "month").drop("month").dropna()
+    return returns.join(factors, "date").dropna()
 
 
 def factor_regression(aligned: DataFrame) -> DataFrame:
