@@ -7,10 +7,11 @@ which follows edit similarity. A pair of documents of similarity 0.8 agrees in a
 about 0.64; it agrees in fewer than AGREE of the ten, and is missed, with 7e-4.
 
 Texts of equal words are one class (partial aggregation on a 128-bit digest). Class members meet in buckets
-(table, key); buckets are not grouped but range-sorted by (table, key, further minima), so a hot bucket spreads
-over tasks, and each row is paired with its NEAR following rows and the first row of its bucket in the task:
-a linear number of pairs. Rounds go on with one row per bucket and component, and more neighbours, until no new
-link is found, so groups cut by the sort meet again through their representatives.
+(table, key), and every bucket is compared whole: a task reads it as a sorted stream and tries each pair that
+agrees in no earlier table and that its links have not joined yet, so a group of copies takes about one
+comparison a row and pairs are never rows. Buckets of more than BLOCK rows or WORDS shingles are split into
+blocks, each pair of blocks its own task, so a hot bucket spreads and no pair is lost. Buckets whose rows all
+share an earlier key are left out, as all their pairs are tried there.
 
 A pair is a link if banded alignment finds it similar: labelled shingles are aligned in order (longest
 increasing chain) within a band around the diagonal; similarity is aligned / (all - aligned), at least 0.8.
@@ -23,6 +24,8 @@ words are one shingle; repeated rows share a class; an empty table gives an empt
 from __future__ import annotations
 
 from bisect import bisect_left
+from functools import reduce
+from operator import or_
 
 import numpy as np
 import pyarrow as pa
@@ -35,8 +38,8 @@ from .decontamination import words_of
 
 SHINGLE, SIMILARITY = 5, 0.8
 TABLES, L = 10, 2
-#: Following rows of its bucket that a row is paired with: at first, and among components in later rounds.
-NEAR, NEAR_LATER = 1, 4
+#: Rows and shingles of a bucket that one task compares; larger buckets go in pairs of blocks.
+BLOCK, WORDS = 2000, 4_000_000
 #: Tables in which a pair must agree before its texts are compared.
 AGREE = 2
 CACHE = 500_000
@@ -81,19 +84,16 @@ def shingles(words: list[bytes]) -> np.ndarray:
     return s
 
 
-def sketch(s: np.ndarray) -> list[tuple[int, int]]:
-    """For each table the key of its L smallest shingles in text order, and one of the next L, to sort by."""
+def sketch(s: np.ndarray) -> list[int]:
+    """For each table the key of its L smallest shingles in text order."""
     out = []
     for t in range(TABLES):
         x = mix(s ^ mix(np.uint64(t + 1) * _ODD))
-        near = np.argpartition(x, min(2 * L, x.size) - 1)[: 2 * L] if x.size > 2 * L else np.arange(x.size)
-        near = near[np.argsort(x[near], kind="stable")]
-        key = sort = np.uint64(t)
-        for i in sorted(near[:L]):
+        near = np.argpartition(x, L - 1)[:L] if x.size > L else np.arange(x.size)
+        key = np.uint64(t)
+        for i in sorted(near):
             key = mix(key * _ODD + x[i])
-        for i in sorted(near[L:]):
-            sort = mix(sort * _ODD + x[i])
-        out.append((int(key), int(sort)))
+        out.append(int(key))
     return out
 
 
@@ -120,7 +120,11 @@ def similarity(a: np.ndarray, b: np.ndarray, least: float = SIMILARITY) -> float
     return chain / (total - chain) if total > chain else 1.0
 
 
-SKETCH = "struct<digest:binary,size:int,keys:array<bigint>,sorts:array<bigint>>"
+SKETCH = "struct<digest:binary,size:int,keys:array<bigint>>"
+
+
+def digest_of(words: list[bytes]) -> bytes:
+    return xxhash.xxh3_128_digest(b" ".join(words))
 
 
 def _sketches(texts: pa.Array) -> pa.Array:
@@ -132,121 +136,115 @@ def _sketches(texts: pa.Array) -> pa.Array:
                 out.append(None)
                 continue
             s = shingles(words)
-            keys = np.array(sketch(s), np.uint64).view(np.int64)
-            out.append({"digest": xxhash.xxh3_128_digest(b" ".join(words)), "size": s.size, "keys": keys[:, 0], "sorts": keys[:, 1]})
-    return pa.array(out, pa.struct([("digest", pa.binary()), ("size", pa.int32()), ("keys", pa.list_(pa.int64())), ("sorts", pa.list_(pa.int64()))]))
-
-
-class _Shingled:
-    """Shingles of texts, remembered up to a number of bytes: a text stands in several pairs."""
-
-    def __init__(self, room: int = 32 << 20):
-        self.room, self.used, self.known = room, 0, {}
-
-    def __call__(self, text: bytes) -> np.ndarray:
-        found = self.known.get(text)
-        if found is None:
-            found = shingles(words_of(text))
-            self.used += len(text) + found.nbytes
-            if self.used > self.room:
-                self.known.clear()
-                self.used = len(text) + found.nbytes
-            self.known[text] = found
-        return found
+            out.append({"digest": digest_of(words), "size": s.size, "keys": np.array(sketch(s), np.uint64).view(np.int64)})
+    return pa.array(out, pa.struct([("digest", pa.binary()), ("size", pa.int32()), ("keys", pa.list_(pa.int64()))]))
+
+
+def links_of(texts: list[np.ndarray], keys: np.ndarray, sides: np.ndarray, t: int, least: float = SIMILARITY) -> list[tuple[int, int]]:
+    """Links that join all similar pairs of one bucket of table ``t``; of two blocks, pairs across them only."""
+    n, sizes, found = len(texts), np.array([x.size for x in texts]), []
+    across = sides.any()
+    part = np.arange(n)
+    ends = np.cumsum(sizes)
+    codes = np.unique(np.concatenate(texts), return_inverse=True)[1] if n > 8 else None
+    marks = np.zeros(0 if codes is None else int(codes.max()) + 1, np.int64)
+    for i in range(1, n):
+        same = keys[:i] == keys[i]
+        tried = ~same[:, :t].any(axis=1) & (same.sum(axis=1) >= AGREE)
+        tried &= np.minimum(sizes[:i], sizes[i]) >= least * np.maximum(sizes[:i], sizes[i])
+        if across:
+            tried &= sides[:i] != sides[i]
+        at = np.flatnonzero(tried & (part[:i] != part[i]))
+        if codes is not None and at.size:  # shared shingles of all rows at once; too few cannot be similar
+            own = codes[ends[i - 1] : ends[i]]
+            marks[own] = 1
+            both = np.add.reduceat(marks[codes[: ends[i - 1]]], np.r_[0, ends[: i - 1]])[at]
+            marks[own] = 0
+            order = np.argsort(-both, kind="stable")
+            at = at[order][(both >= least * (sizes[at] + sizes[i] - both))[order]]
+        for j in at.tolist():
+            if part[j] != part[i] and similarity(texts[i], texts[j], least) >= least:
+                found.append((j, i))
+                part[part == part[i]] = part[j]
+    return found
+
+
+def _links(least: float):
+    schema = pa.schema([("a", pa.binary()), ("b", pa.binary())])
 
+    def run(batches):
+        bucket, rows = None, {}
+        found: list[tuple[bytes, bytes]] = []
 
-def _compare(least: float):
-    of = _Shingled()
+        def close():
+            if len(rows) > 1:
+                ids, (keys, sides, texts) = list(rows), zip(*rows.values(), strict=True)
+                pairs = links_of(list(texts), np.array(keys, np.int64), np.array(sides), bucket[0], least)
+                found.extend((ids[i], ids[j]) for i, j in pairs)
 
-    def run(a: pa.Array, b: pa.Array) -> pa.Array:
         with np.errstate(over="ignore"):
-            out = [similarity(of(x), of(y), least) for x, y in zip(a.cast(pa.binary()).to_pylist(), b.cast(pa.binary()).to_pylist(), strict=True)]
-        return pa.array(out, pa.float64())
+            for batch in batches:
+                columns = (batch[c].to_pylist() for c in ("t", "key", "block", "side", "digest", "keys"))
+                for k, (t, key, block, side, digest, keys) in enumerate(zip(*columns, strict=True)):
+                    if (t, key, block) != bucket:
+                        close()
+                        bucket, rows = (t, key, block), {}
+                    if digest not in rows:
+                        words = words_of(batch["text"][k].cast(pa.binary()).as_py())
+                        if digest_of(words) == digest:  # another text can have the same document id
+                            rows[digest] = (keys, side, shingles(words))
+                a, b = zip(*found, strict=True) if found else ((), ())
+                found.clear()
+                yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], schema=schema)
+            close()
+        if found:
+            a, b = zip(*found, strict=True)
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], schema=schema)
 
     return run
 
 
-def _neighbours(near: int):
-    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
-
-    def run(batches):
-        bucket, first, recent = None, None, []
-        for batch in batches:
-            pairs = set()
-            columns = [batch[c].to_pylist() for c in ("t", "key", "rep", "size")]
-            for t, key, rep, size in zip(*columns, strict=True):
-                if (t, key) != bucket:
-                    bucket, first, recent = (t, key), (rep, size), []
-                for other, n in {first, *recent}:
-                    if other != rep and min(n, size) >= SIMILARITY * max(n, size):
-                        pairs.add((min(rep, other), max(rep, other)))
-                recent = [*recent, (rep, size)][-near:]
-            a, b = zip(*pairs, strict=True) if pairs else ((), ())
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], schema=schema)
-
-    return run
-
-
-def candidate_pairs(members: DataFrame, near: int = NEAR) -> DataFrame:
-    """Distinct pairs (a, b) of neighbours in the buckets of ``members`` (t, key, sort, rep, size)."""
-    n = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    by = ["t", "key", "sort", "rep"]
-    return members.repartitionByRange(n, *by).sortWithinPartitions(*by).mapInArrow(_neighbours(near), "a bigint, b bigint").distinct()
-
-
-def agreeing(pairs: DataFrame, classes: DataFrame) -> DataFrame:
-    """The pairs whose keys agree in at least AGREE tables: keys are small, texts are moved for these only."""
-    keys = classes.select("rep", "keys")
-    left = pairs.join(keys.select(F.col("rep").alias("a"), F.col("keys").alias("x")), "a")
-    both = left.join(keys.select(F.col("rep").alias("b"), F.col("keys").alias("y")), "b")
-    same = F.zip_with("x", "y", lambda x, y: F.when(x == y, 1).otherwise(0))
-    return both.where(F.aggregate(same, F.lit(0), lambda n, x: n + x) >= AGREE).select("a", "b")
-
-
-def verified(pairs: DataFrame, texts: DataFrame, least: float = SIMILARITY) -> DataFrame:
-    """The pairs whose texts are similar. ``texts`` (rep, text) holds only texts that some pair needs."""
-    compare = F.arrow_udf(_compare(least), "double").asNondeterministic()
-    right = pairs.join(texts.select(F.col("rep").alias("b"), F.col("text").alias("y")), "b")
-    both = right.join(texts.select(F.col("rep").alias("a"), F.col("text").alias("x")), "a")
-    return both.select("a", "b", compare("x", "y").alias("s")).where(F.col("s") >= least).select("a", "b")
-
-
-def near_duplicates(docs: DataFrame, least: float = SIMILARITY, rounds: int = 12) -> DataFrame:
-    """doc_id, class_id, class_size, kept for every document."""
-    spark = docs.sparkSession
-    small_batches(spark)
+def bucketed(classes: DataFrame) -> DataFrame:
+    """Rows (t, key, block, side, digest, rep, keys) of all buckets in which some pair meets for the first time."""
+    met = classes.select("size", F.posexplode("keys").alias("t", "key")).groupBy("t", "key").agg(F.count("*").alias("n")).where("n > 1")
+    inside = classes.select("digest", F.posexplode("keys").alias("t", "key")).join(met.drop("n"), ["t", "key"])
+    shared = stored(inside.join(classes, "digest"), "shared")
+    least, most = ([f(F.element_at("keys", j + 1)).alias(f"{name}{j}") for j in range(TABLES - 1)] for f, name in ((F.min, "least"), (F.max, "most")))
+    stats = shared.groupBy("t", "key").agg(F.count("*").alias("n"), F.sum("size").alias("words"), *least, *most)
+    earlier = [(F.lit(j) < F.col("t")) & (F.col(f"least{j}") == F.col(f"most{j}")) for j in range(TABLES - 1)]
+    blocks = F.ceil(F.greatest(F.col("n") / BLOCK, F.col("words") / WORDS)).cast("int")
+    stats = stored(stats.where(~reduce(or_, earlier)).select("t", "key", blocks.alias("blocks")), "buckets")
+    mine = F.pmod(F.xxhash64("digest"), F.col("blocks")).cast("int")
+    pairs = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct(F.least(o, mine).alias("x"), F.greatest(o, mine).alias("y")))
+    spread = shared.join(stats, ["t", "key"]).withColumn("b", F.explode(pairs))
+    block = F.col("b.x").cast("long") * F.lit(1 << 32) + F.col("b.y")
+    side = F.when(F.col("b.x") == F.col("b.y"), F.lit(0)).otherwise(F.when(mine == F.col("b.y"), F.lit(1)).otherwise(F.lit(0)))
+    return spread.select("t", "key", block.alias("block"), side.alias("side"), "digest", "rep", "keys")
+
+
+def links(classes: DataFrame, source: DataFrame, least: float = SIMILARITY) -> DataFrame:
+    """Links (a, b) between digests, whose components are those of all similar pairs. ``source``: rep, text."""
+    rows = stored(bucketed(classes), "bucketed")
+    # Merge joins whatever the sizes: moving the texts costs the same share of any input.
+    texts = source.join(rows.select("rep").distinct().hint("merge"), "rep", "left_semi")
+    texts = texts.withColumn("h", F.xxhash64("text")).dropDuplicates(["rep", "h"]).drop("h")
+    by = ["t", "key", "block"]
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    met = rows.join(texts.hint("merge"), "rep").drop("rep").repartition(n, *by).sortWithinPartitions(*by)
+    return stored(met.mapInArrow(_links(least), "a binary, b binary"), "links")
+
+
+def near_duplicates(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
+    """doc_id, class_id, kept for every document."""
+    small_batches(docs.sparkSession)
     sketched = F.arrow_udf(_sketches, SKETCH).asNondeterministic()
     marked = stored(docs.select(F.col("doc_id").cast("long").alias("doc_id"), sketched(F.col("text")).alias("s")).select("doc_id", "s.*"), "sketches")
-    classes = marked.where("digest is not null and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("size").alias("size"), F.first("keys").alias("keys"), F.first("sorts").alias("sorts"))
+    classes = marked.where("digest is not null and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("size").alias("size"), F.first("keys").alias("keys"))
     classes = stored(classes, "classes")
-    members = stored(
-        classes.select("rep", "size", "sorts", F.posexplode("keys").alias("t", "key")).withColumn("sort", F.element_at("sorts", F.col("t") + 1)).drop("sorts"), "members"
-    )
-    # Only buckets that two classes share matter from here on.
-    shared = members.groupBy("t", "key").agg(F.count("*").alias("n")).where("n > 1")
-    members = stored(members.join(shared, ["t", "key"]), "shared")
-    pairs = stored(agreeing(candidate_pairs(members.drop("n")), classes), "pairs")
-    links, tried = None, pairs
-    source = docs.select(F.col("doc_id").cast("long").alias("rep"), "text")
-    parts = None
-    for _ in range(rounds):
-        needed = pairs.select(F.col("a").alias("rep")).union(pairs.select("b")).distinct()
-        texts = source.join(needed, "rep", "left_semi").dropDuplicates(["rep"])
-        found = stored(verified(pairs, texts, least), "links")
-        if links is not None and found.isEmpty():
-            break
-        links = found if links is None else links.unionByName(found)
-        parts = stored(components(links), "parts")
-        # One row per bucket and component, of buckets that were not compared whole and hold several.
-        large = members.where(F.col("n") > NEAR + 2).drop("n").join(parts.withColumnRenamed("id", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-        ones = large.groupBy("t", "key", "component").agg(F.min(F.struct("sort", "rep", "size")).alias("m")).select("t", "key", "m.*")
-        several = ones.groupBy("t", "key").agg(F.count("*").alias("n")).where("n > 1").select("t", "key")
-        fresh = candidate_pairs(ones.join(several, ["t", "key"], "left_semi"), NEAR_LATER).join(tried, ["a", "b"], "left_anti")
-        pairs = stored(agreeing(fresh, classes), "pairs")
-        if pairs.isEmpty():
-            break
-        tried = tried.unionByName(pairs)
-    classed = classes.select("digest", "rep").join(parts.withColumnRenamed("id", "rep"), "rep", "left").select("digest", F.coalesce("component", "rep").alias("class_id"))
+    parts = components(links(classes, docs.select(F.col("doc_id").cast("long").alias("rep"), "text"), least))
+    classed = classes.select("digest", "rep").join(parts.withColumnRenamed("id", "digest"), "digest", "left").withColumn("component", F.coalesce("component", "digest"))
+    named = classed.groupBy("component").agg(F.min("rep").alias("class_id"))
+    classed = classed.join(named, "component").select("digest", "class_id")
     result = marked.select("doc_id", "digest").join(classed, "digest", "left").select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"))
     return result.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("class_id"), F.lit(True)))
 

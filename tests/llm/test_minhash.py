@@ -92,3 +92,39 @@ def test_order_counts():
     np.seterr(over="ignore")
     w = [f"w{i}".encode() for i in range(100)]
     assert minhash.similarity(minhash.shingles(w), minhash.shingles(w[50:] + w[:50])) < 0.8
+
+
+def test_large_bucket_of_varied_copies(spark):
+    """Groups of loose copies in common buckets: a row's only links are often to rows far away in the sort."""
+    r = random.Random(5)
+    rows = []
+    for g in range(6):
+        base = [f"g{g}w{i}" for i in range(120)]
+        for _ in range(60):
+            words = list(base)
+            for i in r.sample(range(120), 2):
+                words[i] = f"x{r.randrange(10**9)}"
+            rows.append((len(rows), " ".join(words)))
+    got = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {x.doc_id: x.class_id for x in got} == candidates_joined(rows, minhash.AGREE)
+
+
+def candidates_joined(rows, agree):
+    """Classes that comparing every pair that agrees in ``agree`` tables gives."""
+    np.seterr(over="ignore")
+    made = {d: minhash.shingles(words_of(t.encode())) for d, t in rows}
+    keys = {d: np.array(minhash.sketch(s), object).reshape(minhash.TABLES, -1)[:, 0] for d, s in made.items()}
+    part = {d: d for d, _ in rows}
+    for a, x in made.items():
+        for b, y in made.items():
+            if a < b and part[a] != part[b] and (keys[a] == keys[b]).sum() >= agree and minhash.similarity(x, y) >= 0.8:
+                low, high = sorted((part[a], part[b]))
+                part = {d: low if p == high else p for d, p in part.items()}
+    return part
+
+
+def test_blocks_lose_no_pair(spark, monkeypatch):
+    rows = corpus(4)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    monkeypatch.setattr(minhash, "BLOCK", 7)
+    assert {x.doc_id: x.class_id for x in minhash.near_duplicates(docs).collect()} == brute(rows)
