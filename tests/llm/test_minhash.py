@@ -106,18 +106,18 @@ def test_large_bucket_of_varied_copies(spark):
                 words[i] = f"x{r.randrange(10**9)}"
             rows.append((len(rows), " ".join(words)))
     got = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
-    assert {x.doc_id: x.class_id for x in got} == candidates_joined(rows, minhash.AGREE)
+    assert {x.doc_id: x.class_id for x in got} == candidates_joined(rows)
 
 
-def candidates_joined(rows, agree):
-    """Classes that comparing every pair that agrees in ``agree`` tables gives."""
+def candidates_joined(rows):
+    """Classes that comparing every pair that agrees in a table gives."""
     np.seterr(over="ignore")
     made = {d: minhash.shingles(words_of(t.encode())) for d, t in rows}
     keys = {d: np.array(minhash.sketch(s), object).reshape(minhash.TABLES, -1)[:, 0] for d, s in made.items()}
     part = {d: d for d, _ in rows}
     for a, x in made.items():
         for b, y in made.items():
-            if a < b and part[a] != part[b] and (keys[a] == keys[b]).sum() >= agree and minhash.similarity(x, y) >= 0.8:
+            if a < b and part[a] != part[b] and (keys[a] == keys[b]).any() and minhash.similarity(x, y) >= 0.8:
                 low, high = sorted((part[a], part[b]))
                 part = {d: low if p == high else p for d, p in part.items()}
     return part
@@ -128,3 +128,17 @@ def test_blocks_lose_no_pair(spark, monkeypatch):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     monkeypatch.setattr(minhash, "BLOCK", 7)
     assert {x.doc_id: x.class_id for x in minhash.near_duplicates(docs).collect()} == brute(rows)
+
+
+def test_one_table_is_enough(spark):
+    np.seterr(over="ignore")
+    r = random.Random(9)
+    rows = []
+    while len(rows) < 6:
+        base = [f"w{r.randrange(10**6)}" for _ in range(60)]
+        pair = base, edited(r, base, 2)
+        x, y = (minhash.shingles([w.encode() for w in words]) for words in pair)
+        if minhash.similarity(x, y) >= 0.8 and sum(a == b for a, b in zip(minhash.sketch(x), minhash.sketch(y), strict=True)) == 1:
+            rows += [(len(rows) + i, " ".join(words)) for i, words in enumerate(pair)]
+    got = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {x.doc_id: x.class_id for x in got} == {0: 0, 1: 0, 2: 2, 3: 2, 4: 4, 5: 4}
