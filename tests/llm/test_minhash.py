@@ -142,3 +142,19 @@ def test_one_table_is_enough(spark):
             rows += [(len(rows) + i, " ".join(words)) for i, words in enumerate(pair)]
     got = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert {x.doc_id: x.class_id for x in got} == {0: 0, 1: 0, 2: 2, 3: 2, 4: 4, 5: 4}
+
+
+def test_no_link_is_left_between_classes(spark):
+    """Components meet through any of their members, not through one that stands for all."""
+    r = random.Random(6)
+    rows = []
+    for g in range(2):
+        for _ in range(120):
+            words = [f"g{g}w{i}" for i in range(120)]
+            for i in r.sample(range(120), 2):
+                words[i] = f"x{r.randrange(10**9)}"
+            rows.append((len(rows), " ".join(words)))
+    part = {x.doc_id: x.class_id for x in minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    expected = candidates_joined(rows)
+    assert len(set(part.values())) == len(set(expected.values()))
+    assert part == expected
