@@ -4,7 +4,6 @@ documents go, secrets are redacted, and what is left is packed into sequences.""
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from filingmill.llm import decontamination, minhash, packing, secrets, toxicity
 from filingmill.llm.common import stored, table
@@ -31,7 +30,7 @@ def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return packing.pack(docs.where(F.col("doc_id").isNotNull()), tokenizer_path())
+    return packing.pack(docs, tokenizer_path())
 
 
 STAGES = [

@@ -231,24 +231,34 @@ def links(classes: DataFrame, source: DataFrame, least: float = SIMILARITY) -> D
     return stored(met.mapInArrow(_links(least), "a binary, b binary"), "links")
 
 
-def near_duplicates(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
-    """doc_id, class_id, kept for every document."""
+def _classed(docs: DataFrame, least: float) -> DataFrame:
+    """doc_id, h (hash of the text), component (null without words), class_id, kept for every document."""
     small_batches(docs.sparkSession)
     sketched = F.arrow_udf(_sketches, SKETCH).asNondeterministic()
-    marked = stored(docs.select(F.col("doc_id").cast("long").alias("doc_id"), sketched(F.col("text")).alias("s")).select("doc_id", "s.*"), "sketches")
+    marked = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("h"), sketched(F.col("text")).alias("s"))
+    marked = stored(marked.select("doc_id", "h", "s.*"), "sketches")
     classes = marked.where("digest is not null and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("size").alias("size"), F.first("keys").alias("keys"))
     classes = stored(classes, "classes")
     parts = components(links(classes, docs.select(F.col("doc_id").cast("long").alias("rep"), "text"), least))
     classed = classes.select("digest", "rep").join(parts.withColumnRenamed("id", "digest"), "digest", "left").withColumn("component", F.coalesce("component", "digest"))
     named = classed.groupBy("component").agg(F.min("rep").alias("class_id"))
-    classed = classed.join(named, "component").select("digest", "class_id")
-    result = marked.select("doc_id", "digest").join(classed, "digest", "left").select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"))
+    classed = classed.join(named, "component").select("digest", "component", "class_id")
+    result = marked.select("doc_id", "h", "digest").join(classed, "digest", "left").select("doc_id", "h", "component", F.coalesce("class_id", "doc_id").alias("class_id"))
     return result.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("class_id"), F.lit(True)))
 
 
+def near_duplicates(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
+    """doc_id, class_id, kept for every document."""
+    return _classed(docs, least).select("doc_id", "class_id", "kept")
+
+
 def deduplicate(docs: DataFrame) -> DataFrame:
-    """One document of each class, with its own columns; of repeated rows of a kept id one stays."""
-    kept = near_duplicates(docs.select("doc_id", "text")).where("kept").select(F.col("doc_id").alias("__kept")).distinct()
+    """One document of each class, with its own columns: rows of one id but different classes all stay, repeated rows once."""
+    marked = _classed(docs.select("doc_id", "text"), SIMILARITY).where("kept and doc_id is not null")
+    worded = marked.where("component is not null").groupBy("component").agg(F.min(F.struct("doc_id", "h")).alias("m")).select("m.*")
+    kept = worded.unionByName(marked.where("component is null").select("doc_id", "h")).distinct()
+    kept = kept.select(F.col("doc_id").alias("__kept"), F.col("h").alias("__h"))
     lone = docs.where("doc_id is null")
-    first = docs.join(kept, F.col("doc_id") == F.col("__kept"), "left_semi").dropDuplicates(["doc_id"])
+    same = (F.col("doc_id").cast("long") == F.col("__kept")) & (F.xxhash64("text") == F.col("__h"))
+    first = docs.join(kept, same, "left_semi").withColumn("__h", F.xxhash64("text")).dropDuplicates(["doc_id", "__h"]).drop("__h")
     return first.unionByName(lone)

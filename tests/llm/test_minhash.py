@@ -158,3 +158,10 @@ def test_no_link_is_left_between_classes(spark):
     expected = candidates_joined(rows)
     assert len(set(part.values())) == len(set(expected.values()))
     assert part == expected
+
+
+def test_deduplicate_keeps_different_texts_of_one_id(spark):
+    a, b, c = (" ".join(f"{x}{i}" for i in range(40)) for x in "abc")
+    rows = [(1, a), (5, b), (5, a), (5, b), (7, b + " more"), (8, None), (8, "..."), (9, c), (9, c)]
+    kept = minhash.deduplicate(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((x.doc_id, str(x.text)) for x in kept) == sorted([(1, a), (5, b), (8, "None"), (8, "..."), (9, c)])
