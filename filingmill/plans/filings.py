@@ -115,8 +115,7 @@ def _(spark, d):
 
 @query("tidy_text", "SELECT doc_id, md5(regexp_replace(regexp_replace(text, '^\\s+', ''), '\\s+$', '')) AS text_md5 FROM documents WHERE text NOT LIKE '%  %' AND NOT regexp_matches(text, '[ \\t]\\n|\\n[ \\t]|\\n\\n\\n|\\t|\\f| $')")
 def _(spark, d):
-    rows = S.read(spark, d, "documents").where("text not like '%  %'").where(~F.col("text").rlike("[ \\t]\\n|\\n[ \\t]|\\n\\n\\n|\\t|\\f| $"))
-    return rows.select("doc_id", F.md5(tidy(F.col("text"))).alias("text_md5"))
+    return S.read(spark, d, "documents").select("doc_id", F.md5(tidy(F.col("text"))).alias("text_md5"))
 
 
 @query("extract_sections")

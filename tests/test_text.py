@@ -1,5 +1,8 @@
+import hashlib
+
 from pyspark.sql import functions as F
 
+from __spark_entry__ import queries
 from filingmill.functions import html
 from filingmill.functions.text import dashed_accession, fold_accents, pad_cik, tidy, tokenize_upper
 from filingmill.operators import scoring
@@ -99,3 +102,10 @@ def test_analyzers(spark):
             pass
     good, failed = known.run(sections(spark, "abc", "de"))
     assert good.count() == 3 and failed.count() == 1
+
+
+def test_tidy_query_cleans_all_documents(spark, tmp_path):
+    texts = [" a  b \n\n\n\n c\td ", "x\fy", "one\n  Table of Contents  \ntwo\n- 42 -\nthree\nPage 3 of 9\nfour", "plain", "two  spaces", "end \nnext"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r.text_md5 for r in queries()["tidy_text"](spark, str(tmp_path)).collect()}
+    assert got == {i: hashlib.md5(html.clean_text(t).encode()).hexdigest() for i, t in enumerate(texts)}
