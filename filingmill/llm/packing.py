@@ -2,8 +2,9 @@
 
 Tokenising is a map over documents. Pieces then differ, for packing, only in their length, so the whole
 corpus is described by one count per length: at most ``capacity`` numbers whatever the corpus size. Bin
-completion runs on those counts. Around the largest remaining length it enumerates undominated fillings of
-the rest of the bin, prunes by the waste bound (bins so far plus volume left may not reach the incumbent),
+completion runs on those counts, as a limited-discrepancy search without backtracking: greedy dives that change
+one choice each, within a fixed number of steps, so large corpora mostly keep the incumbent. Around the largest
+remaining length it enumerates a few fillings of the rest of the bin, prunes by the waste bound (bins so far plus volume left may not reach the incumbent),
 starts from the best-fit-decreasing solution as incumbent, and uses each filling as often as the counts
 allow. Patterns become rank ranges per length, and every piece finds its sequence from its rank among the
 pieces of its length; ranks come from salted counts, so a length that a third of all pieces share is spread.
@@ -206,7 +207,7 @@ def fillings(lengths: np.ndarray, counts: dict[int, int], room: int, width: int,
 
 
 def complete(counts: dict[int, int], capacity: int = CAPACITY, width: int = 4, nodes: int = 4000, depth_nodes: int = 160) -> list[Pattern]:
-    """Bin completion by depth-first branch and bound; ``nodes`` bounds the search, never the result's completeness."""
+    """Bin completion by limited-discrepancy dives; ``nodes`` bounds the search, never the result's completeness."""
     counts = {k: v for k, v in counts.items() if v}
     incumbent = best_fit(counts, capacity)
     best = sum(n for _, n in incumbent)
