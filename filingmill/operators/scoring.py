@@ -2,38 +2,56 @@
 
 from __future__ import annotations
 
+import heapq
 import math
+import re
+import sys
+import unicodedata
+from collections import Counter
 from collections.abc import Callable
+from functools import cache
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from filingmill.functions.text import strip, tfidf_terms, tokenize_upper
+from filingmill.functions.text import strip, tokenize_upper
 from filingmill.schemas import CATEGORIES
 
 SECTION_KEY = ("filing_id", "section_name")
 #: Inverse document frequency of a term that one of two texts has; one that both have counts 1.
 ALONE = math.log(1.5) + 1
 MAX_TERMS = 10_000
-#: A lexicon of this many bytes or less is broadcast; a longer one is joined by shuffle.
-LEXICON_BYTES = 8 << 20
+_TERM = re.compile(r"\b[a-zA-Z]{2,}\b")
+#: A lexicon of this many bytes or less becomes constants of the plan; a longer one is joined by shuffle.
+LEXICON_BYTES = 1 << 20
 
 
 def category_counts(sections: DataFrame, lexicon: DataFrame, key: tuple[str, ...] = SECTION_KEY) -> DataFrame:
-    """Per section total_tokens and one count per category. Only tokens of the lexicon are exploded and
-    aggregated; sections without any keep their total."""
-    tokens = sections.select(*key, tokenize_upper(F.col("raw_text")).alias("tokens"))
+    """Per section total_tokens and one count per category, also of sections without tokens.
+
+    A text is tokenised once. A lexicon of bounded size is looked up in each text's tokens, so nothing is shuffled;
+    with a longer one, counts per word meet it by shuffle."""
     size = lexicon.agg(F.sum(F.length("word") + F.length("category") + 16)).first()[0] or 0
+    tokens = tokenize_upper(F.col("raw_text"))
+    if size <= LEXICON_BYTES:
+        words = {c: sorted({r.word for r in rows}) for c, rows in _by_category(lexicon).items()}
+        every = sorted({w for ws in words.values() for w in ws})
+        among = lambda t, ws: F.filter(t, lambda w: w.isin(*ws))
+        found = lambda hits: [F.size(among(hits, ws)).alias(c) if ws else F.lit(0).alias(c) for c, ws in words.items()]
+        # Arrays of one element let the tokens and the hits among them be used many times and computed once.
+        counted = F.transform(F.array(tokens), lambda t: F.struct(F.size(t).alias("total_tokens"), F.transform(F.array(among(t, every)), lambda h: F.struct(*found(h)))[0].alias("c")))[0]
+        return sections.select(*key, counted.alias("t")).select(*key, F.greatest("t.total_tokens", F.lit(0)).alias("total_tokens"), *[F.greatest(f"t.c.{c}", F.lit(0)).cast("long").alias(c) for c in CATEGORIES])
     by_word = lexicon.groupBy("word").agg(F.collect_set("category").alias("categories"))
-    by_word = F.broadcast(by_word) if size <= LEXICON_BYTES else by_word
-    hit = (
-        tokens.select(*key, F.explode("tokens").alias("word")).groupBy(*key, "word").count().join(by_word, "word")
-        .select(*key, "count", F.explode("categories").alias("category"))
-        .groupBy(*key).agg(*[F.sum(F.when(F.col("category") == c, F.col("count")).otherwise(0)).alias(c) for c in CATEGORIES])
-    )
-    totals = tokens.select(*key, F.size("tokens").alias("total_tokens"))
-    return totals.join(hit, list(key), "left").na.fill(0, list(CATEGORIES))
+    seen = sections.select(*key, F.explode_outer(tokens).alias("word")).groupBy(*key, "word").agg(F.count("word").alias("n")).join(by_word, "word", "left")
+    hits = [F.sum(F.when(F.array_contains("categories", c), F.col("n")).otherwise(0)).alias(c) for c in CATEGORIES]
+    return seen.groupBy(*key).agg(F.sum("n").cast("int").alias("total_tokens"), *hits)
+
+
+def _by_category(lexicon: DataFrame) -> dict[str, list]:
+    rows = lexicon.where(F.col("category").isin(*CATEGORIES) & F.col("word").isNotNull()).collect()  # LEXICON_BYTES at most
+    return {c: [r for r in rows if r.category == c] for c in CATEGORIES}
 
 
 def dictionary_sentiment(counts: DataFrame) -> DataFrame:
@@ -47,24 +65,52 @@ def dictionary_sentiment(counts: DataFrame) -> DataFrame:
     })
 
 
+@cache
+def _marks() -> dict[int, None]:
+    """Combining characters, for ``str.translate``."""
+    return {i: None for i in range(sys.maxunicode + 1) if unicodedata.combining(chr(i))}
+
+
+def term_counts(text: str, stop: frozenset[str]) -> Counter[str]:
+    """Words of two or more letters without stop words, and bigrams over what is left, as ``tfidf_terms`` has them."""
+    low = text.lower()
+    if not low.isascii():
+        low = unicodedata.normalize("NFKD", low).translate(_marks())
+    words = [w for w in _TERM.findall(low) if w not in stop]
+    counts = Counter(words)
+    counts.update(map(" ".join, zip(words, words[1:], strict=False)))
+    return counts
+
+
+def pair_cosine(a: Counter[str], b: Counter[str], most: int = MAX_TERMS) -> float | None:
+    """TF-IDF cosine of two texts fitted on just these two, in closed form; None without any term."""
+    both = a.keys() & b.keys()
+    if len(a) + len(b) - len(both) > most:
+        total = a + b
+        kept = set(heapq.nsmallest(most, total, key=lambda t: (-total[t], t)))
+        a, b, both = Counter({t: n for t, n in a.items() if t in kept}), Counter({t: n for t, n in b.items() if t in kept}), both & kept
+    if not a and not b:
+        return None
+    tf = lambda n: 1 + math.log(n)
+    own = lambda c: sum(tf(n) ** 2 * (1.0 if t in both else ALONE * ALONE) for t, n in c.items())
+    xx, yy = own(a), own(b)
+    return sum(tf(a[t]) * tf(b[t]) for t in both) / math.sqrt(xx * yy) if xx and yy else 0.0
+
+
 def tfidf_cosine(pairs: DataFrame, stop: list[str], key: tuple[str, ...] = SECTION_KEY) -> DataFrame:
     """From (key, raw_text, prior_text): similarity_score and change_score, fitted on each pair alone.
 
-    Terms of both texts are exploded with a side and counted with map-side combine; the closed form for two
-    documents needs no vectors. Pairs without any term are dropped, as are blank texts."""
+    The terms of a pair are counted where its row is, in an Arrow helper, so no term is ever a row: exploding
+    them and counting by key and term took ten times as long. Pairs without any term are dropped, as are blank texts."""
+    known = frozenset(stop)
+
+    def run(raw: pa.Array, prior: pa.Array) -> pa.Array:
+        rows = zip(raw.to_pylist(), prior.to_pylist(), strict=True)
+        return pa.array([pair_cosine(term_counts(x, known), term_counts(y, known)) for x, y in rows], pa.float64())
+
     usable = pairs.where((strip(F.col("raw_text")) != "") & (strip(F.col("prior_text")) != ""))
-    side = lambda c, a, b: F.transform(tfidf_terms(F.col(c), stop), lambda t: F.struct(t.alias("term"), F.lit(a).alias("a"), F.lit(b).alias("b")))
-    terms = usable.select(*key, F.explode(F.concat(side("raw_text", 1, 0), side("prior_text", 0, 1))).alias("t")).select(*key, "t.*")
-    counts = terms.groupBy(*key, "term").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
-    top = W.partitionBy(*key).orderBy(F.desc(F.col("a") + F.col("b")), "term")
-    counts = counts.withColumn("r", F.row_number().over(top)).where(F.col("r") <= MAX_TERMS)
-    tf = lambda c: F.when(F.col(c) > 0, 1 + F.log(c)).otherwise(0.0)
-    idf = F.when((F.col("a") > 0) & (F.col("b") > 0), 1.0).otherwise(ALONE)
-    sums = counts.select(*key, (tf("a") * idf).alias("x"), (tf("b") * idf).alias("y")).groupBy(*key).agg(
-        F.sum(F.col("x") * F.col("y")).alias("dot"), F.sum(F.col("x") * F.col("x")).alias("xx"), F.sum(F.col("y") * F.col("y")).alias("yy")
-    )
-    cosine = F.coalesce(F.try_divide(F.col("dot"), F.sqrt(F.col("xx") * F.col("yy"))), F.lit(0.0))
-    scored = sums.select(*key, F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), cosine)), 6).alias("similarity_score"))
+    scored = usable.select(*key, F.arrow_udf(run, "double").asNondeterministic()("raw_text", "prior_text").alias("c")).where("c is not null")
+    scored = scored.select(*key, F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("c"))), 6).alias("similarity_score"))
     return scored.withColumn("change_score", F.round(1 - F.col("similarity_score"), 6))
 
 
@@ -133,8 +179,9 @@ Analyzer = Callable[[DataFrame], DataFrame]
 
 
 class Analyzers:
-    """Named analyzers: functions from section rows (with prior_text) to (filing_id, section_name, kind, score).
-    Their results are united; a row whose score is null failed and is put aside."""
+    """Named analyzers: functions from section rows (with prior_text) to (filing_id, section_name, kind, score) and,
+    if they have it, error. Their results are united. What fails does not stop the others: a row without a score is
+    put aside with its error, and an analyzer that raises gives one failure row without a section."""
 
     def __init__(self) -> None:
         self._known: dict[str, Analyzer] = {}
@@ -150,16 +197,42 @@ class Analyzers:
         self._known[name] = analyzer
 
     def run(self, sections: DataFrame, names: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
-        """(results, failures)."""
-        found = None
-        for name in names if names is not None else sorted(self._known):
-            rows = self._known[name](sections).select(*SECTION_KEY, F.lit(name).alias("analyzer_name"), "kind", "score")
-            found = rows if found is None else found.unionByName(rows)
-        if found is None:
+        """(results, failures: filing_id, section_name, analyzer_name, kind, error)."""
+        wanted = names if names is not None else sorted(self._known)
+        if not wanted:
             raise ValueError("no analyzer to run")
-        return found.where("score is not null"), found.where("score is null").drop("score")
+        empty = "filing_id string, section_name string, analyzer_name string, kind string, score double, error string"
+        found, raised = sections.sparkSession.createDataFrame([], empty), []
+        for name in wanted:
+            analyzer = self._known[name]
+            try:
+                rows = analyzer(sections)
+                error = F.col("error") if "error" in rows.columns else F.lit(None).cast("string")
+                rows = rows.select(*SECTION_KEY, F.lit(name).alias("analyzer_name"), "kind", F.col("score").cast("double").alias("score"), error.alias("error"))
+            except Exception as e:  # any user code; the others go on and the failure is reported
+                raised.append((None, None, name, None, None, f"{type(e).__name__}: {e}"))
+                continue
+            found = found.unionByName(rows)
+        failed = found.where("score is null").unionByName(sections.sparkSession.createDataFrame(raised, empty))
+        return found.where("score is not null").drop("error"), failed.drop("score")
 
 
 def scorer(column: Column, kind: str = "sentiment") -> Analyzer:
-    """An analyzer from a column expression, such as a call of an Arrow UDF."""
+    """An analyzer from a column expression."""
     return lambda sections: sections.select(*SECTION_KEY, F.lit(kind).alias("kind"), column.cast("double").alias("score"))
+
+
+def python_scorer(score: Callable[[str], float], kind: str = "sentiment") -> Analyzer:
+    """An analyzer from a Python function of a section's text, run on Arrow batches; an exception is that row's error."""
+
+    def one(text: str) -> dict:
+        try:
+            return {"score": float(score(text)), "error": None}
+        except Exception as e:  # any user code; the row is put aside
+            return {"score": None, "error": f"{type(e).__name__}: {e}"}
+
+    def run(texts: pa.Array) -> pa.Array:
+        return pa.array([one(t) for t in texts.to_pylist()], pa.struct([("score", pa.float64()), ("error", pa.string())]))
+
+    made = F.arrow_udf(run, "struct<score:double,error:string>").asNondeterministic()
+    return lambda sections: sections.select(*SECTION_KEY, F.lit(kind).alias("kind"), made("raw_text").alias("s")).select(*SECTION_KEY, "kind", "s.*")

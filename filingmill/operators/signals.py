@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 
 BUFFER_DAYS, HALF_LIFE = 2, 90
 LEAST = 3
-#: As-of and rebalance dates come as a parameter; this many at most are broadcast.
-MAX_DATES = 100_000
+#: As-of and rebalance dates come as a parameter, written into the plan; more than this many raise an error.
+MAX_DATES = 10_000
 
 
 def dates(spark, days: list, name: str = "as_of") -> DataFrame:
@@ -19,6 +19,14 @@ def dates(spark, days: list, name: str = "as_of") -> DataFrame:
     return spark.createDataFrame([(d,) for d in sorted(set(days))], f"{name} date")
 
 
+def day_array(days: DataFrame, column: str = "as_of") -> Column:
+    """The distinct dates of a parameter table, in order, as a constant."""
+    rows = days.select(column).distinct().limit(MAX_DATES + 1).collect()
+    if len(rows) > MAX_DATES:
+        raise ValueError(f"over {MAX_DATES} dates")
+    return F.split(F.lit(",".join(sorted(str(r[0]) for r in rows))), ",").cast("array<date>") if rows else F.array().cast("array<date>")
+
+
 def attach_filing_dates(results: DataFrame, filings: DataFrame) -> DataFrame:
     """Results of known filings that have a ticker, with ticker and filed_date."""
     return results.join(filings.where("ticker is not null").select("filing_id", "ticker", "filed_date"), "filing_id")
@@ -33,20 +41,24 @@ def raw_signals(sentiment: DataFrame, similarity: DataFrame, filings: DataFrame,
 
 
 def signals_as_of(signals: DataFrame, as_of: DataFrame) -> DataFrame:
-    """Every signal once per as-of date on or after its own. ``as_of`` is a parameter table (see ``dates``)."""
-    return signals.join(F.broadcast(as_of), F.col("signal_date") <= F.col("as_of"))
+    """Every signal once per as-of date on or after its own, without a join. ``as_of`` is a parameter table (see ``dates``)."""
+    days = day_array(as_of)
+    return signals.withColumn("as_of", F.explode(F.filter(days, lambda d: d >= F.col("signal_date"))))
+
+
+def _first(signals: DataFrame, days: Column) -> DataFrame:
+    """Signals with the first as-of date they count for; later ones than all dates drop out."""
+    return signals.withColumn("as_of", F.get(F.filter(days, lambda d: d >= F.col("signal_date")), 0)).where("as_of is not null")
 
 
 def cross_section(signals: DataFrame, as_of: DataFrame) -> DataFrame:
     """Per (as_of, signal_name): n, mean, std, least, most over all signals so far.
 
-    Each signal is aggregated once, into the interval of as-of dates it first counts for; the sums then run on
-    over dates. So history is read once, not once per date."""
-    ordered = as_of.select("as_of", F.lag("as_of").over(W.orderBy("as_of")).alias("before"))  # parameter rows only
-    first = signals.join(F.broadcast(ordered), (F.col("signal_date") <= F.col("as_of")) & (F.col("before").isNull() | (F.col("signal_date") > F.col("before"))))
-    part = first.groupBy("as_of", "signal_name").agg(F.count("raw_value").alias("n"), F.avg("raw_value").alias("m"), F.coalesce(F.var_pop("raw_value"), F.lit(0.0)).alias("v"), F.min("raw_value").alias("low"), F.max("raw_value").alias("high"))
-    names = part.select("signal_name").distinct()
-    grid = names.join(F.broadcast(as_of)).join(part, ["as_of", "signal_name"], "left")
+    Each signal is aggregated once, into the first as-of date it counts for; the sums then run on over dates.
+    So history is read once, not once per date."""
+    days = day_array(as_of)
+    part = _first(signals, days).groupBy("as_of", "signal_name").agg(F.count("raw_value").alias("n"), F.avg("raw_value").alias("m"), F.coalesce(F.var_pop("raw_value"), F.lit(0.0)).alias("v"), F.min("raw_value").alias("low"), F.max("raw_value").alias("high"))
+    grid = part.groupBy("signal_name").agg(F.first(F.lit(0))).select("signal_name", F.explode(days).alias("as_of")).join(part, ["as_of", "signal_name"], "left")
     w = W.partitionBy("signal_name").orderBy("as_of").rowsBetween(W.unboundedPreceding, 0)
     run = grid.select(
         "as_of", "signal_name", F.sum("n").over(w).alias("n"), F.sum(F.col("n") * F.col("m")).over(w).alias("s"),
@@ -67,15 +79,19 @@ def zscore(signals: DataFrame, as_of: DataFrame) -> DataFrame:
 def percentile_rank(signals: DataFrame, as_of: DataFrame) -> DataFrame:
     """Signals as of each date with percentile: average rank of ties over n, 50 where all values are equal.
 
-    Counts are taken per distinct value first, so the ordered window runs over values, not over signals."""
-    keys = ["as_of", "signal_name"]
-    expanded = signals_as_of(signals, as_of)
-    counts = expanded.groupBy(*keys, "raw_value").agg(F.count("*").alias("ties"))
+    History is counted once, per distinct value and first date; only these counts are put to the later dates
+    and ranked. A signal then takes the list of its value's percentiles, and is expanded after that join. Values
+    have six digits between -1 and 1, which bounds a ranking window whatever the history."""
+    keys, days = ["as_of", "signal_name"], day_array(as_of)
+    counts = _first(signals, days).groupBy(*keys, "raw_value").agg(F.count("*").alias("n"))
+    later = counts.select("signal_name", "raw_value", "n", F.explode(F.filter(days, lambda d: d >= F.col("as_of"))).alias("as_of"))
+    ties = later.groupBy(*keys, "raw_value").agg(F.sum("n").alias("ties"))
     below = W.partitionBy(*keys).orderBy("raw_value").rowsBetween(W.unboundedPreceding, -1)
-    whole = W.partitionBy(*keys)
-    ranked = counts.select(*keys, "raw_value", "ties", F.coalesce(F.sum("ties").over(below), F.lit(0)).alias("less"), F.sum("ties").over(whole).alias("n"))
+    ranked = ties.select(*keys, "raw_value", "ties", F.coalesce(F.sum("ties").over(below), F.lit(0)).alias("less"), F.sum("ties").over(W.partitionBy(*keys)).alias("n"))
     p = F.when(F.col("n") < LEAST, None).when(F.col("ties") == F.col("n"), 50.0).otherwise(F.round(100 * (2 * F.col("less") + F.col("ties") + 1) / (2 * F.col("n")), 2))
-    return expanded.join(ranked.select(*keys, "raw_value", p.alias("percentile")), [*keys, "raw_value"])
+    by_value = ranked.groupBy("signal_name", "raw_value").agg(F.collect_list(F.struct("as_of", p.alias("percentile"))).alias("__p"))  # one entry per date
+    met = signals.join(by_value, ["signal_name", "raw_value"]).select(*signals.columns, F.explode(F.filter("__p", lambda x: x["as_of"] >= F.col("signal_date"))).alias("__p"))
+    return met.select(*signals.columns, "__p.*")
 
 
 def decay_weight(as_of: Column, signal_date: Column, half_life: int = HALF_LIFE) -> Column:
@@ -110,7 +126,7 @@ def weights_equal(signals: DataFrame) -> DataFrame:
 def _given(signals: DataFrame, given: DataFrame) -> DataFrame:
     """(signal_name, weight) put to each ticker's active names; names not given weigh 0. ``given`` is a parameter."""
     names = active(signals).select("as_of", "ticker", "signal_name").distinct()
-    return names.join(F.broadcast(given), "signal_name", "left").withColumn("weight", F.coalesce("weight", F.lit(0.0)))
+    return names.join(given, "signal_name", "left").withColumn("weight", F.coalesce("weight", F.lit(0.0)))
 
 
 def weights_ic(signals: DataFrame, ics: DataFrame) -> DataFrame:

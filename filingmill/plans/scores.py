@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from filingmill.functions.text import tfidf_terms, tokenize_upper
 from filingmill.operators import scoring, signals
+from filingmill.sources.store import stored
 
 from . import standin as S
 from .registry import query
@@ -144,7 +145,7 @@ _IC_WEIGHT = f"round(CASE WHEN sum({_IC}) OVER (PARTITION BY as_of, ticker) > 0
 
 @query("weights_ic", with_(*S.TO_BUILT, S.weights_sql(_IC_WEIGHT)) + _RANKED)
 def _(spark, d):
-    b = S.built(spark, d)
+    b = stored(S.built(spark, d), "built")
     return _ranked(signals.composite(b, signals.weights_ic(b, spark.createDataFrame(ICS, "signal_name string, ic double"))))
 
 
@@ -153,7 +154,7 @@ _CUSTOM = "CASE signal_name " + " ".join(f"WHEN '{k}' THEN round({v} / {sum(map(
 
 @query("weights_custom", with_(*S.TO_BUILT, S.weights_sql(_CUSTOM)) + _RANKED)
 def _(spark, d):
-    b = S.built(spark, d)
+    b = stored(S.built(spark, d), "built")
     return _ranked(signals.composite(b, signals.weights_custom(b, GIVEN)))
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from filingmill.functions.text import word_count
 from filingmill.operators import scoring, signals
+from filingmill.sources.store import stored
 
 # The lexicon and stop words of the stand-in tables, and the dates queries ask for.
 LEXICON = {
@@ -22,6 +23,12 @@ def read(spark: SparkSession, d: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{d}/{name}.parquet")
 
 
+def spread(rows: DataFrame) -> DataFrame:
+    """Rows over all cores where there are fewer files than cores: a file of one row group is read by one task."""
+    n = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(n) if len(rows.inputFiles()) < n else rows
+
+
 def rounded(df: DataFrame, digits: int = 4) -> DataFrame:
     """Doubles to fewer digits than they were computed with, for comparison."""
     return df.select(*[(F.round(c, digits) + 0.0).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
@@ -48,7 +55,7 @@ def sections(spark: SparkSession, d: str) -> DataFrame:
     x = F.lpad(F.col("doc_id").cast("string"), 18, "0")
     half = F.substr("text", F.floor(F.length("text") / 2).cast("int") + 1)
     parts = F.array(F.struct(F.lit("mda").alias("section_name"), F.col("text").alias("raw_text")), F.when(F.col("doc_id") % 3 == 0, F.struct(F.lit("risk_factors").alias("section_name"), half.alias("raw_text"))))
-    rows = read(spark, d, "documents").select(F.concat_ws("-", F.substring(x, 1, 10), F.substring(x, 11, 2), F.substring(x, 13, 6)).alias("filing_id"), F.explode(F.filter(parts, lambda p: p.isNotNull())).alias("p"))
+    rows = spread(read(spark, d, "documents").select("doc_id", "text")).select(F.concat_ws("-", F.substring(x, 1, 10), F.substring(x, 11, 2), F.substring(x, 13, 6)).alias("filing_id"), F.explode(F.filter(parts, lambda p: p.isNotNull())).alias("p"))
     return rows.select("filing_id", "p.section_name", "p.raw_text", word_count(F.col("p.raw_text")).alias("word_count"))
 
 
@@ -75,8 +82,9 @@ TO_SENTIMENT = [FILINGS, SECTIONS, LEXICON_SQL, TOKENS, COUNTS, SENTIMENT]
 
 
 def sentiment(spark: SparkSession, d: str) -> DataFrame:
+    """Stored: all that follows reads these short rows, not the texts."""
     scored = scoring.dictionary_sentiment(scoring.category_counts(sections(spark, d), lexicon(spark)))
-    return scored.select("filing_id", "section_name", F.lit("dictionary").alias("analyzer_name"), "sentiment_score", "confidence")
+    return stored(scored.select("filing_id", "section_name", F.lit("dictionary").alias("analyzer_name"), "sentiment_score", "confidence"), "sentiment")
 
 
 PRIOR = """prior AS (SELECT * FROM (SELECT filing_id, lag(filing_id) OVER (PARTITION BY ticker, form_type ORDER BY filed_date, filing_id) AS prior_filing_id FROM filings) WHERE prior_filing_id IS NOT NULL),
@@ -85,8 +93,9 @@ pairs AS (SELECT s.filing_id, s.section_name, p.prior_filing_id, s.raw_text, q.r
 
 
 def similarity(spark: SparkSession, d: str) -> DataFrame:
+    """Stored, as ``sentiment`` is."""
     pairs = scoring.prior_section_pairs(filings(spark, d), sections(spark, d))
-    return scoring.tfidf_cosine(pairs, STOP).join(pairs.select("filing_id", "section_name", "prior_filing_id"), ["filing_id", "section_name"])
+    return stored(scoring.tfidf_cosine(pairs, STOP, ("filing_id", "section_name", "prior_filing_id")), "similarity")
 
 
 def _terms(column: str) -> str:
@@ -134,7 +143,7 @@ def as_of(spark: SparkSession) -> DataFrame:
 
 
 def built(spark: SparkSession, d: str) -> DataFrame:
-    return signals.build_signals(raw(spark, d), as_of(spark))
+    return signals.build_signals(stored(raw(spark, d), "raw"), as_of(spark))
 
 
 def weights_sql(weight: str) -> str:
@@ -151,7 +160,7 @@ TO_COMPOSITES = [*TO_BUILT, EQUAL]
 
 
 def composites(spark: SparkSession, d: str) -> DataFrame:
-    b = built(spark, d)
+    b = stored(built(spark, d), "built")
     return signals.composite(b, signals.weights_equal(b))
 
 
