@@ -55,10 +55,10 @@ def tidy(c: Column) -> Column:
     """Spaces, line breaks, page numbers and contents lines of text that is not HTML."""
     c = F.regexp_replace(c, "[ \t]+", " ")
     c = F.regexp_replace(c, "\n{3,}", "\n\n")
-    c = F.regexp_replace(c, "(?m)^[^\\S\n]+|[^\\S\n]+$", "")
-    c = F.regexp_replace(c, r"(?im)^\s*table\s+of\s+contents\s*$", "")
-    c = F.regexp_replace(c, r"(?m)^\s*-\s*\d+\s*-\s*$", "")
-    c = F.regexp_replace(c, r"(?im)^\s*page\s+\d+\s+of\s+\d+\s*$", "")
+    c = F.regexp_replace(c, "(?md)^[^\\S\n]+|[^\\S\n]+$", "")
+    c = F.regexp_replace(c, r"(?imd)^\s*table\s+of\s+contents\s*$", "")
+    c = F.regexp_replace(c, r"(?md)^\s*-\s*\d+\s*-\s*$", "")
+    c = F.regexp_replace(c, r"(?imd)^\s*page\s+\d+\s+of\s+\d+\s*$", "")
     return strip(F.translate(c, "\f", "\n"))
 
 

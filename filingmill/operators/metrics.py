@@ -35,25 +35,31 @@ def basic(returns: DataFrame, per_year: int = 12, risk_free: float = 0.0) -> Dat
 
 
 def max_drawdown(returns: DataFrame) -> DataFrame:
-    """(strategy_id, max_drawdown, peak, trough, days): the running maximum starts at the first value, not at 1."""
+    """(strategy_id, max_drawdown, peak, trough, periods): the running maximum starts at the first value, not at 1;
+    ``periods`` counts the rows from peak to trough."""
     w = W.partitionBy(KEY).orderBy("date").rowsBetween(W.unboundedPreceding, 0)
-    c = returns.where("ret is not null").withColumn("c", F.product(1 + F.col("ret")).over(w))
+    known = returns.where("ret is not null")
+    c = known.withColumn("c", F.product(1 + F.col("ret")).over(w)).withColumn("k", F.row_number().over(W.partitionBy(KEY).orderBy("date")))
     d = c.withColumn("top", F.max("c").over(w)).withColumn("dd", F.col("c") / F.col("top") - 1)
-    low = d.groupBy(KEY).agg(F.min_by(F.struct("dd", "date"), F.struct("dd", "date")).alias("low"))
-    peaks = d.join(low, KEY).where((F.col("c") == F.col("top")) & (F.col("date") <= F.col("low.date"))).groupBy(KEY, "low").agg(F.max("date").alias("peak"))
-    return peaks.select(KEY, F.col("low.dd").alias("max_drawdown"), "peak", F.col("low.date").alias("trough"), F.datediff(F.col("low.date"), F.col("peak")).alias("days"))
+    # The last place at its maximum so far goes along with each row, so the lowest row knows its own peak.
+    d = d.withColumn("peak", F.last(F.when(F.col("c") == F.col("top"), F.struct("date", "k")), ignorenulls=True).over(w))
+    low = d.groupBy(KEY).agg(F.min_by(F.struct("dd", "date", "k", "peak"), F.struct("dd", "date")).alias("low"))
+    return low.select(KEY, F.col("low.dd").alias("max_drawdown"), F.col("low.peak.date").alias("peak"), F.col("low.date").alias("trough"), (F.col("low.k") - F.col("low.peak.k")).alias("periods"))
 
 
 def information_coefficients(signals: DataFrame, returns: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
     """(keys, signal_date, ic, n): rank correlation of scores with the return up to the next signal date.
 
-    ``signals`` (keys, ticker, signal_date, composite_score), ``returns`` (ticker, date, ret)."""
+    ``signals`` (keys, ticker, signal_date, composite_score), ``returns`` (ticker, date, ret). A date belongs to one
+    span of a key, so dates are put to spans first and returns meet signals by equal keys, each once."""
     keys = list(keys)
     days = signals.select(*keys, "signal_date").distinct()
-    w = W.partitionBy(*keys).orderBy("signal_date") if keys else W.orderBy("signal_date")  # one row per date
+    w = W.partitionBy(*keys).orderBy("signal_date")  # one row per date
     spans = days.withColumn("next", F.lead("signal_date").over(w)).where("next is not null")
-    held = signals.join(spans, [*keys, "signal_date"])
-    joined = held.join(returns.where("ret is not null"), "ticker").where((F.col("date") > F.col("signal_date")) & (F.col("date") <= F.col("next")))
+    known = returns.where("ret is not null")
+    inside = (F.col("date") > F.col("signal_date")) & (F.col("date") <= F.col("next"))
+    dated = known.select("date").distinct().join(spans, inside).select(*keys, "signal_date", "date")
+    joined = known.join(dated, "date").join(signals.select(*keys, "signal_date", "ticker", "composite_score"), [*keys, "signal_date", "ticker"])
     forward = joined.groupBy(*keys, "signal_date", "ticker", "composite_score").agg(compound(F.col("ret")).alias("forward"))
     group = [*keys, "signal_date"]
 
@@ -114,7 +120,19 @@ def factor_regression(aligned: DataFrame) -> DataFrame:
     return rows.select(KEY, "n", solve("n", "m").alias("f")).select(KEY, "n", "f.*")
 
 
-def compute_all(returns: DataFrame, per_year: int = 12, risk_free: float = 0.0) -> DataFrame:
-    """All metrics of a series in one row per strategy."""
+def compute_all(returns: DataFrame, per_year: int = 12, risk_free: float = 0.0, ics: DataFrame | None = None, factors: DataFrame | None = None) -> DataFrame:
+    """All metrics of a series in one row per strategy.
+
+    ``ics`` is one row of ``ic_summary`` (or one per strategy), ``factors`` (date, factors); what is not given, or cannot be computed, is null."""
     total = returns.groupBy(KEY).agg(compound(F.col("ret")).alias("total_return"))
-    return basic(returns, per_year, risk_free).join(max_drawdown(returns), KEY, "left").join(total, KEY).withColumn("max_drawdown", F.coalesce("max_drawdown", F.lit(0.0)))
+    out = basic(returns, per_year, risk_free).join(max_drawdown(returns), KEY, "left").join(total, KEY).withColumn("max_drawdown", F.coalesce("max_drawdown", F.lit(0.0)))
+    if ics is None:
+        ics = returns.sparkSession.createDataFrame([], "mean_ic double, t_stat double, icir double")
+    key = [KEY] if KEY in ics.columns else []
+    ics = ics.select(*key, F.col("mean_ic").alias("information_coefficient"), F.col("t_stat").alias("ic_t_stat"), F.col("icir").alias("information_ratio"))
+    out = out.join(ics, KEY, "left") if key else out.join(ics, F.lit(True), "left")  # one row at most
+    if factors is None:
+        none = F.lit(None).cast("double")
+        return out.select("*", none.alias("alpha"), none.alias("alpha_t"), F.lit(None).cast("array<double>").alias("loadings"))
+    fitted = factor_regression(align_factors(returns, factors)).select(KEY, "alpha", "alpha_t", "loadings")
+    return out.join(fitted, KEY, "left")

@@ -1,21 +1,45 @@
 """Rebalance dates, quantile portfolios, turnover, period returns and equity curves.
 
-Everything is keyed by ``rebalance_date`` (and ``strategy_id`` where a sweep of strategies runs in one job);
-windows that follow time run over one row per period or day, never over positions or prices.
+Everything is keyed by ``rebalance_date``, and by ``strategy_id`` too where positions have that column, so that a
+sweep of strategies (``sweep_positions``) runs through the same functions as one job. Windows that follow time
+run over one row per strategy and period or day, never over positions or prices. Tables of dates and periods
+are joined without hints: Spark broadcasts what it measures to be small.
 """
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from filingmill.sources.store import stored
+
+from . import metrics
 from .returns import compound, date_to_period, period_returns_by_ticker
+from .signals import day_array
 
 START_VALUE = 10_000.0
+KEY = "strategy_id"
+
+
+@dataclass(frozen=True)
+class Strategy:
+    """One parameter set of a sweep."""
 
+    strategy_id: str
+    quantiles: int = 5
+    long_quantile: int = 1
+    short_quantile: int | None = None
+    cost_bps: float = 10.0
 
-def check_params(start, end, universe: list, quantiles: int, long_quantile: int, short_quantile: int | None, half_life: int = 90) -> None:
+
+def _keys(rows: DataFrame) -> list[str]:
+    return [KEY] if KEY in rows.columns else []
+
+
+def check_params(start, end, universe: list, quantiles: int, long_quantile: int, short_quantile: int | None, half_life: int = 90, weighting: str = "equal", weights: dict | None = None) -> None:
     """Raises ValueError for parameters that no job can run with."""
     if not start < end:
         raise ValueError("start must be before end")
@@ -26,6 +50,8 @@ def check_params(start, end, universe: list, quantiles: int, long_quantile: int,
             raise ValueError(f"quantile {q} is not in 1..{quantiles}")
     if half_life < 1:
         raise ValueError("half_life must be at least 1")
+    if weighting == "custom" and not weights:
+        raise ValueError("custom weights are empty")
 
 
 def rebalance_dates(spark: SparkSession, start: str, end: str, frequency: str = "quarterly") -> DataFrame:
@@ -46,8 +72,8 @@ def holding_periods(days: DataFrame, end: str) -> DataFrame:
 
 def universe_on_date(days: DataFrame, universe: DataFrame) -> DataFrame:
     """(rebalance_date, ticker) of members, interval ends inclusive."""
-    inside = (F.col("start_date") <= F.col("rebalance_date")) & (F.col("end_date").isNull() | (F.col("end_date") >= F.col("rebalance_date")))
-    return universe.join(F.broadcast(days), inside).select("rebalance_date", "ticker").distinct()
+    inside = lambda d: (d >= F.col("start_date")) & (F.col("end_date").isNull() | (d <= F.col("end_date")))
+    return universe.select(F.explode(F.filter(day_array(days, "rebalance_date"), inside)).alias("rebalance_date"), "ticker").distinct()
 
 
 def latest_signal_as_of(days: DataFrame, composites: DataFrame) -> DataFrame:
@@ -55,9 +81,9 @@ def latest_signal_as_of(days: DataFrame, composites: DataFrame) -> DataFrame:
 
     Each composite holds from its date until the ticker's next, so it is put to the dates of that interval only."""
     until = F.lead("signal_date").over(W.partitionBy("ticker").orderBy("signal_date"))
-    ranges = composites.withColumn("until", until)
-    holds = (F.col("signal_date") <= F.col("rebalance_date")) & (F.col("until").isNull() | (F.col("until") > F.col("rebalance_date")))
-    return ranges.join(F.broadcast(days), holds).select("rebalance_date", "ticker", "signal_date", "composite_score")
+    holds = lambda d: (d >= F.col("signal_date")) & (F.col("until").isNull() | (d < F.col("until")))
+    ranges = composites.select("ticker", "signal_date", "composite_score").withColumn("until", until)
+    return ranges.select(F.explode(F.filter(day_array(days, "rebalance_date"), holds)).alias("rebalance_date"), "ticker", "signal_date", "composite_score")
 
 
 def filter_to_universe(signals: DataFrame, members: DataFrame) -> DataFrame:
@@ -72,7 +98,27 @@ def quantile_buckets(scores: DataFrame, quantiles: int = 5, pandas_edges: bool =
     edges = scores.groupBy("rebalance_date").agg(F.percentile("composite_score", F.array(*map(F.lit, steps))).alias("edges"), F.count("*").alias("n"))
     fit = edges.where((F.col("n") >= quantiles) & (F.size(F.array_distinct("edges")) == quantiles + 1)).drop("n")
     below = F.size(F.filter("edges", lambda e: e < F.col("composite_score")))
-    return scores.join(F.broadcast(fit), "rebalance_date").withColumn("quantile", quantiles - F.greatest(below, F.lit(1)) + 1).drop("edges")
+    return scores.join(fit, "rebalance_date").withColumn("quantile", quantiles - F.greatest(below, F.lit(1)) + 1).drop("edges")
+
+
+def _legs(strategies: list[Strategy]) -> list[tuple[str, int, float]]:
+    return [(s.strategy_id, q, sign) for s in strategies for q, sign in ((s.long_quantile, 1.0), (s.short_quantile, -1.0)) if q is not None and (sign > 0 or q != s.long_quantile)]
+
+
+def sweep_positions(scores: DataFrame, strategies: list[Strategy]) -> DataFrame:
+    """Positions (strategy_id, rebalance_date, ticker, weight, quantile, signal_score) of all strategies.
+
+    Scores are cut into buckets once per number of quantiles; a bucket is then put to the strategies that hold it."""
+    if len({s.strategy_id for s in strategies}) < len(strategies) or not strategies:
+        raise ValueError("strategies need different names")
+    found = None
+    for n in sorted({s.quantiles for s in strategies}):
+        legs = scores.sparkSession.createDataFrame(_legs([s for s in strategies if s.quantiles == n]), f"{KEY} string, quantile int, sign double")
+        size = F.count("*").over(W.partitionBy("rebalance_date", "quantile"))
+        held = quantile_buckets(scores, n).withColumn("size", size).join(legs, "quantile")
+        held = held.select(KEY, "rebalance_date", "ticker", (F.col("sign") / F.col("size")).alias("weight"), "quantile", F.col("composite_score").alias("signal_score"))
+        found = held if found is None else found.unionByName(held)
+    return found
 
 
 def leg_weights(buckets: DataFrame, long_quantile: int = 1, short_quantile: int | None = None) -> DataFrame:
@@ -84,39 +130,47 @@ def leg_weights(buckets: DataFrame, long_quantile: int = 1, short_quantile: int
 
 
 def prev_snapshot(positions: DataFrame) -> DataFrame:
-    """(k, rebalance_date, ticker, weight, before): weights beside those of the previous built snapshot."""
-    built = positions.select("rebalance_date").distinct()
-    k = built.withColumn("k", F.row_number().over(W.orderBy("rebalance_date")))  # one row per date
-    now = positions.join(F.broadcast(k), "rebalance_date").select("k", "ticker", "weight")
-    last = now.select((F.col("k") + 1).alias("k"), "ticker", F.col("weight").alias("before"))
-    both = now.join(last, ["k", "ticker"], "full").na.fill(0.0, ["weight", "before"])
-    return both.join(F.broadcast(k), "k")
+    """([strategy_id,] k, rebalance_date, ticker, weight, before): weights beside those of the previous built snapshot."""
+    key = _keys(positions)
+    built = positions.select(*key, "rebalance_date").distinct()
+    k = built.withColumn("k", F.row_number().over(W.partitionBy(*key).orderBy("rebalance_date")))  # one row per date
+    now = positions.join(k, [*key, "rebalance_date"]).select(*key, "k", "ticker", "weight")
+    last = now.select(*key, (F.col("k") + 1).alias("k"), "ticker", F.col("weight").alias("before"))
+    both = now.join(last, [*key, "k", "ticker"], "full").na.fill(0.0, ["weight", "before"])
+    return both.join(k, [*key, "k"])
 
 
-def turnover(positions: DataFrame, cost_bps: float = 10.0) -> DataFrame:
-    """(rebalance_date, turnover, cost): half the absolute change of target weights; 1 at first."""
-    t = prev_snapshot(positions).groupBy("k", "rebalance_date").agg((F.sum(F.abs(F.col("weight") - F.col("before"))) / 2).alias("t"))
-    t = t.select("rebalance_date", F.when(F.col("k") == 1, 1.0).otherwise(F.col("t")).alias("turnover"))
-    return t.withColumn("cost", F.col("turnover") * cost_bps / 10_000)
+def turnover(positions: DataFrame, cost_bps: float | dict[str, float] = 10.0) -> DataFrame:
+    """([strategy_id,] rebalance_date, turnover, cost): half the absolute change of target weights; 1 at first.
+
+    ``cost_bps`` is one number, or one per strategy."""
+    key = _keys(positions)
+    t = prev_snapshot(positions).groupBy(*key, "k", "rebalance_date").agg((F.sum(F.abs(F.col("weight") - F.col("before"))) / 2).alias("t"))
+    t = t.select(*key, "rebalance_date", F.when(F.col("k") == 1, 1.0).otherwise(F.col("t")).alias("turnover"))
+    if not isinstance(cost_bps, dict):
+        return t.withColumn("cost", F.col("turnover") * cost_bps / 10_000)
+    bps = positions.sparkSession.createDataFrame([(k, float(v)) for k, v in cost_bps.items()], f"{KEY} string, bps double")
+    return t.join(bps, KEY).withColumn("cost", F.col("turnover") * F.col("bps") / 10_000).drop("bps")
 
 
 def positions_with_returns(positions: DataFrame, returns: DataFrame, periods: DataFrame) -> DataFrame:
     """Positions with their return over the holding period; a ticker without data earns 0."""
     held = period_returns_by_ticker(returns, periods).select(F.col("period_start").alias("rebalance_date"), "ticker", "ret")
-    dated = positions.join(F.broadcast(periods.withColumnRenamed("period_start", "rebalance_date")), "rebalance_date")
+    dated = positions.join(periods.withColumnRenamed("period_start", "rebalance_date"), "rebalance_date")
     return dated.join(held, ["rebalance_date", "ticker"], "left").na.fill(0.0, ["ret"])
 
 
 def portfolio_returns(placed: DataFrame, costs: DataFrame) -> DataFrame:
     """Per period gross, net and leg returns; long_short is the net return where a short leg is held."""
+    key = _keys(placed)
     w, r = F.col("weight"), F.col("ret")
-    legs = placed.groupBy(F.col("rebalance_date").alias("period_start"), "period_end").agg(
+    legs = placed.groupBy(*key, F.col("rebalance_date").alias("period_start"), "period_end").agg(
         F.sum(w * r).alias("gross"), F.sum(F.when(w > 0, w * r).otherwise(0.0)).alias("long_return"),
         F.sum(F.when(w < 0, -w * r).otherwise(0.0)).alias("short_leg"), F.max(w < 0).alias("short"),
     )
-    net = legs.join(costs.withColumnRenamed("rebalance_date", "period_start"), "period_start").withColumn("net", F.col("gross") - F.col("cost"))
+    net = legs.join(costs.withColumnRenamed("rebalance_date", "period_start"), [*key, "period_start"]).withColumn("net", F.col("gross") - F.col("cost"))
     return net.select(
-        "period_start", "period_end", "gross", "net", "turnover", "cost", "long_return", F.when(F.col("short"), F.col("short_leg")).alias("short_return"),
+        *key, "period_start", "period_end", "gross", "net", "turnover", "cost", "long_return", F.when(F.col("short"), F.col("short_leg")).alias("short_return"),
         F.when(F.col("short"), F.col("net")).alias("long_short_return"),
     )
 
@@ -127,36 +181,77 @@ def benchmark_equal_weight(returns: DataFrame) -> DataFrame:
 
 
 def equity_curve(positions: DataFrame, periods: DataFrame, returns: DataFrame, market: DataFrame, start_value: float = START_VALUE) -> DataFrame:
-    """Daily values: portfolio at target weights without cost, equal-weight universe, market (date, ret)."""
-    days = date_to_period(returns, periods.join(positions.select(F.col("rebalance_date").alias("period_start")).distinct(), "period_start", "left_semi"))
-    dated = returns.join(F.broadcast(days), "date")
-    own = dated.withColumnRenamed("period_start", "rebalance_date").join(positions.select("rebalance_date", "ticker", "weight"), ["rebalance_date", "ticker"])
-    own = own.groupBy("date").agg(F.sum(F.col("weight") * F.coalesce("ret", F.lit(0.0))).alias("own"))
-    daily = days.select("date").join(own, "date", "left").join(benchmark_equal_weight(returns), "date", "left").join(market.select("date", F.col("ret").alias("spy")), "date", "left")
-    w = W.orderBy("date").rowsBetween(W.unboundedPreceding, 0)  # one row per day
+    """Daily values: portfolio at target weights without cost, equal-weight universe, market (date, ret).
+
+    On a day without market data ``spy_value`` is null; its product goes on at the next."""
+    key = _keys(positions)
+    built = positions.select(*key, F.col("rebalance_date").alias("period_start")).distinct()
+    days = date_to_period(returns, periods).join(built, "period_start")
+    dated = returns.join(date_to_period(returns, periods), "date").withColumnRenamed("period_start", "rebalance_date")
+    own = dated.join(positions.select(*key, "rebalance_date", "ticker", "weight"), ["rebalance_date", "ticker"])
+    own = own.groupBy(*key, "date").agg(F.sum(F.col("weight") * F.coalesce("ret", F.lit(0.0))).alias("own"))
+    shared = days.select(*key, "date").join(own, [*key, "date"], "left").join(benchmark_equal_weight(returns), "date", "left")
+    daily = shared.join(market.select("date", F.col("ret").alias("spy")), "date", "left")
+    w = W.partitionBy(*key).orderBy("date").rowsBetween(W.unboundedPreceding, 0)  # one row per day
     value = lambda c: F.round(start_value * F.product(1 + F.coalesce(F.col(c), F.lit(0.0))).over(w), 4)
-    return daily.select("date", value("own").alias("portfolio_value"), value("spy").alias("spy_value"), value("ew").alias("ew_value"))
+    return daily.select(*key, "date", value("own").alias("portfolio_value"), F.when(F.col("spy").isNotNull(), value("spy")).alias("spy_value"), value("ew").alias("ew_value"))
 
 
 def total_and_annualized(periods: DataFrame, per_year: int = 4) -> DataFrame:
     """total and annualized return of the net returns; none gives 0."""
-    a = periods.agg(compound(F.col("net")).alias("total_return"), F.count("*").alias("n"))
-    return a.select("total_return", F.when(F.col("n") == 0, 0.0).otherwise(F.pow(1 + F.col("total_return"), F.lit(float(per_year)) / F.col("n")) - 1).alias("annualized_return"), "n")
+    key = _keys(periods)
+    a = periods.groupBy(*key).agg(compound(F.col("net")).alias("total_return"), F.count("*").alias("n"))
+    return a.select(*key, "total_return", F.when(F.col("n") == 0, 0.0).otherwise(F.pow(1 + F.col("total_return"), F.lit(float(per_year)) / F.col("n")) - 1).alias("annualized_return"), "n")
 
 
 def portfolio_history(period_rows: DataFrame, positions: DataFrame, start_value: float = START_VALUE) -> DataFrame:
     """Per snapshot the value before it, turnover, cost and counts of legs."""
-    w = W.orderBy("period_start").rowsBetween(W.unboundedPreceding, -1)  # one row per period
+    key = _keys(period_rows)
+    w = W.partitionBy(*key).orderBy("period_start").rowsBetween(W.unboundedPreceding, -1)  # one row per period
     value = F.round(start_value * F.coalesce(F.product(1 + F.col("net")).over(w), F.lit(1.0)), 4)
-    legs = positions.groupBy(F.col("rebalance_date").alias("period_start")).agg(F.count_if(F.col("weight") > 0).alias("n_long"), F.count_if(F.col("weight") < 0).alias("n_short"))
-    return period_rows.select("period_start", value.alias("value_before"), "turnover", "cost").join(legs, "period_start")
+    legs = positions.groupBy(*key, F.col("rebalance_date").alias("period_start")).agg(F.count_if(F.col("weight") > 0).alias("n_long"), F.count_if(F.col("weight") < 0).alias("n_short"))
+    return period_rows.select(*key, "period_start", value.alias("value_before"), "turnover", "cost").join(legs, [*key, "period_start"])
+
+
+def position_values(history: DataFrame, positions: DataFrame) -> DataFrame:
+    """Positions with leg and dollar_value, the snapshot's value before it times the absolute weight."""
+    key = _keys(positions)
+    values = history.select(*key, F.col("period_start").alias("rebalance_date"), "value_before")
+    leg = F.when(F.col("weight") >= 0, "long").otherwise("short")
+    valued = positions.join(values, [*key, "rebalance_date"]).withColumns({"leg": leg, "dollar_value": F.round(F.col("value_before") * F.abs("weight"), 2)})
+    return valued.drop("value_before")
+
+
+def _evaluated(positions: DataFrame, periods: DataFrame, composites, returns, market, per_year: int, cost_bps, factors) -> dict[str, DataFrame]:
+    """Everything that follows from stored positions."""
+    if positions.isEmpty():
+        raise ValueError("no rebalance date gave a portfolio")
+    key = _keys(positions)
+    rows = stored(portfolio_returns(positions_with_returns(positions, returns, periods), turnover(positions, cost_bps)), "period_returns")
+    series = rows.select(*([KEY] if key else [F.lit("portfolio").alias(KEY)]), F.col("period_end").alias("date"), F.col("net").alias("ret"), "turnover", "cost")
+    ics = metrics.ic_summary(metrics.information_coefficients(composites, returns))
+    costs = series.groupBy(KEY).agg(F.avg("turnover").alias("average_turnover"), F.sum("cost").alias("total_cost"))
+    numbers = metrics.compute_all(series.drop("turnover", "cost"), per_year, ics=ics, factors=factors).join(costs, KEY)
+    annual = F.pow(1 + F.col("total_return"), F.lit(float(per_year)) / F.col("n")) - 1
+    history = portfolio_history(rows, positions)
+    return {
+        "positions": positions, "period_returns": rows, "equity_curve": equity_curve(positions, periods, returns, market), "history": history,
+        "position_values": position_values(history, positions), "metrics": numbers.withColumn("annualized_return", annual),
+    }
+
+
+def run_backtest(composites: DataFrame, universe: DataFrame, returns: DataFrame, market: DataFrame, start: str, end: str, frequency: str = "quarterly", quantiles: int = 5, long_quantile: int = 1, short_quantile: int | None = None, cost_bps: float = 10.0, factors: DataFrame | None = None) -> dict[str, DataFrame]:
+    """positions, period_returns, equity_curve, history, position_values and metrics of one strategy; ValueError if no date gives a portfolio."""
+    days = rebalance_dates(composites.sparkSession, start, end, frequency)
+    known = filter_to_universe(latest_signal_as_of(days, composites), universe_on_date(days, universe))
+    positions = stored(leg_weights(quantile_buckets(known, quantiles), long_quantile, short_quantile), "positions")
+    return _evaluated(positions, holding_periods(days, end), composites, returns, market, 4 if frequency == "quarterly" else 12, cost_bps, factors)
 
 
-def run_backtest(composites: DataFrame, universe: DataFrame, returns: DataFrame, market: DataFrame, start: str, end: str, frequency: str = "quarterly", quantiles: int = 5, long_quantile: int = 1, short_quantile: int | None = None, cost_bps: float = 10.0) -> dict[str, DataFrame]:
-    """positions, period_returns and equity_curve of one strategy."""
+def run_sweep(composites: DataFrame, universe: DataFrame, returns: DataFrame, market: DataFrame, start: str, end: str, strategies: list[Strategy], frequency: str = "quarterly", factors: DataFrame | None = None) -> dict[str, DataFrame]:
+    """What ``run_backtest`` gives, of all strategies in one job, keyed by ``strategy_id``."""
     days = rebalance_dates(composites.sparkSession, start, end, frequency)
-    periods = holding_periods(days, end)
-    known = filter_to_universe(latest_signal_as_of(days, composites), universe_on_date(days, universe))
-    positions = leg_weights(quantile_buckets(known, quantiles), long_quantile, short_quantile)
-    rows = portfolio_returns(positions_with_returns(positions, returns, periods), turnover(positions, cost_bps))
-    return {"positions": positions, "period_returns": rows, "equity_curve": equity_curve(positions, periods, returns, market)}
+    known = stored(filter_to_universe(latest_signal_as_of(days, composites), universe_on_date(days, universe)), "known")
+    positions = stored(sweep_positions(known, strategies), "positions")
+    costs = {s.strategy_id: s.cost_bps for s in strategies}
+    return _evaluated(positions, holding_periods(days, end), composites, returns, market, 4 if frequency == "quarterly" else 12, costs, factors)

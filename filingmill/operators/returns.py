@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+
 def compound(r: Column) -> Column:
     """Product of 1 + r, less 1; nulls are skipped, nothing gives 0."""
     return F.coalesce(F.product(1 + r), F.lit(1.0)) - 1
@@ -60,13 +61,13 @@ def compound_to_monthly(daily: DataFrame) -> DataFrame:
 
 
 def date_to_period(days: DataFrame, periods: DataFrame) -> DataFrame:
-    """Each date with its period, start < date <= end. ``periods`` are parameter rows; dates are distinct first."""
-    return days.select("date").distinct().join(F.broadcast(periods), (F.col("date") > F.col("period_start")) & (F.col("date") <= F.col("period_end")))
+    """Each date with its period, start < date <= end; dates are distinct first, so both sides have a row per date or period."""
+    return days.select("date").distinct().join(periods, (F.col("date") > F.col("period_start")) & (F.col("date") <= F.col("period_end")))
 
 
 def period_returns_by_ticker(returns: DataFrame, periods: DataFrame) -> DataFrame:
     """(ticker, period_start, period_end, ret): compounded over the period; dates meet periods once, then an equi-join."""
-    dated = returns.join(F.broadcast(date_to_period(returns, periods)), "date")
+    dated = returns.join(date_to_period(returns, periods), "date")
     return dated.groupBy("ticker", "period_start", "period_end").agg(compound(F.col("ret")).alias("ret"))
 
 

@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from filingmill.functions.text import strip, tokenize_upper
 from filingmill.schemas import CATEGORIES
+from filingmill.sources.store import small_batches
 
 SECTION_KEY = ("filing_id", "section_name")
 #: Inverse document frequency of a term that one of two texts has; one that both have counts 1.
@@ -103,6 +104,7 @@ def tfidf_cosine(pairs: DataFrame, stop: list[str], key: tuple[str, ...] = SECTI
     The terms of a pair are counted where its row is, in an Arrow helper, so no term is ever a row: exploding
     them and counting by key and term took ten times as long. Pairs without any term are dropped, as are blank texts."""
     known = frozenset(stop)
+    small_batches(pairs.sparkSession)
 
     def run(raw: pa.Array, prior: pa.Array) -> pa.Array:
         rows = zip(raw.to_pylist(), prior.to_pylist(), strict=True)

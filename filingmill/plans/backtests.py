@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from filingmill.operators import metrics, portfolio, returns
+from filingmill.sources.store import stored
 
 from . import standin as S
 from .registry import query
@@ -202,21 +203,52 @@ def _(spark, d):
     return rounded(portfolio.benchmark_equal_weight(daily(spark, d)))
 
 
-@query("equity_curve", with_(S.PRICES, _DAILY, *_TO_LEGS, _CURVE) + """SELECT date, CAST(sign(product(1 + own) OVER w) AS DOUBLE) AS side, round(ln(abs(10000 * product(1 + own) OVER w)), 3) AS ln_portfolio, round(ln(10000 * product(1 + ew) OVER w), 3) AS ln_ew, round(ln(10000 * product(1 + ew) OVER w), 3) AS ln_spy
-  FROM line WINDOW w AS (ORDER BY date ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)""")
+_MARKET = "market AS (SELECT date, avg(ret) * 0.1 AS spy FROM daily WHERE dayofmonth(date) % 7 <> 3 GROUP BY ALL)"
+
+
+def market(spark, d):
+    """A tenth of the universe's mean, without data on some days."""
+    mean = portfolio.benchmark_equal_weight(daily(spark, d))
+    return mean.where(F.dayofmonth("date") % 7 != 3).select("date", (F.col("ew") * 0.1).alias("ret"))
+
+
+def _digits(c, n=6):
+    """A number to n significant digits, which is what sums in another order leave alike."""
+    return F.when(F.abs(c) == float("inf"), None).when(c == 0, 0.0).otherwise(F.round(c / F.pow(F.lit(10.0), F.floor(F.log10(F.abs(c)))), n - 1) + 0.0)
+
+
+def _digits_sql(c, n=6):
+    return f"CASE WHEN {c} IS NULL OR isinf({c}) THEN NULL WHEN {c} = 0 THEN 0.0 ELSE round({c} / pow(10.0, floor(log10(abs({c})))), {n - 1}) + 0.0 END"
+
+
+@query("equity_curve", with_(S.PRICES, _DAILY, *_TO_LEGS, _CURVE, _MARKET) + f"""SELECT date, {_digits_sql("p", 3)} AS portfolio_value, {_digits_sql("e", 4)} AS ew_value, {_digits_sql("m", 5)} AS spy_value FROM (
+  SELECT date, round(10000 * product(1 + own) OVER w, 4) AS p, round(10000 * product(1 + ew) OVER w, 4) AS e, CASE WHEN spy IS NOT NULL THEN round(10000 * product(1 + coalesce(spy, 0)) OVER w, 4) END AS m
+  FROM line LEFT JOIN market USING (date) WINDOW w AS (ORDER BY date ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))""")
 def _(spark, d):
-    r = daily(spark, d)
-    curve = portfolio.equity_curve(positions(spark, d), periods(spark), r, portfolio.benchmark_equal_weight(r).withColumnRenamed("ew", "ret"))
-    ln = lambda c: F.round(F.log(F.abs(c)), 3)
-    return curve.select("date", F.signum("portfolio_value").alias("side"), ln("portfolio_value").alias("ln_portfolio"), ln("ew_value").alias("ln_ew"), ln("spy_value").alias("ln_spy"))
+    curve = portfolio.equity_curve(positions(spark, d), periods(spark), daily(spark, d), market(spark, d))
+    shown = {"portfolio_value": 3, "ew_value": 4, "spy_value": 5}
+    return curve.select("date", *[_digits(F.col(c), n).alias(c) for c, n in shown.items()])
+
 
+_OWN_METRICS = """measured AS (SELECT avg(net) AS mean, stddev_samp(net) AS std, count(*) AS n, avg(turnover) AS average_turnover, sum(cost) AS total_cost, product(1 + net) - 1 AS total_return,
+  avg(CASE WHEN net > 0 THEN 1.0 ELSE 0.0 END) AS win_rate FROM net)"""
+_RUN = """SELECT n, round(mean / std * 2, 4) + 0.0 AS sharpe, round(win_rate, 4) AS win_rate, round(average_turnover, 6) AS average_turnover, round(total_cost, 6) AS total_cost, round(total_return, 4) + 0.0 AS total_return,
+  round(pow(1 + total_return, 4 / n) - 1, 4) + 0.0 AS annualized_return FROM measured"""
+_RUN_COLUMNS = {"sharpe": 4, "win_rate": 4, "average_turnover": 6, "total_cost": 6, "total_return": 4, "annualized_return": 4}
 
-@query("run_backtest", with_(*_TO_NET) + "SELECT period_start, period_end, round(net, 4) + 0.0 AS net, round(turnover, 6) AS turnover FROM net")
+
+@query("run_backtest", with_(*_TO_NET, _OWN_METRICS) + _RUN)
 def _(spark, d):
-    r = monthly(spark, d)
-    out = portfolio.run_backtest(S.scores(spark, d), S.universe(spark, d), r, portfolio.benchmark_equal_weight(r).withColumnRenamed("ew", "ret"), START, END, short_quantile=5)
-    rows = out["period_returns"].select("period_start", "period_end", "net", "turnover")
-    return rows.withColumns({"net": F.round("net", 4) + 0.0, "turnover": F.round("turnover", 6)})
+    r = stored(monthly(spark, d), "monthly")
+    out = portfolio.run_backtest(S.scores(spark, d), S.universe(spark, d), r, market(spark, d), START, END, short_quantile=5)
+    return out["metrics"].select("n", *[(F.round(c, n) + 0.0).alias(c) for c, n in _RUN_COLUMNS.items()])
+
+
+@query("position_values", with_(*_TO_NET) + """SELECT rebalance_date, ticker, CASE WHEN weight >= 0 THEN 'long' ELSE 'short' END AS leg, round(v * abs(weight), 0) + 0.0 AS dollar_value FROM positions JOIN (
+  SELECT period_start AS rebalance_date, round(10000 * coalesce(product(1 + net) OVER (ORDER BY period_start ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 1), 4) AS v FROM net) USING (rebalance_date)""")
+def _(spark, d):
+    held, rows = positions(spark, d), net(spark, d)
+    return portfolio.position_values(portfolio.portfolio_history(rows, held), held).select("rebalance_date", "ticker", "leg", (F.round("dollar_value", 0) + 0.0).alias("dollar_value"))
 
 
 # ---------------------------------------------------------------- metrics, one strategy per ticker
@@ -253,19 +285,14 @@ def _(spark, d):
 
 
 _DRAWDOWN = """grown AS (SELECT strategy_id, date, product(1 + ret) OVER (PARTITION BY strategy_id ORDER BY date ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS c FROM strategies),
-topped AS (SELECT *, max(c) OVER (PARTITION BY strategy_id ORDER BY date ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS top FROM grown),
-low AS (SELECT strategy_id, min(c / top - 1) AS dd, arg_min(date, c / top - 1) AS trough FROM topped GROUP BY ALL),
-draw AS (SELECT strategy_id, round(dd, 4) + 0.0 AS max_drawdown, max(date) AS peak, trough, date_diff('day', max(date), trough) AS days FROM topped JOIN low USING (strategy_id) WHERE c = top AND date <= trough GROUP BY strategy_id, dd, trough)"""
+topped AS (SELECT *, row_number() OVER (PARTITION BY strategy_id ORDER BY date) AS k, max(c) OVER (PARTITION BY strategy_id ORDER BY date ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS top FROM grown),
+low AS (SELECT strategy_id, min(c / top - 1) AS dd, arg_min(date, c / top - 1) AS trough, arg_min(k, c / top - 1) AS k_low FROM topped GROUP BY ALL),
+draw AS (SELECT strategy_id, round(dd, 4) + 0.0 AS max_drawdown, max(date) AS peak, trough, max(k_low) - max(k) AS periods FROM topped JOIN low USING (strategy_id) WHERE c = top AND date <= trough GROUP BY strategy_id, dd, trough)"""
 
 
-@query("max_drawdown", with_(S.PRICES, _MONTHS, _STRATEGIES, _DRAWDOWN) + "SELECT strategy_id, max_drawdown, peak, trough, days FROM draw")
+@query("max_drawdown", with_(S.PRICES, _MONTHS, _STRATEGIES, _DRAWDOWN) + "SELECT strategy_id, max_drawdown, peak, trough, periods FROM draw")
 def _(spark, d):
-    return rounded(metrics.max_drawdown(strategies(spark, d)).withColumn("days", F.col("days").cast("long")))
-
-
-@query("compute_all", with_(S.PRICES, _MONTHS, _STRATEGIES, _DRAWDOWN) + f"SELECT b.*, max_drawdown, peak, trough, days, total_return FROM ({_BASIC}) b LEFT JOIN draw USING (strategy_id) JOIN (SELECT strategy_id, round(product(1 + ret) - 1, 4) + 0.0 AS total_return FROM strategies GROUP BY ALL) USING (strategy_id)")
-def _(spark, d):
-    return rounded(metrics.compute_all(strategies(spark, d)).withColumn("days", F.col("days").cast("long")))
+    return rounded(metrics.max_drawdown(strategies(spark, d)).withColumn("periods", F.col("periods").cast("long")))
 
 
 def _ic_sql(keys: str, source: str) -> str:
@@ -324,12 +351,59 @@ def _(spark, d):
     return rounded(a.groupBy("strategy_id").agg(F.count("*").alias("n"), F.sum(F.col("ret") * F.col("`Mkt-RF`")).alias("s")))
 
 
-@query("factor_regression")
+# Loadings by taking the columns apart one after the other; the constant comes last, so it gives alpha and its error.
+_REGRESSION = """base AS (SELECT strategy_id, ret - 0.001 AS y, a, b, c, 1.0 AS k FROM aligned),
+s1 AS (SELECT strategy_id, count(*) AS n, sum(a * a) AS aa, sum(a * b) AS ab, sum(a * c) AS ac, sum(a) AS ak, sum(y) AS sy, sum(y * y) AS yy FROM base GROUP BY ALL HAVING count(*) >= 12),
+b1 AS (SELECT *, b - ab / aa * a AS q2, c - ac / aa * a AS c1, k - ak / aa * a AS k1 FROM base JOIN s1 USING (strategy_id)),
+s2 AS (SELECT strategy_id, sum(q2 * q2) AS bb, sum(q2 * c1) AS bc, sum(q2 * k1) AS bk FROM b1 GROUP BY ALL),
+b2 AS (SELECT *, c1 - bc / bb * q2 AS q3, k1 - bk / bb * q2 AS k2 FROM b1 JOIN s2 USING (strategy_id)),
+s3 AS (SELECT strategy_id, sum(q3 * q3) AS cc, sum(q3 * k2) AS ck FROM b2 GROUP BY ALL),
+b3 AS (SELECT *, k2 - ck / cc * q3 AS q4 FROM b2 JOIN s3 USING (strategy_id)),
+s4 AS (SELECT strategy_id, any_value(n) AS n, any_value(yy) - any_value(sy) * any_value(sy) / any_value(n) AS tss, any_value(yy) AS yy, sum(y * a) / any_value(aa) AS g1, sum(y * q2) / any_value(bb) AS g2, sum(y * q3) / any_value(cc) AS g3, sum(y * q4) / sum(q4 * q4) AS alpha,
+  sum(q4 * q4) AS kk, any_value(aa) AS aa, any_value(ab) AS ab, any_value(ac) AS ac, any_value(ak) AS ak, any_value(bb) AS bb, any_value(bc) AS bc, any_value(bk) AS bk, any_value(cc) AS cc, any_value(ck) AS ck FROM b3 GROUP BY ALL),
+s5 AS (SELECT *, g3 - alpha * ck / cc AS lc, yy - g1 * g1 * aa - g2 * g2 * bb - g3 * g3 * cc - alpha * alpha * kk AS rss FROM s4),
+s6 AS (SELECT *, g2 - lc * bc / bb - alpha * bk / bb AS lb FROM s5), fitted AS (SELECT *, g1 - lb * ab / aa - lc * ac / aa - alpha * ak / aa AS la FROM s6)"""
+_FITTED = "round(alpha, 4) + 0.0 AS alpha, round(alpha / sqrt(rss / (n - 4) / kk), 3) + 0.0 AS alpha_t"
+
+
+@query("factor_regression", with_(S.PRICES, _MONTHS, _STRATEGIES, _FACTORS, _REGRESSION) + f"SELECT strategy_id, n, {_FITTED}, round(la, 3) + 0.0 AS la, round(lb, 3) + 0.0 AS lb, round(lc, 3) + 0.0 AS lc, round(1 - rss / tss, 4) AS r2, round(sqrt(rss / (n - 1)), 4) AS residual_std FROM fitted")
 def _(spark, d):
-    return metrics.factor_regression(metrics.align_factors(strategies(spark, d), factors(spark, d)))
+    f = metrics.factor_regression(metrics.align_factors(strategies(spark, d), factors(spark, d)))
+    shown = {"alpha": 4, "alpha_t": 3, "r2": 4, "residual_std": 4}
+    return f.select("strategy_id", "n", *[(F.round(c, n) + 0.0).alias(c) for c, n in shown.items()], *[(F.round(F.col("loadings")[i], 3) + 0.0).alias(c) for i, c in enumerate(("la", "lb", "lc"))])
+
+
+_ONE_IC = "one AS (SELECT round(avg(ic), 4) + 0.0 AS information_coefficient, round(avg(ic) / stddev_samp(ic) * sqrt(count(*)), 3) + 0.0 AS ic_t_stat, round(avg(ic) / stddev_samp(ic), 3) + 0.0 AS information_ratio FROM ics)"
+
+
+@query("compute_all", with_(S.PRICES, _MONTHS, _STRATEGIES, _DRAWDOWN, S.SCORES, _ic_sql("", "scores"), _ONE_IC, _FACTORS, _REGRESSION) + f"""SELECT m.*, max_drawdown, peak, trough, periods, total_return, one.*, alpha, alpha_t FROM ({_BASIC}) m LEFT JOIN draw USING (strategy_id)
+  JOIN (SELECT strategy_id, round(product(1 + ret) - 1, 4) + 0.0 AS total_return FROM strategies GROUP BY ALL) USING (strategy_id) CROSS JOIN one LEFT JOIN (SELECT strategy_id, {_FITTED} FROM fitted) USING (strategy_id)""")
+def _(spark, d):
+    ics = metrics.ic_summary(metrics.information_coefficients(S.scores(spark, d), monthly(spark, d)))
+    out = metrics.compute_all(strategies(spark, d), ics=ics, factors=factors(spark, d)).drop("loadings").withColumn("periods", F.col("periods").cast("long"))
+    return rounded(out.withColumns({c: F.round(c, 3) for c in ("ic_t_stat", "information_ratio", "alpha_t")}))
+
+
+SWEEP = [portfolio.Strategy("wide", 3, 1, 3, 5.0), portfolio.Strategy("long", 5, 1, None, 10.0), portfolio.Strategy("both", 5, 1, 5, 10.0), portfolio.Strategy("low", 5, 5, None, 20.0)]
+
+
+def _sweep_sql() -> list[str]:
+    sets = ", ".join(f"('{s.strategy_id}', {s.quantiles}, {s.long_quantile}, {s.short_quantile or 'NULL'}, {s.cost_bps})" for s in SWEEP)
+    return [f"""sets(strategy_id, quantiles, lq, sq, bps) AS (VALUES {sets})""", """known AS (SELECT * FROM latest SEMI JOIN members USING (rebalance_date, ticker)),
+edges AS (SELECT rebalance_date, quantile_cont(composite_score, [0, 1 / 3, 2 / 3, 1]) AS e, 3 AS quantiles, count(*) AS n FROM known GROUP BY rebalance_date
+  UNION ALL SELECT rebalance_date, quantile_cont(composite_score, [0, 0.2, 0.4, 0.6, 0.8, 1]), 5, count(*) FROM known GROUP BY rebalance_date),
+cells AS (SELECT k.*, quantiles, quantiles - greatest(len(list_filter(e, lambda x: x < composite_score)), 1) + 1 AS quantile FROM known k JOIN edges USING (rebalance_date) WHERE n >= quantiles AND len(list_distinct(e)) = quantiles + 1),
+swept AS (SELECT strategy_id, bps, rebalance_date, ticker, CASE WHEN quantile = lq THEN 1.0 ELSE -1.0 END / count(*) OVER (PARTITION BY strategy_id, rebalance_date, quantile) AS weight FROM cells JOIN sets USING (quantiles) WHERE quantile = lq OR quantile = sq),
+sdays AS (SELECT strategy_id, rebalance_date, row_number() OVER (PARTITION BY strategy_id ORDER BY rebalance_date) AS k FROM (SELECT DISTINCT strategy_id, rebalance_date FROM swept)),
+spk AS (SELECT strategy_id, bps, k, ticker, weight FROM swept JOIN sdays USING (strategy_id, rebalance_date)),
+schange AS (SELECT strategy_id, k, abs(coalesce(x.weight, 0) - coalesce(y.weight, 0)) AS change FROM spk x FULL JOIN (SELECT strategy_id, k + 1 AS k, ticker, weight FROM spk) y USING (strategy_id, k, ticker)),
+sturn AS (SELECT strategy_id, rebalance_date, CASE WHEN k = 1 THEN 1.0 ELSE sum(change) / 2 END AS turnover FROM schange JOIN sdays USING (strategy_id, k) GROUP BY strategy_id, k, rebalance_date),
+held AS (SELECT ticker, period_start, period_end, product(1 + ret) - 1 AS ret FROM monthly JOIN periods ON date > period_start AND date <= period_end WHERE ret IS NOT NULL GROUP BY ALL),
+sgross AS (SELECT strategy_id, any_value(bps) AS bps, rebalance_date, sum(weight * coalesce(ret, 0)) AS gross FROM swept LEFT JOIN held ON held.ticker = swept.ticker AND period_start = rebalance_date GROUP BY strategy_id, rebalance_date)"""]
 
 
-@query("strategy_sweep", with_(*_TO_DAYS, _MEMBERS, _LATEST, _BUCKETS) + "SELECT rebalance_date, CAST(quantile AS INTEGER) AS quantile, count(*) AS n, round(avg(composite_score), 5) + 0.0 AS mean_score FROM buckets GROUP BY ALL")
+@query("strategy_sweep", with_(S.PRICES, _MONTHS, *_TO_DAYS, _MEMBERS, _LATEST, *_sweep_sql()) + "SELECT strategy_id, rebalance_date AS period_start, round(turnover, 6) AS turnover, round(gross - turnover * bps / 10000, 4) + 0.0 AS net FROM sgross JOIN sturn USING (strategy_id, rebalance_date)")
 def _(spark, d):
-    b = portfolio.quantile_buckets(latest(spark, d))
-    return rounded(b.groupBy("rebalance_date", "quantile").agg(F.count("*").alias("n"), F.avg("composite_score").alias("mean_score")), 5)
+    r = stored(monthly(spark, d), "monthly")
+    out = portfolio.run_sweep(S.scores(spark, d), S.universe(spark, d), r, market(spark, d), START, END, SWEEP)
+    return out["period_returns"].select("strategy_id", "period_start", F.round("turnover", 6).alias("turnover"), (F.round("net", 4) + 0.0).alias("net"))

@@ -9,6 +9,7 @@ from filingmill.functions.text import tidy
 from filingmill.operators.returns import daily_returns
 from filingmill.sources import filings as src
 from filingmill.sources import prices as px
+from filingmill.sources.store import small_batches
 
 from . import standin as S
 from .registry import query
@@ -41,9 +42,9 @@ def _(spark, d):
     return _ticker_rows(spark, d)
 
 
-@query("resolve_tickers", "SELECT 'T' || (c_custkey % 97) AS ticker, lpad(CAST(max(c_custkey) AS VARCHAR), 10, '0') AS cik FROM customer WHERE c_custkey % 97 < 10 GROUP BY ALL")
+@query("resolve_tickers", "SELECT 'T' || (c_custkey % 97) AS ticker, lpad(CAST(max(c_custkey) AS VARCHAR), 10, '0') AS cik FROM customer GROUP BY ALL")
 def _(spark, d):
-    asked = S.read(spark, d, "customer").where("c_custkey % 97 < 10").select(F.concat(F.lit("t"), F.col("c_custkey") % 97).alias("ticker"))
+    asked = S.read(spark, d, "customer").select(F.concat(F.lit("t"), F.col("c_custkey") % 97).alias("ticker"))
     return src.resolve_tickers(asked, _ticker_rows(spark, d))
 
 
@@ -110,18 +111,39 @@ def _(spark, d):
 
 @query("clean_html")
 def _(spark, d):
-    return S.read(spark, d, "pages").select("page_id", html.clean(F.col("html")).alias("text"))
+    small_batches(spark)
+    return S.spread(S.read(spark, d, "pages").select("page_id", "html")).select("page_id", html.clean(F.col("html")).alias("text"))
 
 
-@query("tidy_text", "SELECT doc_id, md5(regexp_replace(regexp_replace(text, '^\\s+', ''), '\\s+$', '')) AS text_md5 FROM documents WHERE text NOT LIKE '%  %' AND NOT regexp_matches(text, '[ \\t]\\n|\\n[ \\t]|\\n\\n\\n|\\t|\\f| $')")
+def _tidy_sql(text: str) -> str:
+    """The operator's replacements, one after the other."""
+    steps = (("[ \\t]+", " "), ("\\n{3,}", "\n\n"), ("(?m)^[ \\t\\r\\f\\v]+|[ \\t\\r\\f\\v]+$", ""), ("(?im)^\\s*table\\s+of\\s+contents\\s*$", ""), ("(?m)^\\s*-\\s*\\d+\\s*-\\s*$", ""), ("(?im)^\\s*page\\s+\\d+\\s+of\\s+\\d+\\s*$", ""))
+    for pattern, by in steps:
+        text = f"regexp_replace({text}, '{pattern}', '{by}', 'g')"
+    return f"regexp_replace(translate({text}, chr(12), chr(10)), '^\\s+|\\s+$', '', 'g')"
+
+
+@query("tidy_text", f"SELECT doc_id, md5({_tidy_sql('text')}) AS text_md5 FROM documents")
 def _(spark, d):
     return S.read(spark, d, "documents").select("doc_id", F.md5(tidy(F.col("text"))).alias("text_md5"))
 
 
-@query("extract_sections")
+_RISK, _MDA = "Item 1A. Risk Factors", "Item 7. Management's Discussion and Analysis"
+_M = _MDA.replace("'", "''")
+# What follows each heading, and where the later headings stand in it; the first over 100 characters away ends the section.
+_SECTIONS_SQL = f"""WITH t AS (SELECT CAST(doc_id AS VARCHAR) AS filing_id, lang, chr(10) || {_tidy_sql("text")} || chr(10) AS t FROM documents WHERE text IS NOT NULL),
+c AS (SELECT filing_id, 'business' AS section_name, t || '{_RISK}' || t || '{_M}' || t || 'SIGNATURES' AS c, [length(t), 2 * length(t) + {len(_RISK)}, 3 * length(t) + {len(_RISK) + len(_MDA)}] AS p FROM t WHERE lang = 'en'
+  UNION ALL SELECT filing_id, 'risk_factors', t || '{_M}' || t || 'SIGNATURES', [length(t), 2 * length(t) + {len(_MDA)}] FROM t UNION ALL SELECT filing_id, 'mda', t || 'SIGNATURES', [length(t)] FROM t),
+b AS (SELECT filing_id, section_name, regexp_replace(substr(c, 1, coalesce(list_min(list_filter(p, lambda x: x > 100)), length(c))), '^\\s+|\\s+$', '', 'g') AS b FROM c)
+SELECT filing_id, section_name, CAST(n AS INTEGER) AS word_count, md5(b) AS text_md5 FROM (SELECT *, len(regexp_extract_all(b, '\\S+')) AS n FROM b) WHERE n >= 50"""
+
+
+@query("extract_sections", _SECTIONS_SQL)
 def _(spark, d):
     """Filings made of a document under each heading."""
-    head = lambda h: F.concat(F.lit(f"<p>{h}</p><p>"), "text", F.lit("</p>"))
-    page = F.concat(F.lit("<html><body>"), head("Item 1. Business"), head("Item 1A. Risk Factors"), head("Item 7. Management's Discussion and Analysis"), F.lit("<p>SIGNATURES</p></body></html>"))
-    docs = S.read(spark, d, "documents").select(F.col("doc_id").cast("string").alias("filing_id"), F.when(F.col("lang") == "en", "10-K").otherwise("10-Q").alias("form_type"), page.alias("html"))
+    text = F.replace(F.replace(F.coalesce("text", F.lit("")), F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;"))
+    head = lambda h: F.concat(F.lit(f"<p>{h}</p><p>"), text, F.lit("</p>"))
+    page = F.concat(F.lit("<html><body>"), head("Item 1. Business"), head(_RISK), head(_MDA), F.lit("<p>SIGNATURES</p></body></html>"))
+    rows = S.spread(S.read(spark, d, "documents").select("doc_id", "lang", "text"))
+    docs = rows.select(F.col("doc_id").cast("string").alias("filing_id"), F.when(F.col("lang") == "en", "10-K").otherwise("10-Q").alias("form_type"), page.alias("html"))
     return html.extract_sections(docs).select("filing_id", "section_name", "word_count", F.md5("raw_text").alias("text_md5"))

@@ -51,6 +51,11 @@ def _(spark, d):
     return rounded(catalog.get_sentiments(S.sentiment(spark, d), "0000000000-00-000003", "mda", "dictionary").select("filing_id", "section_name", "sentiment_score"), 6)
 
 
+@query("get_similarity", with_(*S.TO_SIMILARITY) + "SELECT filing_id, section_name, prior_filing_id, similarity_score + 0.0 AS similarity_score FROM similarity WHERE filing_id = '0000000000-00-000090'")
+def _(spark, d):
+    return rounded(catalog.get_sentiments(S.similarity(spark, d), "0000000000-00-000090").select("filing_id", "section_name", "prior_filing_id", "similarity_score"), 6)
+
+
 @query("validate_filings", _F + "SELECT filing_id, CASE WHEN length(cik) < 10 THEN lpad(cik, 10, '0') ELSE cik END AS cik, k <> 1 AND k <> 2 AND k <> 3 AS valid FROM (SELECT filing_id, CASE WHEN k = 1 THEN 'x' || cik ELSE ltrim(cik, '0') END AS cik, k FROM (SELECT *, CAST(right(filing_id, 6) AS INT) % 7 AS k FROM filings))")
 def _(spark, d):
     k = F.substring("filing_id", -6, 6).cast("int") % 7
@@ -81,11 +86,29 @@ def _(spark, d):
     return validate.word_count_drift(s).select("filing_id", "section_name", F.col("counted").cast("long").alias("counted"), "drifted")
 
 
-@query("check_params", with_(S.UNIVERSE) + "SELECT count(DISTINCT ticker) AS members FROM universe")
+_CASES = {
+    "good": {}, "dates": {"start": END, "end": START}, "long": {"long_quantile": 6}, "short": {"short_quantile": 0}, "half_life": {"half_life": 0}, "empty": {"universe": []},
+    "weights": {"weighting": "custom", "weights": {}}, "given": {"weighting": "custom", "weights": {"a": 1.0}},
+}
+_SAID = {
+    "dates": "start must be before end", "long": "quantile 6 is not in 1..5", "short": "quantile 0 is not in 1..5", "half_life": "half_life must be at least 1", "empty": "the universe is empty",
+    "weights": "custom weights are empty",
+}
+
+
+def _said(**case) -> str:
+    try:
+        portfolio.check_params(**{"start": START, "end": END, "universe": ["A"], "quantiles": 5, "long_quantile": 1, "short_quantile": 5, **case})
+    except ValueError as e:
+        return str(e)
+    return "ok"
+
+
+@query("check_params", with_(S.UNIVERSE) + "SELECT c AS name, said, members FROM (VALUES " + ", ".join(f"('{c}', '{_SAID.get(c, 'ok')}')" for c in _CASES) + ") AS v(c, said), (SELECT count(DISTINCT ticker) AS members FROM universe)")
 def _(spark, d):
-    u = S.universe(spark, d)
-    portfolio.check_params(START, END, u.select("ticker").limit(1).collect(), 5, 1, 5)
-    return u.agg(F.countDistinct("ticker").alias("members"))
+    """What the operator says of each case, with the size of the universe that the good case is for."""
+    rows = spark.createDataFrame([(c, _said(**case)) for c, case in _CASES.items()], "name string, said string")
+    return rows.join(S.universe(spark, d).agg(F.countDistinct("ticker").alias("members")))
 
 
 @query("new_only", with_(*S.TO_SIMILARITY) + "SELECT filing_id, section_name FROM sections ANTI JOIN (SELECT filing_id FROM similarity) USING (filing_id)")
@@ -113,13 +136,24 @@ def _(spark, d):
     return wide.select("ticker", "signal_date", (F.col("composite_score") + 0.0).alias("composite_score"), "rank", *[(F.round(c, 6) + 0.0).alias(c) for c in wide.columns[4:]])
 
 
-@query("backtest_report", with_(S.SCORES) + "SELECT count(DISTINCT signal_date) AS n_dates, count(*) AS n_scores FROM scores")
+_REPORT = """per AS (SELECT signal_date, count(*) AS n, round(avg(composite_score), 6) + 0.0 AS net FROM scores GROUP BY ALL)
+SELECT 'period' AS part, CAST(signal_date AS VARCHAR) AS name, net AS value FROM per UNION ALL SELECT 'signals', CAST(signal_date AS VARCHAR), n FROM per
+UNION ALL SELECT 'metric', 'best', round(max(composite_score), 6) + 0.0 FROM scores UNION ALL SELECT 'metric', 'worst', round(min(composite_score), 6) + 0.0 FROM scores"""
+
+
+@query("backtest_report", with_(S.SCORES).rstrip() + ",\n" + _REPORT)
 def _(spark, d):
     s = S.scores(spark, d)
-    counts = s.groupBy("signal_date").agg(F.count("*").alias("n"))
-    report = sinks.backtest_report(s.groupBy(F.col("signal_date").alias("period_start")).agg(F.avg("composite_score").alias("net")), s.agg(F.max("composite_score").alias("best")), counts)
-    back = F.from_json("report", "struct<signals:array<struct<signal_date:date,n:bigint>>>")
-    return report.select(back.alias("j")).select(F.size("j.signals").cast("long").alias("n_dates"), F.aggregate(F.transform("j.signals", lambda x: x["n"]), F.lit(0).cast("long"), lambda a, x: a + x).alias("n_scores"))
+    net = F.round(F.avg("composite_score"), 6).alias("net")
+    measured = s.agg(F.round(F.max("composite_score"), 6).alias("best"), F.round(F.min("composite_score"), 6).alias("worst"))
+    report = sinks.backtest_report(s.groupBy(F.col("signal_date").alias("period_start")).agg(net), measured, s.groupBy("signal_date").agg(F.count("*").alias("n")))
+    kind = "struct<periods:array<struct<period_start:string,net:double>>,metrics:array<struct<best:double,worst:double>>,signals:array<struct<signal_date:string,n:bigint>>>"
+    entry = lambda part, name, value: F.struct(F.lit(part).alias("part"), name.alias("name"), (value + 0.0).alias("value"))
+    rows = F.concat(
+        F.transform("j.periods", lambda x: entry("period", x["period_start"], x["net"])), F.transform("j.signals", lambda x: entry("signals", x["signal_date"], x["n"].cast("double"))),
+        F.transform("j.metrics", lambda x: entry("metric", F.lit("best"), x["best"])), F.transform("j.metrics", lambda x: entry("metric", F.lit("worst"), x["worst"])),
+    )
+    return report.select(F.from_json("report", kind).alias("j")).select(F.inline(rows))
 
 
 @query("latest_filing", _F + "SELECT cik, form_type, arg_max(filing_id, (filed_date, filing_id)) AS filing_id, max(filed_date) AS filed_date FROM filings GROUP BY cik, form_type")

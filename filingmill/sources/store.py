@@ -1,4 +1,4 @@
-"""Intermediate tables in the folder that driver and executors share.
+"""Session helpers: Arrow batches of texts, and intermediate tables in the folder that driver and executors share.
 
 A step whose rows are used more than once is written there and read back, so that it runs once and a lost
 executor does not repeat it. The tables are deleted when the application ends, or with ``scratch``.
@@ -13,9 +13,18 @@ from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Rows of text that one Arrow batch holds; bounds a Python worker's memory.
+BATCH_ROWS = 512
 _watched: list[list[str]] = []
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Long texts make large batches: lowers the session's Arrow batch to BATCH_ROWS rows, where it is larger."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= BATCH_ROWS:
+        spark.conf.set(name, str(BATCH_ROWS))
+
+
 def shared_dir(spark: SparkSession) -> str:
     """``spark.checkpoint.dir``; where it is unset, a temporary folder, and only if driver and executors are one process."""
     sc = spark.sparkContext

@@ -90,3 +90,50 @@ def test_params():
         portfolio.check_params("2024-01-01", "2023-01-01", ["A"], 5, 1, None)
     with pytest.raises(ValueError, match="quantile"):
         portfolio.check_params("2023-01-01", "2024-01-01", ["A"], 5, 6, None)
+
+
+def test_drawdown_counts_periods(spark):
+    row = metrics.max_drawdown(series(spark, [0.10, -0.05, 0.01, -0.20, 0.30])).first()
+    assert (row.peak, row.trough, row.periods) == (D(2020, 1, 28), D(2020, 4, 28), 3)
+
+
+def test_market_is_null_without_data(spark):
+    held = spark.createDataFrame([(D(2024, 3, 29), "A", 1.0)], "rebalance_date date, ticker string, weight double")
+    periods = spark.createDataFrame([(D(2024, 3, 29), D(2024, 6, 28))], "period_start date, period_end date")
+    r = spark.createDataFrame([("A", D(2024, 4, i), 0.1) for i in range(1, 5)], "ticker string, date date, ret double")
+    market = spark.createDataFrame([(D(2024, 4, 1), 0.5), (D(2024, 4, 2), None), (D(2024, 4, 4), 0.5)], "date date, ret double")
+    curve = [x.spy_value for x in portfolio.equity_curve(held, periods, r, market).orderBy("date").collect()]
+    assert curve == [15000.0, None, None, 22500.0]
+
+
+def test_backtest_and_sweep_agree(spark):
+    days = [D(2023, m, 1) for m in (1, 4, 7, 10)]
+    composites = spark.createDataFrame([(f"T{i}", d, float(i * 7 % 10 + k)) for i in range(10) for k, d in enumerate(days)], "ticker string, signal_date date, composite_score double")
+    universe = spark.createDataFrame([(f"T{i}", D(2020, 1, 1), None) for i in range(10)], "ticker string, start_date date, end_date date")
+    r = spark.createDataFrame([(f"T{i}", D(2023, m, 28), (i - 4 + m % 3) / 100) for i in range(10) for m in range(1, 13)], "ticker string, date date, ret double")
+    market = r.groupBy("date").agg(F.avg("ret").alias("ret"))
+    args = (composites, universe, r, market, "2023-01-01", "2023-12-31")
+    one = portfolio.run_backtest(*args, short_quantile=5, cost_bps=20.0)
+    sweep = portfolio.run_sweep(*args, [portfolio.Strategy("a", 5, 1, 5, 20.0), portfolio.Strategy("b", 2, 1)])
+    pick = lambda rows, *c: sorted(tuple(x) for x in rows.select(*c).collect())
+    assert pick(one["period_returns"], "period_start", "net", "turnover") == pick(sweep["period_returns"].where("strategy_id = 'a'"), "period_start", "net", "turnover")
+    assert pick(one["equity_curve"], "date", "portfolio_value") == pick(sweep["equity_curve"].where("strategy_id = 'a'"), "date", "portfolio_value")
+    m = one["metrics"].first()
+    costs = [x.cost for x in one["period_returns"].collect()]
+    assert m.total_cost == pytest.approx(sum(costs)) and m.average_turnover == pytest.approx(sum(costs) / len(costs) / 0.002)
+    valued = one["position_values"].where("rebalance_date = '2023-03-31'").collect()
+    assert {(x.leg, x.dollar_value) for x in valued} == {("long", 5000.0), ("short", 5000.0)}
+    with pytest.raises(ValueError, match="no rebalance date"):
+        portfolio.run_backtest(composites.where("false"), *args[1:])
+    with pytest.raises(ValueError, match="names"):
+        portfolio.sweep_positions(one["positions"], [])
+
+
+def test_metrics_with_factors_and_ic(spark):
+    s = series(spark, [0.01 * (i % 5) for i in range(24)])
+    f = s.select("date", (F.col("ret") * 2).alias("Mkt-RF"))
+    ics = spark.createDataFrame([(0.1, 2.0, 0.5)], "mean_ic double, t_stat double, icir double")
+    full = metrics.compute_all(s, ics=ics, factors=f).first()
+    assert full.information_coefficient == 0.1 and full.loadings == pytest.approx([0.5])
+    bare = metrics.compute_all(s).first()
+    assert bare.alpha is None and bare.information_ratio is None

@@ -109,3 +109,33 @@ def test_tidy_query_cleans_all_documents(spark, tmp_path):
     spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     got = {r.doc_id: r.text_md5 for r in queries()["tidy_text"](spark, str(tmp_path)).collect()}
     assert got == {i: hashlib.md5(html.clean_text(t).encode()).hexdigest() for i, t in enumerate(texts)}
+
+
+def test_failing_analyzers_do_not_stop_others(spark):
+    known = scoring.Analyzers()
+
+    def broken(sections):
+        raise RuntimeError("no model")
+
+    known.add("broken", broken)
+    known.add("length", scoring.scorer(F.length("raw_text")))
+    known.add("odd", scoring.python_scorer(lambda t: 1 / (len(t) - 2)))
+    good, failed = known.run(sections(spark, "abc", "de"))
+    assert {(r.analyzer_name, r.filing_id) for r in good.collect()} == {("length", "0"), ("length", "1"), ("odd", "0")}
+    errors = {(r.analyzer_name, r.filing_id): r.error for r in failed.collect()}
+    assert errors[("broken", None)] == "RuntimeError: no model" and errors[("odd", "1")].startswith("ZeroDivisionError")
+
+
+def test_long_lexicon_is_joined(spark, monkeypatch):
+    lexicon = spark.createDataFrame([("GOOD", "positive"), ("BAD", "negative"), ("BAD", "litigious")], "word string, category string")
+    rows = sections(spark, "good Good bad x1 fine", "", "none here")
+    short = sorted(scoring.category_counts(rows, lexicon).collect())
+    monkeypatch.setattr(scoring, "LEXICON_BYTES", 0)
+    assert sorted(scoring.category_counts(rows, lexicon).collect()) == short
+
+
+def test_terms_beyond_the_most_are_ranked():
+    a, b = scoring.Counter({"a": 3, "b": 1, "c": 1}), scoring.Counter({"a": 1, "d": 1})
+    assert scoring.pair_cosine(a, b, 1) == 1
+    assert 0 < scoring.pair_cosine(a, b, 2) < 1
+    assert scoring.pair_cosine(scoring.Counter(), scoring.Counter()) is None
