@@ -45,21 +45,21 @@ def _at(spark: SparkSession, path: str):
     return target.getFileSystem(sc._jsc.hadoopConfiguration()), target
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write once, read back; the table goes when the application ends."""
+def stored(df: DataFrame, name: str, result: bool = False) -> DataFrame:
+    """Write once, read back; the table goes when the application ends, or with ``scratch`` unless it is a ``result``."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     files, target = _at(spark, path)
     files.deleteOnExit(target)
-    for paths in _watched:
+    for paths in _watched if not result else ():
         paths.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
 @contextmanager
 def scratch(spark: SparkSession) -> Iterator[None]:
-    """Deletes at its end all tables stored inside; results that need them must be written by then."""
+    """Deletes at its end the tables stored inside; results that need them must be written by then."""
     paths: list[str] = []
     _watched.append(paths)
     try:
