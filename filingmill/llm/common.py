@@ -2,52 +2,22 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows of text that one Arrow batch holds; bounds a Python worker's memory.
-BATCH_ROWS = 512
+from filingmill.sources.store import cut, scratch, small_batches, stored
+
+__all__ = ["components", "cut", "scratch", "small_batches", "stored", "table", "union_all"]
+#: Parts into which the edges of one node are dealt in joins.
+SALTS = 8
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def small_batches(spark: SparkSession) -> None:
-    """Long texts make large batches; keep them to BATCH_ROWS rows."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a local one only where the session names none (tests)."""
-    sc = spark.sparkContext
-    named = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
-    if not named:
-        named = "file://" + tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-        sc.setCheckpointDir(named)
-        named = sc.getCheckpointDir()
-    elif sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(named)
-    return named
-
-
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write once to the shared folder and read back: a lost executor costs no recomputation."""
-    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a replicated-storage checkpoint (iterations)."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint()
-
-
 def union_all(frames: list[DataFrame]) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b), frames)
 
@@ -55,9 +25,11 @@ def union_all(frames: list[DataFrame]) -> DataFrame:
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """Connected components of ``edges`` (a, b): one row (id, component) per node of an edge, component = its smallest id.
 
-    Large-star / small-star contraction: each half round is one shuffle on a node id, hubs are split by
-    partial aggregation of the minimum, and the lineage is cut after every round.
+    Large-star / small-star contraction. A hub's minimum is combined before it is shuffled, and its edges meet that
+    minimum under SALTS salts; the lineage is cut after every round.
     """
+    spread = lambda rows: rows.withColumn("salt", F.pmod(F.xxhash64("v"), F.lit(SALTS)).cast("int"))
+    copied = lambda rows: rows.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     edges = edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
     edges = cut(edges)
     before = None
@@ -65,10 +37,10 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         # large star: every larger neighbour of u moves to the smallest of u's neighbourhood
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        large = spread(both).join(copied(least), ["u", "salt"]).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         # small star: u's smaller neighbours and u itself move to the smallest of them
         least = large.groupBy("u").agg(F.min("v").alias("m"))
-        joined = large.join(least, "u")
+        joined = spread(large).join(copied(least), ["u", "salt"])
         edges = cut(
             joined.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
             .unionByName(least.select("u", F.col("m").alias("v")))

@@ -37,8 +37,10 @@ def _mix(x: np.ndarray) -> np.ndarray:
 
 
 def unit(rows: list) -> tuple[np.ndarray, np.ndarray]:
-    """Rows of one length as unit vectors in double precision; lengths before."""
+    """Rows of one length as unit vectors in double precision; lengths before, up to the power of two that keeps
+    squares of very large or small components finite."""
     x = np.array(rows, np.float64)
+    x = np.ldexp(x, -np.frexp(np.abs(x).max(axis=1))[1][:, None])
     norm = np.sqrt((x * x).sum(axis=1))
     return x / norm[:, None], norm
 
