@@ -1,16 +1,20 @@
 """Benchmark decontamination by Wu-Manber multi-pattern search over words.
 
 Symbols are words, not bytes: a block is two words, the shift table says how far the scan may jump after
-a block, blocks with shift 0 lead to a bucket of test windows by their last block, and a direct comparison
-confirms each occurrence. Windows are searched in length classes so that a short item does not shorten the
-shifts of the others.
-
-Documents are only mapped (no shuffle, no join), so copies and hot sources cost nothing extra. The test set
-is broadcast in shards whose bytes are checked against ``shard_bytes``; a larger test set takes more passes
-over the same row, each with one shard.
-
-Defined results: a null or empty text has no words (0, 0, no items, not contaminated); items with null id or
-no words are ignored; repeated items count once per id; extra columns of either table are not looked at.
+a block, blocks with shift 0 lead to a bucket of test windows by their last block and then by their first, and a
+direct comparison confirms each occurrence. Windows are searched in length classes so that a short item does not
+shorten the shifts of the others.
+
+Documents are only mapped (no shuffle, no join), so copies and hot sources cost nothing extra. A test set of at most
+``shard_bytes`` is broadcast, checked by its size. A larger one is taken in shards, one after the other: each pass
+holds one shard in the driver and in the workers, stores the rows it found something for, and gives the shard up;
+what all passes found is then joined to the documents by row. So memory is bounded by one shard, and time grows
+with the product of corpus and test set.
+
+Defined results: a null or empty text has no words (0, 0, no items, not contaminated); items with null id or no
+words are ignored; repeated items count once per id; repeated documents give equal rows; an empty table gives an
+empty result, and an empty test set contaminates nothing; very long texts are read whole; extra columns of either
+table are not looked at and pass through ``decontaminate``.
 """
 
 from __future__ import annotations
@@ -22,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches
+from .common import small_batches, stored, union_all
 
 WINDOW = 13
 BLOCK = 2
@@ -37,30 +41,34 @@ def words_of(data: bytes | None) -> list[bytes]:
     return data.translate(_WORDS).split() if data else []
 
 
+Window = tuple[list[bytes], int, int, int]  # an item's words, where the window begins, its length, item id
+
+
 class WuManber:
-    """Tables for one shard of items [(item_id, text bytes)]."""
+    """Tables for one shard of items [(item_id, text bytes)]. Windows are places in their item's words, not copies."""
 
     def __init__(self, items: list[tuple[int, bytes]], window: int = WINDOW):
-        found: dict[tuple[bytes, ...], set[int]] = defaultdict(set)
+        self.single: dict[bytes, set[int]] = defaultdict(set)
+        classes: dict[int, list[Window]] = defaultdict(list)
         for item, text in items:
-            w = words_of(text)
-            for i in range(max(1, len(w) - window + 1) if w else 0):
-                found[tuple(w[i : i + window])].add(item)
-        self.single = {p[0]: frozenset(v) for p, v in found.items() if len(p) == 1}
-        classes: dict[int, list[tuple[tuple[bytes, ...], frozenset[int]]]] = defaultdict(list)
-        for p, v in found.items():
-            if len(p) > 1:
-                classes[max(f for f in (*FLOORS, window) if f <= len(p))].append((p, frozenset(v)))
+            words = words_of(text)
+            if len(words) == 1:
+                self.single[words[0]].add(item)
+            elif words:
+                size = min(window, len(words))
+                floor = max(f for f in (*FLOORS, window) if f <= size)
+                classes[floor] += [(words, at, size, item) for at in range(len(words) - size + 1)]
         self.classes = []
-        for m, patterns in sorted(classes.items()):
+        for m, windows in sorted(classes.items()):
             shift: dict[tuple[bytes, bytes], int] = {}
-            bucket = defaultdict(list)
-            for p, v in patterns:
+            bucket: dict[tuple, dict[tuple, list[Window]]] = defaultdict(lambda: defaultdict(list))
+            for w in windows:
+                words, at, *_ = w
                 for end in range(BLOCK, m + 1):
-                    block = p[end - BLOCK : end]
+                    block = (words[at + end - 2], words[at + end - 1])
                     shift[block] = min(shift.get(block, m), m - end)
-                bucket[p[m - BLOCK : m]].append((list(p), v))
-            self.classes.append((m, shift, dict(bucket)))
+                bucket[(words[at + m - 2], words[at + m - 1])][(words[at], words[at + 1])].append(w)
+            self.classes.append((m, shift, {last: dict(by_first) for last, by_first in bucket.items()}))
 
     def search(self, w: list[bytes]) -> tuple[set[int], set[int]]:
         """Positions of hit words, ids of items found."""
@@ -75,10 +83,10 @@ class WuManber:
                     i += step
                     continue
                 start = i - m + 1
-                for p, ids in bucket[(w[i - 1], w[i])]:
-                    if w[start : start + len(p)] == p:
-                        hit.update(range(start, start + len(p)))
-                        items |= ids
+                for words, at, size, item in bucket[(w[i - 1], w[i])].get((w[start], w[start + 1]), ()):
+                    if w[start : start + size] == words[at : at + size]:
+                        hit.update(range(start, start + size))
+                        items.add(item)
                 i += 1
         if self.single and not self.single.keys().isdisjoint(w):
             for i, x in enumerate(w):
@@ -89,43 +97,50 @@ class WuManber:
 
 
 def _searcher(shard):
-    """``shard``: a broadcast of one shard's items; tables are built once per worker."""
+    """``shard``: a broadcast of one shard's items; tables are built once per task."""
     built: list[WuManber] = []
 
-    def search(texts: pa.Array, state: pa.Array) -> pa.Array:
+    def search(texts: pa.Array) -> pa.Array:
         if not built:
             built.append(WuManber(*shard.value))
         out = []
-        for data, before in zip(texts.cast(pa.binary()).to_pylist(), state.to_pylist(), strict=True):
+        for data in texts.cast(pa.binary()).to_pylist():
             w = words_of(data)
             hit, items = built[0].search(w)
-            if before:
-                hit |= set(before["hits"])
-                items |= set(before["items"])
             out.append({"n_words": len(w), "hits": sorted(hit), "items": sorted(items)})
         return pa.array(out, pa.struct([("n_words", pa.int64()), ("hits", pa.list_(pa.int64())), ("items", pa.list_(pa.int64()))]))
 
     return search
 
 
-def matches(docs: DataFrame, benchmark: DataFrame, text: str = "text", window: int = WINDOW, shard_bytes: int = 8 << 20) -> tuple[DataFrame, Column]:
+def matches(docs: DataFrame, benchmark: DataFrame, text: str = "text", window: int = WINDOW, shard_bytes: int = 4 << 20) -> tuple[DataFrame, Column]:
     """``docs`` with a scratch column, and the column of HITS to read from it."""
     spark = docs.sparkSession
     small_batches(spark)
     bench = benchmark.where("item_id is not null and text is not null").select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("binary").alias("text"))
     total = bench.agg(F.sum(F.length("text"))).first()[0] or 0
     shards = 1 + total // shard_bytes
-    empty = F.lit(None).cast(HITS)
-    name = "__hits"
-    while name in docs.columns:
-        name += "_"
-    docs = docs.withColumn(name, empty)
+    name, row = "__hits", "__row"
+    while {name, row} & set(docs.columns):
+        name, row = f"{name}_", f"{row}_"
+
+    def search(part: DataFrame):
+        shard = spark.sparkContext.broadcast(([(r.item_id, bytes(r.text)) for r in part.toLocalIterator()], window))
+        return shard, F.arrow_udf(_searcher(shard), HITS).asNondeterministic()(F.col(text)).alias(name)
+
+    if shards == 1:
+        return docs.select("*", search(bench)[1]), F.col(name)
+    base = stored(docs.withColumn(row, F.monotonically_increasing_id()), "rows")  # ids are fixed once stored
+    passes = []
     for k in range(shards):
-        part = bench if shards == 1 else bench.where(F.pmod(F.xxhash64("item_id"), F.lit(shards)) == k)
-        items = [(r.item_id, bytes(r.text)) for r in part.toLocalIterator()]
-        udf = F.arrow_udf(_searcher(spark.sparkContext.broadcast((items, window))), HITS).asNondeterministic()
-        docs = docs.withColumn(name, udf(F.col(text), F.col(name)))
-    return docs, F.col(name)
+        shard, found = search(bench.where(F.pmod(F.xxhash64("item_id"), F.lit(shards)) == k))
+        hits = base.select(row, found)
+        # The first pass keeps every row, for its number of words.
+        passes.append(stored(hits if k == 0 else hits.where(F.size(f"{name}.items") > 0), "hits"))
+        shard.destroy()
+    every = lambda c: F.array_sort(F.array_distinct(F.flatten(F.collect_list(f"{name}.{c}")))).alias(c)  # noqa: E731  one text's
+    merged = union_all(passes).groupBy(row).agg(F.max(f"{name}.n_words").alias("n_words"), every("hits"), every("items"))
+    return base.join(merged.select(row, F.struct("n_words", "hits", "items").alias(name)), row).drop(row), F.col(name)
 
 
 def is_contaminated(hits: Column) -> Column:
