@@ -1,17 +1,24 @@
 """Secret scanning with one combined deterministic automaton.
 
 All rules' expressions become one nondeterministic automaton, subset construction makes it deterministic over
-byte classes, partition refinement minimises it, and the result is one flat transition array. One pass over
-the bytes of a text tells which rules occur in it; only those rules then mark their exact spans, leftmost and
-not overlapping within a rule, with their own anchored array. Texts are only mapped: no shuffle.
-
-Defined results: null is an empty text without spans; copies give equal rows; extra columns pass through.
+byte classes, partition refinement minimises it, and the result is one flat transition array. One pass over the
+bytes of a text gives every place where some rule's shortest match ends. From such a place the rule's reversed
+automaton runs back to where the match starts, never beyond the rule's last span, and its own automaton runs on
+to the longest end. Both runs stay inside one match, so a text is read in linear time whatever it holds, and
+spans of a rule are leftmost and do not overlap. Texts are only mapped: no shuffle.
+
+A rule's ``scan`` is its expression without an open end; none of its matches may lie strictly inside another
+(``Rule``), as then places come in the order of starts.
+
+Defined results: null and empty texts have no spans; repeated rows give equal rows; an empty table gives an empty
+result; very long texts are scanned whole, in memory of their own size; extra columns pass through ``redact`` and
+are not looked at.
 """
 
 from __future__ import annotations
 
-from collections import defaultdict
 from dataclasses import dataclass
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -24,7 +31,8 @@ from .common import small_batches
 @dataclass(frozen=True)
 class Rule:
     """``match``: what a span is. ``least``: bytes the span must have, or those after ``value``, the part before
-    which is not counted. ``scan``: what must occur for the rule to be tried; by default ``match``."""
+    which is not counted. ``scan``: ``match`` up to where it first accepts, by default ``match``; no match of it
+    lies strictly inside another."""
 
     kind: str
     match: str
@@ -40,12 +48,12 @@ RULES = (
     Rule("assign", _KEY + r"[A-Za-z0-9+/_.=-]+", 8, _KEY, scan=_KEY + r"[A-Za-z0-9+/_.=-]"),
     Rule("access", r"AKIA[A-Z0-9]+", 16, scan=r"AKIA[A-Z0-9]"),
     Rule("hex", r"[0-9a-f]+", 32, scan=r"[0-9a-f]{32}"),
-    Rule("pem", r"-----BEGIN [A-Z ]*PRIVATE KEY-----", scan=r"-----BEGIN [A-Z]"),
+    Rule("pem", r"-----BEGIN [A-Z ]*PRIVATE KEY-----", scan=r"-----BEGIN [A-Z ]"),
     Rule("github", r"gh[pousr]_[A-Za-z0-9]+", 40, scan=r"gh[pousr]_[A-Za-z0-9]"),
     Rule("slack", r"xox[abprs]-[A-Za-z0-9-]+", 15, scan=r"xox[abprs]-[A-Za-z0-9-]"),
     Rule("google", r"AIza[A-Za-z0-9_-]+", 39, scan=r"AIza[A-Za-z0-9_-]"),
     Rule("stripe", r"[rs]k_live_[A-Za-z0-9]+", 24, scan=r"[rs]k_live_[A-Za-z0-9]"),
-    Rule("jwt", r"eyJ[A-Za-z0-9_-]+\.eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+", scan=r"\.eyJ[A-Za-z0-9_-]"),
+    Rule("jwt", r"eyJ[A-Za-z0-9_-]+\.eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+", scan=r"eyJ[A-Za-z0-9_-]+\.eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]"),
     Rule("url", _URL + r"+:[A-Za-z0-9._~%!$&*+=-]+@[A-Za-z0-9.-]+", scan=_URL),
 )
 BASE = ("assign", "access", "hex")
@@ -175,6 +183,17 @@ class _Nfa:
             return int(self.text[self.at - 2 : self.at], 16)
         return {"n": 10, "t": 9, "r": 13}.get(c, ord(c))
 
+    def turn(self) -> None:
+        """Every edge the other way round."""
+        edges, empty = self.edges, self.empty
+        self.edges, self.empty = [[] for _ in edges], [[] for _ in empty]
+        for s, out in enumerate(edges):
+            for x, t in out:
+                self.edges[t].append((x, s))
+        for s, out in enumerate(empty):
+            for t in out:
+                self.empty[t].append(s)
+
     def close(self, states) -> frozenset[int]:
         seen, todo = set(states), list(states)
         while todo:
@@ -188,15 +207,18 @@ class _Nfa:
 class Automaton:
     """A minimal deterministic automaton: ``classes`` maps bytes, ``table[state * width + class]`` is the next
     state times width, ``marks[state]`` the rules that end there as bits. Accepting states come last, from
-    ``accept`` on (times width). Searching: the start stays alive after every byte. Anchored: state 0 is dead."""
+    ``accept`` on (times width). Searching: the start stays alive after every byte. Anchored: ``dead`` is the
+    state without a way on. Backwards: reads what the expressions match from its end."""
 
-    def __init__(self, expressions: list[str], searching: bool):
+    def __init__(self, expressions: list[str], searching: bool, backwards: bool = False):
         nfa = _Nfa()
         ends, starts = {}, []
         for bit, e in enumerate(expressions):
             a, b = nfa.add(e)
-            starts.append(a)
-            ends[b] = 1 << bit
+            starts.append(b if backwards else a)
+            ends[a if backwards else b] = 1 << bit
+        if backwards:
+            nfa.turn()
         sets = {x for edges in nfa.edges for x, _ in edges}
         of_byte: dict[tuple, int] = {}
         classes = bytes(of_byte.setdefault(tuple(b in x for x in sets), len(of_byte)) for b in range(256))
@@ -236,52 +258,53 @@ class Automaton:
         dead = [s for s in range(order.size) if not self.marks[s] and all(self.table[s * width + k] == s * width for k in range(width))]
         self.dead = dead[0] * width if dead else -1
 
-    def rules_in(self, data: bytes) -> int:
-        """Bits of the rules that occur, in one pass."""
-        table, accept, s, found = self.table, self.accept, self.start, 0
-        for c in data.translate(self.classes):
+    def places(self, data: bytes) -> list[tuple[int, int]]:
+        """(end, bits of the rules that end there), in one pass."""
+        table, accept, width, marks, s, found = self.table, self.accept, self.width, self.marks, self.start, []
+        for i, c in enumerate(data.translate(self.classes), 1):
             s = table[s + c]
             if s >= accept:
-                found |= self.marks[s // self.width]
+                found.append((i, marks[s // width]))
         return found
 
-    def end_at(self, codes: bytes, at: int) -> int:
-        """End of the longest match that starts at ``at``, or -1."""
-        table, accept, dead, s, end = self.table, self.accept, self.dead, self.start, -1
-        for i in range(at, len(codes)):
-            s = table[s + codes[i]]
+    def furthest(self, data: bytes, steps: range) -> int:
+        """The last index of ``steps`` at which the bytes read so far match, or -1."""
+        table, classes, accept, dead, s, found = self.table, self.classes, self.accept, self.dead, self.start, -1
+        for i in steps:
+            s = table[s + classes[data[i]]]
             if s == dead:
                 break
             if s >= accept:
-                end = i + 1
-        return end
+                found = i
+        return found
 
 
 class Scanner:
     def __init__(self, rules: tuple[Rule, ...] = RULES):
         self.rules = rules
         self.all = Automaton([r.scan or r.match for r in rules], searching=True)
+        self.back = [Automaton([r.scan or r.match], searching=False, backwards=True) for r in rules]
         self.own = [Automaton([r.match], searching=False) for r in rules]
         self.values = [Automaton([r.value], searching=False) if r.value else None for r in rules]
 
     def spans(self, data: bytes) -> list[tuple[int, int, int]]:
         """(start, rule number, end) in bytes, by start, then rule."""
-        bits, out = self.all.rules_in(data), []
-        for k, rule in enumerate(self.rules):
-            if not bits >> k & 1:
-                continue
-            own, value = self.own[k], self.values[k]
-            codes, at, n = data.translate(own.classes), 0, len(data)
-            alive = [own.table[own.start + c] != own.dead for c in range(own.width)]
-            while at < n:
-                if not alive[codes[at]] or (end := own.end_at(codes, at)) <= at:
-                    at += 1
+        out, last, n = [], [0] * len(self.rules), len(data)
+        for place, bits in self.all.places(data):
+            while bits:
+                k = (bits & -bits).bit_length() - 1
+                bits &= bits - 1
+                if place <= last[k]:
+                    continue
+                start = self.back[k].furthest(data, range(place - 1, last[k] - 1, -1))
+                end = self.own[k].furthest(data, range(start, n)) + 1 if start >= 0 else 0
+                if end <= 0:
                     continue
                 # Greedy as the span is, its value starts at the longest key part.
-                begin = value.end_at(data[at:end].translate(value.classes), 0) + at if value else at
-                if end - begin >= rule.least:
-                    out.append((at, k, end))
-                at = end
+                begin = self.values[k].furthest(data, range(start, end)) + 1 if self.values[k] else start
+                if end - begin >= self.rules[k].least:
+                    out.append((start, k, end))
+                last[k] = end
         return sorted(out)
 
 
@@ -299,15 +322,18 @@ def code_points(data: bytes, places: list[int]) -> list[int]:
     return out
 
 
+@cache
+def scanner(rules: tuple[Rule, ...]) -> Scanner:
+    return Scanner(rules)
+
+
 def _marker(rules: tuple[Rule, ...]):
-    built: list[Scanner] = []
+    made = scanner(rules)  # compiled once on the driver; its arrays, about a megabyte, go out with the function
 
     def mark(texts: pa.Array) -> pa.Array:
-        if not built:
-            built.append(Scanner(rules))
         out = []
         for data in texts.cast(pa.binary()).to_pylist():
-            spans = built[0].spans(data) if data else []
+            spans = made.spans(data) if data else []
             places = sorted({p for a, _, b in spans for p in (a, b)})
             point = dict(zip(places, code_points(data, places), strict=True)) if spans else {}
             out.append([{"kind": rules[k].kind, "start": point[a], "end": point[b]} for a, k, b in spans])
