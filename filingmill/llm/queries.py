@@ -35,4 +35,5 @@ QUERIES = {
 SQL = {
     "op1_embedding_near_dedup": embeddings.SQL,
     "op3_chat_formatting": chat.SQL,
+    "op6_url_filter": urlfilter.SQL,
 }

@@ -3,9 +3,11 @@
 Every rule is a regular expression with the literal tokens that any URL it fits must hold. Rules are filed
 under their rarest token, by counts over all URLs (Spark counts only tokens that occur in rules). A URL's
 tokens fetch candidate rules, and only those run. URLs are mapped without a shuffle; the index is as large as
-the rule list, which ``MAX_RULES`` bounds.
+the rule list, which ``MAX_RULES`` bounds. Listed rules can come from a table (``listed``).
 
-Defined results: a null url, or one without ``://``, has an empty host and path and is allowed by no rule.
+Defined results: a null url, or one without ``://``, has an empty host and path and is allowed by no rule; very long
+urls are judged whole; of listed rules that fit, the longest decides, of equally long ones the first; repeated rows
+give equal rows; an empty table gives an empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -53,6 +55,14 @@ PATTERNS = (
 )
 
 
+def listed(rules: DataFrame) -> tuple[UrlRule, ...]:
+    """Rules of a table (host, path, verdict), in that order; more than MAX_RULES raise an error."""
+    rows = rules.select("host", "path", "verdict").distinct().orderBy("host", "path", "verdict").limit(MAX_RULES + 1).collect()
+    if len(rows) > MAX_RULES:
+        raise ValueError(f"over {MAX_RULES} rules: shard them")
+    return tuple(site(*r) for r in rows)
+
+
 class RuleIndex:
     def __init__(self, rules: tuple[UrlRule, ...], counts: dict[str, int]):
         if len(rules) > MAX_RULES:
@@ -107,3 +117,16 @@ def judge(pages: DataFrame, rules: tuple[UrlRule, ...] = LISTED + PATTERNS) -> D
 
     udf = F.arrow_udf(run, "struct<host:string,path:string,rule:string,verdict:string>").asNondeterministic()
     return pages.select("page_id", udf(F.col("url")).alias("j")).select("page_id", "j.host", "j.path", "j.rule", "j.verdict")
+
+
+# The same in plain SQL: host and path are cut out, the longest listed rule that fits decides, then the patterns.
+_LISTED_SQL = ", ".join(f"('{r.name.partition('/')[0]}', '/{r.name.partition('/')[2]}', '{r.name}', '{r.verdict}')" for r in LISTED)
+_PATTERNS_SQL = " OR ".join(f"regexp_matches(seen, '{r.pattern}')" for r in PATTERNS if r.verdict == "block").replace(r"\Z", r"\z")
+SQL = f"""
+WITH rules(h, p, name, verdict) AS (VALUES {_LISTED_SQL}),
+a AS (SELECT page_id, row_number() OVER () AS k, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
+b AS (SELECT page_id, k, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, substr(rest, length(regexp_extract(rest, '^[^/?#]*')) + 1) AS tail FROM a),
+c AS (SELECT page_id, k, host, regexp_extract(tail, '^[^?#]*') AS path, host || tail AS seen FROM b),
+d AS (SELECT k, arg_max(name, length(name)) AS rule, arg_max(verdict, length(name)) AS verdict FROM c JOIN rules ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p) GROUP BY k)
+SELECT page_id, host, path, rule, coalesce(verdict, CASE WHEN {_PATTERNS_SQL} THEN 'block' ELSE 'allow' END) AS verdict FROM c LEFT JOIN d USING (k)
+"""
