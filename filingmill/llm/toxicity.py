@@ -1,76 +1,138 @@
 """Toxicity by a weighted finite-state grammar over clauses.
 
-Words are mapped to classes: insult (a learned lexicon of words and word stems with weights), threat, target,
-negation, reported speech, clause end, other. Four small transducers read classes: negation and reported
-speech change the mode in which an insult or threat is read, target says whether someone is addressed, and the
-matcher emits (mode, weight) arcs. Their product is one transition table; a clause is one walk. A document's
-score is logistic in the weights its clauses emit per mode, so an insult that is negated, quoted or aimed at
-someone can weigh more or less than a bare one, as the labels have it; words outside a match weigh nothing.
-
-The lexicon comes from Spark counts of words and stems by label over the fitting sample (``SAMPLE`` rows) and
-holds at most LEXICON entries; the logistic weights are fitted on the same rows.
-
-Defined results: a null or empty text has no clauses and gets the score of a text without matches; copies get
-equal scores; without any usable labels every score is the prior 0.
+Words are mapped to symbols: insult (listed words, and a learned lexicon of words and word stems, with weights),
+threat, threatening verb and its particle, target, negation, reported speech, clause end, other. Five transducers
+read and rewrite symbols: phrases join a verb and a particle to a threat, negation and reported speech mark the
+insults and threats they reach, target tells at the clause's end whether someone was addressed in it, before or
+after. ``compose`` makes one transducer of two; the cascade of all becomes one transition table, and a clause is
+one walk. A document's score is logistic in the weights of its matched clauses per mode, so an insult that is
+negated, quoted or aimed at someone can weigh more or less than a bare one, as the labels have it. A threat without
+a target, negated or reported is no match. Words outside a match weigh nothing.
+
+The lexicon comes from Spark counts of words and stems by label over the fitting sample (``SAMPLE`` rows), in which
+near copies of a text count once, and holds at most LEXICON entries. A unit must stand in so many toxic texts that
+chance would put less than ERROR units of the sample there; listed words need none, and their weights are backed off
+to PRIOR toxic texts. The logistic weights are fitted on the same rows.
+
+Defined results: a null or empty text has no clauses and gets the score of a text without matches; repeated rows and
+copies get equal scores; without any usable labels every score is the prior 0; an empty table gives an empty result;
+very long texts are read whole; extra columns pass through ``remove_toxic`` and are never read.
 """
 
 from __future__ import annotations
 
 import math
 import re
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
-from .common import small_batches
+from .common import small_batches, stored
 from .labelled import fold, sample
 
-LEXICON, SUPPORT, PURITY, FREQUENT = 4000, 3, 0.9, 0.04
+LEXICON, SUPPORT, PURITY, FREQUENT, ERROR = 4000, 3, 0.9, 0.04, 0.5
+#: Toxic texts that a listed insult is taken to have been seen in besides those of the sample.
+PRIOR = 3
 STEMS = (3, 4, 5, 6, 7, 8)
 CACHE = 400_000
 TOKEN = re.compile(r"[^\W\d_]+|[.!?;:\n]")
 
-# Words of each class, in the four languages.
+# Words of each symbol, in the four languages.
 WORDS = {
-    "threat": "kill hurt destroy beat stab shoot töten schlagen vernichten tuer frapper détruire matar golpear destruir",
-    "target": "you your yours he she they them him her du dich dir ihr euch sie tu te toi vous ils elle elles tú te ti usted ustedes ellos",
-    "negation": "not no never nor without nicht kein keine nie ohne ne pas jamais sans nunca sin tampoco",
+    "insult": "idiot idiots moron morons stupid dumb fool fools loser losers scum trash garbage worthless pathetic disgusting clown imbecile jerk bastard idioten trottel dummkopf blödmann dumm abschaum versager erbärmlich"
+    " imbécile crétin stupide connard ordure minable débile abruti estúpido estúpida tonto imbécil basura escoria patético asqueroso inútil",
+    "threat": "kill murder hurt destroy stab shoot strangle töten ermorden schlagen vernichten erschießen tuer frapper détruire poignarder matar golpear destruir apuñalar",
+    "verb": "beat blow burn cut wipe mach bring",
+    "particle": "up down out fertig um",
+    "target": "you your yours he she they them him her du dich dir ihr euch sie tu te toi vous ils elle elles tú ti usted ustedes ellos",
+    "negation": "not no never nor without don won nicht kein keine nie ohne ne pas jamais sans nunca sin tampoco",
     "report": "said says say wrote writes quoted called claims sagte sagt schrieb nannte dit disait écrit appelle dijo dice escribió llamó",
+    "end": ". ! ? ; : \n",
 }
-OTHER, INSULT, THREAT, TARGET, NEGATION, REPORT, END = range(7)
-_FIXED = {w: k for k, name in ((THREAT, "threat"), (TARGET, "target"), (NEGATION, "negation"), (REPORT, "report")) for w in WORDS[name].split()}
-_FIXED |= dict.fromkeys(".!?;:\n", END)
-#: How many words a negation reaches.
+_LISTED = {w: symbol for symbol, words in WORDS.items() for w in words.split(" ")}
+#: How many words a negation reaches, and a verb its particle.
 REACH = 3
 MODES = ("bare", "negated", "reported", "aimed", "threat")
 
+State = tuple | int
+Transducer = tuple[State, Callable[[State, str], tuple[State, str]]]  # start; (state, symbol read) -> (state, symbol written)
 
-def compose() -> tuple[list[list[int]], list[list[int]], int]:
-    """The product of the negation (REACH + 1 states), report (2) and target (2) transducers:
-    next state and emitted mode (or -1) by state and class, and the start."""
-    states = [(n, r, a) for n in range(REACH + 1) for r in range(2) for a in range(2)]
-    number = {s: i for i, s in enumerate(states)}
-    step, emit = [], []
-    for n, r, a in states:
-        to, out = [], []
-        for c in range(7):
-            if c == END:
-                after = (0, 0, 0)
-            else:
-                after = (REACH if c == NEGATION else max(n - 1, 0), 1 if c == REPORT else r, 1 if c == TARGET else a)
-            mode = -1
-            if c == INSULT:
-                mode = MODES.index("negated" if n else "reported" if r else "aimed" if a else "bare")
-            elif c == THREAT and a and not n and not r:
-                mode = MODES.index("threat")
-            to.append(number[after])
-            out.append(mode)
-        step.append(to)
-        emit.append(out)
-    return step, emit, number[(0, 0, 0)]
+
+def _phrases(left: int, x: str) -> tuple[int, str]:
+    if x == "verb":
+        return REACH, "other"
+    if x == "particle":
+        return 0, "threat" if left else "other"
+    return (0 if x == "end" else max(left - 1, 0)), x
+
+
+def _negation(left: int, x: str) -> tuple[int, str]:
+    if x == "negation":
+        return REACH, "other"
+    if left and x in ("insult", "threat"):
+        return left - 1, f"negated {x}"
+    return (0 if x == "end" else max(left - 1, 0)), x
+
+
+def _report(inside: int, x: str) -> tuple[int, str]:
+    if x == "report":
+        return 1, "other"
+    if inside and x in ("insult", "threat"):
+        return 1, f"reported {x}"
+    return (0 if x == "end" else inside), x
+
+
+def _target(seen: int, x: str) -> tuple[int, str]:
+    if x == "target":
+        return 1, "other"
+    if x == "end":
+        return 0, "aimed end" if seen else "end"
+    return seen, x
+
+
+def compose(first: Transducer, second: Transducer) -> Transducer:
+    """Reads what ``first`` reads, writes what ``second`` makes of what ``first`` writes."""
+
+    def step(state, x):
+        p, y = first[1](state[0], x)
+        q, z = second[1](state[1], y)
+        return (p, q), z
+
+    return (first[0], second[0]), step
+
+
+GRAMMAR = compose(compose(compose((0, _phrases), (0, _negation)), (0, _report)), (0, _target))
+SYMBOLS = ("other", *WORDS)
+WRITTEN = ("other", "insult", "threat", "negated insult", "negated threat", "reported insult", "reported threat", "end", "aimed end")
+
+
+def tabulate(transducer: Transducer) -> tuple[list[list[int]], list[list[int]]]:
+    """Next state and number of the symbol written, by state and symbol; the start is state 0."""
+    start, step = transducer
+    number, todo, to, out = {start: 0}, [start], [], []
+    for state in todo:
+        row, written = [], []
+        for x in SYMBOLS:
+            after, y = step(state, x)
+            if after not in number:
+                number[after] = len(number)
+                todo.append(after)
+            row.append(number[after])
+            written.append(WRITTEN.index(y))
+        to.append(row)
+        out.append(written)
+    return to, out
+
+
+_STEP, _WRITE = tabulate(GRAMMAR)
+_OTHER, _END = SYMBOLS.index("other"), SYMBOLS.index("end")
+_SEEDS = {SYMBOLS.index("insult"), SYMBOLS.index("threat"), SYMBOLS.index("particle")}
+_ENDS = (WRITTEN.index("end"), WRITTEN.index("aimed end"))
+_KEPT = {WRITTEN.index("insult"): 0, WRITTEN.index("negated insult"): 1, WRITTEN.index("reported insult"): 2, WRITTEN.index("threat"): 3}
 
 
 @dataclass
@@ -78,43 +140,45 @@ class Model:
     lexicon: dict[str, float]  # a word, or a stem with * behind it
     weights: list[float] = field(default_factory=lambda: [0.0] * (2 * len(MODES)))
     bias: float = -20.0
-    _classes: dict[str, tuple[int, float]] = field(default_factory=dict, repr=False, compare=False)
+    _known: dict[str, tuple[int, float]] = field(default_factory=dict, repr=False, compare=False)
 
     def __getstate__(self):
-        return {**self.__dict__, "_classes": {}}
-
-    def class_of(self, word: str) -> tuple[int, float]:
-        if len(self._classes) > CACHE:
-            self._classes.clear()
-        got = (_FIXED[word], 1.0) if word in _FIXED else (OTHER, 0.0)
-        lexicon = self.lexicon
-        weight = max((w for w in (lexicon.get(word), *(lexicon.get(f"{word[:k]}*") for k in STEMS if len(word) > k)) if w is not None), default=0.0)
-        if weight > 0:
-            got = (INSULT, weight)
-        self._classes[word] = got
+        return {**self.__dict__, "_known": {}}
+
+    def symbol_of(self, word: str) -> tuple[int, float]:
+        if len(self._known) > CACHE:
+            self._known.clear()
+        listed = _LISTED.get(word, "other")
+        got = (SYMBOLS.index(listed), 1.0)
+        if listed in ("other", "insult"):
+            lexicon = self.lexicon
+            weight = max((w for w in (lexicon.get(word), *(lexicon.get(f"{word[:k]}*") for k in STEMS if len(word) > k)) if w is not None), default=0.0)
+            got = (SYMBOLS.index("insult"), weight) if weight > 0 else (_OTHER, 0.0)
+        self._known[word] = got
         return got
 
     def features(self, text: str | None) -> list[float]:
         """Per mode the largest clause weight and the log of the total."""
         top, total = [0.0] * len(MODES), [0.0] * len(MODES)
         words = TOKEN.findall((text or "").lower())
-        known = self._classes.get
-        codes = list(map(known, words))
+        codes = list(map(self._known.get, words))
         if None in codes:
-            codes = [self.class_of(w) if c is None else c for w, c in zip(words, codes, strict=True)]
-        if any(c[0] in (INSULT, THREAT) for c in set(codes)):
-            clause = [0.0] * len(MODES)
-            s = _START
-            for c, w in codes:
-                mode = _EMIT[s][c]
-                if mode >= 0:
-                    clause[mode] += w
-                    total[mode] += w
+            codes = [self.symbol_of(w) if c is None else c for w, c in zip(words, codes, strict=True)]
+        if any(c[0] in _SEEDS for c in set(codes)):
+            clause, s = [0.0] * 4, 0
+            for c, w in (*codes, (_END, 0.0)):
+                y = _WRITE[s][c]
                 s = _STEP[s][c]
-                if c == END:
-                    top = list(map(max, top, clause))
-                    clause = [0.0] * len(MODES)
-            top = list(map(max, top, clause))
+                if y in _ENDS:
+                    if any(clause):
+                        plain, negated, reported, threat = clause
+                        aimed = y == _ENDS[1]
+                        for k, x in enumerate((0.0 if aimed else plain, negated, reported, plain if aimed else 0.0, threat if aimed else 0.0)):
+                            top[k] = max(top[k], x)
+                            total[k] += x
+                        clause = [0.0] * 4
+                elif y in _KEPT:
+                    clause[_KEPT[y]] += w
         return top + [math.log1p(x) for x in total]
 
     def score(self, text: str | None) -> float:
@@ -122,33 +186,44 @@ class Model:
         return 1 / (1 + math.exp(-max(-30.0, min(30.0, z))))
 
 
-_STEP, _EMIT, _START = compose()
-
-
 def lexicon(rows: DataFrame) -> dict[str, float]:
-    """Words and stems that stand almost only in toxic texts, with their log odds.
+    """Words and stems that stand almost only in toxic texts, and listed insults, with their log odds.
 
-    Words that toxic copies share by chance are pure too. A unit stays if it is frequent, or if it is needed to
-    explain toxic texts that the units before it, by count, leave over."""
+    Words that toxic copies share by chance are pure too: texts of one least word hash count once, and a unit stays
+    if it is frequent, or if it is needed to explain toxic texts that the units before it, by count, leave over."""
     words = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"\p{L}+"), F.lit(0)))
     stems = lambda k: F.transform(F.filter("w", lambda w: F.length(w) > k), lambda w: F.concat(F.substr(w, F.lit(1), F.lit(k)), F.lit("*")))
-    units = rows.select("doc_id", "y", words.alias("w")).select("doc_id", "y", F.explode(F.array_distinct(F.concat("w", *map(stems, STEMS)))).alias("u"))
-    counts = units.groupBy("u").agg(F.sum("y").alias("bad"), F.count("*").alias("n")).where((F.col("bad") >= SUPPORT) & (F.col("bad") >= PURITY * F.col("n")))
+    least = F.array_min(F.transform("w", lambda w: F.xxhash64(w)))
+    units = rows.select("doc_id", "y", words.alias("w")).select("doc_id", "y", least.alias("text"), F.explode(F.array_distinct(F.concat("w", *map(stems, STEMS)))).alias("u"))
+    listed = sorted(w for w, symbol in _LISTED.items() if symbol == "insult")
+    seen = Observation()
+    counts = units.groupBy("u").agg(F.sum("y").alias("bad"), F.count("*").alias("n")).observe(seen, F.count("*").alias("units"))
+    counts = counts.where(((F.col("bad") >= SUPPORT) & (F.col("bad") >= PURITY * F.col("n"))) | F.col("u").isin(listed))
     top = counts.orderBy(F.desc("bad"), F.length("u"), "u").limit(LEXICON).collect()
     chosen = rows.sparkSession.createDataFrame([(r.u,) for r in top], "u string")
     texts: dict[str, set[int]] = {r.u: set() for r in top}
-    for r in units.where("y = 1").join(F.broadcast(chosen), "u").groupBy("doc_id").agg(F.collect_set("u").alias("us")).collect():  # the sample's toxic rows
+    hashes: dict[str, set[int]] = {r.u: set() for r in top}
+    toxic = units.where("y = 1").join(F.broadcast(chosen), "u").groupBy("doc_id").agg(F.first("text").alias("text"), F.collect_set("u").alias("us"))
+    for r in toxic.collect():  # the sample's toxic rows
         for u in r.us:
             texts[u].add(r.doc_id)
+            hashes[u].add(r.text)
+    share = rows.agg(F.avg("y")).first()[0] or 0.0
+    chance = math.log(1 / min(max(share, 1e-6), 0.5))
+    enough = max(SUPPORT, math.ceil(math.log(max(seen.get["units"], 1) / ERROR) / chance))
+    top = [r for r in top if r.u in listed or len(hashes[r.u]) >= enough]
     explained: set[int] = set()
-    enough = FREQUENT * len(set().union(*texts.values())) if texts else 0
-    kept = []
+    frequent = FREQUENT * len(set().union(*texts.values())) if texts else 0
+    found = {w: math.log((PRIOR + 0.5) / 0.5) for w in listed}
     for r in top:
-        fresh = len(texts[r.u] - explained)
-        if r.bad >= enough or fresh >= SUPPORT:
-            kept.append(r)
-            explained |= texts[r.u]
-    return {r.u: math.log((r.bad + 0.5) / (r.n - r.bad + 0.5)) for r in kept}
+        if r.u in found:
+            found[r.u] = math.log((r.bad + PRIOR + 0.5) / (r.n - r.bad + 0.5))
+        elif r.bad >= frequent or len(texts[r.u] - explained) >= SUPPORT:
+            found[r.u] = math.log((r.bad + 0.5) / (r.n - r.bad + 0.5))
+        else:
+            continue
+        explained |= texts[r.u]
+    return found
 
 
 def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2, steps: int = 60) -> tuple[np.ndarray, float]:
@@ -168,7 +243,7 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2, steps: int = 60)
 def train(docs: DataFrame, labels: DataFrame) -> Model:
     """Fits on labelled rows outside the held-out fold."""
     small_batches(docs.sparkSession)
-    rows = sample(docs, labels, "toxic", fold(F.col("doc_id"), 5) != 0)
+    rows = stored(sample(docs, labels, "toxic", fold(F.col("doc_id"), 5) != 0).repartition(docs.sparkSession.sparkContext.defaultParallelism), "sample")
     model = Model(lexicon(rows))
 
     def describe(texts: pa.Array) -> pa.Array:
