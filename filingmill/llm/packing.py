@@ -2,11 +2,11 @@
 
 Tokenising is a map over documents. Pieces then differ, for packing, only in their length, so the whole
 corpus is described by one count per length: at most ``capacity`` numbers whatever the corpus size. Bin
-completion runs on those counts, as a limited-discrepancy search without backtracking: greedy dives that change
-one choice each, within a fixed number of steps, so large corpora mostly keep the incumbent. Around the largest
-remaining length it enumerates a few fillings of the rest of the bin, prunes by the waste bound (bins so far plus volume left may not reach the incumbent),
-starts from the best-fit-decreasing solution as incumbent, and uses each filling as often as the counts
-allow. Patterns become rank ranges per length, and every piece finds its sequence from its rank among the
+completion runs on those counts by depth-first branch and bound: around the largest remaining length it enumerates
+undominated fillings of the rest of the bin, uses each as often as the counts allow, and goes back to the last level
+that has another filling whenever the waste bound (bins so far plus volume left) cannot beat the incumbent, which is
+the best-fit-decreasing solution at first. The number of nodes is bounded by ``NODES`` and by the number of lengths;
+when they are spent the incumbent stands. Patterns become rank ranges per length, and every piece finds its sequence from its rank among the
 pieces of its length; ranks come from salted counts, so a length that a third of all pieces share is spread.
 
 Defined results: null and empty texts are one piece (the end id alone); only documents of more than
@@ -19,6 +19,7 @@ import os
 import re
 import zlib
 from array import array
+from bisect import bisect_left, bisect_right, insort
 from collections import defaultdict
 
 import numpy as np
@@ -32,6 +33,8 @@ from .common import small_batches, stored
 CAPACITY = 2048
 END_ID = 0
 SALTS = 64
+#: Nodes of the search besides two for every distinct length.
+NODES = 4000
 #: Entries of a worker's cache of encoded words, about 200 bytes each.
 CACHE = 800_000
 _LETTERS = [chr(c) for c in range(0xDF, 0x100) if c != 0xF7]
@@ -169,89 +172,99 @@ def best_fit(counts: dict[int, int], capacity: int) -> list[Pattern]:
     return [(tuple(c), n) for g in groups.values() for c, n in g]
 
 
-def fillings(lengths: np.ndarray, counts: dict[int, int], room: int, width: int, nodes: int) -> list[tuple[int, ...]]:
-    """Undominated fillings of ``room``, least waste first, larger pieces first; at most ``width``.
+def dominates(a: tuple[int, ...], b: tuple[int, ...]) -> bool:
+    """Whether the pieces of ``b`` fit, some together, into places of the pieces of ``a``: then ``a`` is at least as good."""
+    rooms = sorted(a)
+    for x in sorted(b, reverse=True):
+        k = bisect_left(rooms, x)
+        if k == len(rooms):
+            return False
+        insort(rooms, rooms.pop(k) - x)
+    return True
 
-    Larger pieces are tried first, so a filling that splits a piece of an earlier one with the same sum is
-    dominated by it and skipped.
-    """
-    best: dict[int, tuple[int, ...]] = {}  # sum -> first, hence undominated, filling
+
+def fillings(lengths: list[int], counts: dict[int, int], room: int, width: int, nodes: int) -> list[tuple[int, ...]]:
+    """Undominated fillings of ``room``, least waste first; at most ``width`` of them, from at most ``nodes`` tried."""
+    best: dict[int, tuple[int, ...]] = {}  # sum -> its first filling, that of the largest pieces
     spent = 0
-    ceiling = int(lengths.size)
 
-    def go(room_left: int, at: int, chosen: tuple[int, ...]) -> bool:
+    def go(left: int, at: int, chosen: tuple[int, ...]) -> None:
         nonlocal spent
         spent += 1
-        total = room - room_left
-        if total not in best:
-            best[total] = chosen
-        if room_left == 0:
-            return True
-        if spent > nodes:
-            return True
-        k = min(at, int(np.searchsorted(lengths, room_left, "right")) - 1)
-        tried = 0
-        while k >= 0 and tried < width:
-            x = int(lengths[k])
+        best.setdefault(room - left, chosen)
+        k, tried = min(at, bisect_right(lengths, left) - 1), 0
+        while k >= 0 and tried < width and spent < nodes and room not in best:
+            x = lengths[k]
             if chosen.count(x) < counts[x]:
                 tried += 1
-                if go(room_left - x, k, (*chosen, x)) and (spent > nodes or 0 in (room_left - x,)):
-                    return True
-                if room in best:
-                    return True
+                go(left - x, k, (*chosen, x))
             k -= 1
-        return False
 
-    go(room, ceiling - 1, ())
-    return [best[s] for s in sorted(best, reverse=True)[:width]]
+    go(room, len(lengths) - 1, ())
+    found: list[tuple[int, ...]] = []
+    for total in sorted(best, reverse=True):
+        if len(found) < width and not any(dominates(f, best[total]) for f in found):
+            found.append(best[total])
+    return found
 
 
-def complete(counts: dict[int, int], capacity: int = CAPACITY, width: int = 4, nodes: int = 4000, depth_nodes: int = 160) -> list[Pattern]:
-    """Bin completion by limited-discrepancy dives; ``nodes`` bounds the search, never the result's completeness."""
-    counts = {k: v for k, v in counts.items() if v}
-    incumbent = best_fit(counts, capacity)
+def complete(counts: dict[int, int], capacity: int = CAPACITY, width: int = 4, nodes: int | None = None, depth_nodes: int = 160) -> list[Pattern]:
+    """Bin completion by branch and bound; ``nodes`` bounds the search, never the result's completeness."""
+    left = {k: v for k, v in counts.items() if v}
+    incumbent = best_fit(left, capacity)
     best = sum(n for _, n in incumbent)
-    floor = -(-sum(k * v for k, v in counts.items()) // capacity)
-    if best <= floor or not counts:
-        return incumbent
-    spent = 0
-
-    def dive(start: dict[int, int], choose) -> list[Pattern] | None:
-        nonlocal spent
-        left = dict(start)
-        lengths = np.array(sorted(left), np.int64)
-        volume, bins, out = sum(k * v for k, v in left.items()), 0, []
-        level = 0
-        while left:
-            if bins + -(-volume // capacity) >= best or spent > nodes:
-                return None
-            spent += 1
-            top = int(lengths[-1])
-            left[top] -= 1
-            found = fillings(lengths, left, capacity - top, width, depth_nodes)
-            pick = found[min(choose(level), len(found) - 1)]
-            left[top] += 1
-            content = (top, *pick)
-            need = {x: content.count(x) for x in set(content)}
-            times = min(left[x] // n for x, n in need.items())
-            for x, n in need.items():
-                left[x] -= n * times
-                if not left[x]:
-                    del left[x]
-                    lengths = np.delete(lengths, int(np.searchsorted(lengths, x)))
-            out.append((content, times))
-            bins += times
-            volume -= times * sum(content)
-            level += 1
-        return out
-
-    # limited discrepancy: the best filling everywhere, then the second best at one level at a time
-    plans = [lambda _: 0] + [lambda lv, at=at, k=k: k if lv == at else 0 for k in range(1, width) for at in range(40)]
-    for choose in plans:
-        if spent > nodes or best <= floor:
+    volume = sum(k * v for k, v in left.items())
+    floor = -(-volume // capacity)
+    budget = nodes if nodes is not None else NODES + 2 * len(left)
+    lengths, bins, spent = sorted(left), 0, 0
+    levels: list[list] = []  # [fillings around the largest piece, number of the next, (content, times) in use or None]
+
+    def put(content: tuple[int, ...], times: int) -> None:
+        nonlocal bins, volume
+        for x in content:
+            before = left.get(x, 0)
+            left[x] = before - times
+            if not left[x]:
+                del left[x]
+                lengths.pop(bisect_left(lengths, x))
+            elif not before:
+                insort(lengths, x)
+        bins += times
+        volume -= times * sum(content)
+
+    down = True
+    while best > floor:
+        if down:
+            if not left:
+                incumbent, best = [level[2] for level in levels], bins
+                down = False
+            elif bins + -(-volume // capacity) >= best:
+                down = False
+            elif spent >= budget:
+                break
+            else:
+                spent += 1
+                top = lengths[-1]
+                left[top] -= 1
+                options = fillings(lengths, left, capacity - top, width, depth_nodes)
+                left[top] += 1
+                levels.append([[(top, *f) for f in options], 0, None])
+        if not levels:
             break
-        if (found := dive(counts, choose)) is not None:
-            incumbent, best = found, sum(n for _, n in found)
+        level = levels[-1]
+        if level[2] is not None and not down:
+            put(level[2][0], -level[2][1])
+            level[2] = None
+        if level[1] < len(level[0]):
+            content = level[0][level[1]]
+            level[1] += 1
+            times = min(left[x] // content.count(x) for x in set(content))
+            level[2] = (content, times)
+            put(content, times)
+            down = True
+        else:
+            levels.pop()
+            down = False
     return incumbent
 
 
