@@ -35,6 +35,35 @@ def test_search_reaches_the_bound():
     assert bins <= floor * 1.02 + 1
 
 
+def fewest(pieces, capacity):
+    """Fewest bins, over all subsets."""
+    best = [(0, 0)] + [(len(pieces) + 1, 0)] * (2 ** len(pieces) - 1)  # bins, filled in the last
+    for m in range(2 ** len(pieces)):
+        bins, used = best[m]
+        for i, x in enumerate(pieces):
+            if not m >> i & 1:
+                after = (bins, used + x) if bins and used + x <= capacity else (bins + 1, x)
+                best[m | 1 << i] = min(best[m | 1 << i], after)
+    return best[-1][0]
+
+
+def test_search_beats_best_fit_and_reaches_the_optimum():
+    r, beaten = random.Random(5), 0
+    for _ in range(60):
+        pieces = [r.randint(5, 59) for _ in range(r.randint(6, 10))]
+        size = lambda found: sum(n for _, n in found)
+        counts = dict(Counter(pieces))
+        got = size(packing.complete(counts, 100))
+        assert got == fewest(pieces, 100), pieces
+        beaten += got < size(packing.best_fit(counts, 100))
+    assert beaten
+
+
+def test_dominated_fillings_go():
+    assert packing.dominates((50, 30), (30, 20, 20)) and not packing.dominates((50,), (30, 21))
+    assert packing.fillings([10, 20, 30], {10: 3, 20: 1, 30: 1}, 30, 4, 100) == [(30,)]
+
+
 def test_encoder_is_exact():
     e = packing.Encoder(tokenizer_path())
     texts = [*ODD, " ".join(ODD), "The quick brown fox, jumps. Over!? größe élan Ünder"]

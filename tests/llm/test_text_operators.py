@@ -94,6 +94,38 @@ def test_added_rules(kind, text):
     assert (4, [r.kind for r in secrets.RULES].index(kind), 4 + len(text)) in spans
 
 
+def test_spans_of_all_rules_are_those_of_re():
+    r = random.Random(3)
+    bits = ["password", "token", "secret", "api_key", "=", ":", " ", '"', "AKIA", "ABCDEFGH1234", "0123456789abcdef", "deadbeef" * 4, "-----BEGIN ", "RSA ", "PRIVATE KEY-----", "ghp_", "xoxb-", "AIza", "sk_live_", "eyJ", "eyJ", ".", "http://", "user", ":pw", "@host", "\n", "-", "Z"]
+    scanner = secrets.scanner(secrets.RULES)
+    for _ in range(4000):
+        data = "".join(r.choice(bits) for _ in range(r.randint(1, 25))).encode()
+        expected = []
+        for k, rule in enumerate(secrets.RULES):
+            for m in re.finditer(rule.match.encode(), data):
+                begin = re.compile(rule.value.encode()).match(data[: m.end()], m.start()).end() if rule.value else m.start()
+                if m.end() - begin >= rule.least:
+                    expected.append((m.start(), k, m.end()))
+        assert scanner.spans(data) == sorted(expected), data
+
+
+@pytest.mark.parametrize("unit", [b"eyJ", b"http://", b"token = ", b"http://a:", b"-----BEGIN A"])
+def test_a_megabyte_is_read_in_linear_time(unit):
+    import time
+
+    scanner, took = secrets.scanner(secrets.RULES), []
+    for size in (100_000, 1_000_000):
+        began = time.process_time()
+        scanner.spans(unit * (size // len(unit)))
+        took.append(time.process_time() - began)
+    assert took[1] < 30 * took[0] + 1
+
+
+def test_secrets_of_an_empty_table(spark):
+    none = spark.createDataFrame([], "doc_id long, text string")
+    assert secrets.report(none).count() == secrets.redact(none).count() == 0
+
+
 # ---------------------------------------------------------------- URLs
 
 
@@ -110,8 +142,54 @@ def test_urls(spark, url, expected):
 
 
 def test_index_runs_only_candidates():
-    index = urlfilter.RuleIndex(urlfilter.LISTED + urlfilter.PATTERNS, {"com": 9, "example": 5, "en": 7, "www": 1, "net": 3, "es": 2, "fr": 4})
+    counts = {"com": 9, "example": 5, "en": 7, "www": 1, "net": 3, "es": 2, "fr": 4}
+    index = urlfilter.RuleIndex(urlfilter.LISTED + urlfilter.PATTERNS, counts)
     assert {t for t in index.filed} >= {"www", "es", "net", "example", "com"}
+    ran = []
+
+    class Watched:
+        def __init__(self, pattern):
+            self.pattern = pattern
+
+        def match(self, text):
+            ran.append(self.pattern.pattern)
+            return self.pattern.match(text)
+
+        search = match
+
+    index.filed = {t: [(r, Watched(p)) for r, p in entries] for t, entries in index.filed.items()}
+    index.judge("http://a.net/es/")
+    assert ran and all("net" in p or "es" in p for p in ran)
+    ran.clear()
+    index.judge("http://plain.org/")
+    assert not ran
+
+
+def test_urls_against_all_rules():
+    """The index gives what trying every rule gives."""
+    r = random.Random(6)
+    rules = urlfilter.LISTED + urlfilter.PATTERNS
+    one, all_ = urlfilter.RuleIndex(rules, {}), urlfilter.RuleIndex(rules, {})
+    all_.always, all_.filed = all_.always + [e for es in all_.filed.values() for e in es], {}
+    bits = ["http://", "www.", "example", ".com", "/en/", "/", "net", ".net", "/es/", "/fr/", "casino", "login", "?session=1", "#", ".xxx", "com", ":80", "A", "É"]
+    for _ in range(5000):
+        url = "".join(r.choice(bits) for _ in range(r.randint(0, 8)))
+        assert one.judge(url) == all_.judge(url), url
+
+
+def test_urls_of_odd_tables(spark):
+    assert urlfilter.judge(spark.createDataFrame([], "page_id long, url string")).count() == 0
+    long = "http://a.net/es/" + "x" * 500_000
+    rows = [(1, long, "n"), (1, long, "n"), (None, None, "n")]
+    got = urlfilter.judge(spark.createDataFrame(rows, "page_id long, url string, verdict string")).collect()
+    assert sorted((r.page_id or 0, r.rule or "") for r in got) == [(0, ""), (1, "net/es/"), (1, "net/es/")]
+
+
+def test_rules_of_a_table(spark):
+    table = spark.createDataFrame([("org", "/", "block"), ("w.org", "/ok/", "allow"), ("org", "/", "block")], "host string, path string, verdict string")
+    rules = urlfilter.listed(table)
+    pages = spark.createDataFrame([(1, "http://w.org/ok/1"), (2, "http://v.org/"), (3, "http://v.net/")], "page_id long, url string")
+    assert {r.page_id: r.verdict for r in urlfilter.judge(pages, rules).collect()} == {1: "allow", 2: "block", 3: "allow"}
 
 
 # ---------------------------------------------------------------- chat
@@ -176,6 +254,51 @@ def test_contexts_find_unseen_identifiers(spark):
     assert got[20] == "ctx:18:26" and got[21] == "" and got[0].startswith("phone:18:")
 
 
+def brute_belief(rows):
+    """Accepted patterns of (pattern, instance, seed) rows, in plain loops."""
+    seeds = {i for _, i, s in rows if s}
+    of = {p: {i for q, i, _ in rows if q == p} for p in {p for p, _, _ in rows}}
+    of = {p: i for p, i in of.items() if len(i) >= pii.SUPPORT}
+    belief, accepted = {i: float(i in seeds) for _, i, _ in rows}, {}
+    for _ in range(pii.ROUNDS):
+        accepted = {}
+        for p, instances in of.items():
+            b = sum(belief[i] for i in instances)
+            score = b / len(instances) * b / (b + 1)
+            if score >= pii.CONFIDENCE and sum(belief[i] >= pii.BELIEVED for i in instances) >= pii.SUPPORT:
+                accepted[p] = score
+        for i in belief:
+            doubt = 1.0
+            for p, score in accepted.items():
+                doubt *= 1 - score if i in of[p] else 1.0
+            belief[i] = 1.0 if i in seeds else 1 - doubt
+    return accepted
+
+
+def bootstrap_rows():
+    rows = [(i, f"please call us at +1 (555) 123-4{i:03d} today") for i in range(60)]
+    rows += [(100 + i, f"please call us at AB-1000{i} today") for i in range(6)]
+    rows += [(200 + i, f"the badge reads AB-1000{i} clearly") for i in range(6)]
+    return rows + [(300, "the badge reads AB-77777 clearly"), (301, "nothing near AB-88888 here"), (302, "the badge reads AB-77777 clearly")]
+
+
+def test_discovered_instances_support_new_patterns(spark):
+    docs = spark.createDataFrame(bootstrap_rows(), "doc_id long, text string")
+    graph = pii.edges(pii.base_spans(docs))
+    expected = brute_belief([(r.pattern, r.instance, r.seed) for r in graph.collect()])
+    got = {r.pattern: r.score for r in pii.patterns(graph).collect()}
+    assert got.keys() == expected.keys() and all(abs(got[p] - expected[p]) < 1e-9 for p in got)
+    assert "badge reads _" in got  # none of its instances is a seed
+    spans = {r.doc_id: r.spans for r in pii.report(docs).collect()}
+    assert spans[300] == spans[302] == "ctx:16:24" and spans[301] == ""
+
+
+@pytest.mark.parametrize(("text", "found"), [("write to @some_one now", "@some_one"), ("name: José Ruiz, here", "José Ruiz"), ("code AB12345.", "AB12345"), ("a.b@c.de", None), ("plain: words", None)])
+def test_typed_candidates(spark, text, found):
+    spans = pii.base_spans(spark.createDataFrame([(1, text)], "doc_id long, text string")).first().ctx
+    assert [text[s.start : s.end] for s in spans] == ([found] if found else [])
+
+
 def test_pii_of_an_empty_table(spark):
     assert pii.report(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
@@ -212,12 +335,80 @@ def test_toxicity_held_out(spark):
 
 
 def test_grammar_modes():
-    m = toxicity.Model({"fool": 1.0})
+    m = toxicity.Model({"zorg": 1.0})
     top = lambda t: dict(zip(toxicity.MODES, m.features(t), strict=False))
-    assert top("a fool.")["bare"] == 1 and top("you fool.")["aimed"] == 1 and top("he said fool.")["reported"] == 1
-    assert top("not a fool.")["negated"] == 1 and top("not at all so very fool")["bare"] == 1
-    assert top("I will kill you")["threat"] == 0 and top("you I will kill")["threat"] == 1
-    assert top("said. fool")["bare"] == 1 and top("one fool fool. fool")["bare"] == 2
+    assert top("a zorg.")["bare"] == 1 and top("you zorg.")["aimed"] == 1 and top("he said zorg.")["reported"] == 1
+    assert top("not a zorg.")["negated"] == 1 and top("not at all so very zorg")["bare"] == 1
+    for threat in ("I will kill you", "kill them all", "you I will kill", "beat you up"):
+        assert top(threat)["threat"] == 1, threat
+    for none in ("kill time", "I will not kill you", "he said I will kill you", "beat the egg. up you go"):
+        assert top(none)["threat"] == 0, none
+    assert top("zorg, you")["aimed"] == 1 and top("zorg. you")["aimed"] == 0
+    assert top("said. zorg")["bare"] == 1 and top("one zorg zorg. zorg")["bare"] == 2
+
+
+def brute_modes(words, weights):
+    """Largest clause weight per mode, by looking at each word of a clause by itself."""
+    kind = lambda w: next((k for k, ws in toxicity.WORDS.items() if w in ws.split(" ")), "insult" if w in weights else "other")
+    best = dict.fromkeys(toxicity.MODES, 0.0)
+    clauses, now = [], []
+    for w in words:
+        if kind(w) == "end":
+            clauses.append(now)
+            now = []
+        else:
+            now.append(w)
+    for clause in [*clauses, now]:
+        got, kinds = dict.fromkeys(toxicity.MODES, 0.0), [kind(w) for w in clause]
+        verb_free, aimed, neg = 0, "target" in kinds, 0
+        for i, k in enumerate(kinds):
+            if k == "particle":
+                k = "threat" if verb_free else "other"
+                verb_free = 0
+            elif k == "verb":
+                k, verb_free = "other", toxicity.REACH
+            else:
+                verb_free = max(verb_free - 1, 0)
+            negated, neg = neg > 0, toxicity.REACH if k == "negation" else max(neg - 1, 0)
+            weight = weights.get(clause[i], 1.0) if k == "insult" else 1.0
+            if k == "insult":
+                got["negated" if negated else "reported" if "report" in kinds[:i] else "aimed" if aimed else "bare"] += weight
+            elif k == "threat" and aimed and not negated and "report" not in kinds[:i]:
+                got["threat"] += weight
+        best = {m: max(best[m], got[m]) for m in best}
+    return best
+
+
+def test_grammar_walk_is_that_of_plain_scans():
+    r = random.Random(8)
+    words = ["zorg", "blat", "kill", "beat", "up", "you", "them", "not", "never", "said", "a", "the", "very", ".", "!"]
+    weights = {"zorg": 2.0, "blat": 0.5}
+    m = toxicity.Model(dict(weights))
+    for _ in range(3000):
+        text = [r.choice(words) for _ in range(r.randint(0, 14))]
+        assert m.features(" ".join(text))[: len(toxicity.MODES)] == list(brute_modes(text, weights).values()), text
+
+
+def test_composition_is_one_after_the_other():
+    r = random.Random(2)
+    both = toxicity.compose((0, toxicity._phrases), (0, toxicity._negation))
+    for _ in range(300):
+        symbols = [r.choice(toxicity.SYMBOLS) for _ in range(12)]
+        one, p, q = both[0], 0, 0
+        for x in symbols:
+            one, z = both[1](one, x)
+            p, y = toxicity._phrases(p, x)
+            q, w = toxicity._negation(q, y)
+            assert z == w
+
+
+def test_trained_operators_on_odd_tables(spark):
+    docs, labels = toxic_docs(spark)
+    assert toxicity.report(docs.where("false"), labels).count() == quality.report(docs.where("false"), labels).count() == 0
+    assert toxicity.remove_toxic(docs.where("false"), labels).columns == docs.columns
+    long = docs.where("doc_id < 40").unionByName(docs.where("doc_id = 1002")).unionByName(docs.where("doc_id = 1002"))
+    assert toxicity.report(long, labels).where("doc_id = 1002").select("score").distinct().count() == 1
+    assert quality.report(long, labels).where("doc_id = 1002").select("score").distinct().count() == 1
 
 
 def test_training_without_labels(spark):
