@@ -57,11 +57,16 @@ def _(spark, d):
   'https://www.sec.gov/Archives/edgar/data/' || CASE WHEN o_custkey = 0 THEN '' ELSE CAST(o_custkey AS VARCHAR) END || '/' || o_orderkey || '/doc.htm' AS url FROM orders WHERE o_orderpriority IN ('1-URGENT', '2-HIGH') AND o_orderdate >= DATE '1996-01-01' AND o_orderdate <= DATE '2000-12-31'""")
 def _(spark, d):
     form = F.create_map(*[F.lit(x) for kv in _FORM.items() for x in kv])[F.col("o_orderpriority")]
-    rows = S.read(spark, d, "orders").select("o_custkey", F.struct(F.col("o_orderkey").cast("string").alias("a"), F.date_format("o_orderdate", "yyyy-MM-dd").alias("d"), F.coalesce(form, F.lit("8-K")).alias("f")).alias("r"))
-    grouped = rows.groupBy("o_custkey").agg(F.collect_list("r").alias("r"))  # one company's filings
-    recent = F.struct(F.col("r.a").alias("accessionNumber"), F.col("r.d").alias("filingDate"), F.col("r.f").alias("form"), F.transform("r", lambda _: F.lit("doc.htm")).alias("primaryDocument"))
-    value = F.to_json(F.struct(F.col("o_custkey").cast("string").alias("cik"), F.struct(recent.alias("recent")).alias("filings")))
-    return src.explode_submissions(grouped.select(value.alias("value")), ("10-K", "10-Q"), "1996-01-01", "2000-12-31")
+    one = F.struct(F.col("o_orderkey").cast("string").alias("a"), F.date_format("o_orderdate", "yyyy-MM-dd").alias("d"), F.coalesce(form, F.lit("8-K")).alias("f"), (F.col("o_orderkey") % 3).alias("page"))
+    grouped = S.read(spark, d, "orders").groupBy("o_custkey").agg(F.collect_list(one).alias("r"))  # one company's filings
+
+    def page(k: int):
+        r = F.filter("r", lambda x: x["page"] == k)
+        return F.struct(r["a"].alias("accessionNumber"), r["d"].alias("filingDate"), r["f"].alias("form"), F.transform(r, lambda _: F.lit("doc.htm")).alias("primaryDocument"))
+
+    value = F.to_json(F.struct(F.col("o_custkey").cast("string").alias("cik"), F.struct(page(0).alias("recent")).alias("filings")))
+    more = F.array(F.to_json(page(1)), F.to_json(page(2)))  # older filings come as appended pages
+    return src.explode_submissions(grouped.select(value.alias("value"), more.alias("pages")), ("10-K", "10-Q"), "1996-01-01", "2000-12-31")
 
 
 @query("prices_from_csv", with_(S.PRICES) + "SELECT ticker, date, round(price, 8) AS open, round(price, 8) AS high, round(price, 8) AS low, round(price, 8) AS close, CAST(0 AS BIGINT) AS volume, CAST(NULL AS DOUBLE) AS adj_close, 'csv' AS source FROM prices WHERE dayofmonth(date) <> 7")
@@ -71,14 +76,14 @@ def _(spark, d):
     return rounded(px.prices_from_rows(rows), 8)
 
 
-@query("prices_from_chart_json", with_(S.PRICES) + "SELECT ticker, date, round(price, 8) AS close, CAST(CASE WHEN dayofmonth(date) = 5 THEN 0 ELSE 100 END AS BIGINT) AS volume FROM prices WHERE dayofmonth(date) <> 7 AND date BETWEEN DATE '1996-01-01' AND DATE '2000-12-31'")
+@query("prices_from_chart_json", with_(S.PRICES) + "SELECT ticker, date, round(price, 8) AS open, round(price, 8) AS high, round(price, 8) AS low, round(price, 8) AS close, CAST(CASE WHEN dayofmonth(date) = 5 THEN 0 ELSE 100 END AS BIGINT) AS volume FROM prices WHERE dayofmonth(date) <> 7 AND date BETWEEN DATE '1996-01-01' AND DATE '2000-12-31'")
 def _(spark, d):
     p = F.when(F.dayofmonth("date") != 7, F.col("price"))
     one = F.struct(F.unix_timestamp(F.col("date").cast("timestamp")).alias("t"), p.alias("p"), F.when(F.dayofmonth("date") != 5, F.lit(100)).alias("v"))
     g = S.prices(spark, d).groupBy("ticker", F.trunc("date", "month").alias("m")).agg(F.array_sort(F.collect_list(one)).alias("r"))  # one ticker's month
     arrays = F.struct(*[F.col("r.p").alias(k) for k in ("open", "high", "low", "close")], F.col("r.v").alias("volume"))
     value = F.to_json(F.struct(F.col("r.t").alias("timestamp"), F.struct(F.array(arrays).alias("quote")).alias("indicators")), {"ignoreNullFields": "false"})
-    return rounded(px.prices_from_chart_json(g.select("ticker", value.alias("value")), "1996-01-01", "2000-12-31").select("ticker", "date", "close", "volume"), 8)
+    return rounded(px.prices_from_chart_json(g.select("ticker", value.alias("value")), "1996-01-01", "2000-12-31").select("ticker", "date", "open", "high", "low", "close", "volume"), 8)
 
 
 @query("returns_from_csv", "SELECT 'S' || l_suppkey AS ticker, CAST(l_shipdate AS DATE) AS date, round(avg(round(l_discount, 4)), 6) AS value, 'ret' AS kind FROM lineitem GROUP BY ALL")

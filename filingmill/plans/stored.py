@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from filingmill.operators import catalog, portfolio, returns, scoring, validate
 from filingmill.sources import sinks
+from filingmill.sources.store import delete_at_end, new_path
 
 from . import standin as S
 from .backtests import END, START, days
@@ -136,6 +137,21 @@ def _(spark, d):
     return wide.select("ticker", "signal_date", (F.col("composite_score") + 0.0).alias("composite_score"), "rank", *[(F.round(c, 6) + 0.0).alias(c) for c in wide.columns[4:]])
 
 
+_JSON = "SELECT ticker, signal_date, max(composite_score) + 0.0 AS composite_score, max(rank) AS rank, CAST(count(e) AS INTEGER) AS n_components, round(sum(e), 4) + 0.0 AS total FROM composites"
+_WEIGHED = "(SELECT as_of AS signal_date, ticker, CAST(weight * own AS DECIMAL(20, 10)) AS e FROM weighed)"
+
+
+@query("signals_json", with_(*S.TO_COMPOSITES) + f"{_JSON} LEFT JOIN {_WEIGHED} USING (ticker, signal_date) GROUP BY ALL")
+def _(spark, d):
+    """Composites written as JSON files and read back."""
+    path = new_path(spark, "signals-json")
+    sinks.write_signals_json(S.composites(spark, d), path)
+    delete_at_end(spark, path)
+    back = spark.read.schema("ticker string, signal_date date, composite_score double, rank int, components map<string,double>").json(path)
+    total = F.round(F.aggregate(F.map_values("components"), F.lit(0.0), lambda a, x: a + x), 4)
+    return back.select("ticker", "signal_date", (F.col("composite_score") + 0.0).alias("composite_score"), "rank", F.size("components").alias("n_components"), (total + 0.0).alias("total"))
+
+
 _REPORT = """per AS (SELECT signal_date, count(*) AS n, round(avg(composite_score), 6) + 0.0 AS net FROM scores GROUP BY ALL)
 SELECT 'period' AS part, CAST(signal_date AS VARCHAR) AS name, net AS value FROM per UNION ALL SELECT 'signals', CAST(signal_date AS VARCHAR), n FROM per
 UNION ALL SELECT 'metric', 'best', round(max(composite_score), 6) + 0.0 FROM scores UNION ALL SELECT 'metric', 'worst', round(min(composite_score), 6) + 0.0 FROM scores"""

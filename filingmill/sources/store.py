@@ -45,13 +45,23 @@ def _at(spark: SparkSession, path: str):
     return target.getFileSystem(sc._jsc.hadoopConfiguration()), target
 
 
+def new_path(spark: SparkSession, name: str) -> str:
+    """A place of its own in the shared folder."""
+    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def delete_at_end(spark: SparkSession, path: str) -> None:
+    """A written path goes when the application ends."""
+    files, target = _at(spark, path)
+    files.deleteOnExit(target)
+
+
 def stored(df: DataFrame, name: str, result: bool = False) -> DataFrame:
     """Write once, read back; the table goes when the application ends, or with ``scratch`` unless it is a ``result``."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = new_path(spark, name)
     df.write.parquet(path)
-    files, target = _at(spark, path)
-    files.deleteOnExit(target)
+    delete_at_end(spark, path)
     for paths in _watched if not result else ():
         paths.append(path)
     return spark.read.schema(df.schema).parquet(path)
