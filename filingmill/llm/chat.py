@@ -6,15 +6,18 @@ attachments, and its reference and expanded token count are recorded. A turn rea
 Escaping turns ``&``, ``[``, ``]`` and ``<`` of texts and roles into entities, so no control string can come
 from a text and reading back is exact.
 
-A conversation is one row of the result, so its turns meet in one group; nothing larger does.
+Parts are rows, and their places are running sums over a conversation's parts, so work grows with the number of
+parts, however long a conversation is; one exchange by conversation serves all of it. A conversation is one row of
+the result, so its turns meet in one group; nothing larger does.
 
-Defined results: null texts, roles and part lists are empty; turns are ordered by turn (nulls first), then
-role, then content; an empty table gives no rows; extra columns are ignored.
+Defined results: null texts, roles, parts and part lists are empty; a part without a type is text; turns are ordered by
+turn (nulls first), then role, then content; repeated rows are turns of their own; an empty table gives no rows; extra
+columns are ignored.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 PARTS = "array<struct<type:string,text:string,ref:string,units:double>>"
@@ -53,46 +56,70 @@ def _tokens(part: Column) -> Column:
 def format_conversations(turns: DataFrame) -> DataFrame:
     """From (conv_id, turn, role, parts): conv_id, formatted, loss_spans (start, length: code points of
     assistant contents in ``formatted``), attachments (ordinal, type, ref, tokens), expanded_tokens."""
-    one = F.struct("turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("parts", F.array().cast(PARTS)).alias("parts"))
-    grouped = turns.groupBy("conv_id").agg(F.array_sort(F.collect_list(one)).alias("turns"))
-
-    files = F.filter(F.flatten(F.transform("turns", lambda t: t["parts"])), lambda p: p["type"] != "text")
-    attachments = F.transform(files, lambda p, k: F.struct(k.alias("ordinal"), p["type"].alias("type"), p["ref"].alias("ref"), _tokens(p).alias("tokens")))
-
-    def visit(acc: Column, p: Column) -> Column:
-        is_text = F.coalesce(p["type"], F.lit("text")) == "text"
-        shown = F.when(is_text, escape(F.coalesce(p["text"], F.lit("")))).otherwise(F.concat(F.lit("<"), escape(p["type"]), F.lit(":"), acc["files"].cast("string"), F.lit(">")))
-        return F.struct(F.concat(acc["out"], shown).alias("out"), F.when(is_text, acc["files"]).otherwise(acc["files"] + 1).alias("files"))
-
-    before = F.transform("turns", lambda t: F.size(F.filter(t["parts"], lambda p: p["type"] != "text")))
-
-    def flat(t: Column, k: Column) -> Column:
-        first = F.aggregate(F.slice("before", 1, k), F.lit(0), lambda a, x: a + x)
-        start = F.struct(F.lit("").alias("out"), first.alias("files"))
-        return F.struct(escape(t["role"]).alias("role"), F.aggregate(t["parts"], start, visit, lambda a: a["out"]).alias("content"))
-
-    def grow(acc: Column, t: Column) -> Column:
-        at = acc["at"] + F.length(t["role"]) + 2
-        n = F.length(t["content"]).cast("long")
-        span = F.when(t["role"] == "assistant", F.array(F.struct(at.alias("start"), n.alias("length")))).otherwise(F.array().cast("array<struct<start:bigint,length:bigint>>"))
-        return F.struct((at + n + len(END)).alias("at"), F.concat(acc["spans"], span).alias("spans"))
-
-    zero = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<struct<start:bigint,length:bigint>>").alias("spans"))
-    shown = F.transform("flat", lambda t: F.concat(F.lit("["), t["role"], F.lit("]"), t["content"], F.lit(END)))
-    return (
-        grouped.withColumn("before", before).withColumn("flat", F.transform("turns", flat)).withColumn("attachments", attachments)
-        .select(
-            "conv_id", F.array_join(shown, "").alias("formatted"), F.aggregate("flat", zero, grow, lambda a: a["spans"]).alias("loss_spans"), "attachments",
-            F.aggregate(F.transform("attachments", lambda a: a["tokens"]), F.lit(0).cast("long"), lambda a, x: a + x).alias("expanded_tokens"),
-        )
+    told = turns.select(
+        "conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("parts", F.array().cast(PARTS)).alias("parts")
+    )
+    numbered = told.withColumn("at", F.row_number().over(Window.partitionBy("conv_id").orderBy("turn", "role", "parts")))
+    parts = numbered.select("conv_id", "at", "role", F.size("parts").alias("n"), F.posexplode_outer("parts").alias("k", "part"))
+
+    # One ordering serves all running sums: places among attachments, places in the text, starts of turns.
+    order = Window.partitionBy("conv_id").orderBy("at", "k")
+    before = order.rowsBetween(Window.unboundedPreceding, -1)
+    is_text = F.coalesce(F.col("part.type"), F.lit("text")) == "text"
+    ordinal = F.coalesce(F.sum(F.when(is_text, 0).otherwise(1)).over(before), F.lit(0)).cast("int")
+    first, last = F.coalesce(F.col("k") == 0, F.lit(True)), F.coalesce(F.col("k") == F.col("n") - 1, F.lit(True))
+    placeholder = F.concat(F.lit("<"), escape(F.col("part.type")), F.lit(":"), F.col("ordinal").cast("string"), F.lit(">"))
+    visited = parts.withColumn("ordinal", ordinal).select(
+        "conv_id", "at", "k", "role", first.alias("first"), last.alias("last"),
+        F.when(first, F.concat(F.lit("["), escape(F.col("role")), F.lit("]"))).otherwise("").alias("opening"),
+        F.when(is_text, escape(F.coalesce(F.col("part.text"), F.lit("")))).otherwise(placeholder).alias("content"),
+        F.when(last, END).otherwise("").alias("closing"),
+        F.when(~is_text, F.struct("ordinal", "part.type", "part.ref", _tokens(F.col("part")).alias("tokens"))).alias("file"),
+    )
+    size = sum((F.length(c) for c in ("opening", "content", "closing")), F.lit(0)).cast("long")
+    placed = visited.withColumn("start", F.coalesce(F.sum(size).over(before), F.lit(0).cast("long")) + F.length("opening"))
+    # Starts grow, so the largest first place so far is that of the part's own turn.
+    placed = placed.withColumn("begin", F.max(F.when(F.col("first"), F.col("start"))).over(order))
+    span = F.struct(F.col("begin").alias("start"), (F.col("start") + F.length("content") - F.col("begin")).alias("length"))
+    row = F.struct(
+        "at", "k", F.concat("opening", "content", "closing").alias("shown"),
+        F.when(F.col("last") & (F.col("role") == "assistant"), span).alias("span"), "file",
     )
+    grouped = placed.groupBy("conv_id").agg(F.array_sort(F.collect_list(row)).alias("rows"))
+    there = lambda field: F.filter(F.transform("rows", lambda r: r[field]), lambda x: x.isNotNull())
+    tokens = F.aggregate("attachments", F.lit(0).cast("long"), lambda total, a: total + a["tokens"])
+    return grouped.select(
+        "conv_id", F.array_join(F.transform("rows", lambda r: r["shown"]), "").alias("formatted"),
+        there("span").alias("loss_spans"), there("file").alias("attachments"),
+    ).withColumn("expanded_tokens", tokens)
+
+
+def _turns(formatted: Column, content) -> Column:
+    turns = F.filter(F.split(formatted, END), lambda t: t != "")
+    role = lambda t: unescape(F.substr(t, F.lit(2), F.instr(t, "]") - 2)).alias("role")
+    return F.transform(turns, lambda t: F.struct(role(t), content(F.substr(t, F.instr(t, "]") + 1))))
 
 
 def read_back(formatted: Column) -> Column:
     """Turns (role, text) of a formatted conversation; placeholders stay as they are written."""
-    turns = F.filter(F.split(formatted, END), lambda t: t != "")
-    close = lambda t: F.locate("]", t)
-    return F.transform(turns, lambda t: F.struct(unescape(F.substr(t, F.lit(2), F.instr(t, "]") - 2)).alias("role"), unescape(F.substr(t, F.instr(t, "]") + 1)).alias("text")))
+    return _turns(formatted, lambda c: unescape(c).alias("text"))
+
+
+def read_parts(formatted: Column) -> Column:
+    """Turns (role, parts) of a formatted conversation, parts being (type, text, ordinal): texts as they were, neighbouring
+    ones as one, and placeholders with their ordinal. The same characters in a text are escaped and stay text."""
+    placeholder = "<([^<>]*):([0-9]+)>"
+
+    def part(piece: Column) -> Column:
+        is_file = F.startswith(piece, F.lit("<"))
+        return F.struct(
+            F.when(is_file, unescape(F.regexp_extract(piece, placeholder, 1))).otherwise("text").alias("type"),
+            F.when(~is_file, unescape(piece)).alias("text"),
+            F.when(is_file, F.regexp_extract(piece, placeholder, 2)).cast("int").alias("ordinal"),
+        )
+
+    pieces = lambda c: F.regexp_extract_all(c, F.lit("<[^>]*>|[^<]+"), F.lit(0))
+    return _turns(formatted, lambda c: F.transform(pieces(c), part).alias("parts"))
 
 
 def loss_text(formatted: Column, spans: Column) -> Column:

@@ -217,6 +217,51 @@ def test_chat_parts(spark):
     assert made[1].formatted[s.start : s.start + s.length] == "<document:2>ok"
 
 
+def test_chat_parts_are_read_back(spark):
+    parts = [(None, "a<image:0>", None, None), ("text", "b", None, None), ("image", None, "x", None), ("text", "<", None, None)]
+    rows = [(1, 0, "user", parts), (1, 1, "assistant", [("audio", "unused", None, 0.0)]), (1, 2, "user", [])]
+    made = chat.format_conversations(spark.createDataFrame(rows, f"conv_id long, turn long, role string, parts {chat.PARTS}"))
+    got = made.select(chat.read_parts(F.col("formatted")).alias("t")).first().t
+    assert [(t.role, [tuple(p) for p in t.parts]) for t in got] == [
+        ("user", [("text", "a<image:0>b", None), ("image", None, 0), ("text", "<", None)]),
+        ("assistant", [("audio", None, 1)]),
+        ("user", []),
+    ]
+
+
+def test_chat_of_a_long_conversation(spark):
+    r, turns, shown, spans, files = random.Random(3), [], "", [], 0
+    for i in range(3000):
+        role, parts = r.choice(["user", "assistant"]), []
+        opening = f"[{role}]"
+        content = ""
+        for _ in range(r.randint(0, 3)):
+            if r.random() < 0.5:
+                parts.append(("image", None, f"ref{files}", 1.0))
+                content += f"<image:{files}>"
+                files += 1
+            else:
+                parts.append(("text", f"é{i}", None, None))
+                content += f"é{i}"
+        turns.append((1, i, role, parts, "user"))
+        if role == "assistant":
+            spans.append((len(shown) + len(opening), len(content)))
+        shown += f"{opening}{content}</s>"
+    r.shuffle(turns)
+    got = chat.format_conversations(spark.createDataFrame(turns, f"conv_id long, turn long, role string, parts {chat.PARTS}, begin string")).first()
+    assert got.formatted == shown and [tuple(s) for s in got.loss_spans] == spans
+    assert [(a.ordinal, a.ref) for a in got.attachments] == [(k, f"ref{k}") for k in range(files)] and got.expanded_tokens == 256 * files
+
+
+def test_chat_of_empty_and_odd_tables(spark):
+    none = spark.createDataFrame([], "conv_id long, turn long, role string, text string")
+    assert [r.conv_id for r in chat.report(none).collect()] == [-1]
+    assert chat.format_conversations(none.select("conv_id", "turn", "role", chat.text_part(F.col("text")).alias("parts"))).count() == 0
+    odd = spark.createDataFrame([(None, None, None, None, 1, "x"), (5, 1, "assistant", "y" * 300_000, 2, "z")], "conv_id long, turn long, role string, text string, at int, rows string")
+    got = {r.conv_id: r for r in chat.report(odd).collect()}
+    assert set(got) == {-1, None, 5} and got[None].n_turns == 1 and got[5].loss_chars == 300_000
+
+
 # ---------------------------------------------------------------- personal data
 
 
