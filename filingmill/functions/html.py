@@ -47,10 +47,16 @@ ITEMS = (
 )
 PARTS = ("I", "II", "III", "IV")
 HEADINGS = {
-    "mda": (("7", "Management's Discussion and Analysis"), ("2", "Management's Discussion and Analysis"), ("", "Management's Discussion and Analysis"), ("7", None), ("", "MD&A")),
+    "mda": (
+        ("7", "Management's Discussion and Analysis"), ("2", "Management's Discussion and Analysis"),
+        ("", "Management's Discussion and Analysis"), ("7", None), ("", "MD&A")
+    ),
     "risk_factors": (("", "Risk Factors"), ("1A", None)),
     "business": (("", "Business"), ("1", None)),
-    "financial": (("8", "Financial Statements and Supplementary Data"), ("", "Notes to Financial Statements"), ("", "Notes to Consolidated Financial Statements")),
+    "financial": (
+        ("8", "Financial Statements and Supplementary Data"), ("", "Notes to Financial Statements"),
+        ("", "Notes to Consolidated Financial Statements")
+    ),
 }
 FORM_SECTIONS = {
     "10-K": ("mda", "risk_factors", "business", "financial"),
@@ -97,10 +103,21 @@ _FLAGS = re.IGNORECASE | re.MULTILINE
 STARTS = {name: [re.compile(e, _FLAGS) for e in _of_equal_rank(h)] for name, h in HEADINGS.items()}
 #: All boundaries in one expression; the group that took part tells which it is. Item 6 is one boundary under both titles.
 _NAMES = [n if n == "6" else f"{n} {t}" for n, t in ITEMS]
-BOUNDARY = re.compile("|".join([rf"Item\s+(?:{'|'.join(f'({_after(n, t)})' for n, t in ITEMS)})", rf"(Part\s+(?:{'|'.join(PARTS)})\b)", r"(SIGNATURES?\s*$)"]), _FLAGS)
+BOUNDARY = re.compile(
+    "|".join(
+        [
+            rf"Item\s+(?:{'|'.join(f'({_after(n, t)})' for n, t in ITEMS)})", rf"(Part\s+(?:{'|'.join(PARTS)})\b)",
+            r"(SIGNATURES?\s*$)"
+        ]
+    ),
+    _FLAGS
+)
 _HTML = re.compile(rf"<(?:{'|'.join(PAGE_TAGS)})\b", re.IGNORECASE)
 _BLANKS, _BREAKS = re.compile(r"[ \t]+"), re.compile(r"\n{3,}")
-_PAGE_LINES = (re.compile(r"^\s*Table\s+of\s+Contents\s*$", _FLAGS), re.compile(r"^\s*-\s*\d+\s*-\s*$", re.MULTILINE), re.compile(r"^\s*Page\s+\d+\s+of\s+\d+\s*$", _FLAGS))
+_PAGE_LINES = (
+    re.compile(r"^\s*Table\s+of\s+Contents\s*$", _FLAGS), re.compile(r"^\s*-\s*\d+\s*-\s*$", re.MULTILINE),
+    re.compile(r"^\s*Page\s+\d+\s+of\s+\d+\s*$", _FLAGS)
+)
 
 
 def boundaries(text: str) -> list[tuple[int, str]]:
@@ -183,7 +200,13 @@ def extract_sections(documents: DataFrame, least: int = MIN_WORDS) -> DataFrame:
     """From (filing_id, form_type, html): filing_id, section_name, raw_text, word_count."""
 
     def run(raw: pa.Array, forms: pa.Array) -> pa.Array:
-        rows = [[dict(zip(("section_name", "raw_text", "word_count"), s, strict=True)) for s in sections_of(clean_text(x), f or "", least)] for x, f in zip(raw.to_pylist(), forms.to_pylist(), strict=True)]
+        rows = [
+            [
+                dict(zip(("section_name", "raw_text", "word_count"), s, strict=True))
+                for s in sections_of(clean_text(x), f or "", least)
+            ]
+            for x, f in zip(raw.to_pylist(), forms.to_pylist(), strict=True)
+        ]
         return pa.array(rows, pa.list_(pa.struct([("section_name", pa.string()), ("raw_text", pa.string()), ("word_count", pa.int32())])))
 
     small_batches(documents.sparkSession)

@@ -70,4 +70,7 @@ def pad_cik(c: Column) -> Column:
 def dashed_accession(c: Column) -> Column:
     """18 digits, dashes aside, as 10-2-6; otherwise null."""
     digits = F.regexp_replace(c, "-", "")
-    return F.when(digits.rlike("^[0-9]{18}$"), F.concat_ws("-", F.substring(digits, 1, 10), F.substring(digits, 11, 2), F.substring(digits, 13, 6)))
+    return F.when(
+        digits.rlike("^[0-9]{18}$"),
+        F.concat_ws("-", F.substring(digits, 1, 10), F.substring(digits, 11, 2), F.substring(digits, 13, 6))
+    )

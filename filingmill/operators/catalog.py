@@ -15,7 +15,10 @@ def between(rows: DataFrame, column: str, start=None, end=None) -> DataFrame:
     return rows
 
 
-def list_filings(filings: DataFrame, ticker: str | None = None, form_type: str | None = None, start=None, end=None, limit: int | None = None) -> DataFrame:
+def list_filings(
+    filings: DataFrame, ticker: str | None = None, form_type: str | None = None, start=None, end=None,
+    limit: int | None = None
+) -> DataFrame:
     rows = between(filings, "filed_date", start, end)
     if ticker:
         rows = rows.where(F.upper("ticker") == ticker.upper())
@@ -35,7 +38,10 @@ def get_composites(composites: DataFrame, ticker: str | None = None, start=None,
     return (rows.where(F.col("ticker") == ticker) if ticker else rows).orderBy("signal_date")
 
 
-def signal_screen(composites: DataFrame, low: float | None = None, high: float | None = None, sort: str = "composite_score", descending: bool = True, offset: int = 0, limit: int = 50, **dates) -> DataFrame:
+def signal_screen(
+    composites: DataFrame, low: float | None = None, high: float | None = None, sort: str = "composite_score",
+    descending: bool = True, offset: int = 0, limit: int = 50, **dates
+) -> DataFrame:
     """A page of composites in a score range, with the count of all that fit."""
     rows = get_composites(composites, **dates)
     rows = rows if low is None else rows.where(F.col("composite_score") >= low)
@@ -77,9 +83,13 @@ def section_names(sections: DataFrame) -> DataFrame:
 
 def analysis_status(filings: DataFrame, sentiment: DataFrame, similarity: DataFrame) -> DataFrame:
     """Per filing whether each analyzer has results."""
-    kinds = sentiment.select("filing_id", F.col("analyzer_name").alias("kind")).unionByName(similarity.select("filing_id", F.lit("similarity").alias("kind")))
+    kinds = sentiment.select("filing_id", F.col("analyzer_name").alias("kind")).unionByName(
+        similarity.select("filing_id", F.lit("similarity").alias("kind"))
+    )
     has = lambda k: F.max(F.coalesce(F.col("kind") == k, F.lit(False))).alias(f"has_{k}")
-    return filings.select("filing_id").join(kinds, "filing_id", "left").groupBy("filing_id").agg(has("dictionary"), has("similarity"), has("llm"))
+    return filings.select("filing_id").join(kinds, "filing_id", "left").groupBy("filing_id").agg(
+        has("dictionary"), has("similarity"), has("llm")
+    )
 
 
 def latest_filings_per_ticker(filings: DataFrame, sections: DataFrame, status: DataFrame, k: int = 20) -> DataFrame:
@@ -89,9 +99,15 @@ def latest_filings_per_ticker(filings: DataFrame, sections: DataFrame, status: D
 
 def filing_detail(filings: DataFrame, sections: DataFrame, sentiment: DataFrame, similarity: DataFrame) -> DataFrame:
     """Filings with maps of their sections' word counts and lists of their results."""
-    s = sections.groupBy("filing_id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("section_name", "word_count")))).alias("sections"))
-    a = sentiment.groupBy("filing_id").agg(F.array_sort(F.collect_list(F.struct("section_name", "analyzer_name", "sentiment_score"))).alias("sentiment"))
-    b = similarity.groupBy("filing_id").agg(F.array_sort(F.collect_list(F.struct("section_name", "similarity_score", "change_score"))).alias("similarity"))
+    s = sections.groupBy("filing_id").agg(
+        F.map_from_entries(F.array_sort(F.collect_list(F.struct("section_name", "word_count")))).alias("sections")
+    )
+    a = sentiment.groupBy("filing_id").agg(
+        F.array_sort(F.collect_list(F.struct("section_name", "analyzer_name", "sentiment_score"))).alias("sentiment")
+    )
+    b = similarity.groupBy("filing_id").agg(
+        F.array_sort(F.collect_list(F.struct("section_name", "similarity_score", "change_score"))).alias("similarity")
+    )
     return filings.join(s, "filing_id", "left").join(a, "filing_id", "left").join(b, "filing_id", "left")
 
 
@@ -104,7 +120,10 @@ def table_counts(tables: dict[str, DataFrame]) -> DataFrame:
 
 
 def coverage_status(filings: DataFrame, composites: DataFrame) -> DataFrame:
-    a = filings.agg(F.count("*").alias("filings"), F.countDistinct("ticker").alias("tickers"), F.min("filed_date").alias("first_filed"), F.max("filed_date").alias("last_filed"))
+    a = filings.agg(
+        F.count("*").alias("filings"), F.countDistinct("ticker").alias("tickers"),
+        F.min("filed_date").alias("first_filed"), F.max("filed_date").alias("last_filed")
+    )
     b = composites.agg(F.count("*").alias("composites"), F.max("signal_date").alias("last_signal"))
     return a.join(F.broadcast(b))  # one row each
 

@@ -21,8 +21,11 @@ def basic(returns: DataFrame, per_year: int = 12, risk_free: float = 0.0) -> Dat
     r, x = F.col("ret"), F.col("ret") - rf
     year = F.sqrt(F.lit(float(per_year)))
     a = returns.groupBy(KEY).agg(
-        F.count("ret").alias("n"), F.avg(x).alias("mean"), F.stddev_samp("ret").alias("std"), (F.min("ret") == F.max("ret")).alias("flat"), F.stddev_samp(F.when(x < 0, x)).alias("down"),
-        F.count_if(x < 0).alias("n_down"), (F.min(F.when(x < 0, x)) == F.max(F.when(x < 0, x))).alias("flat_down"), F.avg(F.when(r > 0, 1.0).otherwise(0.0)).alias("win_rate"), F.max("ret").alias("best"), F.min("ret").alias("worst"),
+        F.count("ret").alias("n"), F.avg(x).alias("mean"), F.stddev_samp("ret").alias("std"),
+        (F.min("ret") == F.max("ret")).alias("flat"), F.stddev_samp(F.when(x < 0, x)).alias("down"),
+        F.count_if(x < 0).alias("n_down"), (F.min(F.when(x < 0, x)) == F.max(F.when(x < 0, x))).alias("flat_down"),
+        F.avg(F.when(r > 0, 1.0).otherwise(0.0)).alias("win_rate"), F.max("ret").alias("best"),
+        F.min("ret").alias("worst"),
     )
     enough = F.col("n") >= 2
     sharpe = F.when(enough & ~F.col("flat"), F.col("mean") / F.nullif(F.col("std"), F.lit(0.0)) * year).otherwise(0.0)
@@ -31,7 +34,10 @@ def basic(returns: DataFrame, per_year: int = 12, risk_free: float = 0.0) -> Dat
         F.when(~enough, 0.0).when(F.col("n_down") == 0, endless).when(F.col("n_down") == 1, F.lit(float("nan")))
         .when(F.col("flat_down"), endless).otherwise(F.col("mean") / F.nullif(F.col("down"), F.lit(0.0)) * year)
     )
-    return a.select(KEY, sharpe.alias("sharpe"), sortino.alias("sortino"), F.when(enough, F.col("std") * year).otherwise(0.0).alias("volatility"), "win_rate", "best", "worst", "n")
+    return a.select(
+        KEY, sharpe.alias("sharpe"), sortino.alias("sortino"),
+        F.when(enough, F.col("std") * year).otherwise(0.0).alias("volatility"), "win_rate", "best", "worst", "n"
+    )
 
 
 def max_drawdown(returns: DataFrame) -> DataFrame:
@@ -44,7 +50,10 @@ def max_drawdown(returns: DataFrame) -> DataFrame:
     # The last place at its maximum so far goes along with each row, so the lowest row knows its own peak.
     d = d.withColumn("peak", F.last(F.when(F.col("c") == F.col("top"), F.struct("date", "k")), ignorenulls=True).over(w))
     low = d.groupBy(KEY).agg(F.min_by(F.struct("dd", "date", "k", "peak"), F.struct("dd", "date")).alias("low"))
-    return low.select(KEY, F.col("low.dd").alias("max_drawdown"), F.col("low.peak.date").alias("peak"), F.col("low.date").alias("trough"), (F.col("low.k") - F.col("low.peak.k")).alias("periods"))
+    return low.select(
+        KEY, F.col("low.dd").alias("max_drawdown"), F.col("low.peak.date").alias("peak"),
+        F.col("low.date").alias("trough"), (F.col("low.k") - F.col("low.peak.k")).alias("periods")
+    )
 
 
 def information_coefficients(signals: DataFrame, returns: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
@@ -59,7 +68,9 @@ def information_coefficients(signals: DataFrame, returns: DataFrame, keys: tuple
     known = returns.where("ret is not null")
     inside = (F.col("date") > F.col("signal_date")) & (F.col("date") <= F.col("next"))
     dated = known.select("date").distinct().join(spans, inside).select(*keys, "signal_date", "date")
-    joined = known.join(dated, "date").join(signals.select(*keys, "signal_date", "ticker", "composite_score"), [*keys, "signal_date", "ticker"])
+    joined = known.join(dated, "date").join(
+        signals.select(*keys, "signal_date", "ticker", "composite_score"), [*keys, "signal_date", "ticker"]
+    )
     forward = joined.groupBy(*keys, "signal_date", "ticker", "composite_score").agg(compound(F.col("ret")).alias("forward"))
     group = [*keys, "signal_date"]
 
@@ -68,16 +79,24 @@ def information_coefficients(signals: DataFrame, returns: DataFrame, keys: tuple
         return F.rank().over(W.partitionBy(*group).orderBy(c)) + (ties - 1) / 2
 
     ranked = forward.select(*group, rank("composite_score").alias("x"), rank("forward").alias("y"))
-    some = ranked.groupBy(*group).agg(F.count("*").alias("n"), F.min("x").alias("x0"), F.max("x").alias("x1"), F.min("y").alias("y0"), F.max("y").alias("y1"))
+    some = ranked.groupBy(*group).agg(
+        F.count("*").alias("n"), F.min("x").alias("x0"), F.max("x").alias("x1"), F.min("y").alias("y0"),
+        F.max("y").alias("y1")
+    )
     some = some.where((F.col("n") >= LEAST_TICKERS) & (F.col("x0") < F.col("x1")) & (F.col("y0") < F.col("y1"))).select(*group, "n")
     return ranked.join(some, group).groupBy(*group, "n").agg(F.corr("x", "y").alias("ic"))
 
 
 def ic_summary(ics: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
     """(keys, mean_ic, std_ic, t_stat, icir, n_dates)."""
-    a = ics.groupBy(*keys).agg(F.avg("ic").alias("mean_ic"), F.stddev_samp("ic").alias("std_ic"), F.count("*").alias("n_dates")).where("n_dates > 0")
+    a = ics.groupBy(*keys).agg(
+        F.avg("ic").alias("mean_ic"), F.stddev_samp("ic").alias("std_ic"), F.count("*").alias("n_dates")
+    ).where("n_dates > 0")
     ratio = F.coalesce(F.try_divide(F.col("mean_ic"), F.col("std_ic")), F.lit(0.0))
-    return a.select(*keys, "mean_ic", F.coalesce("std_ic", F.lit(0.0)).alias("std_ic"), (ratio * F.sqrt("n_dates")).alias("t_stat"), ratio.alias("icir"), "n_dates")
+    return a.select(
+        *keys, "mean_ic", F.coalesce("std_ic", F.lit(0.0)).alias("std_ic"),
+        (ratio * F.sqrt("n_dates")).alias("t_stat"), ratio.alias("icir"), "n_dates"
+    )
 
 
 def align_factors(returns: DataFrame, factors: DataFrame, by_month: bool = False) -> DataFrame:
@@ -114,22 +133,35 @@ def factor_regression(aligned: DataFrame) -> DataFrame:
             tss = yy - a[0, -1] ** 2 / count
             free = count - (k - 1)
             error = np.sqrt(rss / free * inverse[0, 0]) if free > 0 else 0.0
-            out.append((beta[0], beta[0] / error if error else 0.0, list(beta[1:]), 1 - rss / tss if tss else 0.0, np.sqrt(rss / (count - 1))))
+            out.append(
+                (
+                    beta[0], beta[0] / error if error else 0.0, list(beta[1:]), 1 - rss / tss if tss else 0.0,
+                    np.sqrt(rss / (count - 1))
+                )
+            )
         return pd.DataFrame(out, columns=["alpha", "alpha_t", "loadings", "r2", "residual_std"])
 
     return rows.select(KEY, "n", solve("n", "m").alias("f")).select(KEY, "n", "f.*")
 
 
-def compute_all(returns: DataFrame, per_year: int = 12, risk_free: float = 0.0, ics: DataFrame | None = None, factors: DataFrame | None = None) -> DataFrame:
+def compute_all(
+    returns: DataFrame, per_year: int = 12, risk_free: float = 0.0, ics: DataFrame | None = None,
+    factors: DataFrame | None = None
+) -> DataFrame:
     """All metrics of a series in one row per strategy.
 
     ``ics`` is one row of ``ic_summary`` (or one per strategy), ``factors`` (date, factors); what is not given, or cannot be computed, is null."""
     total = returns.groupBy(KEY).agg(compound(F.col("ret")).alias("total_return"))
-    out = basic(returns, per_year, risk_free).join(max_drawdown(returns), KEY, "left").join(total, KEY).withColumn("max_drawdown", F.coalesce("max_drawdown", F.lit(0.0)))
+    out = basic(returns, per_year, risk_free).join(max_drawdown(returns), KEY, "left").join(total, KEY).withColumn(
+        "max_drawdown", F.coalesce("max_drawdown", F.lit(0.0))
+    )
     if ics is None:
         ics = returns.sparkSession.createDataFrame([], "mean_ic double, t_stat double, icir double")
     key = [KEY] if KEY in ics.columns else []
-    ics = ics.select(*key, F.col("mean_ic").alias("information_coefficient"), F.col("t_stat").alias("ic_t_stat"), F.col("icir").alias("information_ratio"))
+    ics = ics.select(
+        *key, F.col("mean_ic").alias("information_coefficient"), F.col("t_stat").alias("ic_t_stat"),
+        F.col("icir").alias("information_ratio")
+    )
     out = out.join(ics, KEY, "left") if key else out.join(ics, F.lit(True), "left")  # one row at most
     if factors is None:
         none = F.lit(None).cast("double")

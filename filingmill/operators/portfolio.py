@@ -39,7 +39,10 @@ def _keys(rows: DataFrame) -> list[str]:
     return [KEY] if KEY in rows.columns else []
 
 
-def check_params(start, end, universe: list, quantiles: int, long_quantile: int, short_quantile: int | None, half_life: int = 90, weighting: str = "equal", weights: dict | None = None) -> None:
+def check_params(
+    start, end, universe: list, quantiles: int, long_quantile: int, short_quantile: int | None, half_life: int = 90,
+    weighting: str = "equal", weights: dict | None = None
+) -> None:
     """Raises ValueError for parameters that no job can run with."""
     if not start < end:
         raise ValueError("start must be before end")
@@ -83,7 +86,10 @@ def latest_signal_as_of(days: DataFrame, composites: DataFrame) -> DataFrame:
     until = F.lead("signal_date").over(W.partitionBy("ticker").orderBy("signal_date"))
     holds = lambda d: (d >= F.col("signal_date")) & (F.col("until").isNull() | (d < F.col("until")))
     ranges = composites.select("ticker", "signal_date", "composite_score").withColumn("until", until)
-    return ranges.select(F.explode(F.filter(day_array(days, "rebalance_date"), holds)).alias("rebalance_date"), "ticker", "signal_date", "composite_score")
+    return ranges.select(
+        F.explode(F.filter(day_array(days, "rebalance_date"), holds)).alias("rebalance_date"), "ticker",
+        "signal_date", "composite_score"
+    )
 
 
 def filter_to_universe(signals: DataFrame, members: DataFrame) -> DataFrame:
@@ -95,14 +101,19 @@ def quantile_buckets(scores: DataFrame, quantiles: int = 5, pandas_edges: bool =
 
     ``pandas_edges`` takes the edge positions as that library computes them, with its float noise."""
     steps = [k / quantiles * 100 / 100 if pandas_edges else k / quantiles for k in range(quantiles + 1)]
-    edges = scores.groupBy("rebalance_date").agg(F.percentile("composite_score", F.array(*map(F.lit, steps))).alias("edges"), F.count("*").alias("n"))
+    edges = scores.groupBy("rebalance_date").agg(
+        F.percentile("composite_score", F.array(*map(F.lit, steps))).alias("edges"), F.count("*").alias("n")
+    )
     fit = edges.where((F.col("n") >= quantiles) & (F.size(F.array_distinct("edges")) == quantiles + 1)).drop("n")
     below = F.size(F.filter("edges", lambda e: e < F.col("composite_score")))
     return scores.join(fit, "rebalance_date").withColumn("quantile", quantiles - F.greatest(below, F.lit(1)) + 1).drop("edges")
 
 
 def _legs(strategies: list[Strategy]) -> list[tuple[str, int, float]]:
-    return [(s.strategy_id, q, sign) for s in strategies for q, sign in ((s.long_quantile, 1.0), (s.short_quantile, -1.0)) if q is not None and (sign > 0 or q != s.long_quantile)]
+    return [
+        (s.strategy_id, q, sign) for s in strategies for q, sign in ((s.long_quantile, 1.0), (s.short_quantile, -1.0))
+        if q is not None and (sign > 0 or q != s.long_quantile)
+    ]
 
 
 def sweep_positions(scores: DataFrame, strategies: list[Strategy]) -> DataFrame:
@@ -113,10 +124,15 @@ def sweep_positions(scores: DataFrame, strategies: list[Strategy]) -> DataFrame:
         raise ValueError("strategies need different names")
     found = None
     for n in sorted({s.quantiles for s in strategies}):
-        legs = scores.sparkSession.createDataFrame(_legs([s for s in strategies if s.quantiles == n]), f"{KEY} string, quantile int, sign double")
+        legs = scores.sparkSession.createDataFrame(
+            _legs([s for s in strategies if s.quantiles == n]), f"{KEY} string, quantile int, sign double"
+        )
         size = F.count("*").over(W.partitionBy("rebalance_date", "quantile"))
         held = quantile_buckets(scores, n).withColumn("size", size).join(legs, "quantile")
-        held = held.select(KEY, "rebalance_date", "ticker", (F.col("sign") / F.col("size")).alias("weight"), "quantile", F.col("composite_score").alias("signal_score"))
+        held = held.select(
+            KEY, "rebalance_date", "ticker", (F.col("sign") / F.col("size")).alias("weight"), "quantile",
+            F.col("composite_score").alias("signal_score")
+        )
         found = held if found is None else found.unionByName(held)
     return found
 
@@ -168,9 +184,12 @@ def portfolio_returns(placed: DataFrame, costs: DataFrame) -> DataFrame:
         F.sum(w * r).alias("gross"), F.sum(F.when(w > 0, w * r).otherwise(0.0)).alias("long_return"),
         F.sum(F.when(w < 0, -w * r).otherwise(0.0)).alias("short_leg"), F.max(w < 0).alias("short"),
     )
-    net = legs.join(costs.withColumnRenamed("rebalance_date", "period_start"), [*key, "period_start"]).withColumn("net", F.col("gross") - F.col("cost"))
+    net = legs.join(
+        costs.withColumnRenamed("rebalance_date", "period_start"), [*key, "period_start"]
+    ).withColumn("net", F.col("gross") - F.col("cost"))
     return net.select(
-        *key, "period_start", "period_end", "gross", "net", "turnover", "cost", "long_return", F.when(F.col("short"), F.col("short_leg")).alias("short_return"),
+        *key, "period_start", "period_end", "gross", "net", "turnover", "cost", "long_return",
+        F.when(F.col("short"), F.col("short_leg")).alias("short_return"),
         F.when(F.col("short"), F.col("net")).alias("long_short_return"),
     )
 
@@ -180,7 +199,9 @@ def benchmark_equal_weight(returns: DataFrame) -> DataFrame:
     return returns.groupBy("date").agg(F.avg("ret").alias("ew"))
 
 
-def equity_curve(positions: DataFrame, periods: DataFrame, returns: DataFrame, market: DataFrame, start_value: float = START_VALUE) -> DataFrame:
+def equity_curve(
+    positions: DataFrame, periods: DataFrame, returns: DataFrame, market: DataFrame, start_value: float = START_VALUE
+) -> DataFrame:
     """Daily values: portfolio at target weights without cost, equal-weight universe, market (date, ret).
 
     On a day without market data ``spy_value`` is null; its product goes on at the next."""
@@ -194,14 +215,23 @@ def equity_curve(positions: DataFrame, periods: DataFrame, returns: DataFrame, m
     daily = shared.join(market.select("date", F.col("ret").alias("spy")), "date", "left")
     w = W.partitionBy(*key).orderBy("date").rowsBetween(W.unboundedPreceding, 0)  # one row per day
     value = lambda c: F.round(start_value * F.product(1 + F.coalesce(F.col(c), F.lit(0.0))).over(w), 4)
-    return daily.select(*key, "date", value("own").alias("portfolio_value"), F.when(F.col("spy").isNotNull(), value("spy")).alias("spy_value"), value("ew").alias("ew_value"))
+    return daily.select(
+        *key, "date", value("own").alias("portfolio_value"),
+        F.when(F.col("spy").isNotNull(), value("spy")).alias("spy_value"), value("ew").alias("ew_value")
+    )
 
 
 def total_and_annualized(periods: DataFrame, per_year: int = 4) -> DataFrame:
     """total and annualized return of the net returns; none gives 0."""
     key = _keys(periods)
     a = periods.groupBy(*key).agg(compound(F.col("net")).alias("total_return"), F.count("*").alias("n"))
-    return a.select(*key, "total_return", F.when(F.col("n") == 0, 0.0).otherwise(F.pow(1 + F.col("total_return"), F.lit(float(per_year)) / F.col("n")) - 1).alias("annualized_return"), "n")
+    return a.select(
+        *key, "total_return",
+        F.when(F.col("n") == 0, 0.0).otherwise(
+            F.pow(1 + F.col("total_return"), F.lit(float(per_year)) / F.col("n")) - 1
+        ).alias("annualized_return"),
+        "n"
+    )
 
 
 def portfolio_history(period_rows: DataFrame, positions: DataFrame, start_value: float = START_VALUE) -> DataFrame:
@@ -209,7 +239,9 @@ def portfolio_history(period_rows: DataFrame, positions: DataFrame, start_value:
     key = _keys(period_rows)
     w = W.partitionBy(*key).orderBy("period_start").rowsBetween(W.unboundedPreceding, -1)  # one row per period
     value = F.round(start_value * F.coalesce(F.product(1 + F.col("net")).over(w), F.lit(1.0)), 4)
-    legs = positions.groupBy(*key, F.col("rebalance_date").alias("period_start")).agg(F.count_if(F.col("weight") > 0).alias("n_long"), F.count_if(F.col("weight") < 0).alias("n_short"))
+    legs = positions.groupBy(*key, F.col("rebalance_date").alias("period_start")).agg(
+        F.count_if(F.col("weight") > 0).alias("n_long"), F.count_if(F.col("weight") < 0).alias("n_short")
+    )
     return period_rows.select(*key, "period_start", value.alias("value_before"), "turnover", "cost").join(legs, [*key, "period_start"])
 
 
@@ -218,40 +250,61 @@ def position_values(history: DataFrame, positions: DataFrame) -> DataFrame:
     key = _keys(positions)
     values = history.select(*key, F.col("period_start").alias("rebalance_date"), "value_before")
     leg = F.when(F.col("weight") >= 0, "long").otherwise("short")
-    valued = positions.join(values, [*key, "rebalance_date"]).withColumns({"leg": leg, "dollar_value": F.round(F.col("value_before") * F.abs("weight"), 2)})
+    valued = positions.join(values, [*key, "rebalance_date"]).withColumns(
+        {"leg": leg, "dollar_value": F.round(F.col("value_before") * F.abs("weight"), 2)}
+    )
     return valued.drop("value_before")
 
 
-def _evaluated(positions: DataFrame, periods: DataFrame, composites, returns, market, per_year: int, cost_bps, factors) -> dict[str, DataFrame]:
+def _evaluated(
+    positions: DataFrame, periods: DataFrame, composites, returns, market, per_year: int, cost_bps, factors
+) -> dict[str, DataFrame]:
     """Everything that follows from stored positions."""
     if positions.isEmpty():
         raise ValueError("no rebalance date gave a portfolio")
     key = _keys(positions)
     rows = stored(portfolio_returns(positions_with_returns(positions, returns, periods), turnover(positions, cost_bps)), "period_returns")
-    series = rows.select(*([KEY] if key else [F.lit("portfolio").alias(KEY)]), F.col("period_end").alias("date"), F.col("net").alias("ret"), "turnover", "cost")
+    series = rows.select(
+        *([KEY] if key else [F.lit("portfolio").alias(KEY)]), F.col("period_end").alias("date"),
+        F.col("net").alias("ret"), "turnover", "cost"
+    )
     ics = metrics.ic_summary(metrics.information_coefficients(composites, returns))
     costs = series.groupBy(KEY).agg(F.avg("turnover").alias("average_turnover"), F.sum("cost").alias("total_cost"))
     numbers = metrics.compute_all(series.drop("turnover", "cost"), per_year, ics=ics, factors=factors).join(costs, KEY)
     annual = F.pow(1 + F.col("total_return"), F.lit(float(per_year)) / F.col("n")) - 1
     history = portfolio_history(rows, positions)
     return {
-        "positions": positions, "period_returns": rows, "equity_curve": equity_curve(positions, periods, returns, market), "history": history,
+        "positions": positions, "period_returns": rows,
+        "equity_curve": equity_curve(positions, periods, returns, market), "history": history,
         "position_values": position_values(history, positions), "metrics": numbers.withColumn("annualized_return", annual),
     }
 
 
-def run_backtest(composites: DataFrame, universe: DataFrame, returns: DataFrame, market: DataFrame, start: str, end: str, frequency: str = "quarterly", quantiles: int = 5, long_quantile: int = 1, short_quantile: int | None = None, cost_bps: float = 10.0, factors: DataFrame | None = None) -> dict[str, DataFrame]:
+def run_backtest(
+    composites: DataFrame, universe: DataFrame, returns: DataFrame, market: DataFrame, start: str, end: str,
+    frequency: str = "quarterly", quantiles: int = 5, long_quantile: int = 1, short_quantile: int | None = None,
+    cost_bps: float = 10.0, factors: DataFrame | None = None
+) -> dict[str, DataFrame]:
     """positions, period_returns, equity_curve, history, position_values and metrics of one strategy; ValueError if no date gives a portfolio."""
     days = rebalance_dates(composites.sparkSession, start, end, frequency)
     known = filter_to_universe(latest_signal_as_of(days, composites), universe_on_date(days, universe))
     positions = stored(leg_weights(quantile_buckets(known, quantiles), long_quantile, short_quantile), "positions")
-    return _evaluated(positions, holding_periods(days, end), composites, returns, market, 4 if frequency == "quarterly" else 12, cost_bps, factors)
+    return _evaluated(
+        positions, holding_periods(days, end), composites, returns, market, 4 if frequency == "quarterly" else 12,
+        cost_bps, factors
+    )
 
 
-def run_sweep(composites: DataFrame, universe: DataFrame, returns: DataFrame, market: DataFrame, start: str, end: str, strategies: list[Strategy], frequency: str = "quarterly", factors: DataFrame | None = None) -> dict[str, DataFrame]:
+def run_sweep(
+    composites: DataFrame, universe: DataFrame, returns: DataFrame, market: DataFrame, start: str, end: str,
+    strategies: list[Strategy], frequency: str = "quarterly", factors: DataFrame | None = None
+) -> dict[str, DataFrame]:
     """What ``run_backtest`` gives, of all strategies in one job, keyed by ``strategy_id``."""
     days = rebalance_dates(composites.sparkSession, start, end, frequency)
     known = stored(filter_to_universe(latest_signal_as_of(days, composites), universe_on_date(days, universe)), "known")
     positions = stored(sweep_positions(known, strategies), "positions")
     costs = {s.strategy_id: s.cost_bps for s in strategies}
-    return _evaluated(positions, holding_periods(days, end), composites, returns, market, 4 if frequency == "quarterly" else 12, costs, factors)
+    return _evaluated(
+        positions, holding_periods(days, end), composites, returns, market, 4 if frequency == "quarterly" else 12,
+        costs, factors
+    )

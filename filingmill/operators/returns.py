@@ -38,14 +38,19 @@ def in_range(rows: DataFrame, start=None, end=None) -> DataFrame:
 def month_prices(prices: DataFrame) -> DataFrame:
     """The last price that is not null in each month, at the month's last day."""
     good = prices.where("price is not null")
-    return good.groupBy("ticker", F.last_day("date").alias("date0")).agg(F.max_by("price", "date").alias("price")).withColumnRenamed("date0", "date")
+    return good.groupBy(
+        "ticker", F.last_day("date").alias("date0")
+    ).agg(F.max_by("price", "date").alias("price")).withColumnRenamed("date0", "date")
 
 
 def price_gaps(prices: DataFrame) -> DataFrame:
     """Month prices on every month of a ticker's life, gaps filled with the last price before."""
     monthly = month_prices(prices)
     life = monthly.groupBy("ticker").agg(F.min("date").alias("a"), F.max("date").alias("z"))
-    months = life.select("ticker", F.explode(F.sequence(F.trunc("a", "month"), F.trunc("z", "month"), F.expr("interval 1 month"))).alias("m"))
+    months = life.select(
+        "ticker",
+        F.explode(F.sequence(F.trunc("a", "month"), F.trunc("z", "month"), F.expr("interval 1 month"))).alias("m")
+    )
     grid = months.select("ticker", F.last_day("m").alias("date")).join(monthly, ["ticker", "date"], "left")
     return grid.select("ticker", "date", F.last("price", ignorenulls=True).over(by_ticker()).alias("price"))
 
@@ -57,7 +62,9 @@ def monthly_returns(prices: DataFrame, start=None, end=None) -> DataFrame:
 
 def compound_to_monthly(daily: DataFrame) -> DataFrame:
     """Daily returns to months, at calendar month ends."""
-    return daily.groupBy("ticker", F.last_day("date").alias("month")).agg(compound(F.col("ret")).alias("ret")).withColumnRenamed("month", "date")
+    return daily.groupBy(
+        "ticker", F.last_day("date").alias("month")
+    ).agg(compound(F.col("ret")).alias("ret")).withColumnRenamed("month", "date")
 
 
 def date_to_period(days: DataFrame, periods: DataFrame) -> DataFrame:
@@ -75,7 +82,8 @@ def price_coverage(prices: DataFrame, start, end) -> DataFrame:
     """Per ticker: first and last date, days, whether the series reaches ``end`` and has data in the range."""
     a, z = F.lit(start).cast("date"), F.lit(end).cast("date")
     return prices.groupBy("ticker").agg(
-        F.min("date").alias("first_date"), F.max("date").alias("last_date"), F.count("*").alias("n_days"), (F.max("date") >= z).alias("complete"),
+        F.min("date").alias("first_date"), F.max("date").alias("last_date"), F.count("*").alias("n_days"),
+        (F.max("date") >= z).alias("complete"),
         F.max(F.col("date").between(a, z)).alias("has_data"),
     )
 

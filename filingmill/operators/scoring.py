@@ -42,10 +42,21 @@ def category_counts(sections: DataFrame, lexicon: DataFrame, key: tuple[str, ...
         among = lambda t, ws: F.filter(t, lambda w: w.isin(*ws))
         found = lambda hits: [F.size(among(hits, ws)).alias(c) if ws else F.lit(0).alias(c) for c, ws in words.items()]
         # Arrays of one element let the tokens and the hits among them be used many times and computed once.
-        counted = F.transform(F.array(tokens), lambda t: F.struct(F.size(t).alias("total_tokens"), F.transform(F.array(among(t, every)), lambda h: F.struct(*found(h)))[0].alias("c")))[0]
-        return sections.select(*key, counted.alias("t")).select(*key, F.greatest("t.total_tokens", F.lit(0)).alias("total_tokens"), *[F.greatest(f"t.c.{c}", F.lit(0)).cast("long").alias(c) for c in CATEGORIES])
+        counted = F.transform(
+            F.array(tokens),
+            lambda t: F.struct(
+                F.size(t).alias("total_tokens"),
+                F.transform(F.array(among(t, every)), lambda h: F.struct(*found(h)))[0].alias("c")
+            )
+        )[0]
+        return sections.select(*key, counted.alias("t")).select(
+            *key, F.greatest("t.total_tokens", F.lit(0)).alias("total_tokens"),
+            *[F.greatest(f"t.c.{c}", F.lit(0)).cast("long").alias(c) for c in CATEGORIES]
+        )
     by_word = lexicon.groupBy("word").agg(F.collect_set("category").alias("categories"))
-    seen = sections.select(*key, F.explode_outer(tokens).alias("word")).groupBy(*key, "word").agg(F.count("word").alias("n")).join(by_word, "word", "left")
+    seen = sections.select(
+        *key, F.explode_outer(tokens).alias("word")
+    ).groupBy(*key, "word").agg(F.count("word").alias("n")).join(by_word, "word", "left")
     hits = [F.sum(F.when(F.array_contains("categories", c), F.col("n")).otherwise(0)).alias(c) for c in CATEGORIES]
     return seen.groupBy(*key).agg(F.sum("n").cast("int").alias("total_tokens"), *hits)
 
@@ -111,7 +122,9 @@ def tfidf_cosine(pairs: DataFrame, stop: list[str], key: tuple[str, ...] = SECTI
         return pa.array([pair_cosine(term_counts(x, known), term_counts(y, known)) for x, y in rows], pa.float64())
 
     usable = pairs.where((strip(F.col("raw_text")) != "") & (strip(F.col("prior_text")) != ""))
-    scored = usable.select(*key, F.arrow_udf(run, "double").asNondeterministic()("raw_text", "prior_text").alias("c")).where("c is not null")
+    scored = usable.select(
+        *key, F.arrow_udf(run, "double").asNondeterministic()("raw_text", "prior_text").alias("c")
+    ).where("c is not null")
     scored = scored.select(*key, F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("c"))), 6).alias("similarity_score"))
     return scored.withColumn("change_score", F.round(1 - F.col("similarity_score"), 6))
 
@@ -119,7 +132,9 @@ def tfidf_cosine(pairs: DataFrame, stop: list[str], key: tuple[str, ...] = SECTI
 def prior_pairs(filings: DataFrame) -> DataFrame:
     """filing_id, prior_filing_id: the filing before by date within (ticker, form_type), ties by id."""
     w = W.partitionBy("ticker", "form_type").orderBy("filed_date", "filing_id")
-    return filings.where("ticker is not null").select("filing_id", F.lag("filing_id").over(w).alias("prior_filing_id")).where("prior_filing_id is not null")
+    return filings.where("ticker is not null").select(
+        "filing_id", F.lag("filing_id").over(w).alias("prior_filing_id")
+    ).where("prior_filing_id is not null")
 
 
 def prior_section_pairs(filings: DataFrame, sections: DataFrame) -> DataFrame:
@@ -150,7 +165,10 @@ def llm_prompt_rows(sections: DataFrame) -> DataFrame:
     shown = F.when(long, F.concat(F.substring("text", 1, MAX_TEXT), F.lit(CUT_NOTE))).otherwise(F.col("text"))
     before, _, _ = PROMPT.partition("{text}")
     head = F.replace(F.replace(F.lit(before), F.lit("{section}"), F.col("section_name")), F.lit("{form}"), F.col("form_type"))
-    return rows.select("filing_id", "section_name", F.length("text").alias("text_length"), long.alias("truncated"), F.concat(head, shown).alias("prompt"))
+    return rows.select(
+        "filing_id", "section_name", F.length("text").alias("text_length"), long.alias("truncated"),
+        F.concat(head, shown).alias("prompt")
+    )
 
 
 def parse_llm_responses(rows: DataFrame, raw: str = "raw") -> DataFrame:
@@ -166,7 +184,14 @@ def parse_llm_responses(rows: DataFrame, raw: str = "raw") -> DataFrame:
     score = number("sentiment_score")
     listed = kept("themes").startswith("[")
     themes = F.when(listed, F.slice(F.from_json(kept("themes"), "array<string>"), 1, 10)).otherwise(F.array().cast("array<string>"))
-    out = rows.withColumns({"sentiment_score": score, "valid": F.coalesce(text.startswith("{") & kinds.isNotNull() & parsed.isNotNull() & score.between(-1, 1), F.lit(False))})
+    out = rows.withColumns(
+        {
+            "sentiment_score": score,
+            "valid": F.coalesce(
+                text.startswith("{") & kinds.isNotNull() & parsed.isNotNull() & score.between(-1, 1), F.lit(False)
+            )
+        }
+    )
     ok = F.col("valid")
     return out.withColumns({
         "sentiment_score": F.when(ok, F.round("sentiment_score", 6)),
@@ -210,7 +235,10 @@ class Analyzers:
             try:
                 rows = analyzer(sections)
                 error = F.col("error") if "error" in rows.columns else F.lit(None).cast("string")
-                rows = rows.select(*SECTION_KEY, F.lit(name).alias("analyzer_name"), "kind", F.col("score").cast("double").alias("score"), error.alias("error"))
+                rows = rows.select(
+                    *SECTION_KEY, F.lit(name).alias("analyzer_name"), "kind",
+                    F.col("score").cast("double").alias("score"), error.alias("error")
+                )
             except Exception as e:  # any user code; the others go on and the failure is reported
                 raised.append((None, None, name, None, None, f"{type(e).__name__}: {e}"))
                 continue
@@ -237,4 +265,6 @@ def python_scorer(score: Callable[[str], float], kind: str = "sentiment") -> Ana
         return pa.array([one(t) for t in texts.to_pylist()], pa.struct([("score", pa.float64()), ("error", pa.string())]))
 
     made = F.arrow_udf(run, "struct<score:double,error:string>").asNondeterministic()
-    return lambda sections: sections.select(*SECTION_KEY, F.lit(kind).alias("kind"), made("raw_text").alias("s")).select(*SECTION_KEY, "kind", "s.*")
+    return lambda sections: sections.select(
+        *SECTION_KEY, F.lit(kind).alias("kind"), made("raw_text").alias("s")
+    ).select(*SECTION_KEY, "kind", "s.*")

@@ -34,8 +34,14 @@ def attach_filing_dates(results: DataFrame, filings: DataFrame) -> DataFrame:
 
 def raw_signals(sentiment: DataFrame, similarity: DataFrame, filings: DataFrame, buffer_days: int = BUFFER_DAYS) -> DataFrame:
     """(ticker, filing_id, signal_name, signal_date, raw_value): scores and changes, dated some days after filing."""
-    a = sentiment.select("filing_id", F.concat_ws("_", "analyzer_name", "section_name").alias("signal_name"), F.col("sentiment_score").alias("raw_value"))
-    b = similarity.select("filing_id", F.concat_ws("_", F.lit("similarity"), "section_name").alias("signal_name"), F.col("change_score").alias("raw_value"))
+    a = sentiment.select(
+        "filing_id", F.concat_ws("_", "analyzer_name", "section_name").alias("signal_name"),
+        F.col("sentiment_score").alias("raw_value")
+    )
+    b = similarity.select(
+        "filing_id", F.concat_ws("_", F.lit("similarity"), "section_name").alias("signal_name"),
+        F.col("change_score").alias("raw_value")
+    )
     dated = attach_filing_dates(a.unionByName(b), filings)
     return dated.select("ticker", "filing_id", "signal_name", F.date_add("filed_date", buffer_days).alias("signal_date"), "raw_value")
 
@@ -57,12 +63,19 @@ def cross_section(signals: DataFrame, as_of: DataFrame) -> DataFrame:
     Each signal is aggregated once, into the first as-of date it counts for; the sums then run on over dates.
     So history is read once, not once per date."""
     days = day_array(as_of)
-    part = _first(signals, days).groupBy("as_of", "signal_name").agg(F.count("raw_value").alias("n"), F.avg("raw_value").alias("m"), F.coalesce(F.var_pop("raw_value"), F.lit(0.0)).alias("v"), F.min("raw_value").alias("low"), F.max("raw_value").alias("high"))
-    grid = part.groupBy("signal_name").agg(F.first(F.lit(0))).select("signal_name", F.explode(days).alias("as_of")).join(part, ["as_of", "signal_name"], "left")
+    part = _first(signals, days).groupBy("as_of", "signal_name").agg(
+        F.count("raw_value").alias("n"), F.avg("raw_value").alias("m"),
+        F.coalesce(F.var_pop("raw_value"), F.lit(0.0)).alias("v"), F.min("raw_value").alias("low"),
+        F.max("raw_value").alias("high")
+    )
+    grid = part.groupBy("signal_name").agg(F.first(F.lit(0))).select(
+        "signal_name", F.explode(days).alias("as_of")
+    ).join(part, ["as_of", "signal_name"], "left")
     w = W.partitionBy("signal_name").orderBy("as_of").rowsBetween(W.unboundedPreceding, 0)
     run = grid.select(
         "as_of", "signal_name", F.sum("n").over(w).alias("n"), F.sum(F.col("n") * F.col("m")).over(w).alias("s"),
-        F.sum(F.col("n") * (F.col("v") + F.col("m") * F.col("m"))).over(w).alias("q"), F.min("low").over(w).alias("low"), F.max("high").over(w).alias("high"),
+        F.sum(F.col("n") * (F.col("v") + F.col("m") * F.col("m"))).over(w).alias("q"),
+        F.min("low").over(w).alias("low"), F.max("high").over(w).alias("high"),
     ).where("n > 0")
     mean = F.col("s") / F.col("n")
     spread = F.when(F.col("n") > 1, F.sqrt(F.greatest(F.lit(0.0), (F.col("q") - F.col("n") * mean * mean)) / (F.col("n") - 1)))
@@ -72,8 +85,12 @@ def cross_section(signals: DataFrame, as_of: DataFrame) -> DataFrame:
 def zscore(signals: DataFrame, as_of: DataFrame) -> DataFrame:
     """Signals as of each date with z_score: null in groups under three, 0 where all values are equal."""
     stats = cross_section(signals, as_of)
-    z = F.when(F.col("n") < LEAST, None).when(F.col("low") == F.col("high"), 0.0).otherwise(F.round((F.col("raw_value") - F.col("mean")) / F.nullif(F.col("std"), F.lit(0.0)), 6))
-    return signals_as_of(signals, as_of).join(stats, ["as_of", "signal_name"]).withColumn("z_score", F.coalesce(z, F.when(F.col("n") >= LEAST, 0.0))).drop("n", "mean", "std", "low", "high")
+    z = F.when(F.col("n") < LEAST, None).when(F.col("low") == F.col("high"), 0.0).otherwise(
+        F.round((F.col("raw_value") - F.col("mean")) / F.nullif(F.col("std"), F.lit(0.0)), 6)
+    )
+    return signals_as_of(signals, as_of).join(stats, ["as_of", "signal_name"]).withColumn(
+        "z_score", F.coalesce(z, F.when(F.col("n") >= LEAST, 0.0))
+    ).drop("n", "mean", "std", "low", "high")
 
 
 def percentile_rank(signals: DataFrame, as_of: DataFrame) -> DataFrame:
@@ -87,10 +104,17 @@ def percentile_rank(signals: DataFrame, as_of: DataFrame) -> DataFrame:
     later = counts.select("signal_name", "raw_value", "n", F.explode(F.filter(days, lambda d: d >= F.col("as_of"))).alias("as_of"))
     ties = later.groupBy(*keys, "raw_value").agg(F.sum("n").alias("ties"))
     below = W.partitionBy(*keys).orderBy("raw_value").rowsBetween(W.unboundedPreceding, -1)
-    ranked = ties.select(*keys, "raw_value", "ties", F.coalesce(F.sum("ties").over(below), F.lit(0)).alias("less"), F.sum("ties").over(W.partitionBy(*keys)).alias("n"))
-    p = F.when(F.col("n") < LEAST, None).when(F.col("ties") == F.col("n"), 50.0).otherwise(F.round(100 * (2 * F.col("less") + F.col("ties") + 1) / (2 * F.col("n")), 2))
+    ranked = ties.select(
+        *keys, "raw_value", "ties", F.coalesce(F.sum("ties").over(below), F.lit(0)).alias("less"),
+        F.sum("ties").over(W.partitionBy(*keys)).alias("n")
+    )
+    p = F.when(F.col("n") < LEAST, None).when(F.col("ties") == F.col("n"), 50.0).otherwise(
+        F.round(100 * (2 * F.col("less") + F.col("ties") + 1) / (2 * F.col("n")), 2)
+    )
     by_value = ranked.groupBy("signal_name", "raw_value").agg(F.collect_list(F.struct("as_of", p.alias("percentile"))).alias("__p"))  # one entry per date
-    met = signals.join(by_value, ["signal_name", "raw_value"]).select(*signals.columns, F.explode(F.filter("__p", lambda x: x["as_of"] >= F.col("signal_date"))).alias("__p"))
+    met = signals.join(by_value, ["signal_name", "raw_value"]).select(
+        *signals.columns, F.explode(F.filter("__p", lambda x: x["as_of"] >= F.col("signal_date"))).alias("__p")
+    )
     return met.select(*signals.columns, "__p.*")
 
 
@@ -105,10 +129,13 @@ def decay_weight(as_of: Column, signal_date: Column, half_life: int = HALF_LIFE)
 def build_signals(signals: DataFrame, as_of: DataFrame, half_life: int = HALF_LIFE) -> DataFrame:
     """Signals as of each date with z_score, percentile and decay_weight."""
     stats = cross_section(signals, as_of)
-    z = F.when(F.col("n") < LEAST, None).when(F.col("low") == F.col("high"), 0.0).otherwise(F.round((F.col("raw_value") - F.col("mean")) / F.nullif(F.col("std"), F.lit(0.0)), 6))
+    z = F.when(F.col("n") < LEAST, None).when(F.col("low") == F.col("high"), 0.0).otherwise(
+        F.round((F.col("raw_value") - F.col("mean")) / F.nullif(F.col("std"), F.lit(0.0)), 6)
+    )
     ranked = percentile_rank(signals, as_of).join(stats, ["as_of", "signal_name"])
     return ranked.select(
-        "as_of", "ticker", "filing_id", "signal_name", "signal_date", "raw_value", F.coalesce(z, F.when(F.col("n") >= LEAST, 0.0)).alias("z_score"), "percentile",
+        "as_of", "ticker", "filing_id", "signal_name", "signal_date", "raw_value",
+        F.coalesce(z, F.when(F.col("n") >= LEAST, 0.0)).alias("z_score"), "percentile",
         decay_weight(F.col("as_of"), F.col("signal_date"), half_life).alias("decay_weight"),
     )
 
@@ -153,11 +180,15 @@ def composite(signals: DataFrame, weights: DataFrame) -> DataFrame:
     keys = ["as_of", "ticker", "signal_name"]
     value = F.coalesce("z_score", "raw_value")
     oldest = F.min_by("decay_weight", F.struct("signal_date", "filing_id"))
-    part = active(signals).groupBy(*keys).agg(F.sum(value * F.col("decay_weight")).alias("vd"), F.sum("decay_weight").alias("d"), oldest.alias("own"))
+    part = active(signals).groupBy(*keys).agg(
+        F.sum(value * F.col("decay_weight")).alias("vd"), F.sum("decay_weight").alias("d"), oldest.alias("own")
+    )
     weighed = part.join(weights, keys).where("weight <> 0")
     scored = weighed.groupBy("as_of", "ticker").agg(
         F.sum(F.col("weight") * F.col("vd")).alias("top"), F.sum(F.abs("weight") * F.col("d")).alias("bottom"),
-        F.map_from_entries(F.array_sort(F.collect_list(F.struct("signal_name", F.round(F.col("weight") * F.col("own"), 6))))).alias("components"),
+        F.map_from_entries(
+            F.array_sort(F.collect_list(F.struct("signal_name", F.round(F.col("weight") * F.col("own"), 6))))
+        ).alias("components"),
     ).where("bottom <> 0")
     order = W.partitionBy("as_of").orderBy(F.desc("composite_score"), "ticker")
     score = scored.select("ticker", F.col("as_of"), F.round(F.col("top") / F.col("bottom"), 6).alias("composite_score"), "components")

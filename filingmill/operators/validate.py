@@ -23,7 +23,10 @@ def _all(*conditions: Column) -> Column:
 
 def validate_filings(rows: DataFrame) -> DataFrame:
     accession = dashed_accession(F.col("accession_number"))
-    good = _all(F.col("cik").rlike("^[0-9]+$"), accession.isNotNull(), F.col("url").startswith("https://"), F.col("form_type").isin(*FORM_TYPES))
+    good = _all(
+        F.col("cik").rlike("^[0-9]+$"), accession.isNotNull(), F.col("url").startswith("https://"),
+        F.col("form_type").isin(*FORM_TYPES)
+    )
     return rows.withColumns({"valid": good, "cik": pad_cik(F.col("cik")), "accession_number": F.coalesce(accession, "accession_number")})
 
 
@@ -55,4 +58,6 @@ def validate_bars(bars: DataFrame) -> DataFrame:
 def word_count_drift(sections: DataFrame) -> DataFrame:
     """Adds counted words and whether the stored count is more than a tenth off."""
     n = word_count(F.col("raw_text"))
-    return sections.withColumn("counted", n).withColumn("drifted", (F.col("counted") > 0) & (F.abs(F.col("word_count") - F.col("counted")) > 0.1 * F.col("counted")))
+    return sections.withColumn("counted", n).withColumn(
+        "drifted", (F.col("counted") > 0) & (F.abs(F.col("word_count") - F.col("counted")) > 0.1 * F.col("counted"))
+    )

@@ -18,31 +18,54 @@ from .standin import rounded, with_
 _FORM = {"1-URGENT": "10-K", "2-HIGH": "10-Q"}
 
 
-@query("parse_filing_index", """SELECT substr(x, 1, 10) || '-' || substr(x, 11, 2) || '-' || substr(x, 13, 6) AS accession_number, lpad(CAST(o_custkey AS VARCHAR), 10, '0') AS cik, 'Company ' || o_custkey AS company_name,
-  CASE o_orderpriority WHEN '1-URGENT' THEN '10-K' ELSE '10-Q' END AS form_type, CAST(o_orderdate AS DATE) AS filed_date, 'https://www.sec.gov/Archives/edgar/data/' || o_custkey || '/' || x || '/index.htm' AS url, 'C' || o_custkey AS ticker
-  FROM (SELECT *, lpad(CAST(o_orderkey AS VARCHAR), 18, '0') AS x FROM orders) WHERE o_orderpriority IN ('1-URGENT', '2-HIGH') AND o_orderkey % 11 <> 3 AND o_custkey % 2 = 0""")
+@query("parse_filing_index", """SELECT substr(x, 1, 10) || '-' || substr(x, 11, 2) || '-' || substr(x, 13,
+  6) AS accession_number, lpad(CAST(o_custkey AS VARCHAR), 10, '0') AS cik, 'Company ' || o_custkey AS company_name,
+  CASE o_orderpriority WHEN '1-URGENT' THEN '10-K' ELSE '10-Q' END AS form_type,
+  CAST(o_orderdate AS DATE) AS filed_date,
+  'https://www.sec.gov/Archives/edgar/data/' || o_custkey || '/' || x || '/index.htm' AS url, 'C' || o_custkey AS ticker
+  FROM (SELECT *, lpad(CAST(o_orderkey AS VARCHAR), 18, '0') AS x FROM orders)
+  WHERE o_orderpriority IN ('1-URGENT', '2-HIGH') AND o_orderkey % 11 <> 3 AND o_custkey % 2 = 0""")
 def _(spark, d):
     o = S.read(spark, d, "orders")
     form = F.create_map(*[F.lit(x) for kv in _FORM.items() for x in kv])[F.col("o_orderpriority")]
     path = F.concat(F.lit("edgar/data/"), "o_custkey", F.lit("/"), F.lpad(F.col("o_orderkey").cast("string"), 18, "0"), F.lit("/index.htm"))
-    line = F.concat_ws("|", F.concat(F.lit("Company "), "o_custkey"), F.coalesce(form, F.lit("8-K")), F.col("o_custkey").cast("string"), F.date_format("o_orderdate", "yyyy-MM-dd"), path)
+    line = F.concat_ws(
+        "|", F.concat(F.lit("Company "), "o_custkey"), F.coalesce(form, F.lit("8-K")),
+        F.col("o_custkey").cast("string"), F.date_format("o_orderdate", "yyyy-MM-dd"), path
+    )
     lines = o.select(F.when(F.col("o_orderkey") % 11 == 3, F.concat(line, F.lit("|x"))).otherwise(line).alias("value"))
-    c = S.read(spark, d, "customer").select(F.lpad(F.col("c_custkey").cast("string"), 10, "0").alias("cik"), F.concat(F.lit("C"), "c_custkey").alias("ticker"), (F.col("c_custkey") % 2 == 0).alias("even"))
+    c = S.read(spark, d, "customer").select(
+        F.lpad(F.col("c_custkey").cast("string"), 10, "0").alias("cik"),
+        F.concat(F.lit("C"), "c_custkey").alias("ticker"), (F.col("c_custkey") % 2 == 0).alias("even")
+    )
     return src.parse_filing_index(lines, ("10-K", "10-Q"), c.where("even"), c)
 
 
 def _ticker_rows(spark, d):
     c = S.read(spark, d, "customer").groupBy(F.floor(F.col("c_custkey") / 100).alias("g"))
-    entry = F.struct(F.col("c_custkey").cast("string").alias("k"), F.struct(F.col("c_custkey").alias("cik_str"), F.concat(F.lit("t"), F.col("c_custkey") % 97).alias("ticker")).alias("v"))
+    entry = F.struct(
+        F.col("c_custkey").cast("string").alias("k"),
+        F.struct(
+            F.col("c_custkey").alias("cik_str"), F.concat(F.lit("t"), F.col("c_custkey") % 97).alias("ticker")
+        ).alias("v")
+    )
     return src.parse_company_tickers(c.agg(F.to_json(F.map_from_entries(F.collect_list(entry))).alias("value")))  # 100 to a group
 
 
-@query("parse_company_tickers", "SELECT 'T' || (c_custkey % 97) AS ticker, lpad(CAST(c_custkey AS VARCHAR), 10, '0') AS cik, CAST(c_custkey AS INTEGER) AS ordinal FROM customer")
+@query(
+    "parse_company_tickers",
+    "SELECT 'T' || (c_custkey % 97) AS ticker, lpad(CAST(c_custkey AS VARCHAR), 10, '0') AS cik, "
+    "CAST(c_custkey AS INTEGER) AS ordinal FROM customer"
+)
 def _(spark, d):
     return _ticker_rows(spark, d)
 
 
-@query("resolve_tickers", "SELECT 'T' || (c_custkey % 97) AS ticker, lpad(CAST(max(c_custkey) AS VARCHAR), 10, '0') AS cik FROM customer GROUP BY ALL")
+@query(
+    "resolve_tickers",
+    "SELECT 'T' || (c_custkey % 97) AS ticker, lpad(CAST(max(c_custkey) AS VARCHAR), 10, '0') AS cik FROM customer "
+    "GROUP BY ALL"
+)
 def _(spark, d):
     asked = S.read(spark, d, "customer").select(F.concat(F.lit("t"), F.col("c_custkey") % 97).alias("ticker"))
     return src.resolve_tickers(asked, _ticker_rows(spark, d))
@@ -53,63 +76,126 @@ def _(spark, d):
     return src.reverse_tickers(_ticker_rows(spark, d))
 
 
-@query("explode_submissions", """SELECT lpad(CAST(o_custkey AS VARCHAR), 10, '0') AS cik, CAST(o_orderkey AS VARCHAR) AS accession_number, CASE o_orderpriority WHEN '1-URGENT' THEN '10-K' ELSE '10-Q' END AS form_type, CAST(o_orderdate AS DATE) AS filed_date,
-  'https://www.sec.gov/Archives/edgar/data/' || CASE WHEN o_custkey = 0 THEN '' ELSE CAST(o_custkey AS VARCHAR) END || '/' || o_orderkey || '/doc.htm' AS url FROM orders WHERE o_orderpriority IN ('1-URGENT', '2-HIGH') AND o_orderdate >= DATE '1996-01-01' AND o_orderdate <= DATE '2000-12-31'""")
+@query("explode_submissions", """SELECT lpad(CAST(o_custkey AS VARCHAR), 10, '0') AS cik,
+  CAST(o_orderkey AS VARCHAR) AS accession_number, CASE o_orderpriority WHEN '1-URGENT' THEN '10-K'
+  ELSE '10-Q' END AS form_type, CAST(o_orderdate AS DATE) AS filed_date,
+  'https://www.sec.gov/Archives/edgar/data/' || CASE WHEN o_custkey = 0 THEN ''
+  ELSE CAST(o_custkey AS VARCHAR) END || '/' || o_orderkey || '/doc.htm' AS url FROM orders
+  WHERE o_orderpriority IN ('1-URGENT', '2-HIGH') AND o_orderdate >= DATE '1996-01-01'
+  AND o_orderdate <= DATE '2000-12-31'""")
 def _(spark, d):
     form = F.create_map(*[F.lit(x) for kv in _FORM.items() for x in kv])[F.col("o_orderpriority")]
-    one = F.struct(F.col("o_orderkey").cast("string").alias("a"), F.date_format("o_orderdate", "yyyy-MM-dd").alias("d"), F.coalesce(form, F.lit("8-K")).alias("f"), (F.col("o_orderkey") % 3).alias("page"))
+    one = F.struct(
+        F.col("o_orderkey").cast("string").alias("a"), F.date_format("o_orderdate", "yyyy-MM-dd").alias("d"),
+        F.coalesce(form, F.lit("8-K")).alias("f"), (F.col("o_orderkey") % 3).alias("page")
+    )
     grouped = S.read(spark, d, "orders").groupBy("o_custkey").agg(F.collect_list(one).alias("r"))  # one company's filings
 
     def page(k: int):
         r = F.filter("r", lambda x: x["page"] == k)
-        return F.struct(r["a"].alias("accessionNumber"), r["d"].alias("filingDate"), r["f"].alias("form"), F.transform(r, lambda _: F.lit("doc.htm")).alias("primaryDocument"))
+        return F.struct(
+            r["a"].alias("accessionNumber"), r["d"].alias("filingDate"), r["f"].alias("form"),
+            F.transform(r, lambda _: F.lit("doc.htm")).alias("primaryDocument")
+        )
 
     value = F.to_json(F.struct(F.col("o_custkey").cast("string").alias("cik"), F.struct(page(0).alias("recent")).alias("filings")))
     more = F.array(F.to_json(page(1)), F.to_json(page(2)))  # older filings come as appended pages
     return src.explode_submissions(grouped.select(value.alias("value"), more.alias("pages")), ("10-K", "10-Q"), "1996-01-01", "2000-12-31")
 
 
-@query("prices_from_csv", with_(S.PRICES) + "SELECT ticker, date, round(price, 8) AS open, round(price, 8) AS high, round(price, 8) AS low, round(price, 8) AS close, CAST(0 AS BIGINT) AS volume, CAST(NULL AS DOUBLE) AS adj_close, 'csv' AS source FROM prices WHERE dayofmonth(date) <> 7")
+@query(
+    "prices_from_csv",
+    with_(S.PRICES)
+    + "SELECT ticker, date, round(price, 8) AS open, round(price, 8) AS high, round(price, 8) AS low, round(price, "
+      "8) AS close, CAST(0 AS BIGINT) AS volume, CAST(NULL AS DOUBLE) AS adj_close, 'csv' AS source FROM prices "
+      "WHERE dayofmonth(date) <> 7"
+)
 def _(spark, d):
     day = F.when(F.dayofmonth("date") == 7, F.lit("n/a")).otherwise(F.col("date").cast("string"))
     rows = S.prices(spark, d).select("ticker", day.alias("Date"), F.col("price").cast("string").alias("Close"))
     return rounded(px.prices_from_rows(rows), 8)
 
 
-@query("prices_from_chart_json", with_(S.PRICES) + "SELECT ticker, date, round(price, 8) AS open, round(price, 8) AS high, round(price, 8) AS low, round(price, 8) AS close, CAST(CASE WHEN dayofmonth(date) = 5 THEN 0 ELSE 100 END AS BIGINT) AS volume FROM prices WHERE dayofmonth(date) <> 7 AND date BETWEEN DATE '1996-01-01' AND DATE '2000-12-31'")
+@query(
+    "prices_from_chart_json",
+    with_(S.PRICES)
+    + "SELECT ticker, date, round(price, 8) AS open, round(price, 8) AS high, round(price, 8) AS low, round(price, "
+      "8) AS close, CAST(CASE WHEN dayofmonth(date) = 5 THEN 0 ELSE 100 END AS BIGINT) AS volume FROM prices "
+      "WHERE dayofmonth(date) <> 7 AND date BETWEEN DATE '1996-01-01' AND DATE '2000-12-31'"
+)
 def _(spark, d):
     p = F.when(F.dayofmonth("date") != 7, F.col("price"))
-    one = F.struct(F.unix_timestamp(F.col("date").cast("timestamp")).alias("t"), p.alias("p"), F.when(F.dayofmonth("date") != 5, F.lit(100)).alias("v"))
+    one = F.struct(
+        F.unix_timestamp(F.col("date").cast("timestamp")).alias("t"), p.alias("p"),
+        F.when(F.dayofmonth("date") != 5, F.lit(100)).alias("v")
+    )
     g = S.prices(spark, d).groupBy("ticker", F.trunc("date", "month").alias("m")).agg(F.array_sort(F.collect_list(one)).alias("r"))  # one ticker's month
     arrays = F.struct(*[F.col("r.p").alias(k) for k in ("open", "high", "low", "close")], F.col("r.v").alias("volume"))
-    value = F.to_json(F.struct(F.col("r.t").alias("timestamp"), F.struct(F.array(arrays).alias("quote")).alias("indicators")), {"ignoreNullFields": "false"})
-    return rounded(px.prices_from_chart_json(g.select("ticker", value.alias("value")), "1996-01-01", "2000-12-31").select("ticker", "date", "open", "high", "low", "close", "volume"), 8)
+    value = F.to_json(
+        F.struct(F.col("r.t").alias("timestamp"), F.struct(F.array(arrays).alias("quote")).alias("indicators")),
+        {"ignoreNullFields": "false"}
+    )
+    return rounded(
+        px.prices_from_chart_json(
+            g.select("ticker", value.alias("value")), "1996-01-01", "2000-12-31"
+        ).select("ticker", "date", "open", "high", "low", "close", "volume"),
+        8
+    )
 
 
-@query("returns_from_csv", "SELECT 'S' || l_suppkey AS ticker, CAST(l_shipdate AS DATE) AS date, round(avg(round(l_discount, 4)), 6) AS value, 'ret' AS kind FROM lineitem GROUP BY ALL")
+@query(
+    "returns_from_csv",
+    "SELECT 'S' || l_suppkey AS ticker, CAST(l_shipdate AS DATE) AS date, round(avg(round(l_discount, 4)), "
+    "6) AS value, 'ret' AS kind FROM lineitem GROUP BY ALL"
+)
 def _(spark, d):
-    rows = S.read(spark, d, "lineitem").select(F.concat(F.lit("S"), "l_suppkey").alias("ticker"), F.date_format("l_shipdate", "yyyy-MM-dd").alias("date"), F.round("l_discount", 4).cast("string").alias("return"), F.lit("1").alias("price"))
+    rows = S.read(spark, d, "lineitem").select(
+        F.concat(F.lit("S"), "l_suppkey").alias("ticker"), F.date_format("l_shipdate", "yyyy-MM-dd").alias("date"),
+        F.round("l_discount", 4).cast("string").alias("return"), F.lit("1").alias("price")
+    )
     return rounded(px.returns_from_rows(rows), 6)
 
 
-@query("returns_from_price_csv", with_(S.PRICES) + "SELECT ticker, date, round(price / lag(price) OVER (PARTITION BY ticker ORDER BY date) - 1, 4) + 0.0 AS ret FROM prices")
+@query(
+    "returns_from_price_csv",
+    with_(S.PRICES)
+    + "SELECT ticker, date, round(price / lag(price) OVER (PARTITION BY ticker ORDER BY date) - 1, 4) + 0.0 AS ret "
+      "FROM prices"
+)
 def _(spark, d):
-    rows = px.returns_from_rows(S.prices(spark, d).select("ticker", F.col("date").cast("string").alias("date"), F.col("price").cast("string").alias("adj_close")))
+    rows = px.returns_from_rows(
+        S.prices(spark, d).select(
+            "ticker", F.col("date").cast("string").alias("date"), F.col("price").cast("string").alias("adj_close")
+        )
+    )
     return rounded(daily_returns(rows.select("ticker", "date", F.col("value").alias("price"))))
 
 
-@query("universe_from_csv", with_(S.UNIVERSE) + "SELECT ticker, start_date, end_date FROM universe WHERE CAST(substr(ticker, 2) AS INT) % 10 <> 4")
+@query(
+    "universe_from_csv",
+    with_(S.UNIVERSE)
+    + "SELECT ticker, start_date, end_date FROM universe WHERE CAST(substr(ticker, 2) AS INT) % 10 <> 4"
+)
 def _(spark, d):
     k = F.substring("ticker", 2, 9).cast("int") % 10
-    rows = S.universe(spark, d).select(F.concat(F.lit(" "), F.lower("ticker"), F.lit("\t")).alias("ticker"), F.when(k == 4, F.lit("soon")).otherwise(F.col("start_date").cast("string")).alias("start_date"), F.coalesce(F.col("end_date").cast("string"), F.lit(" ")).alias("end_date"))
+    rows = S.universe(spark, d).select(
+        F.concat(F.lit(" "), F.lower("ticker"), F.lit("\t")).alias("ticker"),
+        F.when(k == 4, F.lit("soon")).otherwise(F.col("start_date").cast("string")).alias("start_date"),
+        F.coalesce(F.col("end_date").cast("string"), F.lit(" ")).alias("end_date")
+    )
     return src.universe_rows(rows)
 
 
-@query("lexicon_from_csv", """SELECT word, category FROM (SELECT 'W' || (p_partkey % 500) AS word, arg_max(CASE WHEN p_size % 3 = 0 THEN 'negative' WHEN p_size % 3 = 1 THEN 'strong_modal' END, p_partkey) AS category FROM part WHERE p_size % 3 < 2 GROUP BY ALL)""")
+@query(
+    "lexicon_from_csv",
+    """SELECT word, category FROM (SELECT 'W' || (p_partkey % 500) AS word, arg_max(CASE WHEN p_size % 3 = 0 THEN 'negative' WHEN p_size % 3 = 1 THEN 'strong_modal' END, p_partkey) AS category FROM part WHERE p_size % 3 < 2 GROUP BY ALL)"""
+)
 def _(spark, d):
     k = F.col("p_size") % 3
     rows = S.read(spark, d, "part").select(
-        F.concat(F.lit(" w"), F.col("p_partkey") % 500).alias("Word"), F.when(k == 0, F.lit("-2020")).otherwise("0").alias("Negative"), F.lit("").alias("Positive"), F.when(k == 1, F.lit("2009")).otherwise("0").alias("Strong_Modal_Words"), F.col("p_partkey").alias("ordinal")
+        F.concat(F.lit(" w"), F.col("p_partkey") % 500).alias("Word"),
+        F.when(k == 0, F.lit("-2020")).otherwise("0").alias("Negative"), F.lit("").alias("Positive"),
+        F.when(k == 1, F.lit("2009")).otherwise("0").alias("Strong_Modal_Words"), F.col("p_partkey").alias("ordinal")
     )
     return src.lexicon_from_wide(rows)
 
@@ -122,7 +208,11 @@ def _(spark, d):
 
 def _tidy_sql(text: str) -> str:
     """The operator's replacements, one after the other."""
-    steps = (("[ \\t]+", " "), ("\\n{3,}", "\n\n"), ("(?m)^[ \\t\\r\\f\\v]+|[ \\t\\r\\f\\v]+$", ""), ("(?im)^\\s*table\\s+of\\s+contents\\s*$", ""), ("(?m)^\\s*-\\s*\\d+\\s*-\\s*$", ""), ("(?im)^\\s*page\\s+\\d+\\s+of\\s+\\d+\\s*$", ""))
+    steps = (
+        ("[ \\t]+", " "), ("\\n{3,}", "\n\n"), ("(?m)^[ \\t\\r\\f\\v]+|[ \\t\\r\\f\\v]+$", ""),
+        ("(?im)^\\s*table\\s+of\\s+contents\\s*$", ""), ("(?m)^\\s*-\\s*\\d+\\s*-\\s*$", ""),
+        ("(?im)^\\s*page\\s+\\d+\\s+of\\s+\\d+\\s*$", "")
+    )
     for pattern, by in steps:
         text = f"regexp_replace({text}, '{pattern}', '{by}', 'g')"
     return f"regexp_replace(translate({text}, chr(12), chr(10)), '^\\s+|\\s+$', '', 'g')"
@@ -136,11 +226,16 @@ def _(spark, d):
 _RISK, _MDA = "Item 1A. Risk Factors", "Item 7. Management's Discussion and Analysis"
 _M = _MDA.replace("'", "''")
 # What follows each heading, and where the later headings stand in it; the first over 100 characters away ends the section.
-_SECTIONS_SQL = f"""WITH t AS (SELECT CAST(doc_id AS VARCHAR) AS filing_id, lang, chr(10) || {_tidy_sql("text")} || chr(10) AS t FROM documents WHERE text IS NOT NULL),
-c AS (SELECT filing_id, 'business' AS section_name, t || '{_RISK}' || t || '{_M}' || t || 'SIGNATURES' AS c, [length(t), 2 * length(t) + {len(_RISK)}, 3 * length(t) + {len(_RISK) + len(_MDA)}] AS p FROM t WHERE lang = 'en'
-  UNION ALL SELECT filing_id, 'risk_factors', t || '{_M}' || t || 'SIGNATURES', [length(t), 2 * length(t) + {len(_MDA)}] FROM t UNION ALL SELECT filing_id, 'mda', t || 'SIGNATURES', [length(t)] FROM t),
-b AS (SELECT filing_id, section_name, regexp_replace(substr(c, 1, coalesce(list_min(list_filter(p, lambda x: x > 100)), length(c))), '^\\s+|\\s+$', '', 'g') AS b FROM c)
-SELECT filing_id, section_name, CAST(n AS INTEGER) AS word_count, md5(b) AS text_md5 FROM (SELECT *, len(regexp_extract_all(b, '\\S+')) AS n FROM b) WHERE n >= 50"""
+_SECTIONS_SQL = f"""WITH t AS (SELECT CAST(doc_id AS VARCHAR) AS filing_id, lang,
+  chr(10) || {_tidy_sql("text")} || chr(10) AS t FROM documents WHERE text IS NOT NULL),
+c AS (SELECT filing_id, 'business' AS section_name, t || '{_RISK}' || t || '{_M}' || t || 'SIGNATURES' AS c, [length(t),
+  2 * length(t) + {len(_RISK)}, 3 * length(t) + {len(_RISK) + len(_MDA)}] AS p FROM t WHERE lang = 'en'
+  UNION ALL SELECT filing_id, 'risk_factors', t || '{_M}' || t || 'SIGNATURES', [length(t), 2 * length(t) + {len(_MDA)}]
+  FROM t UNION ALL SELECT filing_id, 'mda', t || 'SIGNATURES', [length(t)] FROM t),
+b AS (SELECT filing_id, section_name, regexp_replace(substr(c, 1, coalesce(list_min(list_filter(p, lambda x: x > 100)),
+  length(c))), '^\\s+|\\s+$', '', 'g') AS b FROM c)
+SELECT filing_id, section_name, CAST(n AS INTEGER) AS word_count, md5(b) AS text_md5
+  FROM (SELECT *, len(regexp_extract_all(b, '\\S+')) AS n FROM b) WHERE n >= 50"""
 
 
 @query("extract_sections", _SECTIONS_SQL)
@@ -150,5 +245,8 @@ def _(spark, d):
     head = lambda h: F.concat(F.lit(f"<p>{h}</p><p>"), text, F.lit("</p>"))
     page = F.concat(F.lit("<html><body>"), head("Item 1. Business"), head(_RISK), head(_MDA), F.lit("<p>SIGNATURES</p></body></html>"))
     rows = S.spread(S.read(spark, d, "documents").select("doc_id", "lang", "text"))
-    docs = rows.select(F.col("doc_id").cast("string").alias("filing_id"), F.when(F.col("lang") == "en", "10-K").otherwise("10-Q").alias("form_type"), page.alias("html"))
+    docs = rows.select(
+        F.col("doc_id").cast("string").alias("filing_id"),
+        F.when(F.col("lang") == "en", "10-K").otherwise("10-Q").alias("form_type"), page.alias("html")
+    )
     return html.extract_sections(docs).select("filing_id", "section_name", "word_count", F.md5("raw_text").alias("text_md5"))

@@ -14,13 +14,17 @@ ARCHIVES = "https://www.sec.gov/Archives/"
 INDEX_COLUMNS = ("company", "form", "cik", "date", "path")
 
 
-def parse_filing_index(lines: DataFrame, forms: tuple[str, ...], ciks: DataFrame | None = None, tickers: DataFrame | None = None, columns: tuple[str, ...] = INDEX_COLUMNS) -> DataFrame:
+def parse_filing_index(
+    lines: DataFrame, forms: tuple[str, ...], ciks: DataFrame | None = None, tickers: DataFrame | None = None,
+    columns: tuple[str, ...] = INDEX_COLUMNS
+) -> DataFrame:
     """Pipe-delimited lines (``value``) of wanted forms as filings. ``columns`` is the order of the five parts,
     ``ciks`` (cik) narrows, ``tickers`` (cik, ticker) names; both are joined by size, without a hint."""
     parts = lines.select(F.split("value", "[|]").alias("p")).where(F.size("p") == 5)
     part = {c: strip(F.col("p")[i]) for i, c in enumerate(columns)}
     rows = parts.select(
-        part["company"].alias("company_name"), part["form"].alias("form_type"), pad_cik(part["cik"]).alias("cik"), part["date"].try_cast("date").alias("filed_date"), part["path"].alias("path")
+        part["company"].alias("company_name"), part["form"].alias("form_type"), pad_cik(part["cik"]).alias("cik"),
+        part["date"].try_cast("date").alias("filed_date"), part["path"].alias("path")
     ).where(F.col("form_type").isin(*forms) & F.col("filed_date").isNotNull())
     steps = F.split("path", "/")
     key = steps[F.size(steps) - 2]
@@ -38,7 +42,10 @@ def parse_filing_index(lines: DataFrame, forms: tuple[str, ...], ciks: DataFrame
 def parse_company_tickers(raw: DataFrame) -> DataFrame:
     """JSON objects ``{n: {cik_str, ticker}}`` (``value``) as (ticker, cik, ordinal)."""
     m = F.from_json("value", "map<string,struct<cik_str:bigint,ticker:string>>")
-    rows = raw.select(F.explode(m)).select(F.upper("value.ticker").alias("ticker"), pad_cik(F.col("value.cik_str").cast("string")).alias("cik"), F.col("key").cast("int").alias("ordinal"))
+    rows = raw.select(F.explode(m)).select(
+        F.upper("value.ticker").alias("ticker"), pad_cik(F.col("value.cik_str").cast("string")).alias("cik"),
+        F.col("key").cast("int").alias("ordinal")
+    )
     return rows.where("ticker is not null and cik is not null")
 
 
@@ -59,17 +66,29 @@ _RECENT = "struct<accessionNumber:array<string>,filingDate:array<string>,form:ar
 def explode_submissions(raw: DataFrame, forms: tuple[str, ...], start=None, end=None) -> DataFrame:
     """Parallel arrays in JSON (``value``: cik, filings.recent; ``pages``: more such arrays) as one row per filing."""
     doc = F.from_json("value", f"struct<cik:string,filings:struct<recent:{_RECENT}>>")
-    pages = F.coalesce(F.transform("pages", lambda p: F.from_json(p, _RECENT)), F.array().cast(f"array<{_RECENT}>")) if "pages" in raw.columns else F.array().cast(f"array<{_RECENT}>")
-    lists = raw.select(doc.alias("j"), pages.alias("pages")).select(pad_cik(F.col("j.cik")).alias("cik"), F.concat(F.array("j.filings.recent"), "pages").alias("lists"))
-    rows = lists.select("cik", F.explode("lists").alias("r")).where("r is not null").select("cik", F.explode(F.arrays_zip("r.accessionNumber", "r.filingDate", "r.form", "r.primaryDocument")).alias("z"))
+    pages = F.coalesce(
+        F.transform("pages", lambda p: F.from_json(p, _RECENT)), F.array().cast(f"array<{_RECENT}>")
+    ) if "pages" in raw.columns else F.array().cast(f"array<{_RECENT}>")
+    lists = raw.select(doc.alias("j"), pages.alias("pages")).select(
+        pad_cik(F.col("j.cik")).alias("cik"), F.concat(F.array("j.filings.recent"), "pages").alias("lists")
+    )
+    rows = lists.select("cik", F.explode("lists").alias("r")).where("r is not null").select(
+        "cik", F.explode(F.arrays_zip("r.accessionNumber", "r.filingDate", "r.form", "r.primaryDocument")).alias("z")
+    )
     z = [F.col(f"z.{c}") for c in ("accessionNumber", "filingDate", "form", "primaryDocument")]
-    found = rows.select("cik", z[0].alias("accession_number"), z[1].try_cast("date").alias("filed_date"), z[2].alias("form_type"), F.coalesce(z[3], F.lit("")).alias("doc"))
+    found = rows.select(
+        "cik", z[0].alias("accession_number"), z[1].try_cast("date").alias("filed_date"), z[2].alias("form_type"),
+        F.coalesce(z[3], F.lit("")).alias("doc")
+    )
     found = found.where(F.col("accession_number").isNotNull() & F.col("form_type").isin(*forms) & F.col("filed_date").isNotNull())
     if start is not None:
         found = found.where(F.col("filed_date") >= F.lit(start).cast("date"))
     if end is not None:
         found = found.where(F.col("filed_date") <= F.lit(end).cast("date"))
-    url = F.concat(F.lit(f"{ARCHIVES}edgar/data/"), F.regexp_replace("cik", "^0+", ""), F.lit("/"), F.regexp_replace("accession_number", "-", ""), F.lit("/"), "doc")
+    url = F.concat(
+        F.lit(f"{ARCHIVES}edgar/data/"), F.regexp_replace("cik", "^0+", ""), F.lit("/"),
+        F.regexp_replace("accession_number", "-", ""), F.lit("/"), "doc"
+    )
     return found.select("cik", "accession_number", "form_type", "filed_date", url.alias("url"))
 
 
@@ -89,7 +108,9 @@ def lexicon_from_wide(rows: DataFrame, word: str = "Word") -> DataFrame:
     columns = {c: _column_of(c, [x for x in rows.columns if x not in (word, "ordinal")]) for c in CATEGORIES}
     mark = lambda c: F.when((F.coalesce(F.trim(F.col(f"`{c}`")), F.lit("")) != "") & (F.trim(F.col(f"`{c}`")) != "0"), True).otherwise(False)
     marked = F.filter(F.array(*[F.when(mark(source), F.lit(c)) for c, source in columns.items() if source]), lambda x: x.isNotNull())
-    named = rows.select(F.upper(strip(F.col(word))).alias("word"), marked.alias("categories"), "ordinal").where((F.size("categories") > 0) & (F.col("word") != ""))
+    named = rows.select(
+        F.upper(strip(F.col(word))).alias("word"), marked.alias("categories"), "ordinal"
+    ).where((F.size("categories") > 0) & (F.col("word") != ""))
     last = W.partitionBy("word").orderBy(F.desc("ordinal"))
     return named.withColumn("r", F.row_number().over(last)).where("r = 1").select("word", F.explode("categories").alias("category"))
 
@@ -97,15 +118,23 @@ def lexicon_from_wide(rows: DataFrame, word: str = "Word") -> DataFrame:
 def lexicon_from_csv(spark: SparkSession, path: str) -> DataFrame:
     """The wide table from CSV files; file order is the order of rows."""
     rows = spark.read.csv(path, header=True)
-    return lexicon_from_wide(rows.withColumn("ordinal", F.monotonically_increasing_id()), next(c for c in rows.columns if c.lower() == "word"))
+    return lexicon_from_wide(
+        rows.withColumn("ordinal", F.monotonically_increasing_id()),
+        next(c for c in rows.columns if c.lower() == "word")
+    )
 
 
 def universe_rows(rows: DataFrame) -> DataFrame:
     """(ticker, start_date, end_date) of text rows: bad rows are dropped, a blank end is open."""
     day = lambda c: strip(F.col(c)).try_cast("date")
     blank: Column = F.coalesce(strip(F.col("end_date")), F.lit("")) == ""
-    good = rows.select(F.upper(strip(F.col("ticker"))).alias("ticker"), day("start_date").alias("start_date"), day("end_date").alias("end_date"), blank.alias("open"))
-    return good.where((F.col("ticker") != "") & F.col("start_date").isNotNull() & (F.col("open") | F.col("end_date").isNotNull())).drop("open")
+    good = rows.select(
+        F.upper(strip(F.col("ticker"))).alias("ticker"), day("start_date").alias("start_date"),
+        day("end_date").alias("end_date"), blank.alias("open")
+    )
+    return good.where(
+        (F.col("ticker") != "") & F.col("start_date").isNotNull() & (F.col("open") | F.col("end_date").isNotNull())
+    ).drop("open")
 
 
 def universe_from_csv(spark: SparkSession, path: str) -> DataFrame:

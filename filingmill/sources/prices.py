@@ -10,7 +10,8 @@ from filingmill.functions.text import strip
 # Names under which columns come.
 ALIASES = {
     "date": ("date", "timestamp", "datetime"), "open": ("open", "open_price"), "high": ("high", "high_price"), "low": ("low", "low_price"),
-    "close": ("close", "close_price", "last"), "volume": ("volume", "vol"), "adj_close": ("adj_close", "adj close", "adjclose", "adjusted_close"),
+    "close": ("close", "close_price", "last"), "volume": ("volume", "vol"),
+    "adj_close": ("adj_close", "adj close", "adjclose", "adjusted_close"),
 }
 RETURN_NAMES, PRICE_NAMES = ("ret", "return", "returns"), ("price", "adj_close", "adjclose")
 _CHART = (
@@ -31,8 +32,10 @@ def prices_from_rows(rows: DataFrame) -> DataFrame:
     number = lambda k: strip(F.col(f"`{of[k]}`")).try_cast("double") if of[k] else F.lit(None).cast("double")
     close = number("close")
     return rows.select(
-        "ticker", strip(F.col(f"`{of['date']}`")).try_cast("date").alias("date"), *[F.coalesce(number(k), close).alias(k) for k in ("open", "high", "low")], close.alias("close"),
-        F.coalesce(number("volume").cast("bigint"), F.lit(0)).cast("bigint").alias("volume"), number("adj_close").alias("adj_close"), F.lit("csv").alias("source"),
+        "ticker", strip(F.col(f"`{of['date']}`")).try_cast("date").alias("date"),
+        *[F.coalesce(number(k), close).alias(k) for k in ("open", "high", "low")], close.alias("close"),
+        F.coalesce(number("volume").cast("bigint"), F.lit(0)).cast("bigint").alias("volume"),
+        number("adj_close").alias("adj_close"), F.lit("csv").alias("source"),
     ).where("date is not null and close is not null")
 
 
@@ -45,10 +48,18 @@ def prices_from_chart_json(raw: DataFrame, start=None, end=None) -> DataFrame:
     c = raw.select("ticker", F.from_json("value", _CHART).alias("c"))
     quote = F.col("c.indicators.quote")[0]
     adjusted = F.col("c.indicators.adjclose")[0]["adjclose"]
-    cols = c.select("ticker", F.col("c.timestamp").alias("t"), *[quote[k].alias(k) for k in ("open", "high", "low", "close", "volume")], F.coalesce(adjusted, F.array().cast("array<double>")).alias("adj_close"))
-    rows = cols.select("ticker", F.explode(F.arrays_zip("t", "open", "high", "low", "close", "volume", "adj_close")).alias("z")).select("ticker", "z.*")
+    cols = c.select(
+        "ticker", F.col("c.timestamp").alias("t"),
+        *[quote[k].alias(k) for k in ("open", "high", "low", "close", "volume")],
+        F.coalesce(adjusted, F.array().cast("array<double>")).alias("adj_close")
+    )
+    rows = cols.select(
+        "ticker", F.explode(F.arrays_zip("t", "open", "high", "low", "close", "volume", "adj_close")).alias("z")
+    ).select("ticker", "z.*")
     bars = rows.where("t is not null and open is not null and high is not null and low is not null and close is not null").select(
-        "ticker", F.to_date(F.timestamp_seconds("t")).alias("date"), "open", "high", "low", "close", F.coalesce("volume", F.lit(0)).cast("bigint").alias("volume"), "adj_close", F.lit("yahoo_finance").alias("source")
+        "ticker", F.to_date(F.timestamp_seconds("t")).alias("date"), "open", "high", "low", "close",
+        F.coalesce("volume", F.lit(0)).cast("bigint").alias("volume"), "adj_close",
+        F.lit("yahoo_finance").alias("source")
     )
     if start is not None:
         bars = bars.where(F.col("date") >= F.lit(start).cast("date"))
@@ -63,7 +74,9 @@ def returns_from_rows(rows: DataFrame) -> DataFrame:
     if not day or not (ret or price):
         raise ValueError("a date and a return or price column are needed")
     value = strip(F.col(f"`{ret or price}`")).try_cast("double")
-    found = rows.select(F.col("ticker"), strip(F.col(f"`{day}`")).try_cast("date").alias("date"), value.alias("value")).where("date is not null")
+    found = rows.select(
+        F.col("ticker"), strip(F.col(f"`{day}`")).try_cast("date").alias("date"), value.alias("value")
+    ).where("date is not null")
     return found.groupBy("ticker", "date").agg(F.avg("value").alias("value")).withColumn("kind", F.lit("ret" if ret else "price"))
 
 

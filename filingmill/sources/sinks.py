@@ -35,7 +35,12 @@ MAX_COLUMNS = 10_000
 
 def signals_wide(composites: DataFrame) -> DataFrame:
     """Composites with one column per component name."""
-    names = [r[0] for r in composites.select(F.explode(F.map_keys("components")).alias("k")).distinct().orderBy("k").limit(MAX_COLUMNS + 1).collect()]
+    names = [
+        r[0]
+        for r in composites.select(
+            F.explode(F.map_keys("components")).alias("k")
+        ).distinct().orderBy("k").limit(MAX_COLUMNS + 1).collect()
+    ]
     if len(names) > MAX_COLUMNS:
         raise ValueError(f"over {MAX_COLUMNS} component names")
     return composites.select("ticker", "signal_date", "composite_score", "rank", *[F.col("components")[n].alias(n) for n in names])
@@ -51,7 +56,11 @@ def write_signals_json(composites: DataFrame, path: str) -> None:
 
 def backtest_report(period_returns: DataFrame, metrics: DataFrame, counts: DataFrame) -> DataFrame:
     """One JSON row (``report``): period rows, all rows of metrics, and composites per date; all are per-period sized."""
-    periods = period_returns.agg(F.array_sort(F.collect_list(F.struct("period_start", *[c for c in period_returns.columns if c != "period_start"]))).alias("periods"))
+    periods = period_returns.agg(
+        F.array_sort(
+            F.collect_list(F.struct("period_start", *[c for c in period_returns.columns if c != "period_start"]))
+        ).alias("periods")
+    )
     dates = counts.agg(F.array_sort(F.collect_list(F.struct("signal_date", "n"))).alias("signals"))
     measured = metrics.agg(F.array_sort(F.collect_list(F.struct(*metrics.columns))).alias("metrics"))
     return periods.join(measured).join(dates).select(F.to_json(F.struct("periods", "metrics", "signals")).alias("report"))

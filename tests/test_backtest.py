@@ -14,7 +14,13 @@ def prices(spark, rows):
 
 
 def test_returns(spark):
-    p = prices(spark, [("A", D(2024, 1, 2), 100.0), ("A", D(2024, 1, 31), 105.0), ("A", D(2024, 2, 29), 110.0), ("A", D(2024, 4, 30), 121.0)])
+    p = prices(
+        spark,
+        [
+            ("A", D(2024, 1, 2), 100.0), ("A", D(2024, 1, 31), 105.0), ("A", D(2024, 2, 29), 110.0),
+            ("A", D(2024, 4, 30), 121.0)
+        ]
+    )
     daily = returns.daily_returns(p).orderBy("date").collect()
     assert daily[0].ret is None and daily[1].ret == pytest.approx(0.05)
     month = {r.date: r.ret for r in returns.monthly_returns(p).collect()}
@@ -30,7 +36,10 @@ def test_rebalance_dates(spark):
 
 
 def scores(spark, values, day=D(2024, 3, 29)):
-    return spark.createDataFrame([(day, f"T{i}", v) for i, v in enumerate(values)], "rebalance_date date, ticker string, composite_score double")
+    return spark.createDataFrame(
+        [(day, f"T{i}", v) for i, v in enumerate(values)],
+        "rebalance_date date, ticker string, composite_score double"
+    )
 
 
 def test_quantiles_and_legs(spark):
@@ -45,7 +54,12 @@ def test_quantiles_and_legs(spark):
 
 def test_turnover(spark):
     rows = [(D(2024, m, 28), t, 0.5) for m in (3, 6) for t in ("A", "B")] + [(D(2024, 9, 28), "C", 1.0)]
-    got = [r.turnover for r in portfolio.turnover(spark.createDataFrame(rows, "rebalance_date date, ticker string, weight double")).orderBy("rebalance_date").collect()]
+    got = [
+        r.turnover
+        for r in portfolio.turnover(
+            spark.createDataFrame(rows, "rebalance_date date, ticker string, weight double")
+        ).orderBy("rebalance_date").collect()
+    ]
     assert got == [1.0, 0.0, 1.0]
 
 
@@ -58,7 +72,10 @@ def test_curve_stays_flat(spark):
 
 
 def series(spark, values, key="s"):
-    return spark.createDataFrame([(key, D(2020 + i // 12, i % 12 + 1, 28), v) for i, v in enumerate(values)], "strategy_id string, date date, ret double")
+    return spark.createDataFrame(
+        [(key, D(2020 + i // 12, i % 12 + 1, 28), v) for i, v in enumerate(values)],
+        "strategy_id string, date date, ret double"
+    )
 
 
 def test_metrics(spark):
@@ -71,7 +88,10 @@ def test_metrics(spark):
 
 
 def test_regression(spark):
-    rows = [("s", D(2020 + i // 12, i % 12 + 1, 28), 0.01 + 2 * x - y, x, y, 0.0) for i in range(24) for x, y in [((i * 7 % 11) / 100, (i * 5 % 13) / 100)]]
+    rows = [
+        ("s", D(2020 + i // 12, i % 12 + 1, 28), 0.01 + 2 * x - y, x, y, 0.0) for i in range(24)
+        for x, y in [((i * 7 % 11) / 100, (i * 5 % 13) / 100)]
+    ]
     df = spark.createDataFrame(rows, "strategy_id string, date date, ret double, `Mkt-RF` double, SMB double, RF double")
     got = metrics.factor_regression(df).first()
     assert got.alpha == pytest.approx(0.01) and got.loadings == pytest.approx([2, -1]) and got.r2 == pytest.approx(1)
@@ -79,7 +99,10 @@ def test_regression(spark):
 
 
 def test_ic(spark):
-    s = spark.createDataFrame([(f"T{i}", d, float(i)) for i in range(6) for d in (D(2024, 1, 31), D(2024, 2, 29))], "ticker string, signal_date date, composite_score double")
+    s = spark.createDataFrame(
+        [(f"T{i}", d, float(i)) for i in range(6) for d in (D(2024, 1, 31), D(2024, 2, 29))],
+        "ticker string, signal_date date, composite_score double"
+    )
     r = spark.createDataFrame([(f"T{i}", D(2024, 2, 15), i / 100) for i in range(6)], "ticker string, date date, ret double")
     ics = metrics.information_coefficients(s, r).collect()
     assert len(ics) == 1 and ics[0].ic == pytest.approx(1)
@@ -108,16 +131,26 @@ def test_market_is_null_without_data(spark):
 
 def test_backtest_and_sweep_agree(spark):
     days = [D(2023, m, 1) for m in (1, 4, 7, 10)]
-    composites = spark.createDataFrame([(f"T{i}", d, float(i * 7 % 10 + k)) for i in range(10) for k, d in enumerate(days)], "ticker string, signal_date date, composite_score double")
+    composites = spark.createDataFrame(
+        [(f"T{i}", d, float(i * 7 % 10 + k)) for i in range(10) for k, d in enumerate(days)],
+        "ticker string, signal_date date, composite_score double"
+    )
     universe = spark.createDataFrame([(f"T{i}", D(2020, 1, 1), None) for i in range(10)], "ticker string, start_date date, end_date date")
-    r = spark.createDataFrame([(f"T{i}", D(2023, m, 28), (i - 4 + m % 3) / 100) for i in range(10) for m in range(1, 13)], "ticker string, date date, ret double")
+    r = spark.createDataFrame(
+        [(f"T{i}", D(2023, m, 28), (i - 4 + m % 3) / 100) for i in range(10) for m in range(1, 13)],
+        "ticker string, date date, ret double"
+    )
     market = r.groupBy("date").agg(F.avg("ret").alias("ret"))
     args = (composites, universe, r, market, "2023-01-01", "2023-12-31")
     one = portfolio.run_backtest(*args, short_quantile=5, cost_bps=20.0)
     sweep = portfolio.run_sweep(*args, [portfolio.Strategy("a", 5, 1, 5, 20.0), portfolio.Strategy("b", 2, 1)])
     pick = lambda rows, *c: sorted(tuple(x) for x in rows.select(*c).collect())
-    assert pick(one["period_returns"], "period_start", "net", "turnover") == pick(sweep["period_returns"].where("strategy_id = 'a'"), "period_start", "net", "turnover")
-    assert pick(one["equity_curve"], "date", "portfolio_value") == pick(sweep["equity_curve"].where("strategy_id = 'a'"), "date", "portfolio_value")
+    assert pick(one["period_returns"], "period_start", "net", "turnover") == pick(
+        sweep["period_returns"].where("strategy_id = 'a'"), "period_start", "net", "turnover"
+    )
+    assert pick(one["equity_curve"], "date", "portfolio_value") == pick(
+        sweep["equity_curve"].where("strategy_id = 'a'"), "date", "portfolio_value"
+    )
     m = one["metrics"].first()
     costs = [x.cost for x in one["period_returns"].collect()]
     assert m.total_cost == pytest.approx(sum(costs)) and m.average_turnover == pytest.approx(sum(costs) / len(costs) / 0.002)

@@ -9,7 +9,10 @@ DAY = date(2024, 1, 31)
 
 
 def raw(spark, values, name="s", day=date(2024, 1, 1)):
-    return spark.createDataFrame([(f"T{i}", f"f{i}", name, day, v) for i, v in enumerate(values)], "ticker string, filing_id string, signal_name string, signal_date date, raw_value double")
+    return spark.createDataFrame(
+        [(f"T{i}", f"f{i}", name, day, v) for i, v in enumerate(values)],
+        "ticker string, filing_id string, signal_name string, signal_date date, raw_value double"
+    )
 
 
 def build(spark, values):

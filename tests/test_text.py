@@ -49,7 +49,9 @@ def test_sections():
 
 
 def sections(spark, *texts):
-    return spark.createDataFrame([(str(i), "mda", t) for i, t in enumerate(texts)], "filing_id string, section_name string, raw_text string")
+    return spark.createDataFrame(
+        [(str(i), "mda", t) for i, t in enumerate(texts)], "filing_id string, section_name string, raw_text string"
+    )
 
 
 def test_dictionary(spark):
@@ -81,12 +83,17 @@ def test_cosine(spark):
 def test_llm_rows(spark):
     tick = "`" * 3
     raw = [
-        f'{tick}json\n{{"sentiment_score": 0.5, "confidence": 7, "themes": ["a"], "tone": "Positive", "reasoning": "r"}}\n{tick}', '{"sentiment_score": "0.5"}', '{"sentiment_score": 2}', "[1]", "nonsense",
+        f'{tick}json\n{{"sentiment_score": 0.5, "confidence": 7, "themes": ["a"], "tone": "Positive", "reasoning": "r"}}\n{tick}',
+        '{"sentiment_score": "0.5"}', '{"sentiment_score": 2}', "[1]", "nonsense",
         '{"sentiment_score": -1}', None,
     ]
-    rows = scoring.parse_llm_responses(spark.createDataFrame([(i, r) for i, r in enumerate(raw)], "i int, raw string")).orderBy("i").collect()
+    rows = scoring.parse_llm_responses(
+        spark.createDataFrame([(i, r) for i, r in enumerate(raw)], "i int, raw string")
+    ).orderBy("i").collect()
     assert [r.valid for r in rows] == [True, False, False, False, False, True, False]
-    assert (rows[0].sentiment_score, rows[0].confidence, rows[0].themes, rows[0].tone, rows[0].reasoning) == (0.5, 1.0, ["a"], "positive", "r")
+    assert (
+        rows[0].sentiment_score, rows[0].confidence, rows[0].themes, rows[0].tone, rows[0].reasoning
+    ) == (0.5, 1.0, ["a"], "positive", "r")
     assert (rows[5].confidence, rows[5].themes, rows[5].tone, rows[5].reasoning) == (0.5, [], "neutral", "")
 
 
@@ -105,7 +112,10 @@ def test_analyzers(spark):
 
 
 def test_tidy_query_cleans_all_documents(spark, tmp_path):
-    texts = [" a  b \n\n\n\n c\td ", "x\fy", "one\n  Table of Contents  \ntwo\n- 42 -\nthree\nPage 3 of 9\nfour", "plain", "two  spaces", "end \nnext"]
+    texts = [
+        " a  b \n\n\n\n c\td ", "x\fy", "one\n  Table of Contents  \ntwo\n- 42 -\nthree\nPage 3 of 9\nfour", "plain",
+        "two  spaces", "end \nnext"
+    ]
     spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     got = {r.doc_id: r.text_md5 for r in queries()["tidy_text"](spark, str(tmp_path)).collect()}
     assert got == {i: hashlib.md5(html.clean_text(t).encode()).hexdigest() for i, t in enumerate(texts)}
