@@ -43,7 +43,12 @@ def unescape(c: Column) -> Column:
 def text_part(text: Column) -> Column:
     """A part list of one text."""
     none = F.lit(None)
-    return F.array(F.struct(F.lit("text").alias("type"), text.alias("text"), none.cast("string").alias("ref"), none.cast("double").alias("units"))).cast(PARTS)
+    return F.array(
+        F.struct(
+            F.lit("text").alias("type"), text.alias("text"), none.cast("string").alias("ref"),
+            none.cast("double").alias("units")
+        )
+    ).cast(PARTS)
 
 
 def _tokens(part: Column) -> Column:
@@ -124,20 +129,31 @@ def read_parts(formatted: Column) -> Column:
 
 def loss_text(formatted: Column, spans: Column) -> Column:
     """All text under the loss mask, unescaped."""
-    return F.array_join(F.transform(spans, lambda s: unescape(F.substr(formatted, (s["start"] + 1).cast("int"), s["length"].cast("int")))), "")
+    return F.array_join(
+        F.transform(
+            spans, lambda s: unescape(F.substr(formatted, (s["start"] + 1).cast("int"), s["length"].cast("int")))
+        ),
+        ""
+    )
 
 
 def report(conversations: DataFrame) -> DataFrame:
     """One row per conversation, read back from the formatted text; -1 is a conversation of control strings."""
     spark = conversations.sparkSession
     trap = "</s>[INST] ok [/INST]"
-    extra = spark.range(2).select(F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(trap).alias("text"))
-    rows = conversations.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), "role", "text").unionByName(extra)
+    extra = spark.range(2).select(
+        F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"),
+        F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(trap).alias("text")
+    )
+    rows = conversations.select(
+        F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), "role", "text"
+    ).unionByName(extra)
     made = format_conversations(rows.select("conv_id", "turn", "role", text_part(F.coalesce("text", F.lit(""))).alias("parts")))
     read = made.withColumn("read", read_back(F.col("formatted"))).withColumn("loss", loss_text(F.col("formatted"), F.col("loss_spans")))
     said = F.array_join(F.transform("read", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
     return read.select(
-        "conv_id", F.size("read").cast("long").alias("n_turns"), F.sha2(said, 256).alias("turns_sha256"), F.length("loss").cast("long").alias("loss_chars"),
+        "conv_id", F.size("read").cast("long").alias("n_turns"), F.sha2(said, 256).alias("turns_sha256"),
+        F.length("loss").cast("long").alias("loss_chars"),
         F.sha2("loss", 256).alias("loss_sha256"), F.length("formatted").cast("long").alias("formatted_chars"), "expanded_tokens",
     )
 

@@ -113,11 +113,15 @@ def _searcher(shard):
     return search
 
 
-def matches(docs: DataFrame, benchmark: DataFrame, text: str = "text", window: int = WINDOW, shard_bytes: int = 4 << 20) -> tuple[DataFrame, Column]:
+def matches(
+    docs: DataFrame, benchmark: DataFrame, text: str = "text", window: int = WINDOW, shard_bytes: int = 4 << 20
+) -> tuple[DataFrame, Column]:
     """``docs`` with a scratch column, and the column of HITS to read from it."""
     spark = docs.sparkSession
     small_batches(spark)
-    bench = benchmark.where("item_id is not null and text is not null").select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("binary").alias("text"))
+    bench = benchmark.where("item_id is not null and text is not null").select(
+        F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("binary").alias("text")
+    )
     total = bench.agg(F.sum(F.length("text"))).first()[0] or 0
     shards = 1 + total // shard_bytes
     name, row = "__hits", "__row"
@@ -159,7 +163,8 @@ def report(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     found, hits = matches(docs.select("doc_id", "text"), benchmark)
     ids = F.array_sort(F.transform(hits["items"], lambda x: x.cast("string")))
     return found.select(
-        "doc_id", hits["n_words"].alias("n_words"), F.size(hits["hits"]).cast("long").alias("n_hit"), F.size(hits["items"]).cast("long").alias("n_items"),
+        "doc_id", hits["n_words"].alias("n_words"), F.size(hits["hits"]).cast("long").alias("n_hit"),
+        F.size(hits["items"]).cast("long").alias("n_items"),
         F.sha2(F.array_join(ids, ","), 256).alias("items_sha256"), is_contaminated(hits).alias("contaminated"),
     )
 

@@ -135,31 +135,53 @@ def _links(cosine: float):
 
 def near_duplicates(embeddings: DataFrame, cosine: float = COSINE) -> DataFrame:
     """vec_id, n_links, component_id, kept for every vector."""
-    rows = embeddings.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"), F.col("label"))
+    rows = embeddings.select(
+        F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"),
+        F.col("label")
+    )
     finite = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     some = F.exists("embedding", lambda x: x != 0)
     usable = F.coalesce(F.col("vec_id").isNotNull() & F.col("label").isNotNull() & finite & some, F.lit(False))
     mark = F.when(usable, F.struct(F.xxhash64("embedding").alias("a"), F.xxhash64(F.reverse("embedding"), F.lit(1)).alias("b")))  # 128 bits of the vector
     marked = stored(rows.select("vec_id", "label", "embedding", mark.alias("mark")), "vectors")
     good = marked.where("mark is not null")
-    classes = good.groupBy("label", "mark").agg(F.min("vec_id").alias("rep"), F.count("*").alias("weight"), F.first("embedding").alias("embedding"))
+    classes = good.groupBy("label", "mark").agg(
+        F.min("vec_id").alias("rep"), F.count("*").alias("weight"), F.first("embedding").alias("embedding")
+    )
     hashed = F.arrow_udf(_hash, "array<bigint>").asNondeterministic()
-    classes = stored(classes.select("label", "mark", "rep", "weight", F.col("embedding").cast("array<float>").alias("short"), "embedding", hashed("embedding").alias("keys")), "classes")
+    classes = stored(
+        classes.select(
+            "label", "mark", "rep", "weight", F.col("embedding").cast("array<float>").alias("short"), "embedding",
+            hashed("embedding").alias("keys")
+        ),
+        "classes"
+    )
     # Floats are what tables hold; doubles are carried only where a float would change the value.
     exact = F.transform("short", lambda x: x.cast("double")) == F.col("embedding")
     keyed = classes.select(
         "label", "rep", "weight", F.when(exact, F.col("short")).alias("short"), F.when(~exact, F.col("embedding")).alias("long"), "keys",
         F.size("embedding").alias("dims"), F.posexplode("keys").alias("t", "key"),
     )
-    hot = classes.select("label", F.size("embedding").alias("dims"), F.posexplode("keys").alias("t", "key")).groupBy("label", "dims", "t", "key").agg(F.count("*").alias("n")).where(F.col("n") > BLOCK)
+    hot = classes.select(
+        "label", F.size("embedding").alias("dims"), F.posexplode("keys").alias("t", "key")
+    ).groupBy("label", "dims", "t", "key").agg(F.count("*").alias("n")).where(F.col("n") > BLOCK)
     hot = stored(hot.withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int")), "hot")
     on = ["label", "dims", "t", "key"]
     mine = F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")
     spread = keyed.join(hot.select(*on, "blocks"), on, "left")
-    pairs = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct(F.least(o, mine).alias("x"), F.greatest(o, mine).alias("y")))
-    spread = spread.withColumn("b", F.explode(F.when(F.col("blocks") > 1, pairs).otherwise(F.array(F.struct(F.lit(0).alias("x"), F.lit(0).alias("y"))))))
+    pairs = F.transform(
+        F.sequence(F.lit(0), F.col("blocks") - 1),
+        lambda o: F.struct(F.least(o, mine).alias("x"), F.greatest(o, mine).alias("y"))
+    )
+    spread = spread.withColumn(
+        "b",
+        F.explode(
+            F.when(F.col("blocks") > 1, pairs).otherwise(F.array(F.struct(F.lit(0).alias("x"), F.lit(0).alias("y"))))
+        )
+    )
     spread = spread.select(
-        *on, (F.col("b.x") * 100_000_000 + F.col("b.y")).cast("long").alias("block"), F.when(F.col("b.x") == F.col("b.y"), F.lit(0)).otherwise(mine).alias("side"),
+        *on, (F.col("b.x") * 100_000_000 + F.col("b.y")).cast("long").alias("block"),
+        F.when(F.col("b.x") == F.col("b.y"), F.lit(0)).otherwise(mine).alias("side"),
         "rep", "weight", "keys", F.coalesce(F.col("long"), F.transform("short", lambda x: x.cast("double"))).alias("embedding"),
     )
     by = ["label", "t", "key", "block", "dims"]
@@ -170,8 +192,13 @@ def near_duplicates(embeddings: DataFrame, cosine: float = COSINE) -> DataFrame:
     linked = met.groupBy("rep").agg(F.sum("links").alias("links"))
     joined = components(met.select(F.col("rep").alias("a"), F.col("to").alias("b")))
     per_class = (
-        classes.select("label", "mark", "rep", "weight").join(linked, "rep", "left").join(joined.withColumnRenamed("id", "rep"), "rep", "left")
-        .select("label", "mark", (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
+        classes.select("label", "mark", "rep", "weight").join(linked, "rep", "left").join(
+            joined.withColumnRenamed("id", "rep"), "rep", "left"
+        )
+        .select(
+            "label", "mark", (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n_links"),
+            F.coalesce("component", "rep").alias("component_id")
+        )
     )
     result = marked.select("vec_id", "label", "mark").join(per_class, ["label", "mark"], "left").select(
         "vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id")

@@ -206,13 +206,19 @@ def bucketed(classes: DataFrame) -> DataFrame:
     met = classes.select("size", F.posexplode("keys").alias("t", "key")).groupBy("t", "key").agg(F.count("*").alias("n")).where("n > 1")
     inside = classes.select("digest", F.posexplode("keys").alias("t", "key")).join(met.drop("n"), ["t", "key"])
     shared = stored(inside.join(classes, "digest"), "shared")
-    least, most = ([f(F.element_at("keys", j + 1)).alias(f"{name}{j}") for j in range(TABLES - 1)] for f, name in ((F.min, "least"), (F.max, "most")))
+    least, most = (
+        [f(F.element_at("keys", j + 1)).alias(f"{name}{j}") for j in range(TABLES - 1)]
+        for f, name in ((F.min, "least"), (F.max, "most"))
+    )
     stats = shared.groupBy("t", "key").agg(F.count("*").alias("n"), F.sum("size").alias("words"), *least, *most)
     earlier = [(F.lit(j) < F.col("t")) & (F.col(f"least{j}") == F.col(f"most{j}")) for j in range(TABLES - 1)]
     blocks = F.ceil(F.greatest(F.col("n") / BLOCK, F.col("words") / WORDS)).cast("int")
     stats = stored(stats.where(~reduce(or_, earlier)).select("t", "key", blocks.alias("blocks")), "buckets")
     mine = F.pmod(F.xxhash64("digest"), F.col("blocks")).cast("int")
-    pairs = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct(F.least(o, mine).alias("x"), F.greatest(o, mine).alias("y")))
+    pairs = F.transform(
+        F.sequence(F.lit(0), F.col("blocks") - 1),
+        lambda o: F.struct(F.least(o, mine).alias("x"), F.greatest(o, mine).alias("y"))
+    )
     spread = shared.join(stats, ["t", "key"]).withColumn("b", F.explode(pairs))
     block = F.col("b.x").cast("long") * F.lit(1 << 32) + F.col("b.y")
     side = F.when(F.col("b.x") == F.col("b.y"), F.lit(0)).otherwise(F.when(mine == F.col("b.y"), F.lit(1)).otherwise(F.lit(0)))
@@ -237,13 +243,19 @@ def _classed(docs: DataFrame, least: float) -> DataFrame:
     sketched = F.arrow_udf(_sketches, SKETCH).asNondeterministic()
     marked = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("h"), sketched(F.col("text")).alias("s"))
     marked = stored(marked.select("doc_id", "h", "s.*"), "sketches")
-    classes = marked.where("digest is not null and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("size").alias("size"), F.first("keys").alias("keys"))
+    classes = marked.where("digest is not null and doc_id is not null").groupBy("digest").agg(
+        F.min("doc_id").alias("rep"), F.first("size").alias("size"), F.first("keys").alias("keys")
+    )
     classes = stored(classes, "classes")
     parts = components(links(classes, docs.select(F.col("doc_id").cast("long").alias("rep"), "text"), least))
-    classed = classes.select("digest", "rep").join(parts.withColumnRenamed("id", "digest"), "digest", "left").withColumn("component", F.coalesce("component", "digest"))
+    classed = classes.select("digest", "rep").join(
+        parts.withColumnRenamed("id", "digest"), "digest", "left"
+    ).withColumn("component", F.coalesce("component", "digest"))
     named = classed.groupBy("component").agg(F.min("rep").alias("class_id"))
     classed = classed.join(named, "component").select("digest", "component", "class_id")
-    result = marked.select("doc_id", "h", "digest").join(classed, "digest", "left").select("doc_id", "h", "component", F.coalesce("class_id", "doc_id").alias("class_id"))
+    result = marked.select("doc_id", "h", "digest").join(classed, "digest", "left").select(
+        "doc_id", "h", "component", F.coalesce("class_id", "doc_id").alias("class_id")
+    )
     return result.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("class_id"), F.lit(True)))
 
 

@@ -96,7 +96,9 @@ class Encoder:
 
 def _cutter(path: str, capacity: int, with_ids: bool):
     encoder: list[Encoder] = []
-    fields = [("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())] + [("ids", pa.list_(pa.int32()))] * with_ids
+    fields = [
+        ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())
+    ] + [("ids", pa.list_(pa.int32()))] * with_ids
     kind = pa.list_(pa.struct(fields))
 
     def cut(texts: pa.Array) -> pa.Array:
@@ -111,10 +113,14 @@ def _cutter(path: str, capacity: int, with_ids: bool):
                 if with_ids:
                     ids.append(np.frombuffer(part, "<u4").astype(np.int32))
             ends.append(len(rows))
-        columns = [pa.array(c, f[1]) for c, f in zip(zip(*rows, strict=True), fields, strict=False)] if rows else [pa.array([], f[1]) for f in fields[:4]]
+        columns = [
+            pa.array(c, f[1]) for c, f in zip(zip(*rows, strict=True), fields, strict=False)
+        ] if rows else [pa.array([], f[1]) for f in fields[:4]]
         if with_ids:
             columns.append(pa.array(ids, fields[4][1]))
-        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays(columns, names=[f[0] for f in fields])).cast(kind)
+        return pa.ListArray.from_arrays(
+            pa.array(ends, pa.int32()), pa.StructArray.from_arrays(columns, names=[f[0] for f in fields])
+        ).cast(kind)
 
     return cut
 
@@ -208,7 +214,9 @@ def fillings(lengths: list[int], counts: dict[int, int], room: int, width: int,
     return found
 
 
-def complete(counts: dict[int, int], capacity: int = CAPACITY, width: int = 4, nodes: int | None = None, depth_nodes: int = 160) -> list[Pattern]:
+def complete(
+    counts: dict[int, int], capacity: int = CAPACITY, width: int = 4, nodes: int | None = None, depth_nodes: int = 160
+) -> list[Pattern]:
     """Bin completion by branch and bound; ``nodes`` bounds the search, never the result's completeness."""
     left = {k: v for k, v in counts.items() if v}
     incumbent = best_fit(left, capacity)
@@ -296,11 +304,15 @@ def place(cut: DataFrame, capacity: int = CAPACITY) -> DataFrame:
         table = plan.value
         x, r = length.to_numpy(zero_copy_only=False).astype(np.int64), rank.to_numpy(zero_copy_only=False).astype(np.int64)
         at = np.searchsorted((table[:, 0] << 48) + table[:, 1], (x << 48) + r, "right") - 1
-        return pa.StructArray.from_arrays([pa.array(table[at, 2] + r - table[at, 1]), pa.array(table[at, 3])], names=["sequence_id", "offset"])
+        return pa.StructArray.from_arrays(
+            [pa.array(table[at, 2] + r - table[at, 1]), pa.array(table[at, 3])], names=["sequence_id", "offset"]
+        )
 
     udf = F.arrow_udf(seat, "struct<sequence_id:bigint,offset:bigint>").asNondeterministic()
     within = W.partitionBy("length", "salt").orderBy("doc_id", "piece", "ids_crc32")
-    ranked = salted.withColumn("k", F.row_number().over(within)).join(F.broadcast(cells.select("length", "salt", "first")), ["length", "salt"])
+    ranked = salted.withColumn("k", F.row_number().over(within)).join(
+        F.broadcast(cells.select("length", "salt", "first")), ["length", "salt"]
+    )
     seated = ranked.withColumn("seat", udf(F.col("length"), F.col("first") + F.col("k") - 1))
     return seated.select(*cut.columns, F.col("seat.sequence_id").alias("sequence_id"), F.col("seat.offset").alias("offset"))
 

@@ -81,7 +81,11 @@ def located(parts: str) -> Column:
         block = F.floor(before / _BLOCK).cast("int")
         start = F.element_at(k["totals"], block + 1) + F.aggregate(F.slice(k["lengths"], block * _BLOCK + 1, before % _BLOCK), zero, plus)
         own = F.element_at(parts, i)
-        return F.struct(start.alias("start"), (start + F.length(own)).alias("end"), own.alias("text"), F.right(F.element_at(parts, i - 1), F.lit(60)).alias("left"), F.left(F.element_at(parts, i + 1), F.lit(60)).alias("right"))
+        return F.struct(
+            start.alias("start"), (start + F.length(own)).alias("end"), own.alias("text"),
+            F.right(F.element_at(parts, i - 1), F.lit(60)).alias("left"),
+            F.left(F.element_at(parts, i + 1), F.lit(60)).alias("right")
+        )
 
     # transform over one struct, so that the sums are made once per text
     return F.flatten(F.transform(F.array(known), lambda k: F.transform(odd, lambda i: at(k, i))))
@@ -103,7 +107,10 @@ def _valid(kind: str, text: Column) -> Column:
     if kind == "ip":
         # Leading zeros do not count; longer than three digits is over 255.
         part = lambda p: F.regexp_replace(p, F.lit("^0+(?=[0-9])"), F.lit(""))
-        return F.forall(F.split(text, r"\."), lambda p: (F.length(part(p)) <= 3) & (F.substr(part(p), F.lit(1), F.lit(3)).cast("int") <= 255))
+        return F.forall(
+            F.split(text, r"\."),
+            lambda p: (F.length(part(p)) <= 3) & (F.substr(part(p), F.lit(1), F.lit(3)).cast("int") <= 255)
+        )
     if kind == "card":
         d = _digits(text)
         return F.when(F.length(d).between(13, 19), luhn(d)).otherwise(False)
@@ -151,7 +158,9 @@ def edges(found: DataFrame) -> DataFrame:
     seeds = found.select(F.explode(F.concat(*KINDS)).alias("s"), F.lit(1).alias("seed"))
     others = found.select(F.explode("ctx").alias("s"), F.lit(0).alias("seed"))
     pairs = seeds.unionByName(others).select(F.explode("s.patterns").alias("pattern"), F.col("s.instance").alias("instance"), "seed")
-    pairs = pairs.groupBy("pattern", "instance").agg(F.max("seed").alias("seed")).withColumn("salt", F.pmod(F.xxhash64("instance", "pattern"), F.lit(SALTS)).cast("int"))
+    pairs = pairs.groupBy("pattern", "instance").agg(F.max("seed").alias("seed")).withColumn(
+        "salt", F.pmod(F.xxhash64("instance", "pattern"), F.lit(SALTS)).cast("int")
+    )
     pairs = stored(pairs, "pairs")
     common = pairs.groupBy("pattern").agg(F.count("*").alias("n")).where(F.col("n") >= SUPPORT).select("pattern")
     return pairs.join(_salted(common), ["pattern", "salt"])
@@ -160,14 +169,26 @@ def edges(found: DataFrame) -> DataFrame:
 def patterns(graph: DataFrame) -> DataFrame:
     """Accepted patterns: (pattern, score), by ROUNDS of belief over ``edges``."""
     sure = graph.groupBy("instance").agg(F.max("seed").alias("sure"))
-    belief = graph.join(_salted(sure), ["instance", "salt"]).select("pattern", "instance", "salt", F.col("sure").cast("double").alias("belief"))
+    belief = graph.join(_salted(sure), ["instance", "salt"]).select(
+        "pattern", "instance", "salt", F.col("sure").cast("double").alias("belief")
+    )
     accepted = None
     for k in range(ROUNDS):
         b, n = F.sum("belief"), F.count("*")
-        scored = belief.groupBy("pattern").agg((b / n * b / (b + 1)).alias("score"), F.count_if(F.col("belief") >= BELIEVED).alias("support"))
-        accepted = stored(scored.where((F.col("score") >= CONFIDENCE) & (F.col("support") >= SUPPORT)).select("pattern", "score"), f"accepted{k}")
-        doubt = graph.join(_salted(accepted), ["pattern", "salt"]).groupBy("instance").agg(F.sum(F.log(F.greatest(1 - F.col("score"), F.lit(1e-9)))).alias("d"))
-        value = sure.join(doubt, "instance", "left").select("instance", F.when(F.col("sure") == 1, 1.0).otherwise(1 - F.exp(F.coalesce("d", F.lit(0.0)))).alias("belief"))
+        scored = belief.groupBy("pattern").agg(
+            (b / n * b / (b + 1)).alias("score"), F.count_if(F.col("belief") >= BELIEVED).alias("support")
+        )
+        accepted = stored(
+            scored.where((F.col("score") >= CONFIDENCE) & (F.col("support") >= SUPPORT)).select("pattern", "score"),
+            f"accepted{k}"
+        )
+        doubt = graph.join(_salted(accepted), ["pattern", "salt"]).groupBy("instance").agg(
+            F.sum(F.log(F.greatest(1 - F.col("score"), F.lit(1e-9)))).alias("d")
+        )
+        value = sure.join(doubt, "instance", "left").select(
+            "instance",
+            F.when(F.col("sure") == 1, 1.0).otherwise(1 - F.exp(F.coalesce("d", F.lit(0.0)))).alias("belief")
+        )
         belief = graph.select("pattern", "instance", "salt").join(_salted(value), ["instance", "salt"])
     return accepted
 
@@ -178,17 +199,23 @@ def find(docs: DataFrame) -> DataFrame:
     found = stored(found.withColumn("row", F.monotonically_increasing_id()), "spans")  # ids are fixed once stored
     accepted = patterns(stored(edges(found), "graph"))
     open_ = found.where(F.size("ctx") > 0).select("row", F.explode("ctx").alias("s"))
-    each = open_.select("row", "s.start", "s.end", F.explode("s.patterns").alias("pattern"), F.pmod(F.xxhash64("row"), F.lit(SALTS)).cast("int").alias("salt"))
+    each = open_.select(
+        "row", "s.start", "s.end", F.explode("s.patterns").alias("pattern"),
+        F.pmod(F.xxhash64("row"), F.lit(SALTS)).cast("int").alias("salt")
+    )
     new = each.join(_salted(accepted), ["pattern", "salt"]).groupBy("row", "start", "end").agg(F.max("score").alias("confidence"))
     new = new.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("start", "end", "confidence"))).alias("new"))  # one text's
     none = F.array().cast("array<struct<start:bigint,end:bigint,confidence:double>>")
     short = lambda k: F.transform(k, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"))).alias(k)
-    return found.select("row", "doc_id", *[short(k) for k in KINDS]).join(new, "row", "left").select("doc_id", *KINDS, F.coalesce("new", none).alias("ctx"))
+    return found.select("row", "doc_id", *[short(k) for k in KINDS]).join(new, "row", "left").select(
+        "doc_id", *KINDS, F.coalesce("new", none).alias("ctx")
+    )
 
 
 def report(docs: DataFrame) -> DataFrame:
     shown = lambda k: F.transform(k, lambda s: F.concat(F.lit(f"{k}:"), s["start"].cast("string"), F.lit(":"), s["end"].cast("string")))
     say = lambda *kinds: F.array_join(F.concat(*map(shown, kinds)), ",")
     return find(docs).select(
-        "doc_id", *[F.size(k).cast("long").alias(f"n_{k}") for k in KINDS], F.sha2(say(*KINDS), 256).alias("base_sha256"), say(*KINDS, "ctx").alias("spans")
+        "doc_id", *[F.size(k).cast("long").alias(f"n_{k}") for k in KINDS],
+        F.sha2(say(*KINDS), 256).alias("base_sha256"), say(*KINDS, "ctx").alias("spans")
     )

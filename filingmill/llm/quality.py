@@ -46,8 +46,10 @@ def features(text: str | None) -> list[float]:
     common = counts.most_common(1)[0][1]
     return [
         min(math.log1p(n), 8.0), len(counts) / n ** 0.9, repeats / n, common / n, min(marks / n, 3.0), min(words.count("|") / n, 1.0),
-        min(ended / n, 1.0), math.log1p(n / (ended + 1)), min(letters / n, 30.0), 1 - len(set(lines)) / max(len(lines), 1), math.log1p(n / max(len(lines), 1)),
-        sum(map(str.isdigit, words)) / n, min(text.count(",") / n, 1.0), sum(w[0].isupper() for w in words) / n, (chars - letters) / chars, 0.0,
+        min(ended / n, 1.0), math.log1p(n / (ended + 1)), min(letters / n, 30.0),
+        1 - len(set(lines)) / max(len(lines), 1), math.log1p(n / max(len(lines), 1)),
+        sum(map(str.isdigit, words)) / n, min(text.count(",") / n, 1.0), sum(w[0].isupper() for w in words) / n,
+        (chars - letters) / chars, 0.0,
     ]
 
 
@@ -122,4 +124,7 @@ def score(text: Column, model: Model) -> Column:
 def report(docs: DataFrame, labels: DataFrame) -> DataFrame:
     model = train(docs, labels)
     scored = docs.select("doc_id", score(F.col("text"), model).alias("score"))
-    return scored.select("doc_id", (fold(F.col("doc_id"), 4) == 2).alias("held_out"), "score", (F.col("score") >= CUT).cast("int").alias("predicted"))
+    return scored.select(
+        "doc_id", (fold(F.col("doc_id"), 4) == 2).alias("held_out"), "score",
+        (F.col("score") >= CUT).cast("int").alias("predicted")
+    )

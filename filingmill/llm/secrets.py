@@ -365,7 +365,16 @@ def redact(docs: DataFrame, mark: str = "<secret>", rules: tuple[Rule, ...] = RU
     while n in names:
         n += "_"
     step = lambda acc, x: F.struct(
-        F.concat(acc["out"], F.when(x["start"] >= acc["at"], F.concat(F.substr(F.col("text"), (acc["at"] + 1).cast("int"), (x["start"] - acc["at"]).cast("int")), F.lit(mark))).otherwise("")).alias("out"),
+        F.concat(
+            acc["out"],
+            F.when(
+                x["start"] >= acc["at"],
+                F.concat(
+                    F.substr(F.col("text"), (acc["at"] + 1).cast("int"), (x["start"] - acc["at"]).cast("int")),
+                    F.lit(mark)
+                )
+            ).otherwise("")
+        ).alias("out"),
         F.greatest(acc["at"], x["end"]).alias("at"),
     )
     clean = F.aggregate(
@@ -375,5 +384,8 @@ def redact(docs: DataFrame, mark: str = "<secret>", rules: tuple[Rule, ...] = RU
     found = docs.withColumn(n, secret_spans(F.col("text"), rules))
     found = found.withColumn("text", F.when(F.size(n) > 0, clean).otherwise(F.col("text")))
     if "n_chars" in names:
-        found = found.withColumn("n_chars", F.when(F.size(n) > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
+        found = found.withColumn(
+            "n_chars",
+            F.when(F.size(n) > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
+        )
     return found.select(*[f"`{c}`" for c in names])

@@ -44,7 +44,8 @@ TOKEN = re.compile(r"[^\W\d_]+|[.!?;:\n]")
 # Words of each symbol, in the four languages.
 WORDS = {
     "insult": "idiot idiots moron morons stupid dumb fool fools loser losers scum trash garbage worthless pathetic disgusting clown imbecile jerk bastard idioten trottel dummkopf blödmann dumm abschaum versager erbärmlich"
-    " imbécile crétin stupide connard ordure minable débile abruti estúpido estúpida tonto imbécil basura escoria patético asqueroso inútil",
+    " imbécile crétin stupide connard ordure minable débile abruti estúpido estúpida tonto imbécil basura escoria "
+    "patético asqueroso inútil",
     "threat": "kill murder hurt destroy stab shoot strangle töten ermorden schlagen vernichten erschießen tuer frapper détruire poignarder matar golpear destruir apuñalar",
     "verb": "beat blow burn cut wipe mach bring",
     "particle": "up down out fertig um",
@@ -152,7 +153,13 @@ class Model:
         got = (SYMBOLS.index(listed), 1.0)
         if listed in ("other", "insult"):
             lexicon = self.lexicon
-            weight = max((w for w in (lexicon.get(word), *(lexicon.get(f"{word[:k]}*") for k in STEMS if len(word) > k)) if w is not None), default=0.0)
+            weight = max(
+                (
+                    w for w in (lexicon.get(word), *(lexicon.get(f"{word[:k]}*") for k in STEMS if len(word) > k))
+                    if w is not None
+                ),
+                default=0.0
+            )
             got = (SYMBOLS.index("insult"), weight) if weight > 0 else (_OTHER, 0.0)
         self._known[word] = got
         return got
@@ -173,7 +180,12 @@ class Model:
                     if any(clause):
                         plain, negated, reported, threat = clause
                         aimed = y == _ENDS[1]
-                        for k, x in enumerate((0.0 if aimed else plain, negated, reported, plain if aimed else 0.0, threat if aimed else 0.0)):
+                        for k, x in enumerate(
+                            (
+                                0.0 if aimed else plain, negated, reported, plain if aimed else 0.0,
+                                threat if aimed else 0.0
+                            )
+                        ):
                             top[k] = max(top[k], x)
                             total[k] += x
                         clause = [0.0] * 4
@@ -194,7 +206,9 @@ def lexicon(rows: DataFrame) -> dict[str, float]:
     words = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"\p{L}+"), F.lit(0)))
     stems = lambda k: F.transform(F.filter("w", lambda w: F.length(w) > k), lambda w: F.concat(F.substr(w, F.lit(1), F.lit(k)), F.lit("*")))
     least = F.array_min(F.transform("w", lambda w: F.xxhash64(w)))
-    units = rows.select("doc_id", "y", words.alias("w")).select("doc_id", "y", least.alias("text"), F.explode(F.array_distinct(F.concat("w", *map(stems, STEMS)))).alias("u"))
+    units = rows.select("doc_id", "y", words.alias("w")).select(
+        "doc_id", "y", least.alias("text"), F.explode(F.array_distinct(F.concat("w", *map(stems, STEMS)))).alias("u")
+    )
     listed = sorted(w for w, symbol in _LISTED.items() if symbol == "insult")
     seen = Observation()
     counts = units.groupBy("u").agg(F.sum("y").alias("bad"), F.count("*").alias("n")).observe(seen, F.count("*").alias("units"))
@@ -203,7 +217,9 @@ def lexicon(rows: DataFrame) -> dict[str, float]:
     chosen = rows.sparkSession.createDataFrame([(r.u,) for r in top], "u string")
     texts: dict[str, set[int]] = {r.u: set() for r in top}
     hashes: dict[str, set[int]] = {r.u: set() for r in top}
-    toxic = units.where("y = 1").join(F.broadcast(chosen), "u").groupBy("doc_id").agg(F.first("text").alias("text"), F.collect_set("u").alias("us"))
+    toxic = units.where("y = 1").join(F.broadcast(chosen), "u").groupBy("doc_id").agg(
+        F.first("text").alias("text"), F.collect_set("u").alias("us")
+    )
     for r in toxic.collect():  # the sample's toxic rows
         for u in r.us:
             texts[u].add(r.doc_id)
@@ -243,7 +259,12 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2, steps: int = 60)
 def train(docs: DataFrame, labels: DataFrame) -> Model:
     """Fits on labelled rows outside the held-out fold."""
     small_batches(docs.sparkSession)
-    rows = stored(sample(docs, labels, "toxic", fold(F.col("doc_id"), 5) != 0).repartition(docs.sparkSession.sparkContext.defaultParallelism), "sample")
+    rows = stored(
+        sample(
+            docs, labels, "toxic", fold(F.col("doc_id"), 5) != 0
+        ).repartition(docs.sparkSession.sparkContext.defaultParallelism),
+        "sample"
+    )
     model = Model(lexicon(rows))
 
     def describe(texts: pa.Array) -> pa.Array:
@@ -268,7 +289,10 @@ def score(text: Column, model: Model) -> Column:
 def report(docs: DataFrame, labels: DataFrame) -> DataFrame:
     model = train(docs, labels)
     scored = docs.select("doc_id", score(F.col("text"), model).alias("score"))
-    return scored.select("doc_id", (fold(F.col("doc_id"), 5) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+    return scored.select(
+        "doc_id", (fold(F.col("doc_id"), 5) == 0).alias("held_out"), "score",
+        (F.col("score") >= 0.5).cast("int").alias("predicted")
+    )
 
 
 def remove_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:

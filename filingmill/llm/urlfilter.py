@@ -86,7 +86,10 @@ class RuleIndex:
             path, rest = (tail[: cut.start()], tail[cut.start() :]) if cut else (tail, "")
         seen = f"{host}{path}{rest}"
         tokens = dict.fromkeys(t.lower() for t in _TOKEN.findall(seen))
-        fits = [r for r, pattern in (*self.always, *(e for t in tokens for e in self.filed.get(t, ()))) if pattern.match(seen) or not r.listed and pattern.search(seen)]
+        fits = [
+            r for r, pattern in (*self.always, *(e for t in tokens for e in self.filed.get(t, ())))
+            if pattern.match(seen) or not r.listed and pattern.search(seen)
+        ]
         listed = max((r for r in fits if r.listed), key=lambda r: len(r.name), default=None)
         if listed:
             return host, path, listed.name, listed.verdict
@@ -113,7 +116,11 @@ def judge(pages: DataFrame, rules: tuple[UrlRule, ...] = LISTED + PATTERNS) -> D
     def run(urls: pa.Array) -> pa.Array:
         if not index:
             index.append(RuleIndex(rules, counts))
-        return pa.StructArray.from_arrays([pa.array(list(c), pa.string()) for c in zip(*map(index[0].judge, urls.to_pylist()), strict=True)] if len(urls) else [pa.array([], pa.string())] * 4, fields=list(_KIND))
+        return pa.StructArray.from_arrays(
+            [pa.array(list(c), pa.string()) for c in zip(*map(index[0].judge, urls.to_pylist()), strict=True)]
+            if len(urls) else [pa.array([], pa.string())] * 4,
+            fields=list(_KIND)
+        )
 
     udf = F.arrow_udf(run, "struct<host:string,path:string,rule:string,verdict:string>").asNondeterministic()
     return pages.select("page_id", udf(F.col("url")).alias("j")).select("page_id", "j.host", "j.path", "j.rule", "j.verdict")

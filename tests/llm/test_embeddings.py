@@ -6,7 +6,10 @@ from filingmill.llm import embeddings
 
 
 def brute(rows):
-    good = [(i, np.array(v, float), label) for i, v, label in rows if v is not None and label is not None and all(x is not None and np.isfinite(x) for x in v) and any(v)]
+    good = [
+        (i, np.array(v, float), label) for i, v, label in rows
+        if v is not None and label is not None and all(x is not None and np.isfinite(x) for x in v) and any(v)
+    ]
     links = {i: 0 for i, _, _ in rows}
     parent = {i: i for i, _, _ in rows}
 
@@ -34,7 +37,10 @@ def vectors(seed=2):
             v = base + r.standard_normal(16) * r.choice([0, 0.03, 0.05])
             rows.append((len(rows), [float(np.float32(x)) for x in v * r.choice([1, 2.5])], c % 3))
     n = len(rows)
-    rows += [(n, None, 1), (n + 1, [0.0] * 16, 1), (n + 2, [float("nan")] * 16, 1), (n + 3, [1.0] * 16, None), (n + 4, [1.0, None], 1), (n + 5, [1.0, 2.0], 1), (n + 6, [2.0, 4.0], 1)]
+    rows += [
+        (n, None, 1), (n + 1, [0.0] * 16, 1), (n + 2, [float("nan")] * 16, 1), (n + 3, [1.0] * 16, None),
+        (n + 4, [1.0, None], 1), (n + 5, [1.0, 2.0], 1), (n + 6, [2.0, 4.0], 1)
+    ]
     return rows
 
 

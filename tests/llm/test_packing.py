@@ -10,7 +10,10 @@ from hypothesis import strategies as st
 from filingmill.llm import packing
 from filingmill.llm.queries import tokenizer_path
 
-ODD = ["áb ́c", "x\x1cy z\x85q", "İstanbul ΣΑΣ Σ", "<|endoftext|>hi", "it's don't 12a_b--c", "a b　c \t\x0b d", "", "ﬁ Å ÅÅ", "a <|start of|> b's 's'", "😀 a"]
+ODD = [
+    "áb ́c", "x\x1cy z\x85q", "İstanbul ΣΑΣ Σ", "<|endoftext|>hi", "it's don't 12a_b--c", "a b　c \t\x0b d", "",
+    "ﬁ Å ÅÅ", "a <|start of|> b's 's'", "😀 a"
+]
 
 
 @settings(max_examples=60, deadline=None)

@@ -36,7 +36,10 @@ def test_stages(spark):
 
 def test_stages_keep_rows_without_id(spark):
     text = " ".join(f"quiet{i}" for i in range(50))
-    docs = spark.createDataFrame([(None, text, "en", "web", len(text)), (10**9, "another calm page of text", "en", "web", 25)], spark.read.parquet(f"{SF}/documents.parquet").schema)
+    docs = spark.createDataFrame(
+        [(None, text, "en", "web", len(text)), (10**9, "another calm page of text", "en", "web", 25)],
+        spark.read.parquet(f"{SF}/documents.parquet").schema
+    )
     for _, stage in corpus_pipeline.STAGES:
         docs = stage(spark, docs, SF).cache()
         assert {r.doc_id for r in docs.select("doc_id").collect()} == {None, 10**9}

@@ -12,7 +12,11 @@ from filingmill.llm import chat, decontamination, pii, quality, secrets, toxicit
 
 def contaminated_rows():
     r = random.Random(5)
-    items = [(1, " ".join(f"b{i}" for i in range(20))), (2, "short item"), (3, "one"), (4, ""), (5, None), (6, " ".join(f"b{i}" for i in range(5, 30))), (2, "short item"), (None, "no id"), (10, "b1 b2 b3 b4 b5 b6 b7"), (7, "ÉTÉ über x")]
+    items = [
+        (1, " ".join(f"b{i}" for i in range(20))), (2, "short item"), (3, "one"), (4, ""), (5, None),
+        (6, " ".join(f"b{i}" for i in range(5, 30))), (2, "short item"), (None, "no id"),
+        (10, "b1 b2 b3 b4 b5 b6 b7"), (7, "ÉTÉ über x")
+    ]
     words = [f"b{i}" for i in range(30)] + ["short", "item", "One", "x", "ÉTÉ", "über"]
     rows = [(0, None), (1, ""), (2, "!!!")]
     for i in range(3, 150):
@@ -41,7 +45,9 @@ def test_decontamination(spark, shard_bytes):
         by = {r.doc_id: r for r in decontamination.report(docs, bench).collect()}
         for d, t in rows:
             n, hit, ids, bad = decontamination.brute_force(t, good)
-            assert (by[d].n_words, by[d].n_hit, by[d].n_items, by[d].items_sha256, by[d].contaminated) == (n, hit, len(ids), decontamination.digest(ids), bad)
+            assert (
+                by[d].n_words, by[d].n_hit, by[d].n_items, by[d].items_sha256, by[d].contaminated
+            ) == (n, hit, len(ids), decontamination.digest(ids), bad)
         kept = decontamination.decontaminate(docs, bench)
         assert kept.columns == docs.columns
         assert {r.doc_id for r in kept.collect()} == {d for d, t in rows if not decontamination.brute_force(t, good)[3]}
@@ -58,15 +64,24 @@ def test_empty_tables(spark):
 
 
 def brute_secrets(text):
-    key = "|".join("".join(f"[{c}{c.upper()}]" if c.isalpha() else c for c in w) for w in ("password", "passwd", "secret", "token")) + "|[aA][pP][iI]_?[kK][eE][yY]"
-    kinds = [("assign", rf"({key})[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", 2, 8), ("access", r"AKIA[A-Z0-9]+", 0, 16), ("hex", r"[0-9a-f]+", 0, 32)]
+    key = "|".join(
+        "".join(f"[{c}{c.upper()}]" if c.isalpha() else c for c in w)
+        for w in ("password", "passwd", "secret", "token")
+    ) + "|[aA][pP][iI]_?[kK][eE][yY]"
+    kinds = [
+        ("assign", rf"({key})[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", 2, 8),
+        ("access", r"AKIA[A-Z0-9]+", 0, 16), ("hex", r"[0-9a-f]+", 0, 32)
+    ]
     found = [(m.start(), k, m.end(), kind) for k, (kind, p, g, n) in enumerate(kinds) for m in re.finditer(p, text) if len(m.group(g)) >= n]
     return [(kind, a, b) for a, _, b, kind in sorted(found)]
 
 
 def secret_texts():
     r = random.Random(3)
-    bits = ["password", "PassWd", "token", "secret", "api_key", "apikey", "=", ":", " ", '"', "'", "abcdefgh1", "deadbeef" * 4, "AKIA", "ABCDEF012345", "é", "x", "\n", "==", "/", "-", "ſecret"]
+    bits = [
+        "password", "PassWd", "token", "secret", "api_key", "apikey", "=", ":", " ", '"', "'", "abcdefgh1",
+        "deadbeef" * 4, "AKIA", "ABCDEF012345", "é", "x", "\n", "==", "/", "-", "ſecret"
+    ]
     return [None, "", "a" * 100_000 + " token=abcdefgh1"] + ["".join(r.choice(bits) for _ in range(r.randint(1, 14))) for _ in range(1500)]
 
 
@@ -80,13 +95,16 @@ def test_secrets(spark):
 
 
 def test_redaction(spark):
-    docs = spark.createDataFrame([(1, "é token=abcdefgh1 end", 21), (2, None, 5), (3, "clean", 5)], "doc_id long, text string, n_chars long")
+    docs = spark.createDataFrame(
+        [(1, "é token=abcdefgh1 end", 21), (2, None, 5), (3, "clean", 5)], "doc_id long, text string, n_chars long"
+    )
     got = {r.doc_id: (r.text, r.n_chars) for r in secrets.redact(docs).collect()}
     assert got == {1: ("é <secret> end", 14), 2: (None, 5), 3: ("clean", 5)}
 
 
 @pytest.mark.parametrize(("kind", "text"), [
-    ("pem", "-----BEGIN RSA PRIVATE KEY-----"), ("github", "ghp_" + "a1B2" * 9), ("slack", "xoxb-1234567890-abc"), ("google", "AIza" + "b" * 35), ("stripe", "sk_live_" + "1a" * 12),
+    ("pem", "-----BEGIN RSA PRIVATE KEY-----"), ("github", "ghp_" + "a1B2" * 9), ("slack", "xoxb-1234567890-abc"),
+    ("google", "AIza" + "b" * 35), ("stripe", "sk_live_" + "1a" * 12),
     ("jwt", "eyJhbGci.eyJzdWIi.c2ln"), ("url", "postgres://me:pa55@db.example.com"),
 ])
 def test_added_rules(kind, text):
@@ -96,7 +114,11 @@ def test_added_rules(kind, text):
 
 def test_spans_of_all_rules_are_those_of_re():
     r = random.Random(3)
-    bits = ["password", "token", "secret", "api_key", "=", ":", " ", '"', "AKIA", "ABCDEFGH1234", "0123456789abcdef", "deadbeef" * 4, "-----BEGIN ", "RSA ", "PRIVATE KEY-----", "ghp_", "xoxb-", "AIza", "sk_live_", "eyJ", "eyJ", ".", "http://", "user", ":pw", "@host", "\n", "-", "Z"]
+    bits = [
+        "password", "token", "secret", "api_key", "=", ":", " ", '"', "AKIA", "ABCDEFGH1234", "0123456789abcdef",
+        "deadbeef" * 4, "-----BEGIN ", "RSA ", "PRIVATE KEY-----", "ghp_", "xoxb-", "AIza", "sk_live_", "eyJ", "eyJ",
+        ".", "http://", "user", ":pw", "@host", "\n", "-", "Z"
+    ]
     scanner = secrets.scanner(secrets.RULES)
     for _ in range(4000):
         data = "".join(r.choice(bits) for _ in range(r.randint(1, 25))).encode()
@@ -130,10 +152,15 @@ def test_secrets_of_an_empty_table(spark):
 
 
 @pytest.mark.parametrize(("url", "expected"), [
-    (None, ("", "", None, "allow")), ("nothing", ("", "", None, "allow")), ("http://A.Com/x?y", ("a.com", "/x", "com/", "allow")), ("http://com", ("com", "", None, "allow")),
-    ("https://m.example.com/en/1", ("m.example.com", "/en/1", "example.com/en/", "block")), ("https://www.example.com/en/1#a", ("www.example.com", "/en/1", "www.example.com/en/", "allow")),
-    ("x://b.net/es/", ("b.net", "/es/", "net/es/", "block")), ("x://b.net/ES/", ("b.net", "/ES/", None, "allow")), ("x://notnet/es/", ("notnet", "/es/", None, "allow")),
-    ("http://w.org/login?u=1", ("w.org", "/login", None, "block")), ("http://w.org/a?session=1f", ("w.org", "/a", None, "block")), ("http://example.com/EN/", ("example.com", "/EN/", "com/", "allow")),
+    (None, ("", "", None, "allow")), ("nothing", ("", "", None, "allow")),
+    ("http://A.Com/x?y", ("a.com", "/x", "com/", "allow")), ("http://com", ("com", "", None, "allow")),
+    ("https://m.example.com/en/1", ("m.example.com", "/en/1", "example.com/en/", "block")),
+    ("https://www.example.com/en/1#a", ("www.example.com", "/en/1", "www.example.com/en/", "allow")),
+    ("x://b.net/es/", ("b.net", "/es/", "net/es/", "block")), ("x://b.net/ES/", ("b.net", "/ES/", None, "allow")),
+    ("x://notnet/es/", ("notnet", "/es/", None, "allow")),
+    ("http://w.org/login?u=1", ("w.org", "/login", None, "block")),
+    ("http://w.org/a?session=1f", ("w.org", "/a", None, "block")),
+    ("http://example.com/EN/", ("example.com", "/EN/", "com/", "allow")),
     ("http://casino.org/", ("casino.org", "/", None, "block")), ("http://", ("", "", None, "allow")),
 ])
 def test_urls(spark, url, expected):
@@ -171,7 +198,10 @@ def test_urls_against_all_rules():
     rules = urlfilter.LISTED + urlfilter.PATTERNS
     one, all_ = urlfilter.RuleIndex(rules, {}), urlfilter.RuleIndex(rules, {})
     all_.always, all_.filed = all_.always + [e for es in all_.filed.values() for e in es], {}
-    bits = ["http://", "www.", "example", ".com", "/en/", "/", "net", ".net", "/es/", "/fr/", "casino", "login", "?session=1", "#", ".xxx", "com", ":80", "A", "É"]
+    bits = [
+        "http://", "www.", "example", ".com", "/en/", "/", "net", ".net", "/es/", "/fr/", "casino", "login",
+        "?session=1", "#", ".xxx", "com", ":80", "A", "É"
+    ]
     for _ in range(5000):
         url = "".join(r.choice(bits) for _ in range(r.randint(0, 8)))
         assert one.judge(url) == all_.judge(url), url
@@ -186,7 +216,10 @@ def test_urls_of_odd_tables(spark):
 
 
 def test_rules_of_a_table(spark):
-    table = spark.createDataFrame([("org", "/", "block"), ("w.org", "/ok/", "allow"), ("org", "/", "block")], "host string, path string, verdict string")
+    table = spark.createDataFrame(
+        [("org", "/", "block"), ("w.org", "/ok/", "allow"), ("org", "/", "block")],
+        "host string, path string, verdict string"
+    )
     rules = urlfilter.listed(table)
     pages = spark.createDataFrame([(1, "http://w.org/ok/1"), (2, "http://v.org/"), (3, "http://v.net/")], "page_id long, url string")
     assert {r.page_id: r.verdict for r in urlfilter.judge(pages, rules).collect()} == {1: "allow", 2: "block", 3: "allow"}
@@ -196,7 +229,10 @@ def test_rules_of_a_table(spark):
 
 
 def test_chat_round_trip(spark):
-    rows = [(1, 1, "assistant", "a[b]</s>&lt;"), (1, 0, "user", None), (1, 2, None, "x"), (2, 0, "we]ird</s>", "&amp;]"), (2, 0, "we]ird</s>", "&amp;]"), (3, None, "assistant", "")]
+    rows = [
+        (1, 1, "assistant", "a[b]</s>&lt;"), (1, 0, "user", None), (1, 2, None, "x"), (2, 0, "we]ird</s>", "&amp;]"),
+        (2, 0, "we]ird</s>", "&amp;]"), (3, None, "assistant", "")
+    ]
     got = {r.conv_id: r for r in chat.report(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()}
     assert set(got) == {-1, 1, 2, 3}
     say = lambda *turns: hashlib.sha256("".join(f"{a}\n{b}\n" for a, b in turns).encode()).hexdigest()
@@ -207,9 +243,20 @@ def test_chat_round_trip(spark):
 
 
 def test_chat_parts(spark):
-    parts = [("text", "see <image:9> ", None, None), ("image", None, "s3/a.png", 2.0), ("audio", None, "b.wav", None), ("text", "end", None, None)]
-    rows = [(1, 0, "user", parts), (1, 1, "assistant", [("document", None, "c.pdf", 1.0), ("text", "ok", None, None)]), (2, 0, "user", None)]
-    made = {r.conv_id: r for r in chat.format_conversations(spark.createDataFrame(rows, f"conv_id long, turn long, role string, parts {chat.PARTS}")).collect()}
+    parts = [
+        ("text", "see <image:9> ", None, None), ("image", None, "s3/a.png", 2.0), ("audio", None, "b.wav", None),
+        ("text", "end", None, None)
+    ]
+    rows = [
+        (1, 0, "user", parts), (1, 1, "assistant", [("document", None, "c.pdf", 1.0), ("text", "ok", None, None)]),
+        (2, 0, "user", None)
+    ]
+    made = {
+        r.conv_id: r
+        for r in chat.format_conversations(
+            spark.createDataFrame(rows, f"conv_id long, turn long, role string, parts {chat.PARTS}")
+        ).collect()
+    }
     assert made[1].formatted == "[user]see &lt;image:9> <image:0><audio:1>end</s>[assistant]<document:2>ok</s>"
     assert [(a.ordinal, a.ref, a.tokens) for a in made[1].attachments] == [(0, "s3/a.png", 512), (1, "b.wav", 25), (2, "c.pdf", 400)]
     assert made[1].expanded_tokens == 937 and made[2].formatted == "[user]</s>"
@@ -248,7 +295,9 @@ def test_chat_of_a_long_conversation(spark):
             spans.append((len(shown) + len(opening), len(content)))
         shown += f"{opening}{content}</s>"
     r.shuffle(turns)
-    got = chat.format_conversations(spark.createDataFrame(turns, f"conv_id long, turn long, role string, parts {chat.PARTS}, begin string")).first()
+    got = chat.format_conversations(
+        spark.createDataFrame(turns, f"conv_id long, turn long, role string, parts {chat.PARTS}, begin string")
+    ).first()
     assert got.formatted == shown and [tuple(s) for s in got.loss_spans] == spans
     assert [(a.ordinal, a.ref) for a in got.attachments] == [(k, f"ref{k}") for k in range(files)] and got.expanded_tokens == 256 * files
 
@@ -257,7 +306,10 @@ def test_chat_of_empty_and_odd_tables(spark):
     none = spark.createDataFrame([], "conv_id long, turn long, role string, text string")
     assert [r.conv_id for r in chat.report(none).collect()] == [-1]
     assert chat.format_conversations(none.select("conv_id", "turn", "role", chat.text_part(F.col("text")).alias("parts"))).count() == 0
-    odd = spark.createDataFrame([(None, None, None, None, 1, "x"), (5, 1, "assistant", "y" * 300_000, 2, "z")], "conv_id long, turn long, role string, text string, at int, rows string")
+    odd = spark.createDataFrame(
+        [(None, None, None, None, 1, "x"), (5, 1, "assistant", "y" * 300_000, 2, "z")],
+        "conv_id long, turn long, role string, text string, at int, rows string"
+    )
     got = {r.conv_id: r for r in chat.report(odd).collect()}
     assert set(got) == {-1, None, 5} and got[None].n_turns == 1 and got[5].loss_chars == 300_000
 
@@ -282,7 +334,10 @@ def brute_pii(text):
 
 def test_pii(spark):
     r = random.Random(1)
-    bits = ["a@b.c", "_d@e.f", ".", "@", "x-y", "1.2.3.4", "255", "300", "0001", "+1 (555) 123-4567", "+49", "4111 1111 1111 1111", "-", " ", "é", "\x01", "\x02", "😀", "id ", "9", "12", "my card ", "(", ")", "AB12345"]
+    bits = [
+        "a@b.c", "_d@e.f", ".", "@", "x-y", "1.2.3.4", "255", "300", "0001", "+1 (555) 123-4567", "+49",
+        "4111 1111 1111 1111", "-", " ", "é", "\x01", "\x02", "😀", "id ", "9", "12", "my card ", "(", ")", "AB12345"
+    ]
     rows = [(i, "".join(r.choice(bits) for _ in range(r.randint(0, 30)))) for i in range(600)]
     rows += [(9000, None), (9001, ""), (9002, "1" * 20_000), (9003, " ".join(["1.2.3.4"] * 1000)), (9005, "+1 " + "(" * 20_000)]
     texts = dict(rows)
@@ -294,7 +349,9 @@ def test_pii(spark):
 
 
 def test_contexts_find_unseen_identifiers(spark):
-    rows = [(i, f"please call us at +1 (555) 123-45{i:02d} today") for i in range(12)] + [(20, "please call us at AB-12345 today"), (21, "a lone AB-99999 here")]
+    rows = [
+        (i, f"please call us at +1 (555) 123-45{i:02d} today") for i in range(12)
+    ] + [(20, "please call us at AB-12345 today"), (21, "a lone AB-99999 here")]
     got = {r.doc_id: r.spans for r in pii.report(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got[20] == "ctx:18:26" and got[21] == "" and got[0].startswith("phone:18:")
 
@@ -324,7 +381,10 @@ def bootstrap_rows():
     rows = [(i, f"please call us at +1 (555) 123-4{i:03d} today") for i in range(60)]
     rows += [(100 + i, f"please call us at AB-1000{i} today") for i in range(6)]
     rows += [(200 + i, f"the badge reads AB-1000{i} clearly") for i in range(6)]
-    return rows + [(300, "the badge reads AB-77777 clearly"), (301, "nothing near AB-88888 here"), (302, "the badge reads AB-77777 clearly")]
+    return rows + [
+        (300, "the badge reads AB-77777 clearly"), (301, "nothing near AB-88888 here"),
+        (302, "the badge reads AB-77777 clearly")
+    ]
 
 
 def test_discovered_instances_support_new_patterns(spark):
@@ -338,7 +398,13 @@ def test_discovered_instances_support_new_patterns(spark):
     assert spans[300] == spans[302] == "ctx:16:24" and spans[301] == ""
 
 
-@pytest.mark.parametrize(("text", "found"), [("write to @some_one now", "@some_one"), ("name: José Ruiz, here", "José Ruiz"), ("code AB12345.", "AB12345"), ("a.b@c.de", None), ("plain: words", None)])
+@pytest.mark.parametrize(
+    ("text", "found"),
+    [
+        ("write to @some_one now", "@some_one"), ("name: José Ruiz, here", "José Ruiz"), ("code AB12345.", "AB12345"),
+        ("a.b@c.de", None), ("plain: words", None)
+    ]
+)
 def test_typed_candidates(spark, text, found):
     spans = pii.base_spans(spark.createDataFrame([(1, text)], "doc_id long, text string")).first().ctx
     assert [text[s.start : s.end] for s in spans] == ([found] if found else [])
@@ -365,7 +431,9 @@ def toxic_docs(spark):
         labels.append((i, int(bad), int(i % 2)))
     rows += [(1000, None, "en"), (1001, "", "de"), (1002, "x" * 200_000, "fr")]
     labels += [(1000, None, 1), (None, 1, 1), (3, 0, 1)]
-    return spark.createDataFrame(rows, "doc_id long, text string, score string"), spark.createDataFrame(labels, "doc_id long, toxic int, quality int")
+    return spark.createDataFrame(
+        rows, "doc_id long, text string, score string"
+    ), spark.createDataFrame(labels, "doc_id long, toxic int, quality int")
 
 
 def test_toxicity_held_out(spark):
@@ -470,7 +538,9 @@ def test_quality_held_out(spark):
     for i in range(400):
         good = i % 4 != 1
         words = [word() for _ in range(r.randint(10, 60))]
-        text = " ".join(words).capitalize() + "." if good else " ".join(w for w in words for _ in range(6)) if i % 8 == 1 else "### ".join(words)
+        text = " ".join(words).capitalize() + "." if good else " ".join(
+            w for w in words for _ in range(6)
+        ) if i % 8 == 1 else "### ".join(words)
         rows.append((i, text))
         labels.append((i, int(good), 0))
     docs = spark.createDataFrame([*rows, (900, None), (901, " ")], "doc_id long, text string")
