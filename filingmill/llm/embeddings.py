@@ -12,7 +12,9 @@ With WIDTH 2, K 10 and TABLES 24, a pair of cosine exactly 0.93 shares a key in
 0.995, one of 0.97 with 0.99998.
 
 Defined results: null, zero and non-finite vectors and null labels link with nothing; vectors of different
-lengths never link; repeated rows count as other vectors; an empty table gives an empty result.
+lengths never link; repeated rows count as other vectors; a vec_id should name one vector: different vectors whose
+smallest vec_id is the same are one node, with the sum of their links and one component; an empty table gives an
+empty result; extra columns are ignored.
 """
 
 from __future__ import annotations

@@ -5,8 +5,9 @@ labelled document) are fitted by logistic loss on the differences of their vecto
 one score on a line. The threshold is a quantile of the fitting sample's scores, the one that tells its labels
 apart best; scores map to 0..1 so that the threshold is ``CUT``.
 
-Defined results: a null or empty text is a vector of zeros with its own flag; copies get equal scores; without
-labels of both kinds every document scores CUT.
+Defined results: a null or empty text is a vector of zeros with its own flag; copies and repeated rows get equal
+scores; without labels of both kinds every document scores CUT; an empty table gives an empty result; very long
+texts are read whole; extra columns are never read.
 """
 
 from __future__ import annotations

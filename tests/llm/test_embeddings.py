@@ -66,3 +66,10 @@ def test_hot_buckets_are_split(spark, monkeypatch):
 
 def test_empty(spark):
     assert embeddings.near_duplicates(spark.createDataFrame([], "vec_id long, embedding array<float>, label int")).count() == 0
+
+
+def test_repeated_ids(spark):
+    rows = [(1, [1.0, 0.0], 0), (1, [1.0, 0.0], 0), (2, [1.0, 0.01], 0), (2, [0.0, 1.0], 0), (3, [0.0, 2.0], 0)]
+    got = embeddings.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()
+    assert sorted((r.vec_id, r.n_links) for r in got) == [(1, 2), (1, 2), (2, 3), (2, 3), (3, 1)]
+    assert {r.component_id for r in got} == {1}

@@ -60,6 +60,16 @@ def test_empty_tables(spark):
     assert decontamination.report(spark.createDataFrame([(1, "a")], "doc_id long, text string"), items).first().n_items == 0
 
 
+def test_decontamination_of_a_very_long_text(spark):
+    item = " ".join(f"b{i}" for i in range(20))
+    long = " ".join(f"w{i}" for i in range(200_000))
+    docs = spark.createDataFrame([(1, f"{long} {item}", "x"), (2, long, "y")], "doc_id long, text string, item_id string")
+    items = spark.createDataFrame([(7, item, 0)], "item_id long, text string, n_words int")
+    got = {r.doc_id: r for r in decontamination.report(docs, items).collect()}
+    assert (got[1].n_words, got[1].n_hit, got[1].n_items, got[1].contaminated) == (200_020, 20, 1, False)
+    assert (got[2].n_words, got[2].n_hit, got[2].n_items) == (200_000, 0, 0)
+
+
 # ---------------------------------------------------------------- secrets
 
 
@@ -522,6 +532,10 @@ def test_trained_operators_on_odd_tables(spark):
     long = docs.where("doc_id < 40").unionByName(docs.where("doc_id = 1002")).unionByName(docs.where("doc_id = 1002"))
     assert toxicity.report(long, labels).where("doc_id = 1002").select("score").distinct().count() == 1
     assert quality.report(long, labels).where("doc_id = 1002").select("score").distinct().count() == 1
+    wide = long.unionByName(spark.createDataFrame([(-5, "fine words here\n" * 50_000), (-6, None)], "doc_id long, text string"), True)
+    for made in (quality.report, toxicity.report):
+        got = {r.doc_id: r.score for r in made(wide.withColumn("score", F.lit("x")).withColumn("y", F.lit(1)), labels).where("doc_id < 0").collect()}
+        assert set(got) == {-5, -6} and all(0 <= x <= 1 for x in got.values())
 
 
 def test_training_without_labels(spark):
