@@ -56,15 +56,25 @@ def delete_at_end(spark: SparkSession, path: str) -> None:
     files.deleteOnExit(target)
 
 
+def written(df: DataFrame, name: str) -> str:
+    """Where the rows were written; the table goes when the application ends."""
+    path = new_path(df.sparkSession, name)
+    df.write.parquet(path)
+    delete_at_end(df.sparkSession, path)
+    return path
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    files, target = _at(spark, path)
+    files.delete(target, True)
+
+
 def stored(df: DataFrame, name: str, result: bool = False) -> DataFrame:
     """Write once, read back; the table goes when the application ends, or with ``scratch`` unless it is a ``result``."""
-    spark = df.sparkSession
-    path = new_path(spark, name)
-    df.write.parquet(path)
-    delete_at_end(spark, path)
+    path = written(df, name)
     for paths in _watched if not result else ():
         paths.append(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 @contextmanager
@@ -77,8 +87,7 @@ def scratch(spark: SparkSession) -> Iterator[None]:
     finally:
         _watched.remove(paths)
         for path in paths:
-            files, target = _at(spark, path)
-            files.delete(target, True)
+            delete(spark, path)
 
 
 def cut(df: DataFrame) -> DataFrame:
