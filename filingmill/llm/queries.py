@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, decontamination, embeddings, minhash, packing, pii, quality, secrets, toxicity, urlfilter
+from . import chat, codes, decontamination, embeddings, minhash, mixing, packing, pii, quality, repair, secrets, toxicity, urlfilter
 from .common import table
 
 
@@ -29,6 +29,9 @@ QUERIES = {
     "op8_quality": lambda spark, d: quality.report(table(spark, d, "documents"), table(spark, d, "labels")),
     "op9_pii": lambda spark, d: pii.report(table(spark, d, "documents")),
     "op10_packing": lambda spark, d: packing.pack(table(spark, d, "documents"), tokenizer_path()),
+    "op11_structure_repair": lambda spark, d: repair.report(table(spark, d, "conversations")),
+    "op12_vector_codes": lambda spark, d: codes.report(table(spark, d, "embeddings")),
+    "op13_source_mixing": lambda spark, d: mixing.report(table(spark, d, "documents")),
     "pipeline": pipeline,
 }
 
@@ -36,4 +39,7 @@ SQL = {
     "op1_embedding_near_dedup": embeddings.SQL,
     "op3_chat_formatting": chat.SQL,
     "op6_url_filter": urlfilter.SQL,
+    "op11_structure_repair": repair.SQL,
+    "op12_vector_codes": codes.SQL,
+    "op13_source_mixing": mixing.SQL,
 }
