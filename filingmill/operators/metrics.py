@@ -8,6 +8,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from filingmill.sources.store import stored
+
+from .ranks import average_ranks
 from .returns import compound
 
 KEY = "strategy_id"
@@ -74,11 +77,10 @@ def information_coefficients(signals: DataFrame, returns: DataFrame, keys: tuple
     forward = joined.groupBy(*keys, "signal_date", "ticker", "composite_score").agg(compound(F.col("ret")).alias("forward"))
     group = [*keys, "signal_date"]
 
-    def rank(c: str):
-        ties = F.count("*").over(W.partitionBy(*group, c))
-        return F.rank().over(W.partitionBy(*group).orderBy(c)) + (ties - 1) / 2
-
-    ranked = forward.select(*group, rank("composite_score").alias("x"), rank("forward").alias("y"))
+    # Equal values are counted, and the counts summed over ranges: a date of any size is ranked by all tasks.
+    forward = stored(forward, "forward")
+    ranked = average_ranks(average_ranks(forward, "composite_score", "x", *group), "forward", "y", *group)
+    ranked = ranked.select(*group, "x", "y")
     some = ranked.groupBy(*group).agg(
         F.count("*").alias("n"), F.min("x").alias("x0"), F.max("x").alias("x1"), F.min("y").alias("y0"),
         F.max("y").alias("y1")

@@ -17,8 +17,9 @@ from pyspark.sql import functions as F
 from filingmill.sources.store import stored
 
 from . import metrics
+from .calendars import Dates
+from .ranks import ordered, percentiles
 from .returns import compound, date_to_period, period_returns_by_ticker
-from .signals import day_array
 
 START_VALUE = 10_000.0
 KEY = "strategy_id"
@@ -74,22 +75,27 @@ def holding_periods(days: DataFrame, end: str) -> DataFrame:
 
 
 def universe_on_date(days: DataFrame, universe: DataFrame) -> DataFrame:
-    """(rebalance_date, ticker) of members, interval ends inclusive."""
-    inside = lambda d: (d >= F.col("start_date")) & (F.col("end_date").isNull() | (d <= F.col("end_date")))
-    return universe.select(F.explode(F.filter(day_array(days, "rebalance_date"), inside)).alias("rebalance_date"), "ticker").distinct()
+    """(rebalance_date, ticker) of members, interval ends inclusive; an end of null is open."""
+    known = Dates.of(days, "rebalance_date")
+    placed = known.first_from(universe, F.col("start_date"), "first")
+    beyond = F.lit(known.high).cast("date")
+    placed = known.first_from(placed, F.date_add(F.least(F.coalesce("end_date", beyond), beyond), 1), "after")
+    inside = known.expanded(placed.select("ticker", "first", "after"), F.col("first"), F.col("after") - 1)
+    return known.named(inside.select("ticker", "place").distinct(), "place", "rebalance_date").select("rebalance_date", "ticker")
 
 
 def latest_signal_as_of(days: DataFrame, composites: DataFrame) -> DataFrame:
     """Per (rebalance_date, ticker) the composite of the greatest signal_date on or before it.
 
-    Each composite holds from its date until the ticker's next, so it is put to the dates of that interval only."""
-    until = F.lead("signal_date").over(W.partitionBy("ticker").orderBy("signal_date"))
-    holds = lambda d: (d >= F.col("signal_date")) & (F.col("until").isNull() | (d < F.col("until")))
-    ranges = composites.select("ticker", "signal_date", "composite_score").withColumn("until", until)
-    return ranges.select(
-        F.explode(F.filter(day_array(days, "rebalance_date"), holds)).alias("rebalance_date"), "ticker",
-        "signal_date", "composite_score"
-    )
+    A composite first counts for one date; of a ticker's composites that first count for the same date the last is kept, and
+    holds until the date at which the ticker's next one counts. So rows are reduced before they are put to dates, and the
+    window has one row per ticker and date."""
+    known = Dates.of(days, "rebalance_date")
+    placed = known.first_from(composites, F.col("signal_date"), "from").where(F.col("from") <= known.n)
+    last = placed.groupBy("ticker", "from").agg(F.max(F.struct("signal_date", "composite_score")).alias("c"))
+    until = F.coalesce(F.lead("from").over(W.partitionBy("ticker").orderBy("from")), F.lit(known.n + 1))
+    held = known.expanded(last.withColumn("until", until), F.col("from"), F.col("until") - 1)
+    return known.named(held, "place", "rebalance_date").select("rebalance_date", "ticker", "c.signal_date", "c.composite_score")
 
 
 def filter_to_universe(signals: DataFrame, members: DataFrame) -> DataFrame:
@@ -101,12 +107,12 @@ def quantile_buckets(scores: DataFrame, quantiles: int = 5, pandas_edges: bool =
 
     ``pandas_edges`` takes the edge positions as that library computes them, with its float noise."""
     steps = [k / quantiles * 100 / 100 if pandas_edges else k / quantiles for k in range(quantiles + 1)]
-    edges = scores.groupBy("rebalance_date").agg(
-        F.percentile("composite_score", F.array(*map(F.lit, steps))).alias("edges"), F.count("*").alias("n")
-    )
+    lines = ordered(scores, "scores", F.asc("rebalance_date"), F.asc("composite_score"), F.asc("ticker"))
+    edges = percentiles(lines.where("composite_score is not null"), "composite_score", steps, "rebalance_date")
     fit = edges.where((F.col("n") >= quantiles) & (F.size(F.array_distinct("edges")) == quantiles + 1)).drop("n")
     below = F.size(F.filter("edges", lambda e: e < F.col("composite_score")))
-    return scores.join(fit, "rebalance_date").withColumn("quantile", quantiles - F.greatest(below, F.lit(1)) + 1).drop("edges")
+    cut = lines.drop("part", "at").join(fit, "rebalance_date")
+    return cut.withColumn("quantile", quantiles - F.greatest(below, F.lit(1)) + 1).drop("edges")
 
 
 def _legs(strategies: list[Strategy]) -> list[tuple[str, int, float]]:

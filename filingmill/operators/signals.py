@@ -6,27 +6,18 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .calendars import Dates
+from .ranks import ordered, ranked, running
+
 BUFFER_DAYS, HALF_LIFE = 2, 90
 LEAST = 3
-#: As-of and rebalance dates come as a parameter, written into the plan; more than this many raise an error.
-MAX_DATES = 10_000
 
 
 def dates(spark, days: list, name: str = "as_of") -> DataFrame:
     """A table of parameter dates."""
-    if len(days) > MAX_DATES:
-        raise ValueError(f"over {MAX_DATES} dates")
     return spark.createDataFrame([(d,) for d in sorted(set(days))], f"{name} date")
 
 
-def day_array(days: DataFrame, column: str = "as_of") -> Column:
-    """The distinct dates of a parameter table, in order, as a constant."""
-    rows = days.select(column).distinct().limit(MAX_DATES + 1).collect()
-    if len(rows) > MAX_DATES:
-        raise ValueError(f"over {MAX_DATES} dates")
-    return F.split(F.lit(",".join(sorted(str(r[0]) for r in rows))), ",").cast("array<date>") if rows else F.array().cast("array<date>")
-
-
 def attach_filing_dates(results: DataFrame, filings: DataFrame) -> DataFrame:
     """Results of known filings that have a ticker, with ticker and filed_date."""
     return results.join(filings.where("ticker is not null").select("filing_id", "ticker", "filed_date"), "filing_id")
@@ -47,14 +38,14 @@ def raw_signals(sentiment: DataFrame, similarity: DataFrame, filings: DataFrame,
 
 
 def signals_as_of(signals: DataFrame, as_of: DataFrame) -> DataFrame:
-    """Every signal once per as-of date on or after its own, without a join. ``as_of`` is a parameter table (see ``dates``)."""
-    days = day_array(as_of)
-    return signals.withColumn("as_of", F.explode(F.filter(days, lambda d: d >= F.col("signal_date"))))
+    """Every signal once per as-of date on or after its own. ``as_of`` is a parameter table (see ``dates``)."""
+    known = Dates.of(as_of, "as_of")
+    return known.named(_expanded(signals, known), "place", "as_of")
 
 
-def _first(signals: DataFrame, days: Column) -> DataFrame:
-    """Signals with the first as-of date they count for; later ones than all dates drop out."""
-    return signals.withColumn("as_of", F.get(F.filter(days, lambda d: d >= F.col("signal_date")), 0)).where("as_of is not null")
+def _expanded(signals: DataFrame, known: Dates) -> DataFrame:
+    placed = known.first_from(signals, F.col("signal_date"), "__from")
+    return known.expanded(placed, F.col("__from"), F.lit(known.n)).drop("__from")
 
 
 def cross_section(signals: DataFrame, as_of: DataFrame) -> DataFrame:
@@ -62,60 +53,65 @@ def cross_section(signals: DataFrame, as_of: DataFrame) -> DataFrame:
 
     Each signal is aggregated once, into the first as-of date it counts for; the sums then run on over dates.
     So history is read once, not once per date."""
-    days = day_array(as_of)
-    part = _first(signals, days).groupBy("as_of", "signal_name").agg(
+    known = Dates.of(as_of, "as_of")
+    return known.named(_statistics(signals, known), "place", "as_of")
+
+
+def _statistics(signals: DataFrame, known: Dates) -> DataFrame:
+    part = known.first_from(signals, F.col("signal_date"), "place").where(F.col("place") <= known.n).groupBy("place", "signal_name").agg(
         F.count("raw_value").alias("n"), F.avg("raw_value").alias("m"),
         F.coalesce(F.var_pop("raw_value"), F.lit(0.0)).alias("v"), F.min("raw_value").alias("low"),
         F.max("raw_value").alias("high")
     )
-    grid = part.groupBy("signal_name").agg(F.first(F.lit(0))).select(
-        "signal_name", F.explode(days).alias("as_of")
-    ).join(part, ["as_of", "signal_name"], "left")
-    w = W.partitionBy("signal_name").orderBy("as_of").rowsBetween(W.unboundedPreceding, 0)
+    names = part.select("signal_name").distinct()
+    grid = known.expanded(names, F.lit(1), F.lit(known.n)).join(part, ["place", "signal_name"], "left")
+    w = W.partitionBy("signal_name").orderBy("place").rowsBetween(W.unboundedPreceding, 0)  # one row per date
     run = grid.select(
-        "as_of", "signal_name", F.sum("n").over(w).alias("n"), F.sum(F.col("n") * F.col("m")).over(w).alias("s"),
+        "place", "signal_name", F.sum("n").over(w).alias("n"), F.sum(F.col("n") * F.col("m")).over(w).alias("s"),
         F.sum(F.col("n") * (F.col("v") + F.col("m") * F.col("m"))).over(w).alias("q"),
         F.min("low").over(w).alias("low"), F.max("high").over(w).alias("high"),
     ).where("n > 0")
     mean = F.col("s") / F.col("n")
     spread = F.when(F.col("n") > 1, F.sqrt(F.greatest(F.lit(0.0), (F.col("q") - F.col("n") * mean * mean)) / (F.col("n") - 1)))
-    return run.select("as_of", "signal_name", "n", mean.alias("mean"), spread.alias("std"), "low", "high")
+    return run.select("place", "signal_name", "n", mean.alias("mean"), spread.alias("std"), "low", "high")
 
 
-def zscore(signals: DataFrame, as_of: DataFrame) -> DataFrame:
-    """Signals as of each date with z_score: null in groups under three, 0 where all values are equal."""
-    stats = cross_section(signals, as_of)
+def _standardised() -> Column:
     z = F.when(F.col("n") < LEAST, None).when(F.col("low") == F.col("high"), 0.0).otherwise(
         F.round((F.col("raw_value") - F.col("mean")) / F.nullif(F.col("std"), F.lit(0.0)), 6)
     )
-    return signals_as_of(signals, as_of).join(stats, ["as_of", "signal_name"]).withColumn(
-        "z_score", F.coalesce(z, F.when(F.col("n") >= LEAST, 0.0))
-    ).drop("n", "mean", "std", "low", "high")
+    return F.coalesce(z, F.when(F.col("n") >= LEAST, 0.0))
+
+
+def zscore(signals: DataFrame, as_of: DataFrame) -> DataFrame:
+    """Signals as of each date with z_score: null in groups under three, 0 where all values are equal."""
+    known = Dates.of(as_of, "as_of")
+    met = _expanded(signals, known).join(_statistics(signals, known), ["place", "signal_name"])
+    return known.named(met.withColumn("z_score", _standardised()).drop("n", "mean", "std", "low", "high"), "place", "as_of")
 
 
 def percentile_rank(signals: DataFrame, as_of: DataFrame) -> DataFrame:
     """Signals as of each date with percentile: average rank of ties over n, 50 where all values are equal.
 
-    History is counted once, per distinct value and first date; only these counts are put to the later dates
-    and ranked. A signal then takes the list of its value's percentiles, and is expanded after that join. Values
-    have six digits between -1 and 1, which bounds a ranking window whatever the history."""
-    keys, days = ["as_of", "signal_name"], day_array(as_of)
-    counts = _first(signals, days).groupBy(*keys, "raw_value").agg(F.count("*").alias("n"))
-    later = counts.select("signal_name", "raw_value", "n", F.explode(F.filter(days, lambda d: d >= F.col("as_of"))).alias("as_of"))
-    ties = later.groupBy(*keys, "raw_value").agg(F.sum("n").alias("ties"))
-    below = W.partitionBy(*keys).orderBy("raw_value").rowsBetween(W.unboundedPreceding, -1)
-    ranked = ties.select(
-        *keys, "raw_value", "ties", F.coalesce(F.sum("ties").over(below), F.lit(0)).alias("less"),
-        F.sum("ties").over(W.partitionBy(*keys)).alias("n")
-    )
+    History is counted once, per distinct value and first date; these counts, never more than the result, are put to the
+    later dates and summed in order of value over ranges, so no task holds a date or a signal (see ``ranks``)."""
+    known = Dates.of(as_of, "as_of")
+    return known.named(_percentiles(signals, known), "place", "as_of")
+
+
+def _percentiles(signals: DataFrame, known: Dates) -> DataFrame:
+    keys = ["place", "signal_name"]
+    first = known.first_from(signals, F.col("signal_date"), "first")
+    counts = first.where("raw_value is not null").groupBy("first", "signal_name", "raw_value").agg(F.count("*").alias("n"))
+    ties = known.expanded(counts, F.col("first"), F.lit(known.n)).groupBy(*keys, "raw_value").agg(F.sum("n").alias("ties"))
+    lines = ordered(ties, "percentiles", *[F.asc(c) for c in (*keys, "raw_value")])
+    sizes = lines.groupBy(*keys).agg(F.sum("ties").alias("n"))
     p = F.when(F.col("n") < LEAST, None).when(F.col("ties") == F.col("n"), 50.0).otherwise(
-        F.round(100 * (2 * F.col("less") + F.col("ties") + 1) / (2 * F.col("n")), 2)
-    )
-    by_value = ranked.groupBy("signal_name", "raw_value").agg(F.collect_list(F.struct("as_of", p.alias("percentile"))).alias("__p"))  # one entry per date
-    met = signals.join(by_value, ["signal_name", "raw_value"]).select(
-        *signals.columns, F.explode(F.filter("__p", lambda x: x["as_of"] >= F.col("signal_date"))).alias("__p")
+        F.round(100 * (2 * F.col("before") + F.col("ties") + 1) / (2 * F.col("n")), 2)
     )
-    return met.select(*signals.columns, "__p.*")
+    by_value = running(lines, "ties", *keys).join(sizes, keys).select(*keys, "raw_value", p.alias("percentile"))
+    # A value that many signals share is one row on the right, so a skewed join is split on the left.
+    return _expanded(signals, known).join(by_value, [*keys, "raw_value"])
 
 
 def decay_weight(as_of: Column, signal_date: Column, half_life: int = HALF_LIFE) -> Column:
@@ -128,14 +124,10 @@ def decay_weight(as_of: Column, signal_date: Column, half_life: int = HALF_LIFE)
 
 def build_signals(signals: DataFrame, as_of: DataFrame, half_life: int = HALF_LIFE) -> DataFrame:
     """Signals as of each date with z_score, percentile and decay_weight."""
-    stats = cross_section(signals, as_of)
-    z = F.when(F.col("n") < LEAST, None).when(F.col("low") == F.col("high"), 0.0).otherwise(
-        F.round((F.col("raw_value") - F.col("mean")) / F.nullif(F.col("std"), F.lit(0.0)), 6)
-    )
-    ranked = percentile_rank(signals, as_of).join(stats, ["as_of", "signal_name"])
-    return ranked.select(
-        "as_of", "ticker", "filing_id", "signal_name", "signal_date", "raw_value",
-        F.coalesce(z, F.when(F.col("n") >= LEAST, 0.0)).alias("z_score"), "percentile",
+    known = Dates.of(as_of, "as_of")
+    ranked_signals = _percentiles(signals, known).join(_statistics(signals, known), ["place", "signal_name"])
+    return known.named(ranked_signals, "place", "as_of").select(
+        "as_of", "ticker", "filing_id", "signal_name", "signal_date", "raw_value", _standardised().alias("z_score"), "percentile",
         decay_weight(F.col("as_of"), F.col("signal_date"), half_life).alias("decay_weight"),
     )
 
@@ -190,9 +182,15 @@ def composite(signals: DataFrame, weights: DataFrame) -> DataFrame:
             F.array_sort(F.collect_list(F.struct("signal_name", F.round(F.col("weight") * F.col("own"), 6))))
         ).alias("components"),
     ).where("bottom <> 0")
-    order = W.partitionBy("as_of").orderBy(F.desc("composite_score"), "ticker")
-    score = scored.select("ticker", F.col("as_of"), F.round(F.col("top") / F.col("bottom"), 6).alias("composite_score"), "components")
-    return score.withColumn("rank", F.row_number().over(order)).withColumnRenamed("as_of", "signal_date")
+    score = F.round(F.col("top") / F.col("bottom"), 6).alias("composite_score")
+    return composite_rank(scored.select("ticker", F.col("as_of").alias("signal_date"), score, "components"))
+
+
+def composite_rank(composites: DataFrame) -> DataFrame:
+    """``rank`` within each signal_date, 1 for the highest score, equal scores by ticker. A date of any size is ranked by
+    all tasks (see ``ranks``)."""
+    lines = ordered(composites, "composites", F.asc("signal_date"), F.desc("composite_score"), F.asc("ticker"))
+    return ranked(lines, "signal_date").withColumn("k", F.col("k").cast("int")).withColumnRenamed("k", "rank")
 
 
 def signal_counts_by_date(composites: DataFrame) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from filingmill.operators import metrics, portfolio, returns
+from filingmill.operators import metrics, portfolio, returns, signals
 from filingmill.sources.store import stored
 
 from . import standin as S
@@ -295,15 +295,8 @@ def _(spark, d):
       "FROM scores"
 )
 def _(spark, d):
-    from pyspark.sql import Window as W
-
-    w = W.partitionBy("signal_date").orderBy(F.desc("composite_score"), "ticker")
-    return rounded(
-        S.scores(spark, d).withColumn("rank", F.row_number().over(w)).select(
-            "signal_date", "ticker", "composite_score", "rank"
-        ),
-        6
-    )
+    ranked = signals.composite_rank(S.scores(spark, d).select("signal_date", "ticker", "composite_score"))
+    return rounded(ranked.select("signal_date", "ticker", "composite_score", "rank"), 6)
 
 
 _CURVE = """curve_days AS (SELECT date, period_start FROM (SELECT DISTINCT date FROM daily)

@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 from filingmill.functions import html
 from filingmill.functions.text import tidy
 from filingmill.operators.returns import daily_returns
+from filingmill.sources import adapters, folders
 from filingmill.sources import filings as src
 from filingmill.sources import prices as px
-from filingmill.sources.store import small_batches
+from filingmill.sources.store import delete_at_end, new_path, small_batches
 
 from . import standin as S
 from .registry import query
@@ -143,6 +144,59 @@ def _(spark, d):
     )
 
 
+@query(
+    "read_filing_documents",
+    with_(S.FILINGS)
+    + "SELECT cik, filing_id AS accession_number, 'doc.htm' AS name, 0 AS piece, sha256(text) AS text_sha256 "
+      "FROM filings JOIN documents ON right(filing_id, 6) = right(lpad(CAST(doc_id AS VARCHAR), 18, '0'), 6)"
+)
+def _(spark, d):
+    """Documents landed as files in three charsets, undeclared, and read back."""
+    latin = F.col("text").rlike("^[\\x00-\\x7F\\u00A0-\\u00FF]*$")
+    charset = F.when((F.col("lang") == "de") & latin, "windows-1252").when(F.col("lang") == "fr", "utf-16").otherwise("utf-8")
+    x = F.lpad(F.col("doc_id").cast("string"), 18, "0")
+    texts = S.read(spark, d, "documents").select(S.accession(x).alias("filing_id"), "text", charset.alias("encoding"))
+    rows = texts.join(S.filings(spark, d).select("filing_id", "cik"), "filing_id").select(
+        "cik", F.col("filing_id").alias("accession_number"), F.lit("doc.htm").alias("name"), "encoding", "text"
+    )
+    folders.register(spark)
+    path = new_path(spark, "documents")
+    rows.write.format("filing_folder").mode("append").option("path", path).save()
+    delete_at_end(spark, path)
+    return src.read_filing_folder(spark, path).select("cik", "accession_number", "name", "piece", F.sha2("html", 256).alias("text_sha256"))
+
+
+@query(
+    "read_prices",
+    with_(S.PRICES)
+    + "SELECT ticker, date, round(price, 8) AS open, round(price, 8) AS close, CAST(CASE WHEN CAST(substr(ticker, 2) AS INT) % 2 = 0 THEN 7 ELSE 0 "
+      "END AS BIGINT) AS volume, CASE WHEN CAST(substr(ticker, 2) AS INT) % 2 = 0 THEN 'yahoo_finance' ELSE 'csv' END AS source "
+      "FROM prices WHERE date >= DATE '1996-01-01'"
+)
+def _(spark, d):
+    """Prices landed as one file per ticker, even ones as charts, odd ones as CSV under two headers, and read by the adapters."""
+    own, number = S.prices(spark, d), F.substring("ticker", 2, 9).cast("int")
+    day = F.struct("date", "price")
+    rows = own.groupBy("ticker").agg(F.array_sort(F.collect_list(day)).alias("r"))  # one ticker's days
+    price = F.transform("r", lambda x: x["price"])
+    quote = F.struct(*[price.alias(k) for k in ("open", "high", "low", "close")], F.transform("r", lambda x: F.lit(7)).alias("volume"))
+    chart = F.to_json(F.struct(
+        F.transform("r", lambda x: F.unix_timestamp(x["date"].cast("timestamp"))).alias("timestamp"), F.struct(F.array(quote).alias("quote")).alias("indicators")
+    ))
+    header = F.when(number % 4 == 1, "Date,Close,Notes").otherwise("last,timestamp")
+    line = lambda x: F.when(number % 4 == 1, F.concat_ws(",", x["date"], x["price"], F.lit('"a, b"'))).otherwise(F.concat_ws(",", x["price"], x["date"]))
+    table = F.array_join(F.concat(F.array(header), F.transform("r", line)), "\n")
+    folders.register(spark)
+    found = None
+    for odd, kind, text in ((0, "chart", chart), (1, "csv", table)):
+        path = new_path(spark, kind)
+        rows.where(number % 2 == odd).select("ticker", text.alias("text")).write.format(f"{kind}_folder").mode("append").option("path", path).save()
+        delete_at_end(spark, path)
+        bars = adapters.read_prices(spark, kind, path, start="1996-01-01")
+        found = bars if found is None else found.unionByName(bars)
+    return rounded(found.select("ticker", "date", "open", "close", "volume", "source"), 8)
+
+
 @query(
     "returns_from_csv",
     "SELECT 'S' || l_suppkey AS ticker, CAST(l_shipdate AS DATE) AS date, round(avg(round(l_discount, 4)), "

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from filingmill.functions.text import word_count
@@ -38,10 +38,15 @@ def rounded(df: DataFrame, digits: int = 4) -> DataFrame:
     return df.select(*[(F.round(c, digits) + 0.0).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
 
 
+def accession(digits: Column) -> Column:
+    """18 digits as an accession number."""
+    return F.concat_ws("-", F.substring(digits, 1, 10), F.substring(digits, 11, 2), F.substring(digits, 13, 6))
+
+
 def filings(spark: SparkSession, d: str) -> DataFrame:
     x = F.lpad(F.col("doc_id").cast("string"), 18, "0")
     return read(spark, d, "documents").select(
-        F.concat_ws("-", F.substring(x, 1, 10), F.substring(x, 11, 2), F.substring(x, 13, 6)).alias("filing_id"),
+        accession(x).alias("filing_id"),
         F.lpad((1000 + F.substring("source", 4, 9).cast("int")).cast("string"), 10, "0").alias("cik"),
         F.col("source").alias("ticker"), F.concat(F.lit("Company "), "source").alias("company_name"),
         F.when(F.col("lang") == "en", "10-K").otherwise("10-Q").alias("form_type"),
@@ -68,7 +73,7 @@ def sections(spark: SparkSession, d: str) -> DataFrame:
         )
     )
     rows = spread(read(spark, d, "documents").select("doc_id", "text")).select(
-        F.concat_ws("-", F.substring(x, 1, 10), F.substring(x, 11, 2), F.substring(x, 13, 6)).alias("filing_id"),
+        accession(x).alias("filing_id"),
         F.explode(F.filter(parts, lambda p: p.isNotNull())).alias("p")
     )
     return rows.select("filing_id", "p.section_name", "p.raw_text", word_count(F.col("p.raw_text")).alias("word_count"))

@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from filingmill.operators import catalog, portfolio, returns, scoring, validate
 from filingmill.sources import sinks
-from filingmill.sources.store import delete_at_end, new_path
+from filingmill.sources.store import delete_at_end, new_path, stored
+from filingmill.sources.tables import KeyedTable
 
 from . import standin as S
 from .backtests import END, START, days
@@ -225,6 +226,41 @@ def _(spark, d):
     return sinks.upsert(old, new, ["doc_id"], "n")
 
 
+@query(
+    "upsert_stored",
+    with_(*S.TO_SIMILARITY, S.RAW)
+    + "SELECT ticker, filing_id, signal_name, signal_date, CASE WHEN signal_date >= DATE '2023-01-01' THEN raw_value + 1 "
+      "ELSE raw_value END + 0.0 AS raw_value FROM raw"
+)
+def _(spark, d):
+    """Signals stored by month; those since 2023 scored again, in two loads, and merged into their months."""
+    raw = stored(S.raw(spark, d).withColumn("month", F.date_format("signal_date", "yyyyMM")), "raw")
+    table = KeyedTable(spark, new_path(spark, "signals"), ("filing_id", "signal_name", "signal_date"), by="month")
+    delete_at_end(spark, table.path)
+    table.upsert(raw.withColumn("load", F.lit(1)), "load")
+    again = raw.where("signal_date >= date'2023-01-01'")
+    first = again.withColumn("raw_value", F.col("raw_value") + 9).withColumn("load", F.lit(1))
+    table.upsert(first.unionByName(again.withColumn("raw_value", F.col("raw_value") + 1).withColumn("load", F.lit(2))), "load")
+    return rounded(table.read().select("ticker", "filing_id", "signal_name", "signal_date", "raw_value"), 6)
+
+
+@query(
+    "replace_sections_stored",
+    with_(S.FILINGS, S.SECTIONS)
+    + "SELECT filing_id, section_name, sha256(raw_text) AS text_sha256 FROM sections WHERE filing_id NOT IN (SELECT filing_id "
+      "FROM filings WHERE form_type = '10-K') OR section_name = 'risk_factors'"
+)
+def _(spark, d):
+    """Sections stored by a hash of their filing; annual reports saved again, with their risk factors if they have any."""
+    sections = S.sections(spark, d)
+    table = KeyedTable(spark, new_path(spark, "sections"), ("filing_id", "section_name"), spread=("filing_id",))
+    delete_at_end(spark, table.path)
+    table.upsert(sections.withColumn("load", F.lit(1)), "load")
+    saved = S.filings(spark, d).where("form_type = '10-K'").select("filing_id")
+    table.replace(saved, sections.where("section_name = 'risk_factors'").join(saved, "filing_id", "left_semi"))
+    return table.read().select("filing_id", "section_name", F.sha2("raw_text", 256).alias("text_sha256"))
+
+
 @query(
     "replace_sections",
     with_(S.FILINGS, S.SECTIONS)

@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 from filingmill.functions.text import dashed_accession, pad_cik, strip
 from filingmill.schemas import CATEGORIES
 
+from .folders import register
+
 # Where documents are.
 ARCHIVES = "https://www.sec.gov/Archives/"
 INDEX_COLUMNS = ("company", "form", "cik", "date", "path")
@@ -93,10 +95,18 @@ def explode_submissions(raw: DataFrame, forms: tuple[str, ...], start=None, end=
 
 
 def read_filing_documents(spark: SparkSession, path: str) -> DataFrame:
-    """(path, html): one row per landed document."""
+    """(path, html): one row per landed UTF-8 document, whatever its place."""
     return spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("html"))
 
 
+def read_filing_folder(spark: SparkSession, path: str, ciks: list[str] | None = None) -> DataFrame:
+    """(cik, accession_number, name, encoding, size, piece, html) of landed documents, ``<cik>/<accession>/<name>``; with ``ciks``
+    only their folders are looked into. See ``folders`` for charsets and very long documents."""
+    register(spark)
+    rows = spark.read.format("filing_folder").option("path", path).load().withColumnRenamed("text", "html")
+    return rows.where(F.col("cik").isin(ciks)) if ciks is not None else rows
+
+
 def _column_of(category: str, columns: list[str]) -> str | None:
     named = {c.lower().replace(" ", "_"): c for c in columns}
     return named.get(category) or next((c for n, c in named.items() if category in n), None)

@@ -3,20 +3,15 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-
-def deduplicated(new: DataFrame, key: list[str], order: str) -> DataFrame:
-    """The last row of each key by ``order``."""
-    w = W.partitionBy(*key).orderBy(F.desc(order))
-    return new.withColumn("__r", F.row_number().over(w)).where("__r = 1").drop("__r")
+from .tables import last_of_key
 
 
 def upsert(old: DataFrame, new: DataFrame, key: list[str], order: str) -> DataFrame:
-    """Old rows whose key is not in ``new``, and the last new row of each key. Write the result to a new path,
-    or by partition with ``partitionOverwriteMode=dynamic``."""
-    rows = deduplicated(new, key, order).drop(order)
+    """Old rows whose key is not in ``new``, and the last new row of each key, as one table. ``tables.KeyedTable`` merges into
+    a stored table, by partition."""
+    rows = last_of_key(new, key, order)
     return old.join(rows.select(*key), key, "left_anti").unionByName(rows)
 
 

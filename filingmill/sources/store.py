@@ -69,6 +69,12 @@ def delete(spark: SparkSession, path: str) -> None:
     files.delete(target, True)
 
 
+def subfolders(spark: SparkSession, path: str) -> list[str]:
+    """Names of the folders in a folder; none where it does not exist."""
+    files, target = _at(spark, path)
+    return [f.getPath().getName() for f in files.listStatus(target) if f.isDirectory()] if files.exists(target) else []
+
+
 def stored(df: DataFrame, name: str, result: bool = False) -> DataFrame:
     """Write once, read back; the table goes when the application ends, or with ``scratch`` unless it is a ``result``."""
     path = written(df, name)
