@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from filingmill.operators.ranks import ordered, ranked
 from filingmill.sources.store import cut, delete, scratch, small_batches, stored, written
 
-__all__ = ["components", "cut", "ordered", "replaced", "scratch", "small_batches", "stored", "table", "union_all"]
+__all__ = ["components", "cut", "ordered", "ranked", "replaced", "scratch", "small_batches", "stored", "table", "union_all"]
 #: Parts into which the edges of one node are dealt in joins.
 SALTS = 8
 
@@ -31,14 +32,6 @@ def replaced(df: DataFrame, name: str, before: str | None) -> tuple[DataFrame, s
     return spark.read.schema(df.schema).parquet(path), path
 
 
-def ordered(rows: DataFrame, name: str, *by: Column) -> DataFrame:
-    """The rows stored in the order ``by``, dealt over tasks by range, with ``part``, the range a row lies in, and ``at``,
-    unique and rising in that order. A group of any size is split over ranges, so nothing is gathered to number it; rows
-    that are equal in all of ``by`` share a range, so ``by`` should tell rows apart."""
-    sorted_rows = rows.repartitionByRange(*by).sortWithinPartitions(*by)
-    return stored(sorted_rows.withColumns({"part": F.spark_partition_id(), "at": F.monotonically_increasing_id()}), name)
-
-
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """Connected components of ``edges`` (a, b): one row (id, component) per node of an edge, component = its smallest id.
 

@@ -18,10 +18,10 @@ gives no rows; columns named as new ones are replaced, other columns stay in ``m
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ordered, stored
+from .common import ordered, ranked, stored
 
 WEIGHTS = (5, 2, 1)
 #: Words of the mix over all words, as a fraction; copies of a source at most.
@@ -35,19 +35,6 @@ def words(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
-def ranked(lines: DataFrame, *group: str) -> DataFrame:
-    """``k``: places from 1 within each group, for rows of ``ordered`` whose order begins with the group."""
-    per_part = lines.groupBy(*group, "part").agg(F.count("*").alias("n"), F.min("at").alias("low"))
-    before = Window.partitionBy(*group).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # one row a range at most
-    counts = per_part.withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0))).drop("n")
-    counts = counts.toDF(*[f"__{c}" for c in counts.columns])
-    on = F.col("part") == F.col("__part")
-    for c in group:
-        on = on & F.col(c).eqNullSafe(F.col(f"__{c}"))
-    # Rows of a range and group are numbered without gaps from the least on only within the group's stretch of the range.
-    return lines.join(counts, on).withColumn("k", F.col("at") - F.col("__low") + F.col("__before") + 1).drop(*counts.columns, "part", "at")
-
-
 def targets(sizes: DataFrame, weights: tuple = WEIGHTS, share: tuple = SHARE, cap: int = CAP) -> DataFrame:
     """From (source, source_size): those, target, and copies of a document as a fraction (num, den)."""
     lines = ordered(sizes.select("source", "source_size"), "sources", F.asc_nulls_last("source"))
