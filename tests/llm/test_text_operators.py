@@ -5,7 +5,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from filingmill.llm import chat, decontamination, pii, quality, secrets, toxicity, urlfilter
+from filingmill.llm import chat, decontamination, labelled, pii, quality, secrets, toxicity, urlfilter
 
 # ---------------------------------------------------------------- decontamination
 
@@ -459,7 +459,7 @@ def test_toxicity_held_out(spark):
 
 def test_grammar_modes():
     m = toxicity.Model({"zorg": 1.0})
-    top = lambda t: dict(zip(toxicity.MODES, m.features(t), strict=False))
+    top = lambda t: dict(zip(toxicity.MODES, m.modes(t), strict=False))
     assert top("a zorg.")["bare"] == 1 and top("you zorg.")["aimed"] == 1 and top("he said zorg.")["reported"] == 1
     assert top("not a zorg.")["negated"] == 1 and top("not at all so very zorg")["bare"] == 1
     for threat in ("I will kill you", "kill them all", "you I will kill", "beat you up"):
@@ -509,7 +509,29 @@ def test_grammar_walk_is_that_of_plain_scans():
     m = toxicity.Model(dict(weights))
     for _ in range(3000):
         text = [r.choice(words) for _ in range(r.randint(0, 14))]
-        assert m.features(" ".join(text))[: len(toxicity.MODES)] == list(brute_modes(text, weights).values()), text
+        assert m.modes(" ".join(text))[: len(toxicity.MODES)] == list(brute_modes(text, weights).values()), text
+
+
+def test_modes_decide(spark):
+    r = random.Random(6)
+    docs = [(i, " ".join(r.choices(["calm", "river", "stone", "morning", "closer"], k=20)) + (f" zorg{'abcdefgh'[i % 8]} moron." if i % 4 == 0 else ".")) for i in range(400)]
+    labels = [(i, int(i % 4 == 0)) for i in range(400)]
+    frames = [spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int")]
+    m = toxicity.train(*frames)
+    assert m.score("I will kill you.") >= 0.5 and m.score("You are a moron.") > m.score("moron") >= 0.5
+    assert m.score("You are not a moron.") < m.score("You are a moron.") > m.score("He said you are a moron.")
+    assert m.score("zorgxyz") < 0.5 if "zorg*" in m.lexicon else True
+    assert all(m.score(t) == m.score("") < 0.2 for t in ("More morning.", "Discuss this", "kill the process", "I will not kill you"))
+    assert not any(u.endswith("*") and (len(u) < 6 or "moron".startswith(u[:-1])) for u in m.lexicon)
+    rules = spark.createDataFrame([("Glarb", "insult"), ("du", "target")], "word string, symbol string")
+    other = toxicity.train(*frames, rules)
+    assert other.listed["glarb"] == "insult" and "idiot" not in other.listed and other.score("glarb du") > other.score("glarb") > other.score("")
+
+
+def test_one_id_with_many_texts_is_one_row_of_the_sample(spark):
+    docs = spark.range(300).select(F.lit(1).cast("long").alias("doc_id"), F.concat(F.lit("text "), F.col("id") % 7).alias("text"))
+    got = labelled.sample(docs, spark.createDataFrame([(1, 1), (1, 0)], "doc_id long, toxic int"), "toxic", F.lit(True)).collect()
+    assert [(r.doc_id, r.text, r.y) for r in got] == [(1, "text 6", 1)]
 
 
 def test_composition_is_one_after_the_other():
