@@ -37,15 +37,6 @@ def stop_words() -> list[str]:
     return StopWordsRemover.loadDefaultStopWords("english")
 
 
-def tfidf_terms(c: Column, stop: list[str]) -> Column:
-    """Words of two or more letters without stop words, then bigrams over what is left."""
-    words = F.regexp_extract_all(fold_accents(c), F.lit(r"(?U)\b[a-zA-Z]{2,}\b"), F.lit(0))
-    kept = F.filter(words, lambda t: ~t.isin(*stop)) if stop else words
-    # One struct element lets the filtered words be used three times and computed once.
-    grams = lambda w: F.when(F.size(w) > 1, F.zip_with(F.slice(w, F.lit(1), F.size(w) - 1), F.slice(w, F.lit(2), F.size(w) - 1), lambda a, b: F.concat_ws(" ", a, b))).otherwise(F.array().cast("array<string>"))
-    return F.flatten(F.transform(F.array(kept), lambda w: F.concat(w, grams(w))))
-
-
 def word_count(c: Column) -> Column:
     """White-space separated words."""
     return F.size(F.regexp_extract_all(c, F.lit(r"\S+"), F.lit(0)))

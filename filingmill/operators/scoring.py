@@ -2,29 +2,19 @@
 
 from __future__ import annotations
 
-import heapq
-import math
-import re
-import sys
-import unicodedata
-from collections import Counter
 from collections.abc import Callable
-from functools import cache
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from filingmill.functions import terms
 from filingmill.functions.text import strip, tokenize_upper
 from filingmill.schemas import CATEGORIES
 from filingmill.sources.store import small_batches
 
 SECTION_KEY = ("filing_id", "section_name")
-#: Inverse document frequency of a term that one of two texts has; one that both have counts 1.
-ALONE = math.log(1.5) + 1
-MAX_TERMS = 10_000
-_TERM = re.compile(r"\b[a-zA-Z]{2,}\b")
 #: A lexicon of this many bytes or less becomes constants of the plan; a longer one is joined by shuffle.
 LEXICON_BYTES = 1 << 20
 
@@ -77,49 +67,16 @@ def dictionary_sentiment(counts: DataFrame) -> DataFrame:
     })
 
 
-@cache
-def _marks() -> dict[int, None]:
-    """Combining characters, for ``str.translate``."""
-    return {i: None for i in range(sys.maxunicode + 1) if unicodedata.combining(chr(i))}
-
-
-def term_counts(text: str, stop: frozenset[str]) -> Counter[str]:
-    """Words of two or more letters without stop words, and bigrams over what is left, as ``tfidf_terms`` has them."""
-    low = text.lower()
-    if not low.isascii():
-        low = unicodedata.normalize("NFKD", low).translate(_marks())
-    words = [w for w in _TERM.findall(low) if w not in stop]
-    counts = Counter(words)
-    counts.update(map(" ".join, zip(words, words[1:], strict=False)))
-    return counts
-
-
-def pair_cosine(a: Counter[str], b: Counter[str], most: int = MAX_TERMS) -> float | None:
-    """TF-IDF cosine of two texts fitted on just these two, in closed form; None without any term."""
-    both = a.keys() & b.keys()
-    if len(a) + len(b) - len(both) > most:
-        total = a + b
-        kept = set(heapq.nsmallest(most, total, key=lambda t: (-total[t], t)))
-        a, b, both = Counter({t: n for t, n in a.items() if t in kept}), Counter({t: n for t, n in b.items() if t in kept}), both & kept
-    if not a and not b:
-        return None
-    tf = lambda n: 1 + math.log(n)
-    own = lambda c: sum(tf(n) ** 2 * (1.0 if t in both else ALONE * ALONE) for t, n in c.items())
-    xx, yy = own(a), own(b)
-    return sum(tf(a[t]) * tf(b[t]) for t in both) / math.sqrt(xx * yy) if xx and yy else 0.0
-
-
 def tfidf_cosine(pairs: DataFrame, stop: list[str], key: tuple[str, ...] = SECTION_KEY) -> DataFrame:
     """From (key, raw_text, prior_text): similarity_score and change_score, fitted on each pair alone.
 
-    The terms of a pair are counted where its row is, in an Arrow helper, so no term is ever a row: exploding
-    them and counting by key and term took ten times as long. Pairs without any term are dropped, as are blank texts."""
+    The terms of a pair are counted where its row is (see ``terms``), so no term is ever a row: exploding them and counting
+    by key and term took ten times as long. Pairs without any term are dropped, as are blank texts."""
     known = frozenset(stop)
     small_batches(pairs.sparkSession)
 
     def run(raw: pa.Array, prior: pa.Array) -> pa.Array:
-        rows = zip(raw.to_pylist(), prior.to_pylist(), strict=True)
-        return pa.array([pair_cosine(term_counts(x, known), term_counts(y, known)) for x, y in rows], pa.float64())
+        return pa.array(terms.cosines(raw, prior, known), pa.float64(), from_pandas=True)  # NaN is null
 
     usable = pairs.where((strip(F.col("raw_text")) != "") & (strip(F.col("prior_text")) != ""))
     scored = usable.select(

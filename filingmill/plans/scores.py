@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from filingmill.functions.text import tfidf_terms, tokenize_upper
+from filingmill.functions.terms import tfidf_terms
+from filingmill.functions.text import tokenize_upper
 from filingmill.operators import scoring, signals
 from filingmill.sources.store import stored
 

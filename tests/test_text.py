@@ -1,9 +1,16 @@
 import hashlib
-
+import math
+import random
+import re
+import unicodedata
+from collections import Counter
+
+import pyarrow as pa
+import pytest
 from pyspark.sql import functions as F
 
 from __spark_entry__ import queries
-from filingmill.functions import html
+from filingmill.functions import html, terms
 from filingmill.functions.text import dashed_accession, fold_accents, pad_cik, tidy, tokenize_upper
 from filingmill.operators import scoring
 
@@ -144,8 +151,42 @@ def test_long_lexicon_is_joined(spark, monkeypatch):
     assert sorted(scoring.category_counts(rows, lexicon).collect()) == short
 
 
+def counts_of(text, stop):
+    low = "".join(c for c in unicodedata.normalize("NFKD", text.lower()) if not unicodedata.combining(c))
+    words = [w for w in re.findall(r"\b[a-zA-Z]{2,}\b", low) if w not in stop]
+    return Counter(words) + Counter(map(" ".join, zip(words, words[1:])))
+
+
+def pair_cosine(a, b, most=terms.MAX_TERMS):
+    """The closed form, term by term."""
+    total = a + b
+    kept = set(sorted(total, key=lambda t: (-total[t], t))[:most])
+    a, b = ({t: 1 + math.log(n) for t, n in c.items() if t in kept} for c in (a, b))
+    own = lambda c, other: sum(x * x * (1 if t in other else terms.ALONE**2) for t, x in c.items())
+    xx, yy = own(a, b), own(b, a)
+    if not a and not b:
+        return None
+    return sum(x * b[t] for t, x in a.items() if t in b) / math.sqrt(xx * yy) if xx and yy else 0.0
+
+
 def test_terms_beyond_the_most_are_ranked():
-    a, b = scoring.Counter({"a": 3, "b": 1, "c": 1}), scoring.Counter({"a": 1, "d": 1})
-    assert scoring.pair_cosine(a, b, 1) == 1
-    assert 0 < scoring.pair_cosine(a, b, 2) < 1
-    assert scoring.pair_cosine(scoring.Counter(), scoring.Counter()) is None
+    a, b = Counter({"a": 3, "b": 1, "c": 1}), Counter({"a": 1, "d": 1})
+    assert pair_cosine(a, b, 1) == 1
+    assert 0 < pair_cosine(a, b, 2) < 1
+    assert pair_cosine(Counter(), Counter()) is None
+
+
+@pytest.mark.parametrize("most", [1, 2, 5, 10, 10_000])
+def test_cosines_of_a_batch_are_those_of_each_pair(most):
+    r = random.Random(most)
+    words = ["Ab", "abc", "the", "of", "naïve", "x1", "a_b", "straße", "Zürich", "q", "ﬁn", "ab", "é", "день", "e\u0301cole", "—", "ab\u0301d"]
+    make = lambda: r.choice([None, "", " ", "The of", "".join(r.choice(words) + r.choice([" ", ", ", "\n", "-", "'"]) for _ in range(r.randint(0, 25)))])
+    pairs = [(make(), make()) for _ in range(200)] + [("ab ab", "ab ab"), ("ab", "cd")]
+    stop = frozenset(["the", "of"])
+    got = terms.cosines(*(pa.array([p[i] for p in pairs], pa.string()) for i in (0, 1)), stop, most)
+    for (x, y), c in zip(pairs, got, strict=True):
+        expected = pair_cosine(counts_of(x or "", stop), counts_of(y or "", stop), most)
+        assert (expected is None and math.isnan(c)) or c == pytest.approx(expected, abs=1e-12), (x, y)
+    lists = terms.term_lists(pa.array([p[0] for p in pairs], pa.string()), stop).to_pylist()
+    assert [Counter(t) for t in lists] == [counts_of(x or "", stop) for x, _ in pairs]
+    assert len(terms.cosines(pa.array([], pa.string()), pa.array([], pa.string()), stop)) == 0
