@@ -3,7 +3,9 @@
 Every rule is a regular expression with the literal tokens that any URL it fits must hold. Rules are filed
 under their rarest token, by counts over all URLs (Spark counts only tokens that occur in rules). A URL's
 tokens fetch candidate rules, and only those run. URLs are mapped without a shuffle; the index is as large as
-the rule list, which ``MAX_RULES`` bounds. Listed rules can come from a table (``listed``).
+the rule list, which ``MAX_RULES`` bounds. Rules come from tables: listed ones (``listed``: host, path, verdict), and words of
+topics (``topical``: topic, word), each of which gives a rule per place in which it may stand: a part of the host, a segment of
+the path, a key or value of the query. Listed rules decide; where none fits, any pattern that blocks does.
 
 Defined results: a null url, or one without ``://``, has an empty host and path and is allowed by no rule; very long
 urls are judged whole; of listed rules that fit, the longest decides, of equally long ones the first; repeated rows
@@ -17,7 +19,7 @@ from collections import defaultdict
 from dataclasses import dataclass
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 MAX_RULES = 100_000
@@ -41,20 +43,60 @@ def site(host: str, path: str, verdict: str) -> UrlRule:
     return UrlRule(host + path, verdict, r"(?s)\A(?:[^/?#]*\.)?" + re.escape(host) + re.escape(path), tokens, True)
 
 
-# The listed rules (host, path, verdict), then patterns for what none of them fits.
-LISTED = (
-    site("com", "/", "allow"), site("example.com", "/en/", "block"), site("www.example.com", "/en/", "allow"),
-    site("net", "/es/", "block"), site("net", "/fr/", "block"),
+# The listed rules (host, path, verdict); words of topics that are kept out; other patterns.
+RULES = (
+    ("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block"),
 )
+TOPICS = {
+    "gambling": "casino casinos poker bets bet betting roulette slots jackpot bingo lottery lotto wager sportsbook",
+    "adult": "adult porn porno xxx sex escort escorts nude nudes camgirls hentai erotic milf webcam",
+    "ads": "ads ad adserver adtrack adclick banner banners popup popunder tracker trackers clickbait affiliate sponsored",
+    "pills": "viagra cialis pharma pharmacy pills steroids xanax tramadol",
+    "loans": "payday loan loans cashadvance forex cryptogiveaway",
+    "piracy": "warez crack cracks cracked keygen keygens torrent torrents nulled serials",
+}
+#: Where a word of a topic may stand: before and behind it.
+PLACES = {
+    "host": (r"\A(?:[^/?#]*[.-])?", r"(?:[.:/?#-]|\Z)"),
+    "path": (r"\A[^/?#]*/(?:[^?#]*/)?", r"(?:/|\.html?|[?#]|\Z)"),
+    "query": (r"\A[^?#]*\?(?:[^#]*[&;=])?", r"(?:[&;=#]|\Z)"),
+}
+LISTED = tuple(site(*r) for r in RULES)
 PATTERNS = (
     UrlRule("casino", "block", r"(?i)\bcasino\b", ("casino",)),
     UrlRule("porn", "block", r"(?i)\bporn\b", ("porn",)),
     UrlRule("xxx-host", "block", r"(?i)\A[^/?#]*\.xxx(?:[:/?#]|\Z)", ("xxx",)),
-    UrlRule("login", "block", r"(?i)/(?:login|log-in)(?:[/?#]|\Z)", ()),
+    UrlRule("login", "block", r"(?i)/login(?:[/?#]|\Z)", ("login",)),
+    UrlRule("log-in", "block", r"(?i)/log-in(?:[/?#]|\Z)", ("log", "in")),
     UrlRule("session", "block", r"(?i)[?&]session=[0-9a-z]+", ("session",)),
 )
 
 
+def topic_rules(words: list[tuple[str, str]]) -> tuple[UrlRule, ...]:
+    """One rule per (topic, word) and place; words are letters and digits, so each is its own token."""
+    return tuple(
+        UrlRule(f"{topic}:{word}:{place}", "block", f"(?i){before}{word}{behind}", (word,))
+        for topic, word in words for place, (before, behind) in PLACES.items()
+    )
+
+
+def topical(topics: DataFrame) -> tuple[UrlRule, ...]:
+    """Rules of a table of words (topic, word), lower-cased; words with other characters, or more than MAX_RULES, raise an error."""
+    words = topics.select("topic", F.lower("word").alias("word")).where("word is not null").distinct().orderBy("topic", "word").limit(MAX_RULES + 1).collect()
+    if len(words) > MAX_RULES:
+        raise ValueError(f"over {MAX_RULES} words")
+    if bad := [w for _, w in words if not re.fullmatch("[a-z0-9]+", w)]:
+        raise ValueError(f"not a word: {bad[0]}")
+    return topic_rules([tuple(w) for w in words])
+
+
+def given(spark: SparkSession) -> tuple[UrlRule, ...]:
+    """The rules above, read from their tables, and the other patterns."""
+    rules = spark.createDataFrame(RULES, "host string, path string, verdict string")
+    topics = spark.createDataFrame([(t, w) for t, words in TOPICS.items() for w in words.split(" ")], "topic string, word string")
+    return listed(rules) + PATTERNS + topical(topics)
+
+
 def listed(rules: DataFrame) -> tuple[UrlRule, ...]:
     """Rules of a table (host, path, verdict), in that order; more than MAX_RULES raise an error."""
     rows = rules.select("host", "path", "verdict").distinct().orderBy("host", "path", "verdict").limit(MAX_RULES + 1).collect()
@@ -75,6 +117,11 @@ class RuleIndex:
             else:
                 self.always.append(entry)
 
+    def candidates(self, seen: str) -> list[tuple[UrlRule, re.Pattern]]:
+        """The rules that run on a URL: those filed under one of its tokens."""
+        tokens = dict.fromkeys(t.lower() for t in _TOKEN.findall(seen))
+        return [*self.always, *(e for t in tokens for e in self.filed.get(t, ()))]
+
     def judge(self, url: str | None) -> tuple[str, str, str | None, str]:
         host = path = rest = ""
         if url and "://" in url:
@@ -85,11 +132,7 @@ class RuleIndex:
             cut = re.search("[?#]", tail)
             path, rest = (tail[: cut.start()], tail[cut.start() :]) if cut else (tail, "")
         seen = f"{host}{path}{rest}"
-        tokens = dict.fromkeys(t.lower() for t in _TOKEN.findall(seen))
-        fits = [
-            r for r, pattern in (*self.always, *(e for t in tokens for e in self.filed.get(t, ())))
-            if pattern.match(seen) or not r.listed and pattern.search(seen)
-        ]
+        fits = [r for r, pattern in self.candidates(seen) if pattern.match(seen) or not r.listed and pattern.search(seen)]
         listed = max((r for r in fits if r.listed), key=lambda r: len(r.name), default=None)
         if listed:
             return host, path, listed.name, listed.verdict
@@ -108,8 +151,9 @@ def token_counts(pages: DataFrame, rules: tuple[UrlRule, ...]) -> dict[str, int]
     return {r.token: r.n for r in found.collect()}
 
 
-def judge(pages: DataFrame, rules: tuple[UrlRule, ...] = LISTED + PATTERNS) -> DataFrame:
-    """page_id, host, path, rule, verdict for every page."""
+def judge(pages: DataFrame, rules: tuple[UrlRule, ...] | None = None) -> DataFrame:
+    """page_id, host, path, rule, verdict for every page, by the rules given (if none, ``given``)."""
+    rules = given(pages.sparkSession) if rules is None else rules
     counts = token_counts(pages.select("url"), rules)
     index: list[RuleIndex] = []
 
@@ -128,7 +172,10 @@ def judge(pages: DataFrame, rules: tuple[UrlRule, ...] = LISTED + PATTERNS) -> D
 
 # The same in plain SQL: host and path are cut out, the longest listed rule that fits decides, then the patterns.
 _LISTED_SQL = ", ".join(f"('{r.name.partition('/')[0]}', '/{r.name.partition('/')[2]}', '{r.name}', '{r.verdict}')" for r in LISTED)
-_PATTERNS_SQL = " OR ".join(f"regexp_matches(seen, '{r.pattern}')" for r in PATTERNS if r.verdict == "block").replace(r"\Z", r"\z")
+_WORDS = "|".join(w for words in TOPICS.values() for w in words.split(" "))
+_PATTERNS_SQL = " OR ".join(
+    f"regexp_matches(seen, '{p}')" for p in (*(r.pattern for r in PATTERNS), *(f"(?i){before}(?:{_WORDS}){behind}" for before, behind in PLACES.values()))
+).replace(r"\Z", r"\z")
 SQL = f"""
 WITH rules(h, p, name, verdict) AS (VALUES {_LISTED_SQL}),
 a AS (SELECT page_id, row_number() OVER () AS k, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),

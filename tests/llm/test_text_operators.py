@@ -593,3 +593,27 @@ def test_folds_match_the_contract(spark):
 
     rows = spark.range(50).select("id", fold(F.col("id"), 5).alias("f")).collect()
     assert all(r.f == zlib.crc32(str(r.id).encode()) % 5 for r in rows)
+
+
+# ---------------------------------------------------------------- URL rules of topics
+
+
+def test_topics_decide_and_few_rules_run(spark):
+    rules = urlfilter.given(spark)
+    assert len(rules) > 200 and {r.name for r in rules if r.listed} == {r.name for r in urlfilter.LISTED}
+    index = urlfilter.RuleIndex(rules, {})
+    blocked = [
+        "http://blog.adult-x.example.net/de/3", "https://free-bets.org/", "https://a.org/x/poker", "https://a.org/poker.html", "http://a.org/?q=1&poker=2",
+        "http://a.org/p?topic=warez#x", "https://ADS.example.org", "http://a.org/login",
+    ]
+    allowed = ["https://badminton.org/", "https://adsense.org/x", "https://a.org/pokers/", "https://a.org/?pokerx=1", "https://a.org/#poker", "http://poker", "poker.org"]
+    assert [index.judge(u)[2:] for u in blocked] == [(None, "block")] * len(blocked)
+    assert [index.judge(u)[3] for u in allowed] == ["allow"] * 5 + ["block", "allow"]
+    ran = [len(index.candidates(u.partition("://")[2])) for u in blocked + allowed]
+    assert max(ran) <= 8 and sum(ran) / len(ran) < 4
+    every = urlfilter.RuleIndex(rules, {})
+    every.candidates = lambda seen: [(r, re.compile(r.pattern)) for r in rules]
+    urls = [r.url for r in spark.read.parquet("/root/testdata/sf0.01/pages.parquet").select("url").collect()] + blocked + allowed
+    assert [index.judge(u) for u in urls] == [every.judge(u) for u in urls]
+    with pytest.raises(ValueError, match="not a word"):
+        urlfilter.topical(spark.createDataFrame([("t", "a.b")], "topic string, word string"))
