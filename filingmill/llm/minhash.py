@@ -9,16 +9,22 @@ about 0.64; it agrees in none of the ten, and is missed, with 4e-5.
 Texts of equal words are one class (partial aggregation on a 128-bit digest). Class members meet in buckets
 (table, key), and every bucket is compared whole: a task reads it as a sorted stream and tries each pair that
 agrees in no earlier table and that its links have not joined yet, so a group of copies takes about one
-comparison a row and pairs are never rows. Buckets of more than BLOCK rows or WORDS shingles are split into
-blocks, each pair of blocks its own task, so a hot bucket spreads and no pair is lost. Buckets whose rows all
-share an earlier key are left out, as all their pairs are tried there.
+comparison a row and pairs are never rows. Buckets whose rows all share an earlier key are left out, as all their
+pairs are tried there.
+
+A hot bucket, of more than BLOCK rows or WORDS shingles, goes in blocks and three steps. Each block is compared by
+itself, which sends a text once. Then one row of each class found so far stands for it, and these are compared, which
+joins what copies the blocks share. What is still apart is compared row by row: all rows outside a bucket's largest
+class among themselves and with the largest class, in pairs of blocks; so a row of the largest class is sent once per
+block of the others, and only where there are any. No pair of rows of different classes is left out.
 
 A pair is a link if banded alignment finds it similar: labelled shingles are aligned in order (longest
 increasing chain) within a band around the diagonal; similarity is aligned / (all - aligned), at least 0.8.
 Any pair that similar lies inside the band. Classes are the components of links, named by the smallest doc_id.
 
 Defined results: null and word-free texts are each their own class and never link; texts of fewer than five
-words are one shingle; repeated rows share a class; an empty table gives an empty result.
+words are one shingle; repeated rows share a class; very long texts are compared whole, their shingles in one task at a
+time; an empty table gives an empty result; extra columns pass through ``deduplicate`` and are ignored otherwise.
 """
 
 from __future__ import annotations
@@ -30,7 +36,7 @@ from operator import or_
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import components, small_batches, stored
@@ -138,11 +144,14 @@ def _sketches(texts: pa.Array) -> pa.Array:
     return pa.array(out, pa.struct([("digest", pa.binary()), ("size", pa.int32()), ("keys", pa.list_(pa.int64()))]))
 
 
-def links_of(texts: list[np.ndarray], keys: np.ndarray, sides: np.ndarray, t: int, least: float = SIMILARITY) -> list[tuple[int, int]]:
-    """Links that join all similar pairs of one bucket of table ``t``; of two blocks, pairs across them only."""
+def links_of(
+    texts: list[np.ndarray], keys: np.ndarray, sides: np.ndarray, t: int, least: float = SIMILARITY, classes: list | None = None
+) -> list[tuple[int, int]]:
+    """Links that join all similar pairs of one bucket of table ``t``; of two blocks, pairs across them only. Rows of one of
+    ``classes`` are joined already."""
     n, sizes, found = len(texts), np.array([x.size for x in texts]), []
     across = sides.any()
-    part = np.arange(n)
+    part = np.arange(n) if classes is None else np.unique(np.array(classes), return_inverse=True)[1]
     ends = np.cumsum(sizes)
     codes = np.unique(np.concatenate(texts), return_inverse=True)[1] if n > 8 else None
     marks = np.zeros(0 if codes is None else int(codes.max()) + 1, np.int64)
@@ -175,21 +184,21 @@ def _links(least: float):
 
         def close():
             if len(rows) > 1:
-                ids, (keys, sides, texts) = list(rows), zip(*rows.values(), strict=True)
-                pairs = links_of(list(texts), np.array(keys, np.int64), np.array(sides), bucket[0], least)
+                ids, (keys, sides, classes, texts) = list(rows), zip(*rows.values(), strict=True)
+                pairs = links_of(list(texts), np.array(keys, np.int64), np.array(sides), bucket[0], least, list(classes))
                 found.extend((ids[i], ids[j]) for i, j in pairs)
 
         with np.errstate(over="ignore"):
             for batch in batches:
-                columns = (batch[c].to_pylist() for c in ("t", "key", "block", "side", "digest", "keys"))
-                for k, (t, key, block, side, digest, keys) in enumerate(zip(*columns, strict=True)):
+                columns = (batch[c].to_pylist() for c in ("t", "key", "block", "side", "digest", "keys", "class"))
+                for k, (t, key, block, side, digest, keys, joined) in enumerate(zip(*columns, strict=True)):
                     if (t, key, block) != bucket:
                         close()
                         bucket, rows = (t, key, block), {}
                     if digest not in rows:
                         words = words_of(batch["text"][k].cast(pa.binary()).as_py())
                         if digest_of(words) == digest:  # another text can have the same document id
-                            rows[digest] = (keys, side, shingles(words))
+                            rows[digest] = (keys, side, joined, shingles(words))
                 a, b = zip(*found, strict=True) if found else ((), ())
                 found.clear()
                 yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], schema=schema)
@@ -202,7 +211,8 @@ def _links(least: float):
 
 
 def bucketed(classes: DataFrame) -> DataFrame:
-    """Rows (t, key, block, side, digest, rep, keys) of all buckets in which some pair meets for the first time."""
+    """Rows (t, key, blocks, digest, rep, keys, size) of all buckets in which some pair meets for the first time; ``blocks`` is
+    how many a bucket takes."""
     met = classes.select("size", F.posexplode("keys").alias("t", "key")).groupBy("t", "key").agg(F.count("*").alias("n")).where("n > 1")
     inside = classes.select("digest", F.posexplode("keys").alias("t", "key")).join(met.drop("n"), ["t", "key"])
     shared = stored(inside.join(classes, "digest"), "shared")
@@ -212,17 +222,37 @@ def bucketed(classes: DataFrame) -> DataFrame:
     )
     stats = shared.groupBy("t", "key").agg(F.count("*").alias("n"), F.sum("size").alias("words"), *least, *most)
     earlier = [(F.lit(j) < F.col("t")) & (F.col(f"least{j}") == F.col(f"most{j}")) for j in range(TABLES - 1)]
-    blocks = F.ceil(F.greatest(F.col("n") / BLOCK, F.col("words") / WORDS)).cast("int")
-    stats = stored(stats.where(~reduce(or_, earlier)).select("t", "key", blocks.alias("blocks")), "buckets")
-    mine = F.pmod(F.xxhash64("digest"), F.col("blocks")).cast("int")
-    pairs = F.transform(
-        F.sequence(F.lit(0), F.col("blocks") - 1),
-        lambda o: F.struct(F.least(o, mine).alias("x"), F.greatest(o, mine).alias("y"))
-    )
-    spread = shared.join(stats, ["t", "key"]).withColumn("b", F.explode(pairs))
-    block = F.col("b.x").cast("long") * F.lit(1 << 32) + F.col("b.y")
-    side = F.when(F.col("b.x") == F.col("b.y"), F.lit(0)).otherwise(F.when(mine == F.col("b.y"), F.lit(1)).otherwise(F.lit(0)))
-    return spread.select("t", "key", block.alias("block"), side.alias("side"), "digest", "rep", "keys")
+    stats = stored(stats.where(~reduce(or_, earlier)).select("t", "key", _blocks().alias("blocks")), "buckets")
+    return shared.join(stats, ["t", "key"]).select("t", "key", "blocks", "digest", "rep", "keys", "size")
+
+
+def _blocks(n: str = "n", words: str = "words") -> Column:
+    return F.ceil(F.greatest(F.col(n) / BLOCK, F.col(words) / WORDS)).cast("int")
+
+
+def _in_pairs(rows: DataFrame, largest: Column) -> DataFrame:
+    """Rows of hot buckets once per pair of blocks in which they meet: those that are not of the ``largest`` class are dealt
+    into blocks that meet each other and all blocks of the largest, whose blocks do not meet each other."""
+    sizes = rows.groupBy("t", "key").agg(*[
+        f(F.when(largest == side, c)).alias(f"{name}{int(side)}") for side in (True, False) for f, c, name in ((F.count, F.lit(1), "n"), (F.sum, F.col("size"), "words"))
+    ])
+    counts = [F.coalesce(_blocks(f"n{side}", f"words{side}"), F.lit(0)).alias(f"blocks{side}") for side in (0, 1)]
+    spread = rows.join(sizes.select("t", "key", *counts), ["t", "key"])
+    mine = F.when(largest, F.col("blocks0") + F.pmod(F.xxhash64("digest"), F.col("blocks1"))).otherwise(F.pmod(F.xxhash64("digest"), F.col("blocks0"))).cast("int")
+    # Blocks of the others come first; one of the largest class meets those only.
+    others = F.when(F.col("mine") < F.col("blocks0"), F.col("blocks0") + F.col("blocks1")).otherwise(F.col("blocks0"))
+    meets = F.when(others > 0, F.sequence(F.lit(0), others - 1)).otherwise(F.array().cast("array<int>"))
+    spread = spread.withColumn("mine", mine).withColumn("other", F.explode(meets))
+    x, y = F.least("mine", "other"), F.greatest("mine", "other")
+    side = F.when((x < y) & (F.col("mine") == y), 1).otherwise(0)
+    return spread.select("t", "key", (x.cast("long") * F.lit(1 << 32) + y).alias("block"), side.alias("side"), "digest", "rep", "keys", "class")
+
+
+def _compared(rows: DataFrame, texts: DataFrame, least: float) -> DataFrame:
+    by = ["t", "key", "block"]
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    met = rows.join(texts.hint("merge"), "rep").drop("rep").repartition(n, *by).sortWithinPartitions(*by)
+    return stored(met.mapInArrow(_links(least), "a binary, b binary"), "links")
 
 
 def links(classes: DataFrame, source: DataFrame, least: float = SIMILARITY) -> DataFrame:
@@ -231,10 +261,25 @@ def links(classes: DataFrame, source: DataFrame, least: float = SIMILARITY) -> D
     # Merge joins whatever the sizes: moving the texts costs the same share of any input.
     texts = source.join(rows.select("rep").distinct().hint("merge"), "rep", "left_semi")
     texts = texts.withColumn("h", F.xxhash64("text")).dropDuplicates(["rep", "h"]).drop("h")
-    by = ["t", "key", "block"]
-    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    met = rows.join(texts.hint("merge"), "rep").drop("rep").repartition(n, *by).sortWithinPartitions(*by)
-    return stored(met.mapInArrow(_links(least), "a binary, b binary"), "links")
+    block = F.pmod(F.xxhash64("digest"), F.col("blocks")).cast("long")
+    alone = rows.select("t", "key", block.alias("block"), F.lit(0).alias("side"), "digest", "rep", "keys", F.col("digest").alias("class"))
+    found = _compared(alone, texts, least)
+    hot = rows.where("blocks > 1")
+    if hot.isEmpty():
+        return found
+    hot = stored(hot, "hot")
+
+    def classed(known: DataFrame) -> DataFrame:
+        parts = components(known).select(F.col("id").alias("digest"), F.col("component").alias("class"))
+        return stored(hot.join(parts, "digest", "left").withColumn("class", F.coalesce("class", "digest")), "classed")
+
+    of_class = classed(found).groupBy("t", "key", "class").agg(F.min_by(F.struct("digest", "rep", "keys", "size"), "digest").alias("r"))
+    found = found.unionByName(_compared(_in_pairs(of_class.select("t", "key", "class", "r.*"), F.lit(False)), texts, least))
+    now = classed(found)
+    counts = now.groupBy("t", "key", "class").agg(F.count("*").alias("n"))
+    largest = counts.groupBy("t", "key").agg(F.max(F.struct("n", "class"))["class"].alias("largest"), F.count("*").alias("classes"))
+    apart = now.join(largest.where("classes > 1").drop("classes"), ["t", "key"])
+    return found.unionByName(_compared(_in_pairs(apart, F.col("class") == F.col("largest")), texts, least))
 
 
 def _classed(docs: DataFrame, least: float) -> DataFrame:

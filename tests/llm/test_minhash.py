@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from filingmill.llm import minhash
 from filingmill.llm.decontamination import words_of
@@ -165,3 +166,44 @@ def test_deduplicate_keeps_different_texts_of_one_id(spark):
     rows = [(1, a), (5, b), (5, a), (5, b), (7, b + " more"), (8, None), (8, "..."), (9, c), (9, c)]
     kept = minhash.deduplicate(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert sorted((x.doc_id, str(x.text)) for x in kept) == sorted([(1, a), (5, b), (8, "None"), (8, "..."), (9, c)])
+
+
+def test_texts_of_a_hot_bucket_are_not_sent_per_pair_of_blocks(spark, monkeypatch):
+    r = random.Random(11)
+    base = [f"w{i}" for i in range(150)]
+    rows = []
+    for i in range(600):
+        words = list(base)
+        words[r.randrange(150)] = f"x{i}"
+        rows.append((i, " ".join(words)))
+    rows += [(1000 + i, " ".join(base[:60] + [f"y{i}z{k}" for k in range(90)])) for i in range(40)]
+    monkeypatch.setattr(minhash, "BLOCK", 20)
+    sent, compared = [], minhash._compared
+
+    def watched(rows, texts, least):
+        sent.append((rows.count(), rows.select("t", "key", "digest").distinct().count()))
+        return compared(rows, texts, least)
+
+    monkeypatch.setattr(minhash, "_compared", watched)
+    got = {x.doc_id: x.class_id for x in minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {i: 0 for i in range(600)} | {1000 + i: 1000 + i for i in range(40)}
+    assert len(sent) == 3 and sent[0][0] == sent[0][1] and sent[1][0] < sent[0][0] and sent[2][0] < sent[0][0]
+
+
+def test_recall_of_ids_divisible_by_50(spark):
+    """Links of these documents to all others, by exact similarity, are inside classes."""
+    np.seterr(over="ignore")
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    made = {d: minhash.shingles(w) for d, t in docs.collect() if (w := words_of((t or "").encode()))}
+    linked = [(a, b) for a in made if a % 50 == 0 for b in made if a != b and minhash.similarity(made[a], made[b]) >= 0.8]
+    part = {x.doc_id: x.class_id for x in minhash.near_duplicates(docs).collect()}
+    assert sum(part[a] == part[b] for a, b in linked) >= 0.9 * len(linked)
+
+
+def test_very_long_texts_and_clashing_columns(spark):
+    long = " ".join(f"w{i % 5000}v{i // 5000}" for i in range(60_000))
+    rows = [(1, long), (2, long + " end"), (3, "short one"), (4, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumns({c: F.lit(7) for c in ("digest", "key", "component", "class", "blocks")})
+    assert {x.doc_id: x.class_id for x in minhash.near_duplicates(docs).collect()} == {1: 1, 2: 1, 3: 3, 4: 4}
+    kept = minhash.deduplicate(docs)
+    assert kept.columns == docs.columns and sorted(x.doc_id for x in kept.collect()) == [1, 3, 4]
