@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -18,18 +18,20 @@ LEAST_TICKERS, LEAST_ROWS = 5, 12
 FACTORS = ("Mkt-RF", "SMB", "HML", "RMW", "CMA", "UMD")
 
 
-def basic(returns: DataFrame, per_year: int = 12, risk_free: float = 0.0) -> DataFrame:
-    """(strategy_id, sharpe, sortino, volatility, win_rate, best, worst, n) of (strategy_id, date, ret)."""
-    rf = (1 + risk_free) ** (1 / per_year) - 1
-    r, x = F.col("ret"), F.col("ret") - rf
-    year = F.sqrt(F.lit(float(per_year)))
-    a = returns.groupBy(KEY).agg(
+def _moments(risk_free_period: float) -> list[Column]:
+    """Aggregates that ``_numbers`` reads; Spark merges their partial states."""
+    r, x = F.col("ret"), F.col("ret") - risk_free_period
+    return [
         F.count("ret").alias("n"), F.avg(x).alias("mean"), F.stddev_samp("ret").alias("std"),
         (F.min("ret") == F.max("ret")).alias("flat"), F.stddev_samp(F.when(x < 0, x)).alias("down"),
         F.count_if(x < 0).alias("n_down"), (F.min(F.when(x < 0, x)) == F.max(F.when(x < 0, x))).alias("flat_down"),
         F.avg(F.when(r > 0, 1.0).otherwise(0.0)).alias("win_rate"), F.max("ret").alias("best"),
         F.min("ret").alias("worst"),
-    )
+    ]
+
+
+def _numbers(per_year: int) -> list[Column]:
+    year = F.sqrt(F.lit(float(per_year)))
     enough = F.col("n") >= 2
     sharpe = F.when(enough & ~F.col("flat"), F.col("mean") / F.nullif(F.col("std"), F.lit(0.0)) * year).otherwise(0.0)
     endless = F.when(F.col("mean") > 0, F.lit(float("inf"))).otherwise(0.0)
@@ -37,26 +39,52 @@ def basic(returns: DataFrame, per_year: int = 12, risk_free: float = 0.0) -> Dat
         F.when(~enough, 0.0).when(F.col("n_down") == 0, endless).when(F.col("n_down") == 1, F.lit(float("nan")))
         .when(F.col("flat_down"), endless).otherwise(F.col("mean") / F.nullif(F.col("down"), F.lit(0.0)) * year)
     )
-    return a.select(
-        KEY, sharpe.alias("sharpe"), sortino.alias("sortino"),
-        F.when(enough, F.col("std") * year).otherwise(0.0).alias("volatility"), "win_rate", "best", "worst", "n"
-    )
+    return [
+        sharpe.alias("sharpe"), sortino.alias("sortino"), F.when(enough, F.col("std") * year).otherwise(0.0).alias("volatility"),
+        F.col("win_rate"), F.col("best"), F.col("worst"), F.col("n"),
+    ]
+
+
+def _per_period(risk_free: float, per_year: int) -> float:
+    return (1 + risk_free) ** (1 / per_year) - 1
+
+
+def basic(returns: DataFrame, per_year: int = 12, risk_free: float = 0.0) -> DataFrame:
+    """(strategy_id, sharpe, sortino, volatility, win_rate, best, worst, n) of (strategy_id, date, ret)."""
+    return returns.groupBy(KEY).agg(*_moments(_per_period(risk_free, per_year))).select(KEY, *_numbers(per_year))
+
+
+def _series() -> Column:
+    """A strategy's known returns in order: one entry per date, so as many as a calendar has at most."""
+    return F.array_sort(F.collect_list(F.when(F.col("ret").isNotNull(), F.struct("date", "ret"))))
+
+
+_FALL = "struct<c:double,k:int,top:double,top_date:date,top_k:int,dd:double,peak:date,trough:date,periods:int>"
+
+
+def _fall(series: Column) -> Column:
+    """The deepest fall of a series from its running maximum, in one pass over its entries; null of an empty one."""
+
+    def step(s: Column, x: Column) -> Column:
+        c, k = s["c"] * (1 + x["ret"]), s["k"] + 1
+        up = s["top"].isNull() | (c >= s["top"])  # the last place at the maximum so far is the peak
+        top, top_date, top_k = (F.when(up, now).otherwise(s[name]) for name, now in (("top", c), ("top_date", x["date"]), ("top_k", k)))
+        dd = c / top - 1
+        lower = s["dd"].isNull() | (dd < s["dd"])
+        low = {"dd": dd, "peak": top_date, "trough": x["date"], "periods": k - top_k}
+        now = [c.alias("c"), k.alias("k"), top.alias("top"), top_date.alias("top_date"), top_k.alias("top_k")]
+        return F.struct(*now, *[F.when(lower, v).otherwise(s[name]).alias(name) for name, v in low.items()]).cast(_FALL)
+
+    names = [f.split(":")[0] for f in _FALL.removeprefix("struct<").removesuffix(">").split(",")]
+    start = F.struct(*[F.lit({"c": 1.0, "k": 0, "top_k": 0}.get(name)).alias(name) for name in names]).cast(_FALL)
+    return F.aggregate(series, start, step)
 
 
 def max_drawdown(returns: DataFrame) -> DataFrame:
     """(strategy_id, max_drawdown, peak, trough, periods): the running maximum starts at the first value, not at 1;
     ``periods`` counts the rows from peak to trough."""
-    w = W.partitionBy(KEY).orderBy("date").rowsBetween(W.unboundedPreceding, 0)
-    known = returns.where("ret is not null")
-    c = known.withColumn("c", F.product(1 + F.col("ret")).over(w)).withColumn("k", F.row_number().over(W.partitionBy(KEY).orderBy("date")))
-    d = c.withColumn("top", F.max("c").over(w)).withColumn("dd", F.col("c") / F.col("top") - 1)
-    # The last place at its maximum so far goes along with each row, so the lowest row knows its own peak.
-    d = d.withColumn("peak", F.last(F.when(F.col("c") == F.col("top"), F.struct("date", "k")), ignorenulls=True).over(w))
-    low = d.groupBy(KEY).agg(F.min_by(F.struct("dd", "date", "k", "peak"), F.struct("dd", "date")).alias("low"))
-    return low.select(
-        KEY, F.col("low.dd").alias("max_drawdown"), F.col("low.peak.date").alias("peak"),
-        F.col("low.date").alias("trough"), (F.col("low.k") - F.col("low.peak.k")).alias("periods")
-    )
+    falls = returns.where("ret is not null").groupBy(KEY).agg(_series().alias("series")).select(KEY, _fall(F.col("series")).alias("fall"))
+    return falls.select(KEY, F.col("fall.dd").alias("max_drawdown"), "fall.peak", "fall.trough", "fall.periods")
 
 
 def information_coefficients(signals: DataFrame, returns: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
@@ -153,9 +181,12 @@ def compute_all(
     """All metrics of a series in one row per strategy.
 
     ``ics`` is one row of ``ic_summary`` (or one per strategy), ``factors`` (date, factors); what is not given, or cannot be computed, is null."""
-    total = returns.groupBy(KEY).agg(compound(F.col("ret")).alias("total_return"))
-    out = basic(returns, per_year, risk_free).join(max_drawdown(returns), KEY, "left").join(total, KEY).withColumn(
-        "max_drawdown", F.coalesce("max_drawdown", F.lit(0.0))
+    # One pass: moments, product and series of a strategy come out of the same aggregation.
+    summed = returns.groupBy(KEY).agg(
+        *_moments(_per_period(risk_free, per_year)), compound(F.col("ret")).alias("total_return"), _series().alias("series")
+    )
+    out = summed.withColumn("fall", _fall(F.col("series"))).select(
+        KEY, *_numbers(per_year), F.coalesce("fall.dd", F.lit(0.0)).alias("max_drawdown"), "fall.peak", "fall.trough", "fall.periods", "total_return"
     )
     if ics is None:
         ics = returns.sparkSession.createDataFrame([], "mean_ic double, t_stat double, icir double")

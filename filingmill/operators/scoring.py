@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from filingmill.functions import terms
 from filingmill.functions.text import strip, tokenize_upper
 from filingmill.schemas import CATEGORIES
-from filingmill.sources.store import small_batches
+from filingmill.sources.store import small_batches, stored
 
 SECTION_KEY = ("filing_id", "section_name")
 #: A lexicon of this many bytes or less becomes constants of the plan; a longer one is joined by shuffle.
@@ -160,12 +160,15 @@ def parse_llm_responses(rows: DataFrame, raw: str = "raw") -> DataFrame:
 
 
 Analyzer = Callable[[DataFrame], DataFrame]
+#: What is kept of an analyzer's error.
+ERROR_CHARS = 1000
 
 
 class Analyzers:
     """Named analyzers: functions from section rows (with prior_text) to (filing_id, section_name, kind, score) and,
-    if they have it, error. Their results are united. What fails does not stop the others: a row without a score is
-    put aside with its error, and an analyzer that raises gives one failure row without a section."""
+    if they have it, error. Each runs as a job of its own into a stored table, so results and failures read what was made
+    once, and what fails does not stop the others: a row without a score is put aside with its error, and an analyzer that
+    raises, while its plan is made or while it runs, gives one failure row without a section."""
 
     def __init__(self) -> None:
         self._known: dict[str, Analyzer] = {}
@@ -196,8 +199,9 @@ class Analyzers:
                     *SECTION_KEY, F.lit(name).alias("analyzer_name"), "kind",
                     F.col("score").cast("double").alias("score"), error.alias("error")
                 )
+                rows = stored(rows, "analyzer")
             except Exception as e:  # any user code; the others go on and the failure is reported
-                raised.append((None, None, name, None, None, f"{type(e).__name__}: {e}"))
+                raised.append((None, None, name, None, None, f"{type(e).__name__}: {e}".split("\n")[0][:ERROR_CHARS]))
                 continue
             found = found.unionByName(rows)
         failed = found.where("score is null").unionByName(sections.sparkSession.createDataFrame(raised, empty))

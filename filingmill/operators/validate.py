@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from typing import NamedTuple
+
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from filingmill.functions.text import dashed_accession, pad_cik, word_count
@@ -14,6 +16,29 @@ def split(checked: DataFrame) -> tuple[DataFrame, DataFrame]:
     return checked.where("valid").drop("valid"), checked.where(~F.col("valid"))
 
 
+class Quarantine(NamedTuple):
+    """Rows by validity, read back from where one pass wrote them, and how many there are of each."""
+
+    valid: DataFrame
+    bad: DataFrame
+    n_valid: int
+    n_bad: int
+
+
+def quarantine(checked: DataFrame, path: str) -> Quarantine:
+    """Writes checked rows once, by ``valid``, and counts them on the way: the input is read a single time, whatever is done
+    with the two parts afterwards. Rows whose validity is null are bad."""
+    seen = Observation()
+    good = F.coalesce(F.col("valid"), F.lit(False))
+    counts = (F.coalesce(F.sum(F.when(c, 1).otherwise(0)), F.lit(0)).alias(name) for name, c in (("n_valid", good), ("n_bad", ~good)))
+    rows = checked.withColumn("valid", good)
+    rows.observe(seen, *counts).withColumn("kept", F.when(F.col("valid"), "valid").otherwise("bad")).write.partitionBy("kept").parquet(path)
+    back = checked.sparkSession.read.schema(rows.withColumn("kept", F.lit("")).schema).parquet(path)
+    parts = (back.where(F.col("kept") == name).drop("kept") for name in ("valid", "bad"))
+    valid, bad = parts
+    return Quarantine(valid.drop("valid"), bad, seen.get["n_valid"], seen.get["n_bad"])
+
+
 def _all(*conditions: Column) -> Column:
     out = F.lit(True)
     for c in conditions:

@@ -157,6 +157,24 @@ def _(spark, d):
     return rounded(validate.validate_bars(bars).select("ticker", "date", "adjusted_close", "valid"), 8)
 
 
+@query(
+    "quarantine",
+    with_(S.PRICES)
+    + "SELECT ticker, date, dayofmonth(date) <> 13 AS valid, (SELECT count(*) FROM prices WHERE dayofmonth(date) <> 13) AS n_valid, "
+      "(SELECT count(*) FROM prices WHERE dayofmonth(date) = 13) AS n_bad FROM prices"
+)
+def _(spark, d):
+    """Bars checked and written in one pass; both parts read back, with the counts of that pass."""
+    p = F.col("price")
+    low = F.when(F.dayofmonth("date") == 13, p + 1).otherwise(p).alias("low")
+    bars = S.prices(spark, d).select("ticker", "date", p.alias("high"), low, p.alias("close"), F.lit(None).cast("double").alias("adj_close"), F.lit(1).alias("volume"))
+    path = new_path(spark, "quarantine")
+    made = validate.quarantine(validate.validate_bars(bars), path)
+    delete_at_end(spark, path)
+    parts = made.valid.select("ticker", "date", F.lit(True).alias("valid")).unionByName(made.bad.select("ticker", "date", "valid"))
+    return parts.select("*", F.lit(made.n_valid).cast("long").alias("n_valid"), F.lit(made.n_bad).cast("long").alias("n_bad"))
+
+
 @query(
     "word_count_drift",
     with_(S.FILINGS, S.SECTIONS)

@@ -20,8 +20,33 @@ def replace_sections(old: DataFrame, saved: DataFrame, new: DataFrame) -> DataFr
     return old.join(saved.select("filing_id").distinct(), "filing_id", "left_anti").unionByName(new)
 
 
-def new_only(rows: DataFrame, done: DataFrame, key: list[str]) -> DataFrame:
-    return rows.join(done.select(*key), key, "left_anti")
+#: Bits of a key's place in the filter, and the filter's bytes at most; beyond them all rows meet the stored keys.
+BITS_PER_KEY, FILTER_BYTES = 16, 64 << 20
+#: Bits of one bitmap of the filter: what ``bitmap_construct_agg`` makes.
+BITMAP = 32_768
+
+
+def new_only(rows: DataFrame, done: DataFrame, key: list[str], bits_per_key: int = BITS_PER_KEY) -> DataFrame:
+    """Rows whose key is not among the done ones; a key with a null is new.
+
+    A bitmap of hashed done keys, sized by their count and broadcast, tells most new rows at once: these skip the exchange.
+    Only rows whose bit is set meet the done keys in an exact anti join, so the result does not depend on the bitmap."""
+    keys = done.select(*key)
+    bits = -(-max(keys.count() * bits_per_key, 1) // BITMAP) * BITMAP
+    if bits > FILTER_BYTES * 8:
+        return rows.join(keys, key, "left_anti")
+    place = F.pmod(F.xxhash64(*key), F.lit(bits))
+    bitmaps = keys.select(place.alias("p")).groupBy((F.col("p") / BITMAP).cast("int").alias("__bucket")).agg(
+        F.bitmap_construct_agg(F.pmod("p", F.lit(BITMAP))).alias("__bits")
+    )
+    met = rows.withColumn("__p", place).join(F.broadcast(bitmaps), (F.col("__p") / BITMAP).cast("int") == F.col("__bucket"), "left")
+    at = F.pmod("__p", F.lit(BITMAP))
+    byte = F.conv(F.hex(F.substr("__bits", (F.floor(at / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    known = F.coalesce(F.getbit(byte.cast("long"), (at % 8).cast("int")) == 1, F.lit(False))
+    marked = met.withColumn("__known", known)
+    surely = marked.where(~F.col("__known")).select(rows.columns)
+    perhaps = marked.where("__known").select(rows.columns)
+    return surely.unionByName(perhaps.join(keys, key, "left_anti"))
 
 
 #: Component names are as many as analyzers times sections; a file of more columns than this raises an error.
@@ -50,15 +75,15 @@ def write_signals_json(composites: DataFrame, path: str) -> None:
 
 
 def backtest_report(period_returns: DataFrame, metrics: DataFrame, counts: DataFrame) -> DataFrame:
-    """One JSON row (``report``): period rows, all rows of metrics, and composites per date; all are per-period sized."""
-    periods = period_returns.agg(
-        F.array_sort(
-            F.collect_list(F.struct("period_start", *[c for c in period_returns.columns if c != "period_start"]))
-        ).alias("periods")
-    )
-    dates = counts.agg(F.array_sort(F.collect_list(F.struct("signal_date", "n"))).alias("signals"))
-    measured = metrics.agg(F.array_sort(F.collect_list(F.struct(*metrics.columns))).alias("metrics"))
-    return periods.join(measured).join(dates).select(F.to_json(F.struct("periods", "metrics", "signals")).alias("report"))
+    """JSON rows (``report``): period rows, metrics, and composites per date. Of a sweep, where periods and metrics have
+    ``strategy_id``, one row per strategy with what is its own; so no row holds more than a calendar's dates."""
+    key = [c for c in ("strategy_id",) if c in period_returns.columns and c in metrics.columns]
+    order = ["period_start", *[c for c in period_returns.columns if c not in ("period_start", *key)]]
+    periods = period_returns.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct(*order))).alias("periods"))
+    measured = metrics.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct(*metrics.columns))).alias("metrics"))
+    dates = counts.agg(F.array_sort(F.collect_list(F.struct("signal_date", "n"))).alias("signals"))  # one row
+    met = periods.join(measured, key) if key else periods.join(measured)
+    return met.join(F.broadcast(dates)).select(*key, F.to_json(F.struct("periods", "metrics", "signals")).alias("report"))
 
 
 def write_backtest_json(report: DataFrame, path: str) -> None:

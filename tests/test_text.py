@@ -190,3 +190,13 @@ def test_cosines_of_a_batch_are_those_of_each_pair(most):
     lists = terms.term_lists(pa.array([p[0] for p in pairs], pa.string()), stop).to_pylist()
     assert [Counter(t) for t in lists] == [counts_of(x or "", stop) for x, _ in pairs]
     assert len(terms.cosines(pa.array([], pa.string()), pa.array([], pa.string()), stop)) == 0
+
+
+def test_an_analyzer_that_fails_while_running_leaves_the_others(spark):
+    known = scoring.Analyzers()
+    known.add("cast", scoring.scorer(F.col("raw_text").cast("int")))
+    known.add("length", scoring.scorer(F.length("raw_text")))
+    good, failed = known.run(sections(spark, "12", "no number"))
+    assert sorted((r.analyzer_name, r.score) for r in good.collect()) == [("length", 2.0), ("length", 9.0)]
+    only = failed.collect()
+    assert [(r.analyzer_name, r.filing_id) for r in only] == [("cast", None)] and "CAST_INVALID_INPUT" in only[0].error
