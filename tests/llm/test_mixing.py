@@ -2,10 +2,12 @@ import hashlib
 from fractions import Fraction
 from math import floor
 
+import pytest
 from pyspark.sql import functions as F
 
 from filingmill.llm import mixing
 
+pytestmark = pytest.mark.usefixtures("many_ranges")
 SCHEMA = "doc_id long, text string, source string"
 
 

@@ -3,9 +3,11 @@ import random
 import zlib
 
 import numpy as np
+import pytest
 
 from filingmill.llm import repair
 
+pytestmark = pytest.mark.usefixtures("many_ranges")
 SCHEMA = "conv_id long, turn long, role string, text string"
 NEXT = {(0, "s"): 1, (0, "u"): 2, (1, "u"): 2, (2, "a"): 3, (3, "u"): 2}
 NAMES = {"u": "user", "a": "assistant"}
@@ -102,6 +104,8 @@ def test_one_conversation_over_many_ranges(spark):
     df = spark.createDataFrame(rows, SCHEMA).repartition(7)
     log = repair.repair(df).cache()
     assert log.where("conv_id = 7 and turn is not null").count() < 1600
+    places = log.where("conv_id = 7").selectExpr("shiftright(at, 33) AS part").distinct().count()
+    assert places > 1
     check(rows, repair.digest(log, df).collect())
     kept = repair.repaired(log).where("conv_id = 7").orderBy("at", "k").collect()
     assert len(kept) % 2 == 0 and all(x.role == ("user", "assistant")[i % 2] for i, x in enumerate(kept))
