@@ -1,63 +1,67 @@
-"""Filing documents to text and sections, Arrow helpers.
+"""Filing documents to text and sections, as column expressions.
 
-Python's ``re`` is kept here because its Unicode case and white-space rules decide where sections begin.
+A page is cut at its tags, its character references are looked up between the pieces, and headings are found by splitting a
+text at marked matches: lengths of the pieces are summed up to places. Everything runs inside Spark's generated code or its
+array functions, without Python.
 """
 
 from __future__ import annotations
 
-import html
-import re
-from html.parser import HTMLParser
+import json
+from html.entities import html5
 
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from filingmill.sources.store import small_batches
+from .text import BEYOND, BLANKS, strip, tidy
 
 MIN_WORDS = 50
 #: A boundary this near to the start of a section, in characters, is part of its heading.
 NEAR = 100
+#: Characters in which a page is told by its tags.
+HEAD = 5000
 
-# Tags that tell a page; the items of the public forms that end a section, by number and the first
-# words of their titles; and the headings of each section in order of trust, by item number ("" for none) and
-# title. A title of None stands for a heading line that goes on without letters.
+# Tags that tell a page; headings of each section in order of trust; boundaries that end a section (both
+# titles of item 6 are one); sections of each form.
 PAGE_TAGS = ("html", "body", "div", "p", "table", "span", "br", "head")
-ITEMS = (
-    ("1", "Business"),
-    ("1A", "Risk Factors"),
-    ("1B", "Unresolved Staff"),
-    ("2", "Management's Discussion"),
-    ("2", "Properties"),
-    ("3", "Legal Proceedings"),
-    ("4", "Mine Safety"),
-    ("5", "Market for"),
-    ("6", "Selected"),
-    ("6", "Reserved"),
-    ("7", "Management's Discussion"),
-    ("7A", "Quantitative and Qualitative"),
-    ("8", "Financial Statements"),
-    ("9", "Changes in"),
-    ("10", "Directors"),
-    ("11", "Executive Compensation"),
-    ("12", "Security Ownership"),
-    ("13", "Certain Relationships"),
-    ("14", "Principal Account"),
-    ("15", "Exhibits"),
-)
-PARTS = ("I", "II", "III", "IV")
 HEADINGS = {
     "mda": (
-        ("7", "Management's Discussion and Analysis"), ("2", "Management's Discussion and Analysis"),
-        ("", "Management's Discussion and Analysis"), ("7", None), ("", "MD&A")
+        r"Item\s+7[.\s]*[-—]?\s*Management['’]?s?\s+Discussion\s+and\s+Analysis",
+        r"Item\s+2[.\s]*[-—]?\s*Management['’]?s?\s+Discussion\s+and\s+Analysis",
+        r"Management['’]?s?\s+Discussion\s+and\s+Analysis",
+        r"Item\s+7[^A-Z]*$",
+        r"MD\s*&\s*A",
     ),
-    "risk_factors": (("", "Risk Factors"), ("1A", None)),
-    "business": (("", "Business"), ("1", None)),
+    "risk_factors": (r"Risk\s+Factors", r"Item\s+1A[^A-Z]*$"),
+    "business": (r"Business\b", r"Item\s+1[^A-Z0-9]*$"),
     "financial": (
-        ("8", "Financial Statements and Supplementary Data"), ("", "Notes to Financial Statements"),
-        ("", "Notes to Consolidated Financial Statements")
+        r"Item\s+8[.\s]*[-—]?\s*Financial\s+Statements\s+and\s+Supplementary\s+Data",
+        r"Notes?\s+to\s+(?:Consolidated\s+)?Financial\s+Statements",
     ),
 }
+BOUNDARIES = (
+    r"Item\s+1[.\s]*[-—]?\s*Business\b",
+    r"Item\s+1A[.\s]*[-—]?\s*Risk\s+Factors",
+    r"Item\s+1B[.\s]*[-—]?\s*Unresolved\s+Staff",
+    r"Item\s+2[.\s]*[-—]?\s*Management['’]?s?\s+Discussion",
+    r"Item\s+2[.\s]*[-—]?\s*Properties",
+    r"Item\s+3[.\s]*[-—]?\s*Legal\s+Proceedings",
+    r"Item\s+4[.\s]*[-—]?\s*Mine\s+Safety",
+    r"Item\s+5[.\s]*[-—]?\s*Market\s+for",
+    r"Item\s+6[.\s]*[-—]?\s*(?:Selected|Reserved)",
+    r"Item\s+7[.\s]*[-—]?\s*Management['’]?s?\s+Discussion",
+    r"Item\s+7A[.\s]*[-—]?\s*Quantitative\s+and\s+Qualitative",
+    r"Item\s+8[.\s]*[-—]?\s*Financial\s+Statements",
+    r"Item\s+9[.\s]*[-—]?\s*Changes\s+in",
+    r"Item\s+10[.\s]*[-—]?\s*Directors",
+    r"Item\s+11[.\s]*[-—]?\s*Executive\s+Compensation",
+    r"Item\s+12[.\s]*[-—]?\s*Security\s+Ownership",
+    r"Item\s+13[.\s]*[-—]?\s*Certain\s+Relationships",
+    r"Item\s+14[.\s]*[-—]?\s*Principal\s+Account",
+    r"Item\s+15[.\s]*[-—]?\s*Exhibits",
+    r"Part\s+(?:I|II|III|IV)\b",
+    r"SIGNATURES?\s*$",
+)
 FORM_SECTIONS = {
     "10-K": ("mda", "risk_factors", "business", "financial"),
     "10-Q": ("mda", "risk_factors", "financial"),
@@ -65,150 +69,139 @@ FORM_SECTIONS = {
     "10-Q/A": ("mda", "risk_factors", "financial"),
 }
 
-
-def _word(word: str) -> str:
-    """One word of a title: an apostrophe and its s may be missing, Notes may be a Note, Business is a whole word."""
-    if word == "MD&A":
-        return r"MD\s*&\s*A"
-    if word.endswith("'s"):
-        return re.escape(word[:-2]) + "['\u2019]?s?"
-    return {"Notes": "Notes?", "Business": r"Business\b"}.get(word, re.escape(word))
-
-
-def _after(number: str, title: str) -> str:
-    """What follows "Item": its number, any dots, blanks and one dash, then the title's words."""
-    return rf"{number}[.\s]*[-\u2014]?\s*{_title(title)}"
-
-
-def _title(title: str) -> str:
-    return r"\s+".join(map(_word, title.split()))
+def _matcher(*patterns: str) -> str:
+    """Any of the patterns, in any case, ^ and $ at line breaks only; a common first word is looked for once. White space beyond
+    ASCII is named, since Java's Unicode mode costs several times as much for all the rest."""
+    item = r"Item\s+"
+    after = [p.removeprefix(item) for p in patterns if p.startswith(item)]
+    rest = [p for p in patterns if not p.startswith(item)]
+    joined = "|".join([*([f"{item}(?:{'|'.join(after)})"] if after else []), *rest])
+    spaced = joined.replace(r"[.\s]", rf"[.\s{BEYOND}]").replace(r"\s", rf"[\s{BEYOND}]").replace(rf"[.[\s{BEYOND}]{BEYOND}]", rf"[.\s{BEYOND}]")
+    return "(?imd)" + spaced.replace(r"\b", r"(?![\p{L}\p{N}_])")
+
+
+_BOUNDARY = _matcher(*BOUNDARIES)
+_TAG = r"""<(?:!--[\s\S]*?(?:-->|\z)|/?[A-Za-z][^'">]*+(?:(?:"[^"]*+"|'[^']*+')[^'">]*+)*+>|[!?][^>]*+>)"""
+_UNSHOWN = r"(?is)<(script|style)\b[^>]*+>.*?(?:</\1\s*+>|\z)"
+_TABLE = r"(?i)<(/?)table\b[^>]*+>"
+_REFERENCE = r"&(?:#[0-9]++;?|#[xX][0-9a-fA-F]++;?|[^\t\n\f <&#;]{1,32};?)"
+_EDITION = {n: bytes([n]).decode("cp1252", "ignore") or chr(n) for n in range(0x80, 0xA0)}  # what such numbers are taken for
+
+
+def _shown(page: Column, strip_tables: bool) -> Column:
+    """Text nodes of a page, one to a line: all but tags, comments, scripts, styles and, if asked, tables."""
+    page = F.regexp_replace(page, _UNSHOWN, "<x>")
+    if strip_tables:
+        pieces, ends = F.split(page, _TABLE), F.regexp_extract_all(page, F.lit(_TABLE), F.lit(1))
+        # A piece follows its tag; what stands inside tables, nested ones too, is left out.
+        steps = F.zip_with(F.concat(F.array(F.lit("")), F.transform(ends, lambda e: F.when(e == "/", "-").otherwise("+"))), pieces, lambda sign, text: F.struct(sign.alias("sign"), text.alias("text")))
+        start = F.struct(F.lit(0).alias("depth"), F.array().cast("array<string>").alias("kept"))
+
+        def step(s: Column, x: Column) -> Column:
+            depth = F.when(x["sign"] == "+", s["depth"] + 1).when(x["sign"] == "-", F.greatest(s["depth"] - 1, F.lit(0))).otherwise(s["depth"])
+            return F.struct(depth.alias("depth"), F.when(depth == 0, F.array_append(s["kept"], x["text"])).otherwise(s["kept"]).alias("kept"))
+
+        whole = F.array_join(F.aggregate(steps, start, step)["kept"], "<x>")
+        page = F.when(page.rlike(_TABLE), whole).otherwise(page)
+    return F.array_join(F.filter(F.split(page, _TAG), lambda node: node != ""), "\n")
+
+
+def _character(n: Column) -> Column:
+    """The character of a numeric reference, as browsers take it."""
+    special = F.create_map(*[F.lit(x) for pair in {0: "�", 13: "\r", **_EDITION}.items() for x in pair])
+    control = n.between(1, 8) | n.between(14, 31) | n.isin(11, 127) | n.between(0xFDD0, 0xFDEF) | (n % 65536).isin(0xFFFE, 0xFFFF)
+    plain = F.decode(F.unhex(F.lpad(F.hex(n), 8, "0")), "UTF-32")
+    return (
+        F.when(n.isNull() | n.between(0xD800, 0xDFFF) | (n > 0x10FFFF), "�").when(n.isin(0, 13) | n.between(0x80, 0x9F), special[n.cast("int")])
+        .when(control, "").otherwise(plain)
+    )
+
+
+def unescape(text: Column) -> Column:
+    """Text with its character references resolved; unknown ones stay."""
+    names = F.from_json(F.lit(json.dumps(html5)), "map<string,string>")
+
+    def resolved(ref: Column) -> Column:
+        name = F.substr(ref, F.lit(2))
+        digits = F.regexp_replace(name, "^#[xX]?|;$", "")
+        hexadecimal = F.lower(F.substr(name, F.lit(2), F.lit(1))) == "x"
+        number = F.when(hexadecimal, F.when(F.length(F.ltrim(digits, F.lit("0"))) <= 8, F.conv(digits, 16, 10))).otherwise(digits).try_cast("bigint")
+        # A name without a semicolon may go on with other text: the longest beginning that is a name counts.
+        shorter = F.filter(
+            F.transform(F.reverse(F.sequence(F.lit(1), F.greatest(F.length(name) - 1, F.lit(1)))), lambda n: F.struct(F.element_at(names, F.substr(name, F.lit(1), n)).alias("found"), F.substr(name, n + 1).alias("rest"))),
+            lambda s: s["found"].isNotNull()
+        )
+        begun = F.get(shorter, 0)
+        common = {"amp;": "&", "lt;": "<", "gt;": ">", "quot;": '"', "nbsp;": " "}
+        known = F.lit(None).cast("string")
+        for k, v in common.items():
+            known = F.when(name == k, v).otherwise(known)
+        return F.when(F.startswith(name, F.lit("#")), _character(number)).otherwise(
+            F.coalesce(known, F.element_at(names, name), F.concat(begun["found"], begun["rest"]), ref)
+        )
+
+    pieces, refs = F.split(text, _REFERENCE), F.regexp_extract_all(text, F.lit(_REFERENCE), F.lit(0))
+    joined = F.array_join(F.zip_with(pieces, F.transform(refs, resolved), lambda p, r: F.concat(p, F.coalesce(r, F.lit("")))), "")
+    return F.when(F.contains(text, F.lit("&")), joined).otherwise(text)
 
 
-def _heading(number: str, title: str | None) -> str:
-    """The expression of a heading."""
-    if title is None:
-        return rf"Item\s+{number}" + ("[^A-Z0-9]*$" if number == "1" else "[^A-Z]*$")
-    return rf"Item\s+{_after(number, title)}" if number else _title(title)
+def clean(raw: Column, strip_tables: bool = True) -> Column:
+    """Plain text of a filing document; null and blank input give ''."""
+    tags = F.regexp_count(F.substr(raw, F.lit(1), F.lit(HEAD)), F.lit(rf"(?i)<(?:{'|'.join(PAGE_TAGS)})\b"))
+    text = F.array(F.when(tags >= 2, unescape(_shown(raw, strip_tables))).otherwise(raw))
+    text = F.transform(F.transform(text, unescape), lambda t: tidy(t, BEYOND))[0]  # a lambda's variable is computed once
+    return F.when(strip(F.coalesce(raw, F.lit(""))) == "", "").otherwise(text)
 
 
-def _of_equal_rank(headings: tuple[tuple[str, str | None], ...]) -> list[str]:
-    """Headings with the same first word of title and number are one expression: the earlier place counts."""
-    by: dict[tuple, list[str]] = {}
-    for number, title in headings:
-        by.setdefault((number, "Notes" if title and title.startswith("Notes") else title), []).append(_heading(number, title))
-    return ["|".join(e) for e in by.values()]
+_END = "struct<at:bigint,seen:array<string>,end:bigint>"
 
 
-_FLAGS = re.IGNORECASE | re.MULTILINE
-STARTS = {name: [re.compile(e, _FLAGS) for e in _of_equal_rank(h)] for name, h in HEADINGS.items()}
-#: All boundaries in one expression; the group that took part tells which it is. Item 6 is one boundary under both titles.
-_NAMES = [n if n == "6" else f"{n} {t}" for n, t in ITEMS]
-BOUNDARY = re.compile(
-    "|".join(
-        [
-            rf"Item\s+(?:{'|'.join(f'({_after(n, t)})' for n, t in ITEMS)})", rf"(Part\s+(?:{'|'.join(PARTS)})\b)",
-            r"(SIGNATURES?\s*$)"
-        ]
-    ),
-    _FLAGS
-)
-_HTML = re.compile(rf"<(?:{'|'.join(PAGE_TAGS)})\b", re.IGNORECASE)
-_BLANKS, _BREAKS = re.compile(r"[ \t]+"), re.compile(r"\n{3,}")
-_PAGE_LINES = (
-    re.compile(r"^\s*Table\s+of\s+Contents\s*$", _FLAGS), re.compile(r"^\s*-\s*\d+\s*-\s*$", re.MULTILINE),
-    re.compile(r"^\s*Page\s+\d+\s+of\s+\d+\s*$", _FLAGS)
-)
+def _end(content: Column) -> Column:
+    """Where a section ends: of each boundary only the first place after the heading counts, and not one inside the heading."""
+    marks, pieces = F.regexp_extract_all(content, F.lit(_BOUNDARY), F.lit(0)), F.split(content, _BOUNDARY)
+    start = F.struct(F.lit(0).cast("bigint").alias("at"), F.array().cast("array<string>").alias("seen"), F.lit(None).cast("bigint").alias("end")).cast(_END)
 
+    def named(mark: Column) -> Column:
+        """The boundary that was matched: its number and the first word of its title."""
+        words = F.trim(F.regexp_replace(F.lower(mark), "[^a-z0-9]+", " "))
+        item = F.regexp_extract(words, "^item ([0-9]+[ab]? [a-z]+)", 1)
+        return F.when(item == "6 reserved", "6 selected").when(item != "", item).otherwise(F.substr(words, F.lit(1), F.lit(4)))
 
-def boundaries(text: str) -> list[tuple[int, str]]:
-    """(place, boundary) in order, from one scan."""
-    names = [*_NAMES, "part", "signatures"]
-    return [(m.start(), names[m.lastindex - 1]) for m in BOUNDARY.finditer(text)]
-
-
-class _Texts(HTMLParser):
-    """Text nodes outside scripts, styles and, if asked, tables. Tags of any name, ``ix:`` ones too, just end a node."""
-
-    def __init__(self, strip_tables: bool):
-        super().__init__(convert_charrefs=True)
-        self.skip = {"script", "style"} | ({"table"} if strip_tables else set())
-        self.inside: list[str] = []
-        self.nodes: list[str] = []
-
-    def handle_starttag(self, tag, attrs):
-        if tag in self.skip:
-            self.inside.append(tag)
-
-    def handle_endtag(self, tag):
-        if tag in self.inside:
-            del self.inside[len(self.inside) - 1 - self.inside[::-1].index(tag) :]
-
-    def handle_data(self, data):
-        if not self.inside:
-            self.nodes.append(data)
-
-
-def clean_text(raw: str | None, strip_tables: bool = True) -> str:
-    """Plain text of a filing document; blank input gives ''."""
-    if not raw or not raw.strip():
-        return ""
-    text = raw
-    if len(_HTML.findall(raw[:5000])) >= 2:
-        parser = _Texts(strip_tables)
-        parser.feed(raw)
-        parser.close()
-        text = "\n".join(parser.nodes)
-    text = _BREAKS.sub("\n\n", _BLANKS.sub(" ", html.unescape(text)))
-    text = "\n".join(map(str.strip, text.split("\n")))
-    for line in _PAGE_LINES:
-        text = line.sub("", text)
-    return text.replace("\f", "\n").strip()
-
-
-def sections_of(text: str, form_type: str, least: int = MIN_WORDS) -> list[tuple[str, str, int]]:
-    """(section, text, words) for each section the form has and the text shows."""
-    out = []
-    places = boundaries(text) if form_type in FORM_SECTIONS else []
-    for name in FORM_SECTIONS.get(form_type, ()):
-        begin = next((m.end() for p in STARTS[name] if (m := p.search(text))), None)
-        if begin is None:
-            continue
-        # Of each boundary only the first place after the heading counts, and not one inside the heading.
-        first: dict[str, int] = {}
-        for at, boundary in places:
-            if at >= begin:
-                first.setdefault(boundary, at)
-        end = min((x for x in first.values() if x - begin > NEAR), default=len(text))
-        body = text[begin:end].strip()
-        if len(body.split()) >= least:
-            body = _BREAKS.sub("\n\n", body)
-            out.append((name, body, len(body.split())))
-    return out
+    def step(s: Column, x: Column) -> Column:
+        place, name = s["at"] + F.length(x["text"]), named(x["mark"])
+        new = ~F.array_contains(s["seen"], name)
+        return F.struct(
+            (place + F.length(x["mark"])).alias("at"), F.when(new, F.array_append(s["seen"], name)).otherwise(s["seen"]).alias("seen"),
+            F.coalesce(s["end"], F.when(new & (place > NEAR), place)).alias("end"),
+        ).cast(_END)
 
+    steps = F.filter(F.zip_with(pieces, marks, lambda text, mark: F.struct(text.alias("text"), mark.alias("mark"))), lambda x: x["mark"].isNotNull())
+    return F.coalesce(F.aggregate(steps, start, step)["end"], F.length(content).cast("bigint"))
 
-def clean(raw: Column, strip_tables: bool = True) -> Column:
-    def run(rows: pa.Array) -> pa.Array:
-        return pa.array([clean_text(x, strip_tables) for x in rows.to_pylist()], pa.string())
 
-    return F.arrow_udf(run, "string")(raw)
+def sections_of(text: Column, form_type: Column, least: int = MIN_WORDS) -> Column:
+    """Array of (section_name, raw_text, word_count) for each section the form has and the text shows."""
+    found = []
+    for name, headings in HEADINGS.items():
+        wanted = form_type.isin(*[f for f, names in FORM_SECTIONS.items() if name in names])
+        # The first heading, in order of trust, that stands anywhere, at its first place.
+        content = F.coalesce(*[F.get(F.split(text, _matcher(h), 2), 1) for h in headings])
+        found.append(F.struct(F.lit(name).alias("section_name"), F.when(wanted, content).alias("content")))
+    # Lambda variables let a long expression be used more than once and computed once.
+    begun = F.filter(F.array(*found), lambda s: s["content"].isNotNull())
+    count = lambda body: F.when(body == "", 0).otherwise(F.size(F.split(body, rf"[\s{BEYOND}]+")))
+    ended = F.transform(begun, lambda s: F.struct(s["section_name"].alias("section_name"), strip_wide(F.substr(s["content"], F.lit(1), _end(s["content"]).cast("int"))).alias("body")))
+    counted = F.transform(ended, lambda s: F.struct(
+        s["section_name"].alias("section_name"), F.regexp_replace(s["body"], "\n{3,}", "\n\n").alias("raw_text"), count(s["body"]).alias("word_count")
+    ))
+    return F.filter(counted, lambda s: s["word_count"] >= least)
 
 
-_SECTION = "array<struct<section_name:string,raw_text:string,word_count:int>>"
+def strip_wide(c: Column) -> Column:
+    return F.btrim(c, F.lit(BLANKS + BEYOND))
 
 
 def extract_sections(documents: DataFrame, least: int = MIN_WORDS) -> DataFrame:
     """From (filing_id, form_type, html): filing_id, section_name, raw_text, word_count."""
-
-    def run(raw: pa.Array, forms: pa.Array) -> pa.Array:
-        rows = [
-            [
-                dict(zip(("section_name", "raw_text", "word_count"), s, strict=True))
-                for s in sections_of(clean_text(x), f or "", least)
-            ]
-            for x, f in zip(raw.to_pylist(), forms.to_pylist(), strict=True)
-        ]
-        return pa.array(rows, pa.list_(pa.struct([("section_name", pa.string()), ("raw_text", pa.string()), ("word_count", pa.int32())])))
-
-    small_batches(documents.sparkSession)
-    found = documents.select("filing_id", F.arrow_udf(run, _SECTION).asNondeterministic()("html", "form_type").alias("s"))
-    return found.select("filing_id", F.inline("s"))
+    cleaned = documents.select("filing_id", F.coalesce("form_type", F.lit("")).alias("form_type"), clean(F.col("html")).alias("text"))
+    return cleaned.select("filing_id", F.inline(sections_of(F.col("text"), F.col("form_type"), least)))

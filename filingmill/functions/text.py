@@ -42,15 +42,22 @@ def word_count(c: Column) -> Column:
     return F.size(F.regexp_extract_all(c, F.lit(r"\S+"), F.lit(0)))
 
 
-def tidy(c: Column) -> Column:
-    """Spaces, line breaks, page numbers and contents lines of text that is not HTML."""
-    c = F.regexp_replace(c, "[ \t]+", " ")
-    c = F.regexp_replace(c, "\n{3,}", "\n\n")
-    c = F.regexp_replace(c, "(?md)^[^\\S\n]+|[^\\S\n]+$", "")
-    c = F.regexp_replace(c, r"(?imd)^\s*table\s+of\s+contents\s*$", "")
-    c = F.regexp_replace(c, r"(?md)^\s*-\s*\d+\s*-\s*$", "")
-    c = F.regexp_replace(c, r"(?imd)^\s*page\s+\d+\s+of\s+\d+\s*$", "")
-    return strip(F.translate(c, "\f", "\n"))
+#: White space: of ASCII, and beyond it (as Unicode has it, and the separators of ASCII).
+BLANKS = " \t\n\x0b\f\r"
+BEYOND = "\x1c\x1d\x1e\x1f\x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
+
+
+def tidy(c: Column, beyond: str = "") -> Column:
+    """Spaces, line breaks, page numbers and contents lines of plain text. ``beyond``: characters that are white space too."""
+    s, around = f"[\\s{beyond}]", F.lit(BLANKS + beyond)
+    c = F.regexp_replace(F.regexp_replace(F.translate(c, "\t", " "), " {2,}", " "), "\n{3,}", "\n\n")
+    c = F.array_join(F.transform(F.split(c, "\n"), lambda line: F.btrim(line, around)), "\n")
+    # A line is looked for only in texts that hold its words, which is quicker to see.
+    without = lambda c, sign, line: F.when(c.rlike(sign), F.regexp_replace(c, line, "")).otherwise(c)
+    lines = F.transform(F.array(c), lambda c: without(c, "(?i)contents", rf"(?imd)^{s}*table{s}+of{s}+contents{s}*$"))
+    lines = F.transform(lines, lambda c: without(c, rf"-{s}*\d+{s}*-", rf"(?md)^{s}*-{s}*\d+{s}*-{s}*$"))
+    lines = F.transform(lines, lambda c: without(c, rf"(?i)\d{s}+of{s}", rf"(?imd)^{s}*page{s}+\d+{s}+of{s}+\d+{s}*$"))
+    return F.transform(lines, lambda c: F.btrim(F.translate(c, "\f", "\n"), around))[0]
 
 
 def pad_cik(c: Column) -> Column:

@@ -10,7 +10,7 @@ from filingmill.operators.returns import daily_returns
 from filingmill.sources import adapters, folders
 from filingmill.sources import filings as src
 from filingmill.sources import prices as px
-from filingmill.sources.store import delete_at_end, new_path, small_batches
+from filingmill.sources.store import delete_at_end, new_path
 
 from . import standin as S
 from .registry import query
@@ -254,12 +254,6 @@ def _(spark, d):
     return src.lexicon_from_wide(rows)
 
 
-@query("clean_html")
-def _(spark, d):
-    small_batches(spark)
-    return S.spread(S.read(spark, d, "pages").select("page_id", "html")).select("page_id", html.clean(F.col("html")).alias("text"))
-
-
 def _tidy_sql(text: str) -> str:
     """The operator's replacements, one after the other."""
     steps = (
@@ -272,6 +266,25 @@ def _tidy_sql(text: str) -> str:
     return f"regexp_replace(translate({text}, chr(12), chr(10)), '^\\s+|\\s+$', '', 'g')"
 
 
+_NODES = "replace(regexp_replace(regexp_replace(html, '(?is)<(?:script|style)[^>]*>.*?</(?:script|style)>', '<x>', 'g'), '<!--.*?-->', '<x>', 'gs'), chr(11), '')"
+_REFERENCES = (("&middot;", "·"), ("&copy;", "©"), ("&quot;", '"'), ("&lt;", "<"), ("&gt;", ">"), ("&amp;?", "&"))
+
+
+def _clean_sql() -> str:
+    """Tags cut out, the references that pages hold resolved twice, and the text tidied."""
+    text = f"regexp_replace(regexp_replace({_NODES}, '(?:<[!/a-zA-Z][^>]*>)+', chr(11), 'g'), '^\\x0B|\\x0B$', '', 'g')"
+    text = f"replace({text}, chr(11), chr(10))"
+    for _ in range(2):
+        for pattern, by in _REFERENCES:
+            text = f"regexp_replace({text}, '{pattern}', '{by}', 'g')"
+    return _tidy_sql(text)
+
+
+@query("clean_html", f"SELECT page_id, {_clean_sql()} AS text FROM pages")
+def _(spark, d):
+    return S.spread(S.read(spark, d, "pages").select("page_id", "html")).select("page_id", html.clean(F.col("html")).alias("text"))
+
+
 @query("tidy_text", f"SELECT doc_id, md5({_tidy_sql('text')}) AS text_md5 FROM documents")
 def _(spark, d):
     return S.read(spark, d, "documents").select("doc_id", F.md5(tidy(F.col("text"))).alias("text_md5"))

@@ -14,6 +14,8 @@ from filingmill.functions import html, terms
 from filingmill.functions.text import dashed_accession, fold_accents, pad_cik, tidy, tokenize_upper
 from filingmill.operators import scoring
 
+from plain_html import clean_text, sections_of
+
 
 def column(spark, value, expression):
     return spark.createDataFrame([(value,)], "x string").select(expression(F.col("x")).alias("y")).first().y
@@ -38,21 +40,23 @@ def test_tidy(spark):
     assert column(spark, " a  b\n\n\n\nTable of Contents\n- 42 -\nPage 3 of 9\n c ", tidy).split() == ["a", "b", "c"]
 
 
-def test_clean_html():
+def test_clean_html(spark):
+    clean_text = lambda raw, strip_tables=True: column(spark, raw, lambda c: html.clean(c, strip_tables))
     page = "<html><body><script>x()</script><style>p{}</style><p>One &amp; two</p><table><tr><td>9</td></tr></table><div>three</div></body></html>"
-    assert html.clean_text(page).split() == ["One", "&", "two", "three"]
-    assert "9" in html.clean_text(page, strip_tables=False)
-    assert html.clean_text(None) == html.clean_text("  ") == ""
-    assert html.clean_text("<ix:a>no page</ix:a>") == "<ix:a>no page</ix:a>"  # one tag does not make a page
+    assert clean_text(page).split() == ["One", "&", "two", "three"]
+    assert "9" in clean_text(page, strip_tables=False)
+    assert clean_text(None) == clean_text("  ") == ""
+    assert clean_text("<ix:a>no page</ix:a>") == "<ix:a>no page</ix:a>"  # one tag does not make a page
 
 
-def test_sections():
+def test_sections(spark):
+    sections_of = lambda text, form: [tuple(s) for s in column(spark, text, lambda c: html.sections_of(c, F.lit(form)))]
     body = "word " * 60
     text = f"Item 1. Business\n{body}\nItem 1A. Risk Factors\n{body}\nItem 7. Management's Discussion and Analysis\n{body}\nSIGNATURES\n"
-    found = {n: w for n, _, w in html.sections_of(text, "10-K")}
+    found = {n: w for n, _, w in sections_of(text, "10-K")}
     assert found == {"business": 60, "risk_factors": 60, "mda": 60}
-    assert set(n for n, _, _ in html.sections_of(text, "10-Q")) == {"mda", "risk_factors"}
-    assert html.sections_of("Item 7. Management's Discussion and Analysis\nshort", "10-K") == []
+    assert set(n for n, _, _ in sections_of(text, "10-Q")) == {"mda", "risk_factors"}
+    assert sections_of("Item 7. Management's Discussion and Analysis\nshort", "10-K") == []
 
 
 def sections(spark, *texts):
@@ -125,7 +129,7 @@ def test_tidy_query_cleans_all_documents(spark, tmp_path):
     ]
     spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     got = {r.doc_id: r.text_md5 for r in queries()["tidy_text"](spark, str(tmp_path)).collect()}
-    assert got == {i: hashlib.md5(html.clean_text(t).encode()).hexdigest() for i, t in enumerate(texts)}
+    assert got == {i: hashlib.md5(clean_text(t).encode()).hexdigest() for i, t in enumerate(texts)}
 
 
 def test_failing_analyzers_do_not_stop_others(spark):
@@ -200,3 +204,37 @@ def test_an_analyzer_that_fails_while_running_leaves_the_others(spark):
     assert sorted((r.analyzer_name, r.score) for r in good.collect()) == [("length", 2.0), ("length", 9.0)]
     only = failed.collect()
     assert [(r.analyzer_name, r.filing_id) for r in only] == [("cast", None)] and "CAST_INVALID_INPUT" in only[0].error
+
+
+PAGES = [
+    None, "", " \n", "plain &amp; text &lt;b&gt;", "<html><body>a<b>b</b>c</body></html>", "<p>x<br>y<br/>z</p>", "<p>1<table>2<table>3</table>4</table>5</p>",
+    "<p>a</table>b<table>c", "<div><!-- no <p> --><p title='a>b' class=\"x>y\">q</p></div>", "<p>a &lt; b &amp;lt; c &copy; &notit; &notin; &amp &ampx; &unknown; &#65;&#x42; &#0; &#128; &#xD800; &#x110000; &#99999999999; &#x1F600;</p><p>",
+    "<p>\u00a0wide\u2003 </p><p>&nbsp;in&nbsp;</p>\n\n\n\n<p>- 42 -</p><p>Page 1 of 2</p><p>Table  of Contents</p>a\fb", "<SCRIPT>var a='<p>';</SCRIPT><P>b</P><STYLE>x</STYLE><script>open",
+    "<ix:nonnumeric><p>in</p><span>tag</span></ix:nonnumeric>", "<p>1 < 2 & 3 > 2</p><p>&", "<html><head><title>T</title></head><body></body></html>", "&amp;amp;<p>a</p><div>&amp;amp;</div>", "<p><p>" + "long " * 50_000,
+]
+
+
+def test_pages_against_plain_python(spark):
+    pages = PAGES + [r.html for r in spark.read.parquet("/root/testdata/sf0.01/pages.parquet").select("html").collect()]
+    rows = spark.createDataFrame(list(enumerate(pages)), "i int, html string")
+    for strip_tables in (True, False):
+        got = dict(map(tuple, rows.select("i", html.clean(F.col("html"), strip_tables)).collect()))
+        for i, page in enumerate(pages):
+            assert got[i] == clean_text(page, strip_tables), (i, page[:300])
+
+
+def test_sections_against_plain_python(spark):
+    r = random.Random(4)
+    heads = [
+        "Item 1. Business", "ITEM 1A - Risk Factors", "item 7.\u2014 Management\u2019s Discussion and Analysis", "Item 2 Properties", "Item 7\n", "Item 1A:", "MD & A", "Part II", "PART IV.",
+        "SIGNATURES", "Signature page", "Item 6. Reserved", "Item 6. Selected", "Item 8. Financial Statements and Supplementary Data", "Notes to Consolidated Financial\nStatements", "risk\u00a0factors",
+        "Item 9 Changes in", "businesses", "Item 15 Exhibits", "Item 1. 2\n\n", "Managements Discussion  and Analysis", "Item 7A Quantitative and Qualitative",
+    ]
+    texts = []
+    for _ in range(150):
+        texts.append("\n".join(r.choice([r.choice(heads), r.choice(heads), "word " * r.choice([3, 15, 30, 60]), "", "\n\n\n"]) for _ in range(r.randint(1, 25))))
+    forms = ["10-K", "10-Q", "10-K/A", "8-K", ""]
+    rows = [(i, forms[i % 5], t) for i, t in enumerate(texts)]
+    got = spark.createDataFrame(rows, "i int, form string, t string").select("i", html.sections_of(F.col("t"), F.col("form"), 20).alias("s")).collect()
+    for i, s in got:
+        assert [tuple(x) for x in s] == sections_of(texts[i], forms[i % 5], 20), (i, forms[i % 5], texts[i])
