@@ -278,9 +278,17 @@ def _(spark, d):
     return known.run(S.sections(spark, d))[0]
 
 
-@query("llm_rows_quarantine", "SELECT count(*) FILTER (doc_id % 7 >= 4) AS bad, count(*) AS n FROM labels")
+@query("llm_rows_quarantine", """SELECT doc_id, doc_id % 7 < 4 AS valid, CASE WHEN doc_id % 7 < 4 THEN doc_id % 100 / 100 + 0.0 END AS sentiment_score,
+  CASE WHEN doc_id % 7 < 4 THEN CASE WHEN doc_id % 7 = 1 THEN 1.0 ELSE 0.5 END END AS confidence,
+  CASE WHEN doc_id % 7 < 4 THEN CASE WHEN doc_id % 7 = 2 THEN 'mixed' ELSE 'neutral' END END AS tone FROM labels""")
 def _(spark, d):
-    score = F.when(F.col("doc_id") % 7 >= 4, F.lit("none")).otherwise('{"sentiment_score": 0.1}')
-    return scoring.parse_llm_responses(S.read(spark, d, "labels").select(score.alias("raw"))).agg(
-        F.count_if(~F.col("valid")).alias("bad"), F.count("*").alias("n")
+    """Answers made of every label: good ones, an out-of-range confidence, a tone in capitals, text, a text score, a large score."""
+    number = (F.col("doc_id") % 100 / 100).cast("string")
+    kind = F.col("doc_id") % 7
+    answer = lambda *parts: F.concat(F.lit('{"sentiment_score": '), *[F.lit(x) if isinstance(x, str) else x for x in parts], F.lit("}"))
+    raw = (
+        F.when(kind == 1, answer(number, ', "confidence": 7')).when(kind == 2, answer(number, ', "tone": "MIXED"')).when(kind == 3, answer(number, ', "tone": "odd"'))
+        .when(kind == 4, F.lit("none")).when(kind == 5, answer('"', number, '"')).when(kind == 6, answer("1", number)).otherwise(answer(number))
     )
+    parsed = scoring.parse_llm_responses(S.read(spark, d, "labels").select("doc_id", raw.alias("raw")))
+    return parsed.select("doc_id", "valid", "sentiment_score", "confidence", "tone")

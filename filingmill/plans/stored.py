@@ -428,6 +428,29 @@ def _(spark, d):
     )
 
 
+@query(
+    "filing_detail_values",
+    with_(*S.TO_SIMILARITY)
+    + """SELECT filing_id, ticker, form_type, filed_date,
+  (SELECT string_agg(section_name || '=' || word_count, ',' ORDER BY section_name) FROM sections s WHERE s.filing_id = f.filing_id) AS words,
+  (SELECT round(sum(sentiment_score), 6) + 0.0 FROM sentiment s WHERE s.filing_id = f.filing_id) AS sentiment,
+  (SELECT string_agg(section_name, ',' ORDER BY section_name) FROM sentiment s WHERE s.filing_id = f.filing_id) AS scored,
+  (SELECT round(sum(similarity_score), 6) + 0.0 FROM similarity s WHERE s.filing_id = f.filing_id) AS similarity,
+  (SELECT round(sum(change_score), 6) + 0.0 FROM similarity s WHERE s.filing_id = f.filing_id) AS change FROM filings f"""
+)
+def _(spark, d):
+    """Every value of the records: words by section, scored sections, scores."""
+    f = catalog.filing_detail(S.filings(spark, d), S.sections(spark, d), S.sentiment(spark, d), S.similarity(spark, d))
+    total = lambda c, field: F.aggregate(c, F.lit(0.0), lambda a, x: a + x[field])
+    word = lambda e: F.concat_ws("=", e["key"], e["value"])
+    rows = f.select(
+        "filing_id", "ticker", "form_type", "filed_date", F.array_join(F.transform(F.array_sort(F.map_entries("sections")), word), ",").alias("words"),
+        total("sentiment", "sentiment_score").alias("sentiment"), F.array_join(F.transform("sentiment", lambda x: x["section_name"]), ",").alias("scored"),
+        total("similarity", "similarity_score").alias("similarity"), total("similarity", "change_score").alias("change"),
+    )
+    return rounded(rows, 6)
+
+
 @query(
     "table_counts",
     with_(S.FILINGS, S.SECTIONS, S.SCORES)
@@ -466,9 +489,17 @@ def _(spark, d):
     return catalog.common_sections(s.where("form_type = '10-K'"), s.where("form_type = '10-Q'"))
 
 
-@query("raw_signal_union", with_(*S.TO_SIMILARITY, S.RAW) + "SELECT signal_name, count(*) AS n FROM raw GROUP BY ALL")
+@query(
+    "raw_signal_union",
+    with_(*S.TO_SIMILARITY, S.RAW)
+    + "SELECT signal_name, count(*) AS n, count(DISTINCT filing_id) AS filings, round(sum(raw_value), 3) + 0.0 AS total, min(signal_date) AS first, "
+      "max(signal_date) AS last FROM raw GROUP BY ALL"
+)
 def _(spark, d):
-    return S.raw(spark, d).groupBy("signal_name").agg(F.count("*").alias("n"))
+    return rounded(S.raw(spark, d).groupBy("signal_name").agg(
+        F.count("*").alias("n"), F.count_distinct("filing_id").alias("filings"), F.sum("raw_value").alias("total"),
+        F.min("signal_date").alias("first"), F.max("signal_date").alias("last")
+    ), 3)
 
 
 @query(
