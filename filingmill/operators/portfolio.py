@@ -240,24 +240,24 @@ def total_and_annualized(periods: DataFrame, per_year: int = 4) -> DataFrame:
     )
 
 
-def portfolio_history(period_rows: DataFrame, positions: DataFrame, start_value: float = START_VALUE) -> DataFrame:
-    """Per snapshot the value before it, turnover, cost and counts of legs."""
+def portfolio_history(period_rows: DataFrame, positions: DataFrame, start_value: float = START_VALUE, digits: int = 4) -> DataFrame:
+    """Per snapshot the value before it (to ``digits``), turnover, cost and counts of legs."""
     key = _keys(period_rows)
     w = W.partitionBy(*key).orderBy("period_start").rowsBetween(W.unboundedPreceding, -1)  # one row per period
-    value = F.round(start_value * F.coalesce(F.product(1 + F.col("net")).over(w), F.lit(1.0)), 4)
+    value = F.round(start_value * F.coalesce(F.product(1 + F.col("net")).over(w), F.lit(1.0)), digits)
     legs = positions.groupBy(*key, F.col("rebalance_date").alias("period_start")).agg(
         F.count_if(F.col("weight") > 0).alias("n_long"), F.count_if(F.col("weight") < 0).alias("n_short")
     )
     return period_rows.select(*key, "period_start", value.alias("value_before"), "turnover", "cost").join(legs, [*key, "period_start"])
 
 
-def position_values(history: DataFrame, positions: DataFrame) -> DataFrame:
-    """Positions with leg and dollar_value, the snapshot's value before it times the absolute weight."""
+def position_values(history: DataFrame, positions: DataFrame, digits: int = 2) -> DataFrame:
+    """Positions with leg and dollar_value, the snapshot's value before it times the absolute weight, rounded once to ``digits``."""
     key = _keys(positions)
     values = history.select(*key, F.col("period_start").alias("rebalance_date"), "value_before")
     leg = F.when(F.col("weight") >= 0, "long").otherwise("short")
     valued = positions.join(values, [*key, "rebalance_date"]).withColumns(
-        {"leg": leg, "dollar_value": F.round(F.col("value_before") * F.abs("weight"), 2)}
+        {"leg": leg, "dollar_value": F.round(F.col("value_before") * F.abs("weight"), digits)}
     )
     return valued.drop("value_before")
 

@@ -283,8 +283,8 @@ def _(spark, d):
   JOIN (SELECT rebalance_date AS period_start, count(*) FILTER (weight > 0) AS n_long, count(*)
   FILTER (weight < 0) AS n_short FROM positions GROUP BY ALL) USING (period_start)""")
 def _(spark, d):
-    h = portfolio.portfolio_history(net(spark, d), positions(spark, d))
-    return h.withColumns({"value_before": F.round("value_before", 1), "turnover": F.round("turnover", 6), "cost": F.round("cost", 8)})
+    h = portfolio.portfolio_history(net(spark, d), positions(spark, d), digits=1)
+    return h.withColumns({"turnover": F.round("turnover", 6), "cost": F.round("cost", 8)})
 
 
 @query(
@@ -366,8 +366,8 @@ def _(spark, d):
   ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 1), 4) AS v FROM net) USING (rebalance_date)""")
 def _(spark, d):
     held, rows = positions(spark, d), net(spark, d)
-    return portfolio.position_values(portfolio.portfolio_history(rows, held), held).select(
-        "rebalance_date", "ticker", "leg", (F.round("dollar_value", 0) + 0.0).alias("dollar_value")
+    return portfolio.position_values(portfolio.portfolio_history(rows, held), held, 0).select(
+        "rebalance_date", "ticker", "leg", (F.col("dollar_value") + 0.0).alias("dollar_value")
     )
 
 

@@ -162,6 +162,26 @@ def test_backtest_and_sweep_agree(spark):
         portfolio.sweep_positions(one["positions"], [])
 
 
+def test_values_are_rounded_once(spark):
+    """62.4976 dollars are 62 to no digits; by way of cents, 62.50, they were 63."""
+    day = date(2023, 3, 31)
+    held = spark.createDataFrame([(day, "A", 0.00625), (day, "B", -0.00625)], "rebalance_date date, ticker string, weight double")
+    before = spark.createDataFrame([(day, 9999.616)], "period_start date, value_before double")
+    values = lambda *digits: {x.dollar_value for x in portfolio.position_values(before, held, *digits).collect()}
+    assert values(0) == {62.0} and values() == {62.5}
+    rows = spark.createDataFrame(
+        [(date(2022, 12, 30), -0.000005004, 1.0, 0.0), (day, 0.0, 0.0, 0.0)], "period_start date, net double, turnover double, cost double"
+    )
+    to_one = portfolio.portfolio_history(rows, held, digits=1).first()
+    assert to_one.value_before == 9999.9
+
+
+def test_drawdown_ties(spark):
+    """A month without a move after the top moves the peak on; one after the bottom leaves the trough."""
+    m = metrics.max_drawdown(series(spark, [0.1, 0.0, -0.5, 0.0, 0.3])).first()
+    assert (m.peak.month, m.trough.month, m.periods) == (2, 3, 1)
+
+
 def test_metrics_with_factors_and_ic(spark):
     s = series(spark, [0.01 * (i % 5) for i in range(24)])
     f = s.select("date", (F.col("ret") * 2).alias("Mkt-RF"))
