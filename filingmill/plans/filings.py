@@ -10,7 +10,7 @@ from filingmill.operators.returns import daily_returns
 from filingmill.sources import adapters, folders
 from filingmill.sources import filings as src
 from filingmill.sources import prices as px
-from filingmill.sources.store import delete_at_end, new_path
+from filingmill.sources.store import delete_at_end, new_path, stored
 
 from . import standin as S
 from .registry import query
@@ -177,7 +177,7 @@ def _(spark, d):
     """Prices landed as one file per ticker, even ones as charts, odd ones as CSV under two headers, and read by the adapters."""
     own, number = S.prices(spark, d), F.substring("ticker", 2, 9).cast("int")
     day = F.struct("date", "price")
-    rows = own.groupBy("ticker").agg(F.array_sort(F.collect_list(day)).alias("r"))  # one ticker's days
+    rows = stored(own.groupBy("ticker").agg(F.array_sort(F.collect_list(day)).alias("r")), "ticker_days")  # one ticker's days
     price = F.transform("r", lambda x: x["price"])
     quote = F.struct(*[price.alias(k) for k in ("open", "high", "low", "close")], F.transform("r", lambda x: F.lit(7)).alias("volume"))
     chart = F.to_json(F.struct(

@@ -80,3 +80,13 @@ def test_price_adapters(spark):
         adapters.read_prices(spark, "bare", path)
     members = adapters.read_universe(spark, "static", ["b ", "A", "a", ""]).collect()
     assert [(r.ticker, r.end_date) for r in members] == [("A", None), ("B", None)]
+
+
+def test_csv_lines_are_parsed_once(spark, tmp_path):
+    """The parser stands twice in the plan, for the header and for quoted lines, whatever is read of them; it stood there once
+    per cell and use. Lines with quotes and without, short and long, give the same cells."""
+    wide = ",".join(f"x{i}" for i in range(40))
+    (tmp_path / "A.csv").write_text(f'Notes, Close ,Date,{wide}\n"a, b",1.5,2020-01-02\nplain,2.5,2020-01-03,{wide}\n"1","3.5","2020-01-04"\nshort\n')
+    bars = adapters.read_prices(spark, "csv", str(tmp_path), start="2020-01-01")
+    assert sorted((str(r.date), r.close, r.open) for r in bars.collect()) == [("2020-01-02", 1.5, 1.5), ("2020-01-03", 2.5, 2.5), ("2020-01-04", 3.5, 3.5)]
+    assert bars._jdf.queryExecution().optimizedPlan().toString().count("from_csv") <= 2
