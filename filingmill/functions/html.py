@@ -8,12 +8,13 @@ array functions, without Python.
 from __future__ import annotations
 
 import json
+from collections.abc import Callable
 from html.entities import html5
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .text import BEYOND, BLANKS, strip, tidy
+from .text import BEYOND, BLANKS, SPACE, tidy
 
 MIN_WORDS = 50
 #: A boundary this near to the start of a section, in characters, is part of its heading.
@@ -69,6 +70,11 @@ FORM_SECTIONS = {
     "10-Q/A": ("mda", "risk_factors", "financial"),
 }
 
+def _once(c: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(c)`` with ``c`` computed once: as a lambda's variable; written out, it is computed wherever it stands."""
+    return F.transform(F.array(c), use)[0]
+
+
 def _matcher(*patterns: str) -> str:
     """Any of the patterns, in any case, ^ and $ at line breaks only; a common first word is looked for once. White space beyond
     ASCII is named, since Java's Unicode mode costs several times as much for all the rest."""
@@ -90,20 +96,24 @@ _EDITION = {n: bytes([n]).decode("cp1252", "ignore") or chr(n) for n in range(0x
 
 def _shown(page: Column, strip_tables: bool) -> Column:
     """Text nodes of a page, one to a line: all but tags, comments, scripts, styles and, if asked, tables."""
-    page = F.regexp_replace(page, _UNSHOWN, "<x>")
-    if strip_tables:
-        pieces, ends = F.split(page, _TABLE), F.regexp_extract_all(page, F.lit(_TABLE), F.lit(1))
-        # A piece follows its tag; what stands inside tables, nested ones too, is left out.
-        steps = F.zip_with(F.concat(F.array(F.lit("")), F.transform(ends, lambda e: F.when(e == "/", "-").otherwise("+"))), pieces, lambda sign, text: F.struct(sign.alias("sign"), text.alias("text")))
-        start = F.struct(F.lit(0).alias("depth"), F.array().cast("array<string>").alias("kept"))
+    shown = F.when(page.rlike("(?i)<s(?:cript|tyle)"), F.regexp_replace(page, _UNSHOWN, "<x>")).otherwise(page)
+    nodes = lambda page: F.array_join(F.filter(F.split(page, _TAG), lambda node: node != ""), "\n")
+    return _once(shown, lambda page: nodes(_without_tables(page) if strip_tables else page))
 
-        def step(s: Column, x: Column) -> Column:
-            depth = F.when(x["sign"] == "+", s["depth"] + 1).when(x["sign"] == "-", F.greatest(s["depth"] - 1, F.lit(0))).otherwise(s["depth"])
-            return F.struct(depth.alias("depth"), F.when(depth == 0, F.array_append(s["kept"], x["text"])).otherwise(s["kept"]).alias("kept"))
 
-        whole = F.array_join(F.aggregate(steps, start, step)["kept"], "<x>")
-        page = F.when(page.rlike(_TABLE), whole).otherwise(page)
-    return F.array_join(F.filter(F.split(page, _TAG), lambda node: node != ""), "\n")
+def _without_tables(page: Column) -> Column:
+    """A page without what stands inside tables."""
+    pieces, ends = F.split(page, _TABLE), F.regexp_extract_all(page, F.lit(_TABLE), F.lit(1))
+    # A piece follows its tag; what stands inside tables, nested ones too, is left out.
+    steps = F.zip_with(F.concat(F.array(F.lit("")), F.transform(ends, lambda e: F.when(e == "/", "-").otherwise("+"))), pieces, lambda sign, text: F.struct(sign.alias("sign"), text.alias("text")))
+    start = F.struct(F.lit(0).alias("depth"), F.array().cast("array<string>").alias("kept"))
+
+    def step(s: Column, x: Column) -> Column:
+        depth = F.when(x["sign"] == "+", s["depth"] + 1).when(x["sign"] == "-", F.greatest(s["depth"] - 1, F.lit(0))).otherwise(s["depth"])
+        return F.struct(depth.alias("depth"), F.when(depth == 0, F.array_append(s["kept"], x["text"])).otherwise(s["kept"]).alias("kept"))
+
+    whole = F.array_join(F.aggregate(steps, start, step)["kept"], "<x>")
+    return F.when(page.rlike(_TABLE), whole).otherwise(page)
 
 
 def _character(n: Column) -> Column:
@@ -119,6 +129,10 @@ def _character(n: Column) -> Column:
 
 def unescape(text: Column) -> Column:
     """Text with its character references resolved; unknown ones stay."""
+    return _once(text, _unescaped)
+
+
+def _unescaped(text: Column) -> Column:
     names = F.from_json(F.lit(json.dumps(html5)), "map<string,string>")
 
     def resolved(ref: Column) -> Column:
@@ -148,9 +162,9 @@ def unescape(text: Column) -> Column:
 def clean(raw: Column, strip_tables: bool = True) -> Column:
     """Plain text of a filing document; null and blank input give ''."""
     tags = F.regexp_count(F.substr(raw, F.lit(1), F.lit(HEAD)), F.lit(rf"(?i)<(?:{'|'.join(PAGE_TAGS)})\b"))
-    text = F.array(F.when(tags >= 2, unescape(_shown(raw, strip_tables))).otherwise(raw))
-    text = F.transform(F.transform(text, unescape), lambda t: tidy(t, BEYOND))[0]  # a lambda's variable is computed once
-    return F.when(strip(F.coalesce(raw, F.lit(""))) == "", "").otherwise(text)
+    text = F.when(tags >= 2, unescape(_shown(raw, strip_tables))).otherwise(raw)
+    text = _once(unescape(text), lambda t: tidy(t, BEYOND))
+    return F.when(F.coalesce(raw, F.lit("")).rlike(r"\S"), text).otherwise("")
 
 
 _END = "struct<at:bigint,seen:array<string>,end:bigint>"
@@ -189,7 +203,7 @@ def sections_of(text: Column, form_type: Column, least: int = MIN_WORDS) -> Colu
         found.append(F.struct(F.lit(name).alias("section_name"), F.when(wanted, content).alias("content")))
     # Lambda variables let a long expression be used more than once and computed once.
     begun = F.filter(F.array(*found), lambda s: s["content"].isNotNull())
-    count = lambda body: F.when(body == "", 0).otherwise(F.size(F.split(body, rf"[\s{BEYOND}]+")))
+    count = lambda body: F.when(body == "", 0).otherwise(F.size(F.split(body, f"{SPACE}+")))
     ended = F.transform(begun, lambda s: F.struct(s["section_name"].alias("section_name"), strip_wide(F.substr(s["content"], F.lit(1), _end(s["content"]).cast("int"))).alias("body")))
     counted = F.transform(ended, lambda s: F.struct(
         s["section_name"].alias("section_name"), F.regexp_replace(s["body"], "\n{3,}", "\n\n").alias("raw_text"), count(s["body"]).alias("word_count")

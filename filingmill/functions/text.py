@@ -46,18 +46,24 @@ def word_count(c: Column) -> Column:
 BLANKS = " \t\n\x0b\f\r"
 BEYOND = "\x1c\x1d\x1e\x1f\x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
 
+#: A pattern of one of both. A letter fails at a table of bits and one range; a class that lists them asks one after the other.
+SPACE = r"[\t-\r\x1c-\x20\x85\xa0[\u1680-\u3000&&[\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]]]"
+
 
 def tidy(c: Column, beyond: str = "") -> Column:
     """Spaces, line breaks, page numbers and contents lines of plain text. ``beyond``: characters that are white space too."""
-    s, around = f"[\\s{beyond}]", F.lit(BLANKS + beyond)
-    c = F.regexp_replace(F.regexp_replace(F.translate(c, "\t", " "), " {2,}", " "), "\n{3,}", "\n\n")
-    c = F.array_join(F.transform(F.split(c, "\n"), lambda line: F.btrim(line, around)), "\n")
+    s, around = SPACE if beyond == BEYOND else f"[\\s{beyond}]", F.lit(BLANKS + beyond)
+    # Plain searches in bytes say where the dearer patterns are needed.
+    short = lambda c, run, pattern, by: F.when(F.contains(c, F.lit(run)), F.regexp_replace(c, pattern, by)).otherwise(c)
+    whole = F.transform(F.array(F.replace(c, F.lit("\t"), F.lit(" "))), lambda c: short(c, "  ", " {2,}", " "))
+    whole = F.transform(whole, lambda c: short(c, "\n\n\n", "\n{3,}", "\n\n"))
+    trimmed = F.transform(whole, lambda c: F.array_join(F.transform(F.split(c, "\n"), lambda line: F.btrim(line, around)), "\n"))
     # A line is looked for only in texts that hold its words, which is quicker to see.
     without = lambda c, sign, line: F.when(c.rlike(sign), F.regexp_replace(c, line, "")).otherwise(c)
-    lines = F.transform(F.array(c), lambda c: without(c, "(?i)contents", rf"(?imd)^{s}*table{s}+of{s}+contents{s}*$"))
+    lines = F.transform(trimmed, lambda c: without(c, "(?i)contents", rf"(?imd)^{s}*table{s}+of{s}+contents{s}*$"))
     lines = F.transform(lines, lambda c: without(c, rf"-{s}*\d+{s}*-", rf"(?md)^{s}*-{s}*\d+{s}*-{s}*$"))
     lines = F.transform(lines, lambda c: without(c, rf"(?i)\d{s}+of{s}", rf"(?imd)^{s}*page{s}+\d+{s}+of{s}+\d+{s}*$"))
-    return F.transform(lines, lambda c: F.btrim(F.translate(c, "\f", "\n"), around))[0]
+    return F.transform(lines, lambda c: F.btrim(F.replace(c, F.lit("\f"), F.lit("\n")), around))[0]
 
 
 def pad_cik(c: Column) -> Column:

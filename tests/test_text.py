@@ -238,3 +238,18 @@ def test_sections_against_plain_python(spark):
     got = spark.createDataFrame(rows, "i int, form string, t string").select("i", html.sections_of(F.col("t"), F.col("form"), 20).alias("s")).collect()
     for i, s in got:
         assert [tuple(x) for x in s] == sections_of(texts[i], forms[i % 5], 20), (i, forms[i % 5], texts[i])
+
+
+def test_white_space_class_is_all_of_it(spark):
+    """``SPACE`` is the white space that ``BLANKS`` and ``BEYOND`` list, and nothing else below U+3100."""
+    from filingmill.functions.text import BEYOND, BLANKS, SPACE
+
+    chars = spark.range(0x3100).select(F.decode(F.unhex(F.lpad(F.hex("id"), 8, "0")), "UTF-32").alias("c"))
+    assert {r.c for r in chars.where(F.col("c").rlike(f"^{SPACE}$")).collect()} == set(BLANKS + BEYOND)
+
+
+def test_page_is_computed_once(spark):
+    """Scripts were cut out 16 times in the plan of one page, and once per use when it ran."""
+    page = spark.createDataFrame([("<html><body><p>a &amp; b</p></body></html>",)], "html string").select(html.clean(F.col("html")).alias("t"))
+    assert page.first().t == "a & b"
+    assert page._jdf.queryExecution().optimizedPlan().toString().count("(script|style)") == 1
