@@ -9,16 +9,21 @@ second), so counts, common terms and sums are sorts and segment reductions over
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
+from filingmill.sources.store import small_batches
+
 #: Inverse document frequency of a term that one of two texts has; one that both have counts 1.
 ALONE = math.log(1.5) + 1
 MAX_TERMS = 10_000
+#: Bytes of text that are taken apart at once.
+PART_BYTES = 4_000_000
 
 
 #: Bytes: 2 a letter of terms, 1 another of words (beyond ASCII too), 0 between words.
@@ -46,14 +51,14 @@ def words_of(texts: pa.Array, stop: frozenset[str]) -> tuple[np.ndarray, np.ndar
     cut[offsets] = True
     starts = np.flatnonzero(inside[1:] & (~inside[:-1] | cut))
     ends = np.flatnonzero(inside[:-1] & (~inside[1:] | cut))
-    other = np.concatenate([[0], np.cumsum(kind == 1)])
+    other = np.concatenate([np.zeros(1, np.int32), np.cumsum(kind == 1, dtype=np.int32)])
     whole = (ends - starts >= 2) & (other[ends] == other[starts])
     starts, ends = starts[whole], ends[whole]
     row = np.searchsorted(offsets, starts, side="right") - 1
     edges = np.zeros(len(data) + 1, np.int8)
     edges[starts] += 1
     edges[ends] -= 1
-    letters = data[np.cumsum(edges[:-1]) > 0]
+    letters = data[np.cumsum(edges[:-1], dtype=np.int8) > 0]
     places = np.concatenate([[0], np.cumsum(ends - starts)])
     words = pa.LargeStringArray.from_buffers(len(starts), pa.py_buffer(places), pa.py_buffer(letters.tobytes()))
     coded = words.dictionary_encode()
@@ -128,11 +133,24 @@ def term_lists(texts: pa.Array, stop: frozenset[str]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.concat_arrays([spelled, joined]).take(pa.array(order)))
 
 
+def parts(*texts: pa.Array) -> Iterator[tuple[pa.Array, ...]]:
+    """A batch of rows cut so that a part holds PART_BYTES at most, or one row: what is made of a part takes many times that."""
+    ends = np.cumsum(sum(pc.fill_null(pc.binary_length(t), 0).to_numpy(zero_copy_only=False).astype(np.int64) for t in texts))
+    start = 0
+    while start < len(ends):
+        before = ends[start - 1] if start else 0
+        stop = max(int(np.searchsorted(ends, before + PART_BYTES, side="right")), start + 1)
+        yield tuple(t.slice(start, stop - start) for t in texts)
+        start = stop
+
+
 def tfidf_terms(c: Column, stop: list[str]) -> Column:
-    """Words of two or more letters without stop words, then bigrams over what is left."""
+    """Words of two or more letters without stop words, then bigrams over what is left. Lowers the session's Arrow batch."""
     known = frozenset(stop)
+    small_batches(SparkSession.active())
 
     def run(texts: pa.Array) -> pa.Array:
-        return term_lists(texts, known)
+        lists = [term_lists(part, known) for (part,) in parts(texts)]
+        return pa.concat_arrays(lists) if lists else term_lists(texts, known)
 
     return F.arrow_udf(run, "array<string>").asNondeterministic()(c)

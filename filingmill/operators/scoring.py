@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -76,7 +77,8 @@ def tfidf_cosine(pairs: DataFrame, stop: list[str], key: tuple[str, ...] = SECTI
     small_batches(pairs.sparkSession)
 
     def run(raw: pa.Array, prior: pa.Array) -> pa.Array:
-        return pa.array(terms.cosines(raw, prior, known), pa.float64(), from_pandas=True)  # NaN is null
+        found = [terms.cosines(*part, known) for part in terms.parts(raw, prior)]
+        return pa.array(np.concatenate([np.empty(0), *found]), pa.float64(), from_pandas=True)  # NaN is null
 
     usable = pairs.where((strip(F.col("raw_text")) != "") & (strip(F.col("prior_text")) != ""))
     scored = usable.select(

@@ -253,3 +253,16 @@ def test_page_is_computed_once(spark):
     page = spark.createDataFrame([("<html><body><p>a &amp; b</p></body></html>",)], "html string").select(html.clean(F.col("html")).alias("t"))
     assert page.first().t == "a & b"
     assert page._jdf.queryExecution().optimizedPlan().toString().count("(script|style)") == 1
+
+
+def test_terms_by_parts(spark, monkeypatch):
+    """A batch of any rows is taken apart in parts of bounded bytes, with the same terms; sessions had batches of 10,000 rows."""
+    monkeypatch.setattr(terms, "PART_BYTES", 40)
+    texts = pa.array(["one two", None, "three " * 50, "", "four five six", "seven eight nine ten eleven"])
+    cut = list(terms.parts(texts))
+    assert len(cut) == 3 and [x for (p,) in cut for x in p.to_pylist()] == texts.to_pylist()
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")
+    rows = spark.createDataFrame([(x,) for x in texts.to_pylist()], "t string").coalesce(1)
+    got = [r.t for r in rows.select(terms.tfidf_terms(F.col("t"), []).alias("t")).collect()]
+    assert got == terms.term_lists(texts, frozenset()).to_pylist()
+    assert int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) <= 512
