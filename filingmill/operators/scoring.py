@@ -23,27 +23,14 @@ LEXICON_BYTES = 1 << 20
 def category_counts(sections: DataFrame, lexicon: DataFrame, key: tuple[str, ...] = SECTION_KEY) -> DataFrame:
     """Per section total_tokens and one count per category, also of sections without tokens.
 
-    A text is tokenised once. A lexicon of bounded size is looked up in each text's tokens, so nothing is shuffled;
-    with a longer one, counts per word meet it by shuffle."""
+    A text is tokenised once. A lexicon of bounded size is looked up in the tokens of each batch of texts (see ``terms``), so
+    nothing is shuffled; with a longer one, counts per word meet it by shuffle."""
     size = lexicon.agg(F.sum(F.length("word") + F.length("category") + 16)).first()[0] or 0
-    tokens = tokenize_upper(F.col("raw_text"))
     if size <= LEXICON_BYTES:
-        words = {c: sorted({r.word for r in rows}) for c, rows in _by_category(lexicon).items()}
-        every = sorted({w for ws in words.values() for w in ws})
-        among = lambda t, ws: F.filter(t, lambda w: w.isin(*ws))
-        found = lambda hits: [F.size(among(hits, ws)).alias(c) if ws else F.lit(0).alias(c) for c, ws in words.items()]
-        # Arrays of one element let the tokens and the hits among them be used many times and computed once.
-        counted = F.transform(
-            F.array(tokens),
-            lambda t: F.struct(
-                F.size(t).alias("total_tokens"),
-                F.transform(F.array(among(t, every)), lambda h: F.struct(*found(h)))[0].alias("c")
-            )
-        )[0]
-        return sections.select(*key, counted.alias("t")).select(
-            *key, F.greatest("t.total_tokens", F.lit(0)).alias("total_tokens"),
-            *[F.greatest(f"t.c.{c}", F.lit(0)).cast("long").alias(c) for c in CATEGORIES]
-        )
+        found = _counter(_by_category(lexicon))
+        small_batches(sections.sparkSession)
+        return sections.select(*key, found("raw_text").alias("t")).select(*key, "t.*")
+    tokens = tokenize_upper(F.col("raw_text"))
     by_word = lexicon.groupBy("word").agg(F.collect_set("category").alias("categories"))
     seen = sections.select(
         *key, F.explode_outer(tokens).alias("word")
@@ -52,9 +39,25 @@ def category_counts(sections: DataFrame, lexicon: DataFrame, key: tuple[str, ...
     return seen.groupBy(*key).agg(F.sum("n").cast("int").alias("total_tokens"), *hits)
 
 
-def _by_category(lexicon: DataFrame) -> dict[str, list]:
+def _counter(by_category: dict[str, set[str]]) -> Callable[..., Column]:
+    """total_tokens and a count per category of a text, by the batch."""
+    words = sorted(set().union(*by_category.values()))
+    categories = np.array([[w in by_category[c] for c in CATEGORIES] for w in words], bool).reshape(len(words), len(CATEGORIES))
+
+    def run(texts: pa.Array) -> pa.Array:
+        found = [terms.counts_among(part, pa.array(words, pa.string()), categories) for (part,) in terms.parts(texts)]
+        total = np.concatenate([np.empty(0, np.int64), *[n for n, _ in found]]).astype(np.int32)
+        counts = np.concatenate([np.empty((0, len(CATEGORIES)), np.int64), *[c for _, c in found]])
+        columns = [pa.array(total), *[pa.array(np.ascontiguousarray(c), pa.int64()) for c in counts.T]]
+        return pa.StructArray.from_arrays(columns, ["total_tokens", *CATEGORIES])
+
+    schema = "struct<total_tokens:int," + ",".join(f"{c}:bigint" for c in CATEGORIES) + ">"
+    return F.arrow_udf(run, schema).asNondeterministic()
+
+
+def _by_category(lexicon: DataFrame) -> dict[str, set[str]]:
     rows = lexicon.where(F.col("category").isin(*CATEGORIES) & F.col("word").isNotNull()).collect()  # LEXICON_BYTES at most
-    return {c: [r for r in rows if r.category == c] for c in CATEGORIES}
+    return {c: {r.word for r in rows if r.category == c} for c in CATEGORIES}
 
 
 def dictionary_sentiment(counts: DataFrame) -> DataFrame:
@@ -80,7 +83,7 @@ def tfidf_cosine(pairs: DataFrame, stop: list[str], key: tuple[str, ...] = SECTI
         found = [terms.cosines(*part, known) for part in terms.parts(raw, prior)]
         return pa.array(np.concatenate([np.empty(0), *found]), pa.float64(), from_pandas=True)  # NaN is null
 
-    usable = pairs.where((strip(F.col("raw_text")) != "") & (strip(F.col("prior_text")) != ""))
+    usable = pairs.where(F.col("raw_text").rlike(r"\S") & F.col("prior_text").rlike(r"\S"))  # ends at the first letter; ``strip`` walks the text
     scored = usable.select(
         *key, F.arrow_udf(run, "double").asNondeterministic()("raw_text", "prior_text").alias("c")
     ).where("c is not null")

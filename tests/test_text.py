@@ -13,6 +13,7 @@ from __spark_entry__ import queries
 from filingmill.functions import html, terms
 from filingmill.functions.text import dashed_accession, fold_accents, pad_cik, tidy, tokenize_upper
 from filingmill.operators import scoring
+from filingmill.schemas import CATEGORIES
 
 from plain_html import clean_text, sections_of
 
@@ -155,6 +156,47 @@ def test_long_lexicon_is_joined(spark, monkeypatch):
     assert sorted(scoring.category_counts(rows, lexicon).collect()) == short
 
 
+def test_category_counts_by_the_batch_follow_the_tokens(spark):
+    lexicon = spark.createDataFrame(
+        [("GOOD", "positive"), ("GOODS", "negative"), ("STRASSE", "negative"), ("STRASSE", "positive"), ("FI", "litigious"), ("A", "uncertainty"), ("lower", "positive")],
+        "word string, category string"
+    )
+    every = [f"ab{chr(c)}cd good{chr(c)} {chr(c)}{chr(c)}" for c in range(0x80, 0x3000)]
+    texts = ["good GoodS goo good", "Straße straße STRASSE strasse", "ﬁ ﬁne ﬃ", "a lower LOWER", "", None, "goo", "d ods", "ıſ ŉa", "x1good2 go-od", *every, *map(chr, range(0xFB00, 0xFB18))]
+    sections = spark.createDataFrame([(str(i), "mda", t) for i, t in enumerate(texts)], "filing_id string, section_name string, raw_text string")
+    counted = scoring.category_counts(sections, lexicon)
+    assert "ArrowEvalPython" in counted._jdf.queryExecution().toString() and "regexp_extract_all" not in counted._jdf.queryExecution().toString()
+    tokens = {r.filing_id: r.t or [] for r in sections.select("filing_id", tokenize_upper(F.col("raw_text")).alias("t")).collect()}
+    of = {c: {r.word for r in lexicon.collect() if r.category == c} for c in CATEGORIES}
+    for r in counted.collect():
+        found = tokens[r.filing_id]
+        assert r.total_tokens == len(found) and all(r[c] == sum(t in of[c] for t in found) for c in CATEGORIES), texts[int(r.filing_id)]
+
+
+def test_blank_texts_are_told_without_a_walk_through_them(spark):
+    schema = "filing_id string, section_name string, raw_text string, prior_text string"
+    pairs = spark.createDataFrame([("1", "a", " \n\t", "big cat"), ("2", "a", "big cat", "\x0b \f"), ("3", "a", "\x85 big cat", "big cat"), ("4", "a", None, "big cat")], schema)
+    scored = scoring.tfidf_cosine(pairs, [])
+    assert {r.filing_id: r.similarity_score for r in scored.collect()} == {"3": 1.0}
+    assert "regexp_replace" not in scored._jdf.queryExecution().toString()
+
+
+def test_words_of_texts_beyond_ascii(monkeypatch):
+    """Characters of Latin-1 are looked up by their bytes, only texts with others go through Unicode's tables."""
+    points = [*range(0x80, 0x300), *range(0x370, 0x483), *range(0x1D00, 0x1DC0), *range(0x2000, 0x20D0), *range(0xFB00, 0xFB07)]
+    every = [f"ab{chr(c)}cd {chr(c)}xy zz{chr(c)} Q" for c in points]
+    row, word, known = terms.words_of(pa.array(["", None, *every]), frozenset())
+    spelt = known.take(pa.array(word)).to_pylist()
+    for i, text in enumerate(every):
+        low = "".join(c for c in unicodedata.normalize("NFKD", text.lower()) if unicodedata.category(c)[0] != "M")
+        low = "".join(c if c < "\x80" or unicodedata.category(c)[0] in "LN" else " " for c in low)
+        low = re.sub("[A-Z]", " ", low)  # that decomposition makes
+        words = [w for w in re.findall(r"\w+", low) if re.fullmatch("[a-z]{2,}", w)]
+        assert [w for r, w in zip(row, spelt, strict=True) if r == i + 2] == words, text
+    monkeypatch.setattr(terms.pc, "utf8_normalize", None)
+    assert terms.words_of(pa.array(["Une Étude, «naïve» größer"]), frozenset())[2].to_pylist() == ["une", "etude", "naive"]
+
+
 def counts_of(text, stop):
     low = "".join(c for c in unicodedata.normalize("NFKD", text.lower()) if not unicodedata.combining(c))
     words = [w for w in re.findall(r"\b[a-zA-Z]{2,}\b", low) if w not in stop]
