@@ -45,14 +45,11 @@ def month_prices(prices: DataFrame) -> DataFrame:
 
 def price_gaps(prices: DataFrame) -> DataFrame:
     """Month prices on every month of a ticker's life, gaps filled with the last price before."""
-    monthly = month_prices(prices)
-    life = monthly.groupBy("ticker").agg(F.min("date").alias("a"), F.max("date").alias("z"))
-    months = life.select(
-        "ticker",
-        F.explode(F.sequence(F.trunc("a", "month"), F.trunc("z", "month"), F.expr("interval 1 month"))).alias("m")
-    )
-    grid = months.select("ticker", F.last_day("m").alias("date")).join(monthly, ["ticker", "date"], "left")
-    return grid.select("ticker", "date", F.last("price", ignorenulls=True).over(by_ticker()).alias("price"))
+    monthly = month_prices(prices).withColumn("next", F.lead("date").over(by_ticker()))
+    # A month's price holds until the month before the ticker's next one.
+    until = F.coalesce(F.add_months(F.trunc("next", "month"), -1), F.trunc("date", "month"))
+    held = F.explode(F.sequence(F.trunc("date", "month"), until, F.expr("interval 1 month"))).alias("m")
+    return monthly.select("ticker", held, "price").select("ticker", F.last_day("m").alias("date"), "price")
 
 
 def monthly_returns(prices: DataFrame, start=None, end=None) -> DataFrame:

@@ -316,9 +316,9 @@ def _(spark, d):
 _MARKET = "market AS (SELECT date, avg(ret) * 0.1 AS spy FROM daily WHERE dayofmonth(date) % 7 <> 3 GROUP BY ALL)"
 
 
-def market(spark, d):
+def market(daily_rows):
     """A tenth of the universe's mean, without data on some days."""
-    mean = portfolio.benchmark_equal_weight(daily(spark, d))
+    mean = portfolio.benchmark_equal_weight(daily_rows)
     return mean.where(F.dayofmonth("date") % 7 != 3).select("date", (F.col("ew") * 0.1).alias("ret"))
 
 
@@ -339,7 +339,8 @@ def _digits_sql(c, n=6):
   WHEN spy IS NOT NULL THEN round(10000 * product(1 + coalesce(spy, 0)) OVER w, 4) END AS m
   FROM line LEFT JOIN market USING (date) WINDOW w AS (ORDER BY date ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))""")
 def _(spark, d):
-    curve = portfolio.equity_curve(positions(spark, d), periods(spark), daily(spark, d), market(spark, d))
+    r = stored(daily(spark, d), "daily")  # used five times
+    curve = portfolio.equity_curve(stored(positions(spark, d), "positions"), periods(spark), r, market(r))
     shown = {"portfolio_value": 3, "ew_value": 4, "spy_value": 5}
     return curve.select("date", *[_digits(F.col(c), n).alias(c) for c, n in shown.items()])
 
@@ -356,7 +357,8 @@ _RUN_COLUMNS = {"sharpe": 4, "win_rate": 4, "average_turnover": 6, "total_cost":
 @query("run_backtest", with_(*_TO_NET, _OWN_METRICS) + _RUN)
 def _(spark, d):
     r = stored(monthly(spark, d), "monthly")
-    out = portfolio.run_backtest(S.scores(spark, d), S.universe(spark, d), r, market(spark, d), START, END, short_quantile=5)
+    scores = stored(S.scores(spark, d), "scores")
+    out = portfolio.run_backtest(scores, S.universe(spark, d), r, market(daily(spark, d)), START, END, short_quantile=5)
     return out["metrics"].select("n", *[(F.round(c, n) + 0.0).alias(c) for c, n in _RUN_COLUMNS.items()])
 
 
@@ -610,7 +612,8 @@ sgross AS (SELECT strategy_id, any_value(bps) AS bps, rebalance_date, sum(weight
 )
 def _(spark, d):
     r = stored(monthly(spark, d), "monthly")
-    out = portfolio.run_sweep(S.scores(spark, d), S.universe(spark, d), r, market(spark, d), START, END, SWEEP)
+    scores = stored(S.scores(spark, d), "scores")
+    out = portfolio.run_sweep(scores, S.universe(spark, d), r, market(daily(spark, d)), START, END, SWEEP)
     return out["period_returns"].select(
         "strategy_id", "period_start", F.round("turnover", 6).alias("turnover"),
         (F.round("net", 4) + 0.0).alias("net")

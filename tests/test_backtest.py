@@ -4,7 +4,10 @@ from datetime import date
 import pytest
 from pyspark.sql import functions as F
 
+from __spark_entry__ import queries
 from filingmill.operators import metrics, portfolio, returns
+from filingmill.plans import standin
+from filingmill.sources.store import stored
 
 D = date
 
@@ -190,3 +193,26 @@ def test_metrics_with_factors_and_ic(spark):
     assert full.information_coefficient == 0.1 and full.loadings == pytest.approx([0.5])
     bare = metrics.compute_all(s).first()
     assert bare.alpha is None and bare.information_ratio is None
+
+
+def test_prices_meet_their_ticker_once(spark):
+    """Days, months and the windows over a ticker follow one exchange; the months between prices need no other copy of them."""
+    gaps = returns.price_gaps(standin.prices(spark, "/root/testdata/sf0.001"))
+    assert gaps._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[-1].count("Exchange hashpartitioning") == 1
+    days = [("a", "2020-01-31", 1.0), ("a", "2020-01-05", 9.0), ("a", "2020-04-02", 2.0), ("a", "2020-04-29", None), ("a", "2021-01-01", 3.0), ("b", "2020-02-29", 5.0), ("c", "2020-02-29", None)]
+    own = spark.createDataFrame(days, "ticker string, date string, price double").withColumn("date", F.to_date("date"))
+    found = {(r.ticker, str(r.date)): r.price for r in returns.price_gaps(own).collect()}
+    ends = ["2020-01-31", "2020-02-29", "2020-03-31", "2020-04-30", "2020-05-31", "2020-06-30", "2020-07-31", "2020-08-31", "2020-09-30", "2020-10-31", "2020-11-30", "2020-12-31", "2021-01-31"]
+    assert found == {("a", e): 1.0 if e < "2020-04" else 2.0 if e < "2021" else 3.0 for e in ends} | {("b", "2020-02-29"): 5.0}
+
+
+def test_backtest_queries_read_lines_once_for_days_and_once_for_scores(spark, monkeypatch):
+    from filingmill.plans import backtests
+
+    kept = []
+    monkeypatch.setattr(backtests, "stored", lambda df, name: kept.append(name) or stored(df, name))
+    queries()["run_backtest"](spark, "/root/testdata/sf0.001")
+    assert kept == ["monthly", "scores"]
+    kept.clear()
+    queries()["equity_curve"](spark, "/root/testdata/sf0.001")
+    assert kept == ["daily", "positions"]
