@@ -34,8 +34,9 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWrite
 from pyspark.sql.types import StructType
 
 PIECE_CHARS, TASK_BYTES, BLOCK = 16_000_000, 128_000_000, 1_000_000
-#: What opening a file costs, in bytes, when files are packed into tasks.
-OPEN_COST = 1_000_000
+#: What opening a file costs, in bytes, when files are packed into tasks. Few files are dealt over more tasks; of more than
+#: MANY files there are tasks enough, and as a task costs about what reading some hundred files does, opening counts a tenth.
+OPEN_COST, MANY = 1_000_000, 50_000
 #: Bytes in which a declared charset is looked for.
 HEAD = 4096
 _DECLARED = re.compile(rb"""(?:charset\s*=\s*|<\?xml[^>]{0,200}encoding\s*=\s*)["']?([A-Za-z0-9_.:-]{2,40})""", re.IGNORECASE)
@@ -69,18 +70,26 @@ def opened(path: str) -> tuple[pafs.FileSystem, str]:
     return pafs.LocalFileSystem(), path
 
 
+def told_charset(head: bytes) -> str | None:
+    """What a file's first bytes say of its charset."""
+    for mark, name in _MARKS:
+        if head.startswith(mark):
+            return name
+    told = _DECLARED.search(head[:HEAD])
+    if told:
+        try:
+            return codecs.lookup(told[1].decode("ascii")).name
+        except LookupError:
+            pass
+    return None
+
+
 def charset_of(files: pafs.FileSystem, path: str) -> str:
     with files.open_input_stream(path) as stream:
         head = stream.read(HEAD)
-        for mark, name in _MARKS:
-            if head.startswith(mark):
-                return name
-        told = _DECLARED.search(head)
+        told = told_charset(head)
         if told:
-            try:
-                return codecs.lookup(told[1].decode("ascii")).name
-            except LookupError:
-                pass
+            return told
         decoder, block = codecs.getincrementaldecoder("utf-8")(), head
         try:
             while block:
@@ -110,6 +119,25 @@ def pieces(files: pafs.FileSystem, path: str, charset: str, chars: int) -> Itera
         yield "".join(held)
 
 
+def texts_of(files: pafs.FileSystem, path: str, size: int, chars: int) -> tuple[str, Iterator[str]]:
+    """Charset and pieces of a file. A short one is opened and read once; a longer one is read for its charset, then again."""
+    if size < BLOCK and size < chars:
+        with files.open_input_stream(path) as stream:
+            whole = stream.read(BLOCK)
+        if len(whole) < BLOCK:
+            charset = told_charset(whole)
+            if charset is None:
+                try:
+                    return "utf-8", iter([whole.decode("utf-8")])
+                except UnicodeDecodeError:
+                    charset = "windows-1252"
+            text = whole.decode(charset, "replace")
+            if len(text) < chars:
+                return charset, iter([text])
+    charset = charset_of(files, path)
+    return charset, pieces(files, path, charset, chars)
+
+
 class Files(InputPartition):
     def __init__(self, files: list[tuple[tuple, str, int]]):
         self.files = files
@@ -152,9 +180,11 @@ class FolderReader(DataSourceReader):
     def partitions(self) -> list[InputPartition]:
         files, root = opened(self.path)
         found, size, out = [], 0, []
-        for entry in sorted(self._listed(files, root, ()), key=lambda x: x[1]):
+        entries = sorted(self._listed(files, root, ()), key=lambda x: x[1])
+        cost = OPEN_COST if len(entries) <= MANY else OPEN_COST // 10
+        for entry in entries:
             found.append(entry)
-            size += entry[2] + OPEN_COST
+            size += entry[2] + cost
             if size >= self.task_bytes:
                 out.append(Files(found))
                 found, size = [], 0
@@ -166,8 +196,8 @@ class FolderReader(DataSourceReader):
         kinds = [pa.string()] * len(self.columns) + [pa.string(), pa.int64(), pa.int32(), pa.string()]
         held, n = [], 0
         for place, path, size in partition.files:
-            charset = charset_of(files, path)
-            for k, text in enumerate(pieces(files, path, charset, self.chars)):
+            charset, texts = texts_of(files, path, size, self.chars)
+            for k, text in enumerate(texts):
                 held.append((*place, charset, size, k, text))
                 n += len(text)
                 if n >= self.chars or len(held) >= 1000:
@@ -184,11 +214,14 @@ class FolderWriter(DataSourceWriter):
 
     def write(self, iterator) -> WriterCommitMessage:
         files, root = opened(self.path)
+        made = None
         for row in iterator:
             row = row.asDict()
             names = [to_name(row[c]) for c in self.columns]
             folder = "/".join([root, *names[:-1]])
-            files.create_dir(folder, recursive=True)
+            if folder != made:
+                files.create_dir(folder, recursive=True)
+                made = folder
             part = f"{folder}/.{uuid.uuid4().hex}"
             with files.open_output_stream(part) as out:
                 out.write((row["text"] or "").encode(row.get("encoding") or self.charset, "xmlcharrefreplace"))

@@ -90,3 +90,33 @@ def test_csv_lines_are_parsed_once(spark, tmp_path):
     bars = adapters.read_prices(spark, "csv", str(tmp_path), start="2020-01-01")
     assert sorted((str(r.date), r.close, r.open) for r in bars.collect()) == [("2020-01-02", 1.5, 1.5), ("2020-01-03", 2.5, 2.5), ("2020-01-04", 3.5, 3.5)]
     assert bars._jdf.queryExecution().optimizedPlan().toString().count("from_csv") <= 2
+
+
+def test_short_files_are_opened_once_and_many_share_tasks(tmp_path, monkeypatch):
+    import pyarrow.fs as pafs
+
+    from filingmill.sources import folders
+
+    texts = [b"", b"plain", "é ß".encode(), "é".encode("cp1252"), "ä漢".encode("utf-16"), b"<meta charset=windows-1252>\xe9", b"\xef\xbb\xbfmark", b"\x81 odd", b"a" * 5000 + b"charset=utf-16", "é".encode() * 40]
+    for i, data in enumerate(texts):
+        (tmp_path / str(i)).write_bytes(data)
+        path, opens = str(tmp_path / str(i)), []
+
+        class Files:
+            def open_input_stream(self, p):
+                opens.append(p)
+                return pafs.LocalFileSystem().open_input_stream(p)
+
+        for chars in (7, 45, 1000, 10_000):
+            charset = folders.charset_of(pafs.LocalFileSystem(), path)
+            expected = (charset, list(folders.pieces(pafs.LocalFileSystem(), path, charset, chars)))
+            opens.clear()
+            told, found = folders.texts_of(Files(), path, len(data), chars)
+            assert (told, list(found)) == expected
+            assert len(opens) == 1 or len(data) >= chars
+    for i in range(1000):
+        (tmp_path / f"{i}.csv").write_text("x")
+    reader = folders.CsvFolder({"path": str(tmp_path)}).reader(None)
+    assert len(reader.partitions()) == 8
+    monkeypatch.setattr(folders, "MANY", 999)
+    assert [len(p.files) for p in reader.partitions()] == [1000]
