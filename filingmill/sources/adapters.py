@@ -22,30 +22,33 @@ PriceReader = Callable[[SparkSession, str, list[str] | None], DataFrame]
 UniverseReader = Callable[..., DataFrame]
 BARS = ("ticker", "date", "open", "high", "low", "close", "volume", "adj_close", "source")
 MEMBERS = ("ticker", "start_date", "end_date")
-#: Columns of a CSV file that are looked at.
-CSV_COLUMNS = 32
+#: Characters of a text that Spark can hold at most; a longer file is an error.
+WHOLE = 2**31 - 1
+#: A cell of a CSV line with a comma before it: quoted, quotes in it doubled or escaped, or up to the next comma.
+_CELL = r',("(?:[^"\\]++|\\.|"")*+"[^,]*+|[^,]*+)'
 
 
-def _folder(spark: SparkSession, kind: str, path: str, tickers: list[str] | None) -> DataFrame:
+def _folder(spark: SparkSession, kind: str, path: str, tickers: list[str] | None, **options) -> DataFrame:
     register(spark)
-    rows = spark.read.format(kind).option("path", path).load()
+    rows = spark.read.format(kind).options(path=path, **options).load()
     return rows.where(F.col("ticker").isin(tickers)) if tickers is not None else rows
 
 
 def charts(spark: SparkSession, path: str, tickers: list[str] | None = None) -> DataFrame:
-    """Bars of ``<ticker>.json`` files; a chart beyond one piece is not whole JSON and gives no bars."""
-    return prices_from_chart_json(_folder(spark, "chart_folder", path, tickers).where("piece = 0").select("ticker", F.col("text").alias("value")))
+    """Bars of ``<ticker>.json`` files, each read whole, as JSON is one value."""
+    return prices_from_chart_json(_folder(spark, "chart_folder", path, tickers, piece_chars=WHOLE).select("ticker", F.col("text").alias("value")))
 
 
 def csv_files(spark: SparkSession, path: str, tickers: list[str] | None = None) -> DataFrame:
     """Bars of ``<ticker>.csv`` files, each with a header of its own; columns are found by alias, missing prices are the close."""
-    lines = _folder(spark, "csv_folder", path, tickers).where("piece = 0").select("ticker", F.split("text", "\r?\n|\r").alias("lines"))
-    # Every line as an array of its cells, quotes read as CSV has them; the first line names them. A line is parsed once: what
-    # is made of arrays of one element is computed before its uses, and filters are not pushed below the generator.
-    schema = ", ".join(f"c{i} string" for i in range(CSV_COLUMNS))
-    quoted = lambda line: F.transform(F.array(F.from_csv(line, schema)), lambda c: F.array(*[c[f"c{i}"] for i in range(CSV_COLUMNS)]))
-    # Where no quote is, commas alone part the cells, which takes a fraction of the parser's time.
-    cells = lambda line: F.when(F.contains(line, F.lit('"')), quoted(line)).otherwise(F.array(F.slice(F.split(line, ","), 1, CSV_COLUMNS)))
+    # A long file comes in pieces of whole lines, each under the header.
+    lines = _folder(spark, "csv_folder", path, tickers, lines=True).select("ticker", F.split("text", "\r?\n|\r").alias("lines"))
+    # Every line as an array of its cells; the first line names them. A line is taken apart once: what is made of arrays of one
+    # element is computed before its uses, and filters are not pushed below the generator.
+    bare = lambda c: F.when(F.startswith(c, F.lit('"')), F.regexp_replace(c, r'^"(.*)"\s*$', "$1")).otherwise(c)
+    quoted = lambda line: F.transform(F.regexp_extract_all(F.concat(F.lit(","), line), F.lit(_CELL), F.lit(1)), bare)
+    # Where no quote is, commas alone part the cells, which takes a fraction of the time.
+    cells = lambda line: F.array(F.when(F.contains(line, F.lit('"')), quoted(line)).otherwise(F.split(line, ",")))
     place = lambda header, kind: F.coalesce(*[F.nullif(F.array_position(header, F.lit(name)), F.lit(0)) for name in ALIASES[kind]])
     named = F.transform(cells(F.col("lines")[0]), lambda header: F.transform(header, lambda c: F.lower(F.trim(c))))
     places = F.transform(named, lambda header: F.struct(*[(place(header, kind) - 1).cast("int").alias(kind) for kind in ALIASES]))

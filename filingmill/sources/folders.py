@@ -11,8 +11,9 @@ again leaves the same files.
 The charset is told by a byte order mark, else by the document's own declaration, else it is UTF-8 where the bytes are valid
 UTF-8, and else windows-1252, with a mark in place of bytes that mean nothing.
 
-Options: ``path`` (a local path or a URI that Arrow can open), ``piece_chars``, ``task_bytes``; on writing ``charset`` (rows with
-an ``encoding`` column say it themselves).
+Options: ``path`` (a local path or a URI that Arrow can open), ``piece_chars``, ``task_bytes``, ``lines`` (``true``: pieces are whole
+lines, each piece under the file's first line, so each is a table); on writing ``charset`` (rows with an ``encoding`` column say it
+themselves).
 
 Defined results: a folder that does not exist or is empty has no rows; an empty file is one empty piece; names are written
 escaped, so any text, empty or null, is a name of its own; a null text is an empty file; rows of one name should be unique,
@@ -40,6 +41,7 @@ OPEN_COST, MANY = 1_000_000, 50_000
 #: Bytes in which a declared charset is looked for.
 HEAD = 4096
 _DECLARED = re.compile(rb"""(?:charset\s*=\s*|<\?xml[^>]{0,200}encoding\s*=\s*)["']?([A-Za-z0-9_.:-]{2,40})""", re.IGNORECASE)
+_LINE = re.compile(r"[^\r\n]*(?:\r?\n|\r)")
 _MARKS = ((codecs.BOM_UTF8, "utf-8-sig"), (codecs.BOM_UTF16_LE, "utf-16"), (codecs.BOM_UTF16_BE, "utf-16"))
 TEXT = "encoding string, size bigint, piece int, text string"
 
@@ -119,6 +121,19 @@ def pieces(files: pafs.FileSystem, path: str, charset: str, chars: int) -> Itera
         yield "".join(held)
 
 
+def tables(texts: Iterator[str]) -> Iterator[str]:
+    """Pieces as whole lines, each piece under the first line of all; a line longer than a piece stays whole."""
+    first, held = "", next(texts)
+    for text in texts:
+        end = max(held.rfind("\n"), held.rfind("\r")) + 1
+        if end:
+            yield first + held[:end]
+            first = first or _LINE.match(held)[0]
+            held = held[end:]
+        held += text
+    yield first + held
+
+
 def texts_of(files: pafs.FileSystem, path: str, size: int, chars: int) -> tuple[str, Iterator[str]]:
     """Charset and pieces of a file. A short one is opened and read once; a longer one is read for its charset, then again."""
     if size < BLOCK and size < chars:
@@ -148,6 +163,7 @@ class FolderReader(DataSourceReader):
         self.columns, self.suffix = source.columns, source.suffix
         self.path, self.chars = source.options["path"], int(source.options.get("piece_chars", PIECE_CHARS))
         self.task_bytes = int(source.options.get("task_bytes", TASK_BYTES))
+        self.lines = source.options.get("lines", "false").lower() == "true"
         self.wanted: dict[str, set] = {}
 
     def pushFilters(self, filters: list[Filter]) -> Iterator[Filter]:
@@ -197,10 +213,10 @@ class FolderReader(DataSourceReader):
         held, n = [], 0
         for place, path, size in partition.files:
             charset, texts = texts_of(files, path, size, self.chars)
-            for k, text in enumerate(texts):
+            for k, text in enumerate(tables(texts) if self.lines else texts):
                 held.append((*place, charset, size, k, text))
                 n += len(text)
-                if n >= self.chars or len(held) >= 1000:
+                if n >= min(self.chars, PIECE_CHARS) or len(held) >= 1000:
                     yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in held], t) for i, t in enumerate(kinds)], names)
                     held, n = [], 0
         if held:

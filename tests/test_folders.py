@@ -1,5 +1,6 @@
 import json
 import os
+import re
 import tempfile
 
 import pytest
@@ -82,6 +83,35 @@ def test_price_adapters(spark):
     assert [(r.ticker, r.end_date) for r in members] == [("A", None), ("B", None)]
 
 
+def test_long_price_files_are_read_whole(spark, tmp_path):
+    """Only the first 16 million characters of a file and the first 32 cells of a line were looked at."""
+    times, n = [1704153600 + 86400 * i for i in range(3)], 17_000_000
+    quote = json.dumps({k: [1.0, 2.0, 3.0] for k in ("open", "high", "low", "close")} | {"volume": [1, 2, 3]})
+    (tmp_path / "A.json").write_text(f'{{"timestamp": {times}, {" " * n}"indicators": {{"quote": [{quote}]}}}}')
+    (tmp_path / "B.json").write_text(f'{{"timestamp": {times}, "indicators": {{"quote": [{quote}]}}}}')
+    bars = adapters.read_prices(spark, "chart", str(tmp_path))
+    assert sorted((r.ticker, str(r.date), r.close) for r in bars.collect()) == [(t, f"2024-01-0{2 + i}", 1.0 + i) for t in "AB" for i in range(3)]
+    days = "".join(f"2024-01-{i:02},{i},{'x' * 1_000_000}\r\n" for i in range(1, 32))
+    (tmp_path / "A.csv").write_text(f"Date,Close,Notes\r\n{days}2024-02-01,32,last")
+    wide = ",".join(f"x{i}" for i in range(40))
+    (tmp_path / "B.csv").write_text(f'{wide},Date,"Close"\n{wide},2024-01-01,1\n"a, ""b"", c",{wide[3:]},2024-01-02,"2"\n"odd,{wide[3:]},2024-01-03,3\n')
+    got = adapters.read_prices(spark, "csv", str(tmp_path))
+    assert sorted(r.close for r in got.where("ticker = 'A'").collect()) == [float(i) for i in range(1, 33)]
+    assert sorted((str(r.date), r.close) for r in got.where("ticker = 'B'").collect()) == [(f"2024-01-0{i}", float(i)) for i in (1, 2, 3)]
+
+
+def test_tables_are_whole_lines_under_the_first(tmp_path):
+    for end in ("\n", "\r\n", "\r"):
+        for last in ("", end):
+            rows = ["name,x", *[f"{i},{'y' * (i * 7 % 23)}" for i in range(40)], "z" * 60]
+            whole = end.join(rows) + last
+            for chars in (1, 2, 7, 8, 20, 100, 10_000):
+                parts = list(folders.tables(whole[i : i + chars] for i in range(0, len(whole), chars)))
+                found = [[x for x in re.split("\r?\n|\r", p) if x] for p in parts]
+                assert all(p[0] == "name,x" for p in found) and [x for p in found for x in p[1:]] == rows[1:]
+    assert list(folders.tables(iter([""]))) == [""]
+
+
 def test_csv_lines_are_parsed_once(spark, tmp_path):
     """The parser stands twice in the plan, for the header and for quoted lines, whatever is read of them; it stood there once
     per cell and use. Lines with quotes and without, short and long, give the same cells."""
